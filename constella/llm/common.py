@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,31 +110,74 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased (A-Z only) bytes and start and end of each maximal run of bytes that are not white space."""
-    raw = _LOWER[np.frombuffer(data, dtype=np.uint8)]
-    inside = np.zeros(len(raw) + 2, dtype=np.int8)
-    inside[1:-1] = ~_SPACE[raw]
-    edges = np.flatnonzero(np.diff(inside))
-    return raw, edges[::2], edges[1::2]
+#: Bytes of text that are hashed in one go; a longer text goes alone.
+CHUNK_BYTES = 1 << 20
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """A 64-bit hash of each word: a polynomial over its bytes, taken from one prefix sum, then mixed."""
-    raw, start, end = word_spans(data)
+def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Runs of texts (first row, end row, their bytes, offsets in them); a null text counts as empty."""
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
+    first = 0
+    while first < len(column):
+        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK_BYTES, side="right")) - 1)
+        end = min(end, len(column))
+        yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
+        first = end
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased (A-Z only) bytes, start and end of each word, and words before each text.
+
+    A word is a maximal run of bytes that are not white space, within one text.
+    """
+    raw = _LOWER[data]
+    space = _SPACE[data]
+    first = np.ones(len(raw) + 1, dtype=bool)
+    first[1:] = space
+    last = np.append(space, True)[1:]
+    cuts = offsets[:-1][offsets[:-1] < len(raw)]
+    first[cuts] = True
+    last[cuts[cuts > 0] - 1] = True
+    start = np.flatnonzero(first[:-1] & ~space)
+    end = np.flatnonzero(last & ~space) + 1
+    return raw, start, end, np.searchsorted(start, offsets)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word and the number of words before each text.
+
+    The hash is a polynomial over the word's bytes, taken from one prefix sum, then mixed with its length.
+    """
+    raw, start, end, before = word_spans(data, offsets)
     up, down = _powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
-    return mix(((sums[end] - sums[start]) * down[start]) ^ (end - start).astype(np.uint64))
+    return mix(((sums[end] - sums[start]) * down[start]) ^ (end - start).astype(np.uint64)), before
 
 
-def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
-    """Distinct hashes of the ``width``-word shingles; fewer words count as one shingle, none as no shingle."""
-    if not len(words):
-        return np.zeros(0, dtype=np.uint64)
-    width = min(width, len(words))
+def _fold(words: np.ndarray, width: int) -> np.ndarray:
     n = len(words) - width + 1
     out = np.full(n, np.uint64(width), dtype=np.uint64)
     for i in range(width):
         out = mix(out * np.uint64(3) + words[i : i + n])
-    return np.unique(out)
+    return out
+
+
+def shingle_sets(words: np.ndarray, before: np.ndarray, width: int) -> list[np.ndarray]:
+    """For each text its distinct ``width``-word shingles, as sorted hashes.
+
+    A text of fewer words has its whole sequence as one shingle, an empty one none.
+    """
+    full = _fold(words, width) if len(words) >= width else np.zeros(0, np.uint64)
+    out = []
+    for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
+        if b - a >= width:
+            ordered = np.sort(full[a : b - width + 1])
+            keep = np.ones(len(ordered), dtype=bool)
+            np.not_equal(ordered[1:], ordered[:-1], out=keep[1:])
+            out.append(ordered[keep])
+        else:
+            out.append(_fold(words[a:b], b - a) if b > a else np.zeros(0, np.uint64))
+    return out

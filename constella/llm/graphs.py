@@ -1,0 +1,32 @@
+"""Connected components of an edge table, by joins and grouped minima."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from constella.llm import common
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node``, ``label`` for each node of ``edges`` (``a``, ``b``); the label is the smallest node reachable.
+
+    Large and small stars in turn (Kiveris et al. 2014): every round points nodes at smaller ones, and the
+    number of rounds grows with the logarithm of the size of a component. Each round is written to the shared folder.
+    """
+    current = common.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    while True:
+        both = current.select("u", "v").union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(lowest, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        following = common.cut(small.where("u <> v").distinct(), "edges")
+        state = following.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        same = state == current.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+        common.drop(current)
+        current = following
+        if same:
+            break
+    roots = current.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("label"))
+    return current.select(F.col("u").alias("node"), F.col("v").alias("label")).union(roots)

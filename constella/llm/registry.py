@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from constella.llm import media, secrets, warc
+from constella.llm import media, ngram_join, secrets, warc
 
 
 def queries() -> dict:
     return {
         "op1_media_columns": media.op1_media_columns,
         "op2_warc_archive": warc.op2_warc_archive,
+        "op5_ngram_join": ngram_join.op5_ngram_join,
         "op3_secret_scan": secrets.op3_secret_scan,
     }
 
