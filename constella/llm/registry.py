@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from constella.llm import media, ngram_join, secrets, warc
+from constella.llm import langid, media, ngram_join, quality, secrets, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,8 @@ def queries() -> dict:
         "op2_warc_archive": warc.op2_warc_archive,
         "op5_ngram_join": ngram_join.op5_ngram_join,
         "op3_secret_scan": secrets.op3_secret_scan,
+        "op7_byte_cnn": langid.op7_byte_cnn,
+        "op10_quality_gam": quality.op10_quality_gam,
     }
 
 
