@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from constella.llm import langid, media, ngram_join, quality, secrets, warc
+from constella.llm import langid, media, ngram_join, packing, quality, secrets, token_store, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op5_ngram_join": ngram_join.op5_ngram_join,
         "op3_secret_scan": secrets.op3_secret_scan,
         "op7_byte_cnn": langid.op7_byte_cnn,
+        "op6_packing": packing.op6_packing,
+        "op8_huffman_ids": token_store.op8_huffman_ids,
         "op10_quality_gam": quality.op10_quality_gam,
     }
 
