@@ -98,6 +98,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes between words where punctuation is to be ignored: all of ASCII but letters and digits.
+NOT_ALNUM = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,13 +129,13 @@ def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         first = end
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Lower-cased (A-Z only) bytes, start and end of each word, and words before each text.
 
-    A word is a maximal run of bytes that are not white space, within one text.
+    A word is a maximal run of bytes that are not ``between`` words (white space), within one text.
     """
     raw = _LOWER[data]
-    space = _SPACE[data]
+    space = between[data]
     first = np.ones(len(raw) + 1, dtype=bool)
     first[1:] = space
     last = np.append(space, True)[1:]
@@ -145,12 +147,12 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return raw, start, end, np.searchsorted(start, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word and the number of words before each text.
 
     The hash is a polynomial over the word's bytes, taken from one prefix sum, then mixed with its length.
     """
-    raw, start, end, before = word_spans(data, offsets)
+    raw, start, end, before = word_spans(data, offsets, between)
     up, down = _powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])

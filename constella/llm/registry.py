@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from constella.llm import langid, media, ngram_join, packing, quality, secrets, token_store, warc
+from constella.llm import decontaminate, langid, media, ngram_join, packing, quality, secrets, token_store, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op7_byte_cnn": langid.op7_byte_cnn,
         "op6_packing": packing.op6_packing,
         "op8_huffman_ids": token_store.op8_huffman_ids,
+        "op9_latent_decontamination": decontaminate.op9_latent_decontamination,
         "op10_quality_gam": quality.op10_quality_gam,
     }
 
