@@ -159,7 +159,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SP
     return mix(((sums[end] - sums[start]) * down[start]) ^ (end - start).astype(np.uint64)), before
 
 
-def _fold(words: np.ndarray, width: int) -> np.ndarray:
+def fold(words: np.ndarray, width: int) -> np.ndarray:
     n = len(words) - width + 1
     out = np.full(n, np.uint64(width), dtype=np.uint64)
     for i in range(width):
@@ -172,7 +172,7 @@ def shingle_sets(words: np.ndarray, before: np.ndarray, width: int) -> list[np.n
 
     A text of fewer words has its whole sequence as one shingle, an empty one none.
     """
-    full = _fold(words, width) if len(words) >= width else np.zeros(0, np.uint64)
+    full = fold(words, width) if len(words) >= width else np.zeros(0, np.uint64)
     out = []
     for a, b in zip(before[:-1].tolist(), before[1:].tolist(), strict=True):
         if b - a >= width:
@@ -181,5 +181,5 @@ def shingle_sets(words: np.ndarray, before: np.ndarray, width: int) -> list[np.n
             np.not_equal(ordered[1:], ordered[:-1], out=keep[1:])
             out.append(ordered[keep])
         else:
-            out.append(_fold(words[a:b], b - a) if b > a else np.zeros(0, np.uint64))
+            out.append(fold(words[a:b], b - a) if b > a else np.zeros(0, np.uint64))
     return out

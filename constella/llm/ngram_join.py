@@ -1,13 +1,14 @@
 """N-gram Jaccard join: documents link when the Jaccard similarity of their shingle sets reaches a threshold.
 
-Rare-first prefix filtering finds candidates: shingles are ordered by how often their bucket of a fixed-size count sketch
-occurs in the whole corpus, and two sets that are similar enough must share a shingle among their first
-``n - ceil(t n) + 1``. Length and positional filters apply in the join on prefix shingles, a suffix filter (overlap
-that a histogram of each whole set allows) before each remaining pair is verified once on its full sets.
-
-Equal sets form one class and need no pairs. Within the documents that share a prefix shingle pairs are not listed while hubs
-can stand for them: in each round every prefix shingle names one hub, members of other components are
-verified against it, and components are contracted. What is left after that, pairs across components only, is joined in
+Rare-first prefix filtering finds candidates: two sets that are similar enough share a shingle among the first
+``n - ceil(t n) + 1`` of any common order. Shingles come in the order of how far their bucket of a fixed-size count sketch of
+the corpus stands out, then of their words' frequencies (a second sketch), then of their hash. The length filter is part of the
+join key (a shingle and a class of lengths); length and positional filters apply in the join, a suffix filter (the overlap
+that histograms of both sets allow) to each candidate pair, and pairs that are left are verified once on their full sets.
+
+Equal sets form one class and need no pairs. Within a group that shares a prefix shingle pairs are not listed while hubs
+can stand for them: in each round every group names one hub, members that aren't known to be connected with it are
+verified against it, and linked members take its label. What is left after that, pairs of different labels only, is joined in
 full, so that no link between components is lost whatever the size of a group.
 
 Defined results: null and empty texts, and texts of white space, have an empty set and link with nothing; repeated rows
@@ -27,12 +28,12 @@ from pyspark.sql import functions as F
 
 from constella.llm import common, graphs
 
-#: Buckets of the count sketch that orders shingles, bins of the suffix filter's histogram, bits of the candidate filter.
-SKETCH, BINS, FILTER_BITS = 1 << 16, 16, 1 << 26
+#: Buckets of the sketches of shingles and words, bins of the suffix filter's histogram, bits of the candidate filter.
+SKETCH, WORDS, BINS, FILTER_BITS = 1 << 16, 1 << 18, 64, 1 << 26
 #: Members of a hub that are verified together, so that one task needn't hold a large group.
 HUB_MEMBERS = 500
 #: Rounds of hubs at most, before what is left is joined in full.
-ROUNDS = 8
+ROUNDS = 3
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -50,18 +51,21 @@ def _key(s: np.ndarray) -> int:
 
 
 def set_facts(source: DataFrame, width: int) -> DataFrame:
-    """Size, key and histogram of each text's set; one more row for each task carries its part of the count sketch."""
+    """Size, key and histogram of each text's set; one more row for each task carries its part of both sketches."""
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, schema = np.zeros(SKETCH, np.int64), None
+        sketch, schema = np.zeros(SKETCH + WORDS, np.int64), None
         for batch in batches:
             n, keys, hist = [], [], []
-            for _, s in _sets(batch, width):
-                n.append(len(s))
-                keys.append(_key(s))
-                hist.append(np.bincount((s >> np.uint64(60)).astype(np.int64), minlength=BINS).astype(np.int32))
-                sketch += np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+            for _, _, data, offsets in common.text_chunks(batch.column("text")):
+                words, before = common.word_hashes(data, offsets)
+                sketch[SKETCH:] += np.bincount((words >> np.uint64(46)).astype(np.int64), minlength=WORDS)
+                for s in common.shingle_sets(words, before, width):
+                    n.append(len(s))
+                    keys.append(_key(s))
+                    hist.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS).astype(np.int32))
+                    sketch[:SKETCH] += np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
             nothing = pa.nulls(batch.num_rows, pa.binary())
             out = pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(keys, pa.int64()), pa.array(hist, pa.list_(pa.int32())), nothing],
@@ -75,46 +79,61 @@ def set_facts(source: DataFrame, width: int) -> DataFrame:
     return source.mapInArrow(run, f"doc_id {kind}, n int, key bigint, hist array<int>, sketch binary")
 
 
-def shingle_order(facts: DataFrame) -> np.ndarray:
-    """Rank of each sketch bucket, rare first. The driver sums at most eight arrays of fixed size."""
+def corpus_sketches(facts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How far each shingle bucket stands out (0: not), and the logarithm of each word bucket's count, in 64ths.
+
+    The driver sums at most eight arrays of fixed size.
+    """
+    size = SKETCH + WORDS
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(SKETCH, np.int64)
+        out = np.zeros(size, np.int64)
         for batch in batches:
             for x in batch.column("sketch"):
                 out += np.frombuffer(x.as_py(), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sketch"])
 
     parts = facts.where("sketch is not null").select("sketch").repartition(8).mapInArrow(total, "sketch binary").collect()
-    counts = sum((np.frombuffer(r["sketch"], np.int64) for r in parts), np.zeros(SKETCH, np.int64))
-    rank = np.empty(SKETCH, np.uint64)
-    rank[np.argsort(counts, kind="stable")] = np.arange(SKETCH, dtype=np.uint64)
-    return rank
+    counts = sum((np.frombuffer(r["sketch"], np.int64) for r in parts), np.zeros(size, np.int64))
+    shingles, words = counts[:SKETCH], counts[SKETCH:]
+    usual = np.median(shingles)
+    above = np.maximum(shingles - usual, 0) / (6 * np.sqrt(max(usual, 1.0)))
+    return np.floor(np.log2(above + 1)).astype(np.uint64), np.round(64 * np.log2(words + 1)).astype(np.uint64)
+
 
+def _ordered(words: np.ndarray, width: int, standing: np.ndarray, log_words: np.ndarray) -> np.ndarray:
+    """For each shingle a number that holds its place in the order in the upper 20 bits and 44 bits of its hash."""
+    full = common.fold(words, width)
+    each = log_words[(words >> np.uint64(46)).astype(np.int64)]
+    rarity = np.zeros(len(full), np.uint64)
+    for i in range(width):
+        rarity += each[i : i + len(full)]
+    level = np.minimum(standing[(full & np.uint64(SKETCH - 1)).astype(np.int64)], np.uint64(31))
+    return (level << np.uint64(59)) | (np.minimum(rarity // np.uint64(width), np.uint64(32767)) << np.uint64(44)) | (full & np.uint64((1 << 44) - 1))
 
-def prefix_entries(source: DataFrame, width: int, percent: int, rank: np.ndarray) -> DataFrame:
+
+def prefix_entries(source: DataFrame, width: int, percent: int, sketches: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(token, key, n, pos) of each set's prefix; copies within a task are listed once."""
-    held = source.sparkSession.sparkContext.broadcast(rank)
+    held = source.sparkSession.sparkContext.broadcast(sketches)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            token, key, n, pos = [np.zeros(0, np.int64)], [], [], []
-            for _, s in _sets(batch, width):
-                if not len(s) or (k := _key(s)) in seen:
-                    continue
-                seen.add(k)
-                size = len(s) - -(-percent * len(s) // 100) + 1
-                # The order by rank, then by hash: rank and the hash's upper bits in one number.
-                order = (held.value[(s & np.uint64(SKETCH - 1)).astype(np.int64)] << np.uint64(48)) | (s >> np.uint64(16))
-                chosen = np.argpartition(order, size - 1)[:size] if size < len(s) else np.arange(len(s))
-                chosen = chosen[np.argsort(order[chosen])]
-                token.append(s[chosen].view(np.int64))
-                key.append(np.full(size, k, np.int64))
-                n.append(np.full(size, len(s), np.int32))
-                pos.append(np.arange(size, dtype=np.int32))
-            if key:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, key, n, pos)], names=["token", "key", "n", "pos"])
+            token, key, n, pos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+            for _, _, data, offsets in common.text_chunks(batch.column("text")):
+                words, before = common.word_hashes(data, offsets)
+                for i, s in enumerate(common.shingle_sets(words, before, width)):
+                    if not len(s) or (k := _key(s)) in seen:
+                        continue
+                    seen.add(k)
+                    own = words[before[i] : before[i + 1]]
+                    order = np.unique(_ordered(own, min(width, len(own)), *held.value))
+                    size = len(s) - -(-percent * len(s) // 100) + 1
+                    token.append(order[:size].view(np.int64))
+                    key.append(np.full(len(token[-1]), k, np.int64))
+                    n.append(np.full(len(token[-1]), len(s), np.int32))
+                    pos.append(np.arange(len(token[-1]), dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (token, key, n, pos)], names=["token", "key", "n", "pos"])
 
     return source.mapInArrow(run, "token bigint, key bigint, n int, pos int")
 
@@ -173,63 +192,68 @@ def _overlap_needed(n: Column, m: Column, percent: int) -> Column:
 
 
 class _Join:
-    """One run of the join: its written tables, tested pairs and links so far."""
+    """One run of the join: its written tables, tested pairs and links so far.
+
+    ``entries`` has a row for each prefix shingle and length class (columns token and part) of a set; two sets whose lengths the
+    threshold allows meet in one length class at least.
+    """
 
     def __init__(self, entries: DataFrame, classes: DataFrame, sets: DataFrame, percent: int):
         self.entries, self.classes, self.sets, self.percent = entries, classes, sets, percent
         self.labels: DataFrame | None = None
         self.tested: DataFrame | None = None
-        self.links: list[DataFrame] = []
+        self.links: DataFrame | None = None
 
     def labelled(self) -> DataFrame:
         if self.labels is None:
-            return self.entries.withColumn("comp", F.col("key"))
-        return self.entries.join(self.labels, "key", "left").withColumn("comp", F.coalesce("label", "key")).drop("label")
+            return self.entries.withColumn("label", F.col("key"))
+        return self.entries.join(self.labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
 
     def left(self) -> int:
-        """Pairs across components that share a prefix shingle, each counted for every shingle."""
-        by = self.labelled().groupBy("token", "comp").agg(F.count("*").cast("double").alias("c")).groupBy("token")
+        """Pairs of different labels in one group, each counted for every group."""
+        by = self.labelled().groupBy("token", "part", "label").agg(F.count("*").cast("double").alias("c")).groupBy("token", "part")
         sums = by.agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
         return int(sums.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0.0))).first()[0])
 
-    def _allowed(self, x: str, y: str) -> Column:
+    def _allowed(self) -> Column:
         """Length and positional filters on one shared prefix shingle."""
-        n, m = F.col(f"{x}n"), F.col(f"{y}n")
-        most = F.least(n - F.col(f"{x}pos"), m - F.col(f"{y}pos"))
-        return (F.col(f"{x}comp") != F.col(f"{y}comp")) & _long_enough(n, m, self.percent) & (most >= _overlap_needed(n, m, self.percent))
+        n, m = F.col("n"), F.col("hn")
+        most = F.least(n - F.col("pos"), m - F.col("hpos"))
+        return (F.col("label") != F.col("hlabel")) & _long_enough(n, m, self.percent) & (most >= _overlap_needed(n, m, self.percent))
 
     def hub_pairs(self, number: int) -> DataFrame:
         rows = self.labelled()
-        hub = F.min(F.struct(F.xxhash64(F.lit(number), "key").alias("h"), F.col("key").alias("hkey"), F.col("n").alias("hn"), F.col("pos").alias("hpos"), F.col("comp").alias("hcomp")))
-        hubs = rows.groupBy("token").agg(hub.alias("hub"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token", "hub.*")
-        return rows.join(hubs, "token").where(self._allowed("", "h")).select(F.least("key", "hkey").alias("a"), F.greatest("key", "hkey").alias("b"), F.col("hkey").alias("to")).distinct()
+        hub = F.min(F.struct(F.xxhash64(F.lit(number), "key").alias("h"), F.col("key").alias("hkey"), F.col("n").alias("hn"), F.col("pos").alias("hpos"), F.col("label").alias("hlabel")))
+        hubs = rows.groupBy("token", "part").agg(hub.alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token", "part", "hub.*")
+        return rows.join(hubs, ["token", "part"]).where(self._allowed()).select("key", F.col("hkey").alias("to"))
 
     def all_pairs(self) -> DataFrame:
         rows = self.labelled()
-        mixed = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
-        rows = rows.join(mixed, "token", "left_semi")
-        other = rows.select("token", *[F.col(c).alias("h" + c) for c in ("key", "n", "pos", "comp")])
-        joined = rows.join(other, "token").where((F.col("key") < F.col("hkey")) & self._allowed("", "h"))
-        return joined.select(F.col("key").alias("a"), F.col("hkey").alias("b"), F.col("hkey").alias("to")).distinct()
+        mixed = rows.groupBy("token", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token", "part")
+        rows = rows.join(mixed, ["token", "part"], "left_semi")
+        other = rows.select("token", "part", *[F.col(c).alias("h" + c) for c in ("key", "n", "pos", "label")])
+        joined = rows.join(other, ["token", "part"]).where((F.col("key") < F.col("hkey")) & self._allowed())
+        return joined.select("key", F.col("hkey").alias("to"))
 
     def verify(self, pairs: DataFrame) -> bool:
-        """Verify new pairs once each, keep their links, contract components. False when there was no new link."""
+        """Verify pairs that weren't tested before, once each, and keep their links. False when there was none."""
+        percent, facts = self.percent, self.classes.select("key", "n", "hist")
+        pairs = pairs.groupBy(F.least("key", "to").alias("a"), F.greatest("key", "to").alias("b")).agg(F.min("to").alias("to"))
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = common.cut(pairs, "pairs")
-        percent = self.percent
-        facts = self.classes.select("key", "n", "hist")
         both = pairs.join(facts.select(F.col("key").alias("a"), F.col("n").alias("n"), F.col("hist").alias("g")), "a").join(
             facts.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("hist").alias("h")), "b"
         )
         shared = F.aggregate(F.zip_with("g", "h", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-        likely = both.where(shared >= _overlap_needed(F.col("n"), F.col("m"), percent)).select("to", F.when(F.col("a") == F.col("to"), F.col("b")).otherwise(F.col("a")).alias("key"))
+        likely = both.where(shared >= _overlap_needed(F.col("n"), F.col("m"), percent)).select("a", "b", "to", F.when(F.col("a") == F.col("to"), F.col("b")).otherwise(F.col("a")).alias("key"))
+        likely = common.cut(likely, "pairs")
         # A hub with many members is repeated, once for every HUB_MEMBERS of them, so that no task gets them all.
-        hubs = likely.groupBy("to").agg(F.ceil(F.count("*") / HUB_MEMBERS).cast("int").alias("parts"))
-        dealt = likely.join(hubs, "to").select("key", "to", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"))
+        hot = likely.groupBy("to").agg(F.ceil(F.count("*") / HUB_MEMBERS).cast("int").alias("parts")).where("parts > 1")
+        dealt = likely.select("key", "to").join(F.broadcast(hot) if hot.count() < 10000 else hot, "to", "left")
+        dealt = dealt.select("key", "to", F.coalesce(F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"), F.lit(-1)).alias("part"))
         mine = dealt.join(self.sets.select("key", "tokens"), "key")
-        theirs = self.sets.select(F.col("key").alias("to"), F.col("tokens").alias("other")).join(hubs, "to")
-        theirs = theirs.select("to", "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        theirs = self.sets.select(F.col("key").alias("to"), F.col("tokens").alias("other"))
+        spread = theirs.join(hot, "to").select("to", "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -241,27 +265,23 @@ class _Join:
                 mask = pa.array(good, pa.bool_())
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("key", "to")], names=["a", "b"])
 
-        found = mine.join(theirs, ["to", "part"]).select("key", "to", "tokens", "other").mapInArrow(compare, "a bigint, b bigint")
-        links = common.cut(found, "links")
-        self.tested = pairs.select("a", "b") if self.tested is None else self.tested.union(pairs.select("a", "b"))
+        columns = ("key", "to", "tokens", "other")
+        matched = mine.where("part < 0").join(theirs, "to").select(*columns).unionByName(mine.where("part >= 0").join(spread, ["to", "part"]).select(*columns))
+        links = common.cut(matched.mapInArrow(compare, "a bigint, b bigint"), "links")
+        tested = likely.select("a", "b")
+        self.tested = tested if self.tested is None else self.tested.union(tested)
         if links.isEmpty():
             return False
-        self.links.append(links)
-        known = links
-        if self.labels is not None:
-            for side in ("a", "b"):
-                known = known.join(self.labels.select(F.col("key").alias(side), F.col("label").alias("l" + side)), side, "left").withColumn(side, F.coalesce("l" + side, side)).select("a", "b")
-        merged = graphs.components(known)
-        if self.labels is not None:
-            merged = merged.select(F.col("node"), F.col("label").alias("new"))
-            older = self.labels.join(merged, self.labels["label"] == merged["node"], "left").select("key", F.coalesce("new", "label").alias("label"))
-            fresh = merged.join(self.labels, merged["node"] == self.labels["key"], "left_anti").select(F.col("node").alias("key"), F.col("new").alias("label"))
-            labels = older.unionByName(fresh)
-        else:
-            labels = merged.select(F.col("node").alias("key"), "label")
-        self.labels = common.cut(labels, "labels")
+        self.links = links if self.links is None else self.links.union(links)
         return True
 
+    def relabel(self) -> None:
+        """Members of verified links take the smallest label that is one or two links away: equal labels are connected."""
+        both = self.links.union(self.links.select("b", "a"))
+        near = both.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.col("a")).alias("near"))
+        further = near.select(F.col("key").alias("near"), F.col("near").alias("far"))
+        self.labels = common.cut(near.join(further, "near", "left").select("key", F.coalesce("far", "near").alias("label")), "labels")
+
 
 def ngram_join(df: DataFrame, id_col: str, text_col: str, width: int = 5, percent: int = 80) -> DataFrame:
     """One row for each text: doc_id, n_shingles, class_id (smallest id of its equal sets), component_id (smallest reachable id)."""
@@ -269,36 +289,50 @@ def ngram_join(df: DataFrame, id_col: str, text_col: str, width: int = 5, percen
     common.small_batches(spark)
     source = common.pick(df, doc_id=id_col, text=text_col).withColumn("text", F.col("text").cast("string"))
     facts = common.cut(set_facts(source, width), "sets")
-    rank = shingle_order(facts)
+    sketches = corpus_sketches(facts)
     facts = facts.where("n is not null").select("doc_id", "n", "key", "hist")
     filled = facts.where("n > 0")
     classes = filled.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("hist").alias("hist"))
     classes = common.cut(classes, "classes")
-    entries = common.cut(prefix_entries(source, width, percent, rank), "prefixes")
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tables = []
+
+    def bucketed(df: DataFrame, by: str, once: bool = False) -> DataFrame:
+        """Written once in buckets, so that grouping and joining by the key need no further exchange."""
+        name, path = f"t_{uuid.uuid4().hex}", common.new_path(spark, "buckets")
+        tables.append((name, path))
+        df = df.repartition(buckets, by)
+        (df.dropDuplicates([by]) if once else df).write.option("path", path).option("compression", "zstd").bucketBy(buckets, by).sortBy(by).saveAsTable(name)
+        return spark.table(name)
+
+    entries = bucketed(prefix_entries(source, width, percent, sketches), "token")
     several = entries.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("token")
-    shared = common.cut(entries.join(several, "token", "left_semi").distinct(), "shared")
-    common.drop(entries)
+    lengths = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
+    shared = entries.join(several, "token", "left_semi").distinct().withColumn("part", F.explode(F.array(lengths, lengths + 1)))
+    shared = common.cut(shared, "shared")
+    grouped = shared.groupBy("token", "part").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("token", "part")
+    shared = common.cut(shared.join(grouped, ["token", "part"], "left_semi"), "groups")
     keep = candidate_filter(shared.select("key").distinct())
-    name, path = f"sets_{uuid.uuid4().hex}", common.new_path(spark, "candidate-sets")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    candidates = candidate_sets(source, width, keep).repartition(buckets, "key").dropDuplicates(["key"])
-    candidates.write.option("path", path).option("compression", "zstd").bucketBy(buckets, "key").sortBy("key").saveAsTable(name)
-    join = _Join(shared, classes, spark.table(name), percent)
+    sets = bucketed(candidate_sets(source, width, keep), "key", once=True)
+    join = _Join(shared, classes, sets, percent)
     most = 2 * shared.count()
     for number in range(ROUNDS):
-        if not join.verify(join.hub_pairs(number)) or join.left() <= most:
+        if join.left() <= most or not join.verify(join.hub_pairs(number)):
             break
+        join.relabel()
     join.verify(join.all_pairs())
-    if join.labels is None:
+    if join.links is None:
         groups = classes.select("key", "class_id", F.col("class_id").alias("component_id"))
     else:
-        placed = classes.join(join.labels, "key", "left").select("key", "class_id", F.coalesce("label", "key").alias("label"))
+        labels = graphs.components(join.links).select(F.col("node").alias("key"), "label")
+        placed = classes.join(labels, "key", "left").select("key", "class_id", F.coalesce("label", "key").alias("label"))
         groups = placed.join(placed.groupBy("label").agg(F.min("class_id").alias("component_id")), "label").select("key", "class_id", "component_id")
     out = filled.join(common.cut(groups, "groups"), "key").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "class_id", "component_id")
     alone = facts.where("n = 0").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     out = common.cut(out.unionByName(alone), "joined")
-    spark.sql(f"DROP TABLE IF EXISTS {name}")
-    common.drop_path(spark, path)
+    for name, path in tables:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        common.drop_path(spark, path)
     return out
 
 
