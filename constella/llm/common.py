@@ -68,6 +68,16 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[source].alias(name) for name, source in columns.items()])
 
 
+#: Ids that are broadcast at most: 8 MB of long numbers. More are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def by_ids(docs: DataFrame, ids: DataFrame, id_col: str, how: str) -> DataFrame:
+    """Semi or anti join of ``docs`` with written ``ids``, by a broadcast only where they are few enough."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, id_col, how).select(docs.columns)
+
+
 def crc_mod(id_col, modulus: int):
     """crc32 of the id as decimal text, modulo ``modulus``: the fold of a labelled row."""
     return F.crc32(id_col.cast("string").cast("binary")) % F.lit(modulus)

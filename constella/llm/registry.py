@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from constella.llm import decontaminate, langid, media, ngram_join, packing, quality, secrets, token_store, warc
+import corpus_pipeline
+from constella.llm import decontaminate, html_text, langid, media, ngram_join, packing, quality, secrets, token_store, warc
 
 
 def queries() -> dict:
@@ -10,12 +11,14 @@ def queries() -> dict:
         "op1_media_columns": media.op1_media_columns,
         "op2_warc_archive": warc.op2_warc_archive,
         "op5_ngram_join": ngram_join.op5_ngram_join,
+        "op4_crf_text": html_text.op4_crf_text,
         "op3_secret_scan": secrets.op3_secret_scan,
         "op7_byte_cnn": langid.op7_byte_cnn,
         "op6_packing": packing.op6_packing,
         "op8_huffman_ids": token_store.op8_huffman_ids,
         "op9_latent_decontamination": decontaminate.op9_latent_decontamination,
         "op10_quality_gam": quality.op10_quality_gam,
+        "pipeline": corpus_pipeline.run,
     }
 
 

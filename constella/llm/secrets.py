@@ -32,6 +32,7 @@ RUN = r"[A-Za-z0-9+/_=-]{20,}"
 #: Length classes of runs start at these lengths.
 CLASSES = (20, 28, 36, 48, 64, 128)
 P_BINS = 64
+_SPAN = "array<struct<start:int,end:int,kind:int>>"
 
 _DIGITS, _UPPER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _ALPHABETS = {
@@ -151,29 +152,50 @@ def thresholds(runs: DataFrame, rate: float) -> DataFrame:
     return usable.groupBy("length_class").agg((F.min("at") / P_BINS).alias("least_p"))
 
 
-_SPAN = "array<struct<start:int,end:int,kind:int>>"
-
-
-def scan_secrets(df: DataFrame, id_col: str, text_col: str, rate: float = 0.1) -> DataFrame:
-    """One row for each text: doc_id, base (base spans), extra (spans that the battery adds), spans (both, in order)."""
-    source = common.pick(df, doc_id=id_col, text=text_col).withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    base = F.array_sort(F.concat(_spans(F.col("text"), ASSIGN, 0, (2, 6)), _spans(F.col("text"), ACCESS_LONG, 1), _spans(F.col("text"), HEX_LONG, 2)))
-    found = source.select("doc_id", F.transform(base, lambda s: s.dropFields("value")).alias("base"), _spans(F.col("text"), RUN, 3).alias("runs"))
+def _with_spans(df: DataFrame, text_col: str) -> DataFrame:
+    """``df`` with ``__base``, the base spans, and ``__runs``, the runs outside them with their length class and p-value."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    base = F.array_sort(F.concat(_spans(text, ASSIGN, 0, (2, 6)), _spans(text, ACCESS_LONG, 1), _spans(text, HEX_LONG, 2)))
+    found = df.select("*", F.transform(base, lambda s: s.dropFields("value")).cast(_SPAN).alias("__base"), _spans(text, RUN, 3).alias("__found"))
     outside = F.filter(
-        F.col("runs"),
-        lambda r: r["value"].rlike("[0-9]") & r["value"].rlike("[A-Za-z]") & ~F.exists(F.col("base"), lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])),
+        F.col("__found"),
+        lambda r: r["value"].rlike("[0-9]") & r["value"].rlike("[A-Za-z]") & ~F.exists(F.col("__base"), lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])),
     )
     scored = F.transform(
         outside,
         lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["kind"].alias("kind"), _length_class(r["end"] - r["start"]).alias("length_class"), F.round(_p_value(r["value"]), 9).alias("p")),
     )
-    written = common.cut(found.select("doc_id", "base", scored.alias("runs")), "secrets")
-    runs = written.where(F.size("runs") > 0).select(F.explode("runs").alias("r")).select("r.*")
-    levels = thresholds(runs, rate).agg(F.map_from_entries(F.collect_list(F.struct("length_class", "least_p"))).alias("levels"))
-    kept = F.filter(F.col("runs"), lambda r: r["p"] >= F.coalesce(F.element_at(F.col("levels"), r["length_class"]), F.lit(2.0)))
-    extra = F.transform(kept, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["kind"].alias("kind"))).cast(_SPAN)
-    joined = written.crossJoin(F.broadcast(levels))
-    return joined.select("doc_id", F.col("base").cast(_SPAN).alias("base"), extra.alias("extra")).withColumn("spans", F.array_sort(F.concat("base", "extra")))
+    return found.withColumn("__runs", scored).drop("__found")
+
+
+def _levels(runs: DataFrame, rate: float) -> Column:
+    """The thresholds (at most six numbers) as a literal map from length class to least p."""
+    rows = thresholds(runs.where(F.size("__runs") > 0).select(F.explode("__runs").alias("r")).select("r.*"), rate).collect()
+    entries = [F.lit(v) for r in sorted(rows) for v in (r["length_class"], r["least_p"])]
+    return F.create_map(*entries) if entries else F.create_map(F.lit(-1), F.lit(2.0))
+
+
+def _kept(levels: Column) -> Column:
+    kept = F.filter(F.col("__runs"), lambda r: r["p"] >= F.coalesce(F.element_at(levels, r["length_class"]), F.lit(2.0)))
+    return F.transform(kept, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["kind"].alias("kind"))).cast(_SPAN)
+
+
+def scan_secrets(df: DataFrame, id_col: str, text_col: str, rate: float = 0.1) -> DataFrame:
+    """One row for each text: doc_id, base (base spans), extra (spans that the battery adds), spans (both, in order)."""
+    source = common.pick(df, doc_id=id_col, text=text_col)
+    written = common.cut(_with_spans(source, "text").select("doc_id", "__base", "__runs"), "secrets")
+    found = written.select("doc_id", F.col("__base").alias("base"), _kept(_levels(written, rate)).alias("extra"))
+    return found.withColumn("spans", F.array_sort(F.concat("base", "extra")))
+
+
+def redact_secrets(df: DataFrame, text_col: str, rate: float = 0.1, mark: str = "[secret]") -> DataFrame:
+    """``df`` with every span of ``text_col`` replaced by ``mark``; a null text stays null.
+
+    The texts are read twice, for the thresholds and for the spans, so that they need no join.
+    """
+    levels = _levels(_with_spans(df.select(F.col(text_col)), text_col), rate)
+    found = _with_spans(df, text_col).withColumn("__spans", F.concat(F.col("__base"), _kept(levels)))
+    return found.withColumn(text_col, redact(F.col(text_col), F.col("__spans"), mark)).select(df.columns)
 
 
 def span_text(spans: Column) -> Column:
