@@ -1,11 +1,575 @@
-"""Named queries over the driver's tables and the SQL they must agree with."""
+"""Named queries over the driver's tables and the SQL they must agree with.
+
+Every query reads its whole tables. Queries without SQL iterate until a state is reached; tests hold them against plain Python.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from constella.functions import geometry as G
+from constella.functions import schedules
+from constella.functions.portable import uniform_sql
+from constella.operators import aggregates, angular, coarsen, layout, pack, partition, reintegrate
+from constella.operators.ball import k_hop_ball
+from constella.operators.components import connected_components
+from constella.operators.graph import degrees, edges_sql, load_graph, missing_reverse, random_places, symmetrise, vertices_of
+from constella.operators.place import coarsest_places, place_bodies
+from constella.operators.prune import leaves_of, prune_leaves, with_leaves
+from constella.plans import jobs
+from constella.plans.config import Config
+from constella.sources import text
+
+IDEAL = G.ideal_edge()
+TWO_PI = G.TWO_PI
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
 
-def queries() -> dict:
-    return {}
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
+    """Doubles rounded, since the order of summation differs; -0.0 becomes 0.0."""
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+# --- shared SQL --------------------------------------------------------------------------------
+
+OP, CONV, CO = edges_sql("order_part"), edges_sql("conversation"), edges_sql("customer_order")
+VERTICES = "v AS (SELECT DISTINCT src AS id FROM e)"
+X, Y = f"{uniform_sql('id', 1)} * 1200.0", f"{uniform_sql('id', 2)} * 1200.0"
+#: Components of the conversation paths by recursion.
+COMPONENTS = """reach(id, other) AS (SELECT id, id FROM v UNION SELECT r.id, e.dst FROM reach r JOIN e ON e.src = r.other),
+  comp AS (SELECT id, min(other) AS component FROM reach GROUP BY id)"""
+#: Conversation paths with components and hashed places.
+PLACED = f"WITH RECURSIVE e AS {CONV}, {VERTICES}, {COMPONENTS}, p AS (SELECT id, component, {X} AS x, {Y} AS y FROM comp)"
+
+
+def r4(expression: str) -> str:
+    return f"round({expression}, 4) + 0.0"
+
+
+def _op(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load_graph(spark, sf_dir, "order_part")
+
+
+def _placed_conversation(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e = load_graph(spark, sf_dir, "conversation")
+    return random_places(connected_components(vertices_of(e), e)), e
+
+
+# --- preprocessing -----------------------------------------------------------------------------
+
+
+@query(f"SELECT src AS id, count(*) AS degree FROM {OP} GROUP BY src")
+def graph_degree(spark, sf_dir):
+    return degrees(_op(spark, sf_dir))
+
+
+@query(f"SELECT src, dst, CAST(1 AS INTEGER) AS weight FROM {OP}")
+def symmetrise_edges(spark, sf_dir):
+    one = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst"))
+    return symmetrise(one)
+
+
+@query("SELECT DISTINCT 2 * CAST(l_partkey AS BIGINT) + 1 AS src, 2 * CAST(l_orderkey AS BIGINT) AS dst FROM lineitem")
+def reverse_edges(spark, sf_dir):
+    one = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_orderkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).distinct()
+    return missing_reverse(one)
+
+
+LEAVES = "d AS (SELECT src AS id, count(*) AS degree FROM e GROUP BY src), leaf AS (SELECT e.dst AS hub, e.src AS leaf FROM e JOIN d a ON a.id = e.src JOIN d b ON b.id = e.dst WHERE a.degree = 1 AND b.degree >= 2)"
+
+
+@query(f"WITH e AS {OP}, {LEAVES} SELECT hub, leaf FROM leaf")
+def prune_leaves_pairs(spark, sf_dir):
+    return leaves_of(_op(spark, sf_dir))
+
+
+@query(f"WITH e AS {OP}, {LEAVES} SELECT src, dst FROM e WHERE src NOT IN (SELECT leaf FROM leaf) AND dst NOT IN (SELECT leaf FROM leaf)")
+def prune_surviving_edges(spark, sf_dir):
+    e = _op(spark, sf_dir)
+    return prune_leaves(vertices_of(e), e).edges.select("src", "dst")
+
+
+@query(f"WITH RECURSIVE e AS {CONV}, {VERTICES}, {COMPONENTS} SELECT id, component FROM comp")
+def components(spark, sf_dir):
+    e = load_graph(spark, sf_dir, "conversation")
+    return connected_components(vertices_of(e), e)
+
+
+@query(
+    f"""WITH e AS {CO}, {LEAVES}, {VERTICES},
+  s AS (SELECT id FROM v WHERE id NOT IN (SELECT leaf FROM leaf)),
+  k AS (SELECT s.id, least(s.id, coalesce(min(e.dst), s.id)) AS component FROM s
+    LEFT JOIN (SELECT * FROM e WHERE src NOT IN (SELECT leaf FROM leaf) AND dst NOT IN (SELECT leaf FROM leaf)) e ON e.src = s.id GROUP BY s.id),
+  n AS (SELECT component, count(*) AS n FROM k GROUP BY component)
+  SELECT n, count(*) AS components, min(component) AS first_component FROM n GROUP BY n"""
+)
+def components_summary(spark, sf_dir):
+    e = load_graph(spark, sf_dir, "customer_order")
+    pruned = prune_leaves(vertices_of(e), e)
+    sizes = connected_components(pruned.vertices, pruned.edges).groupBy("component").agg(F.count("*").alias("n"))
+    return sizes.groupBy("n").agg(F.count("*").alias("components"), F.min("component").alias("first_component"))
+
+
+@query(f"SELECT id, CAST(floor({uniform_sql('id', 501)} * 32) AS INTEGER) AS part FROM (SELECT DISTINCT src AS id FROM {OP})")
+def partition_init(spark, sf_dir):
+    return partition.initial_labels(vertices_of(_op(spark, sf_dir)), partition.PartitionOptions())
+
+
+@query(
+    f"""SELECT id, CASE WHEN {uniform_sql('id', 502)} < 0.2 THEN CAST(32 + floor({uniform_sql('id', 503)} * 8) AS INTEGER)
+  ELSE CAST(floor({uniform_sql('id', 501)} * 32) AS INTEGER) END AS part FROM (SELECT DISTINCT src AS id FROM {OP})"""
+)
+def partition_changed_k(spark, sf_dir):
+    o = partition.PartitionOptions(repartition=8)
+    return partition.changed_k(partition.initial_labels(vertices_of(_op(spark, sf_dir)), o), o)
+
+
+K, SEED = 8, 42
+LABELS = f"""lab AS (SELECT id, CAST(floor({uniform_sql('id', 501)} * {K}) AS INTEGER) AS part FROM v),
+  deg AS (SELECT src AS id, count(*) AS degree FROM e GROUP BY src),
+  ld AS (SELECT part, sum(degree) AS load FROM lab JOIN deg USING (id) GROUP BY part),
+  cap AS (SELECT round(count(*) * 1.1 / {K}) AS cap FROM e)"""
+SCORES = f"""sc AS (SELECT lab.id, lab.part, ld.part AS label, coalesce(f.freq, 0) AS freq, deg.degree AS total,
+    1.0 + coalesce(f.freq, 0) / CAST(deg.degree AS DOUBLE) - ceil(round(ld.load / cap.cap * 1000, 6)) / 1000.0 AS h
+  FROM lab JOIN deg USING (id) CROSS JOIN ld CROSS JOIN cap
+  LEFT JOIN (SELECT e.src AS id, lab.part AS label, count(*) AS freq FROM e JOIN lab ON lab.id = e.dst GROUP BY ALL) f ON f.id = lab.id AND f.label = ld.part)"""
+BEST = f"""best AS (SELECT id, part, arg_max(label, [round(h, 9), CASE WHEN label = part THEN 1 ELSE 0 END, {uniform_sql("concat(id, '-', label)", 600)}, label]) AS new_part,
+    max(CASE WHEN label = part THEN h END) AS h_now FROM sc GROUP BY id, part)"""
+
+
+def _partition_state(spark, sf_dir):
+    e = load_graph(spark, sf_dir, "supplier_part")
+    o = partition.PartitionOptions(partitions=K)
+    labels = partition.initial_labels(vertices_of(e), o)
+    d = degrees(e)
+    return e, o, labels, d, partition.loads(labels, d), round(e.count() * 1.1 / K)
+
+
+SP = edges_sql("supplier_part")
+
+
+@query(f"WITH e AS {SP}, {VERTICES}, {LABELS}, {SCORES}, {BEST} SELECT id, part, {r4('max(h_now)')} AS h_now, {r4('max(h)')} AS h_best FROM best JOIN sc USING (id, part) GROUP BY id, part")
+def partition_score(spark, sf_dir):
+    e, o, labels, _, load, cap = _partition_state(spark, sf_dir)
+    own = F.col("label") == F.col("part")
+    scored = partition.scores(labels, e, load, cap, o).groupBy("id", "part")
+    return rounded(scored.agg(F.max(F.when(own, F.col("h"))).alias("h_now"), F.max("h").alias("h_best")))
+
+
+@query(f"WITH e AS {SP}, {VERTICES}, {LABELS} SELECT part, CAST(load AS BIGINT) AS load FROM ld")
+def partition_loads(spark, sf_dir):
+    return _partition_state(spark, sf_dir)[4]
+
+
+@query(
+    f"""WITH e AS {SP}, {VERTICES}, {LABELS}
+  SELECT {r4('avg(CASE WHEN a.part = b.part THEN 1.0 ELSE 0.0 END)')} AS local_ratio, (SELECT CAST(max(load) AS BIGINT) FROM ld) AS max_load, (SELECT CAST(min(load) AS BIGINT) FROM ld) AS min_load,
+    {r4(f'(SELECT max(load) FROM ld) * {K} / CAST(count(*) AS DOUBLE)')} AS max_normalised_load
+  FROM e JOIN lab a ON a.id = e.src JOIN lab b ON b.id = e.dst"""
+)
+def partition_metrics(spark, sf_dir):
+    e, o, labels, *_ = _partition_state(spark, sf_dir)
+    return rounded(partition.quality(labels, e, o)).withColumn("min_load", F.col("min_load").cast("bigint"))
+
+
+@query()
+def partition_migration(spark, sf_dir):
+    e, o, labels, d, load, cap = _partition_state(spark, sf_dir)
+    chosen = partition.best_labels(partition.scores(labels, e, load, cap, o), SEED, 600)
+    return partition.migrate(chosen, d, load, cap, SEED, 900)
+
+
+@query()
+def partition_run(spark, sf_dir):
+    e = load_graph(spark, sf_dir, "supplier_part")
+    return partition.partition_graph(vertices_of(e), e, partition.PartitionOptions(partitions=K, max_iterations=6)).labels
+
+
+# --- frames, balls, forces ---------------------------------------------------------------------
+
+
+@query(f"{PLACED} SELECT component, {r4('min(x)')} AS min_x, {r4('min(y)')} AS min_y, {r4('max(x)')} AS max_x, {r4('max(y)')} AS max_y FROM p GROUP BY component")
+def bounding_box(spark, sf_dir):
+    return rounded(aggregates.bounding_boxes(_placed_conversation(spark, sf_dir)[0]))
+
+
+@query(
+    f"""WITH RECURSIVE e AS {CONV}, {VERTICES}, {COMPONENTS}, {LEAVES}
+  SELECT component, CAST(sum(1 + coalesce(n, 0)) AS BIGINT) AS n FROM comp LEFT JOIN (SELECT hub AS id, count(*) AS n FROM leaf GROUP BY hub) h USING (id)
+  WHERE id NOT IN (SELECT leaf FROM leaf) GROUP BY component"""
+)
+def component_size(spark, sf_dir):
+    v, e = _placed_conversation(spark, sf_dir)
+    pruned = prune_leaves(v, e)
+    return aggregates.boxes_and_sizes(with_leaves(pruned.vertices, pruned)).select("component", "n")
+
+
+FRAME = f"""b AS (SELECT component, min(x) AS min_x, min(y) AS min_y, max(x) - min(x) + (CASE WHEN max(x) = min(x) THEN 1e-5 ELSE 0 END) + {IDEAL} AS w,
+    max(y) - min(y) + (CASE WHEN max(y) = min(y) THEN 1e-5 ELSE 0 END) + {IDEAL} AS h, count(*) AS n FROM p GROUP BY component),
+  f AS (SELECT *, CASE WHEN n = 1 THEN 1.0 ELSE sqrt(n / (h / w)) * {IDEAL} END AS fw FROM b),
+  fr AS (SELECT component, min_x, min_y, n, fw AS frame_w, CASE WHEN n = 1 THEN 1.0 ELSE h / w * fw END AS frame_h, CASE WHEN n = 1 THEN 1.0 ELSE fw / w END AS scale FROM f)"""
+
+
+@query(
+    f"""{PLACED}, {FRAME} SELECT component, {r4('frame_w')} AS frame_w, {r4('frame_h')} AS frame_h, {r4('scale')} AS scale_x, {r4('scale')} AS scale_y,
+  {r4('CASE WHEN n = 1 THEN 0.0 ELSE frame_w / 0.1 END')} AS temp_x, {r4('CASE WHEN n = 1 THEN 0.0 ELSE frame_h / 0.1 END')} AS temp_y FROM fr"""
+)
+def frame_and_temps(spark, sf_dir):
+    v, _ = _placed_conversation(spark, sf_dir)
+    state = layout.frames(aggregates.boxes_and_sizes(v), IDEAL, 0.1)
+    return rounded(state.select("component", "frame_w", "frame_h", "scale_x", "scale_y", "temp_x", "temp_y"))
+
+
+@query(f"{PLACED}, {FRAME} SELECT id, p.component, {r4('(x - min_x) * scale')} AS x, {r4('(y - min_y) * scale')} AS y FROM p JOIN fr USING (component)")
+def scaled_drawing(spark, sf_dir):
+    v, _ = _placed_conversation(spark, sf_dir)
+    return rounded(layout.scale_drawing(v, layout.frames(aggregates.boxes_and_sizes(v), IDEAL, 0.1)))
+
+
+@query(
+    f"""WITH RECURSIVE e AS {CONV}, b(dst, src, hop) AS (SELECT dst, src, 1 FROM e UNION SELECT b.dst, e.dst, b.hop + 1 FROM b JOIN e ON e.src = b.src WHERE b.hop < 6)
+  SELECT dst, src, CAST(min(hop) AS INTEGER) AS hop FROM b WHERE src <> dst GROUP BY dst, src"""
+)
+def khop_ball_6(spark, sf_dir):
+    return k_hop_ball(load_graph(spark, sf_dir, "conversation"), 6)
+
+
+@query(
+    f"""WITH e AS {OP}, b AS (SELECT dst, src FROM e UNION SELECT a.dst, c.src FROM e a JOIN e c ON c.dst = a.src WHERE c.src <> a.dst)
+  SELECT dst AS id, count(*) AS reached FROM b GROUP BY dst"""
+)
+def khop_ball_2(spark, sf_dir):
+    return k_hop_ball(_op(spark, sf_dir), 2).groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("reached"))
+
+
+OP_PLACED = f"WITH e AS {OP}, {VERTICES}, deg AS (SELECT src AS id, count(*) AS deg FROM e GROUP BY src), p AS (SELECT id, {X} AS x, {Y} AS y, deg FROM v JOIN deg USING (id))"
+PAIRS = """g AS (SELECT a.id, a.x, a.y, b.x - a.x AS dx, b.y - a.y AS dy, a.deg AS d1, b.deg AS d2 FROM e JOIN p a ON a.id = e.dst JOIN p b ON b.id = e.src)"""
+FAR = 2.0 * IDEAL * IDEAL
+FR_SUM = f"fo AS (SELECT id, sum(dx * sqrt(dx * dx + dy * dy) / {IDEAL} - {FAR} * dx / (dx * dx + dy * dy)) AS fx, sum(dy * sqrt(dx * dx + dy * dy) / {IDEAL} - {FAR} * dy / (dx * dx + dy * dy)) AS fy FROM g GROUP BY id)"
+
+
+def _op_state(spark, sf_dir):
+    e = _op(spark, sf_dir)
+    v = random_places(vertices_of(e)).withColumn("component", F.lit(0).cast("bigint"))
+    return v, e, k_hop_ball(e, 1)
+
+
+@query(f"{OP_PLACED}, {PAIRS} SELECT id, {r4(f'sum(dx * sqrt(dx * dx + dy * dy) / {IDEAL})')} AS fx, {r4(f'sum(dy * sqrt(dx * dx + dy * dy) / {IDEAL})')} AS fy FROM g GROUP BY id")
+def fr_attraction(spark, sf_dir):
+    v, e, ball = _op_state(spark, sf_dir)
+    return rounded(layout.forces(v, e, ball.limit(0), layout.LayoutOptions()))
+
+
+@query(f"{OP_PLACED}, {PAIRS} SELECT id, {r4(f'sum(-{FAR} * dx / (dx * dx + dy * dy))')} AS fx, {r4(f'sum(-{FAR} * dy / (dx * dx + dy * dy))')} AS fy FROM g GROUP BY id")
+def fr_repulsion(spark, sf_dir):
+    v, e, ball = _op_state(spark, sf_dir)
+    return rounded(layout.forces(v, e.limit(0), ball, layout.LayoutOptions()))
+
+
+@query(
+    f"""{OP_PLACED}, {PAIRS} SELECT id, {r4(f'sum(25.0 * dx / sqrt(dx * dx + dy * dy) - {FAR} * d1 * d2 * dx / (dx * dx + dy * dy))')} AS fx,
+  {r4(f'sum(25.0 * dy / sqrt(dx * dx + dy * dy) - {FAR} * d1 * d2 * dy / (dx * dx + dy * dy))')} AS fy FROM g GROUP BY id"""
+)
+def linlog_forces(spark, sf_dir):
+    v, e, ball = _op_state(spark, sf_dir)
+    return rounded(layout.forces(v, e, ball, layout.LayoutOptions(force="LinLog")))
+
+
+@query(
+    f"""{OP_PLACED}, {PAIRS}, {FR_SUM}, m AS (SELECT p.id, p.x, p.y, fx, fy, sqrt(fx * fx + fy * fy) AS f FROM p JOIN fo USING (id))
+  SELECT id, {r4('x + fx / f * least(f, 300.0)')} AS x, {r4('y + fy / f * least(f, 200.0)')} AS y,
+    CAST(sqrt((fx / f * least(f, 300.0)) ** 2 + (fy / f * least(f, 200.0)) ** 2) < 5.0 AS INTEGER) AS converged FROM m"""
+)
+def fr_step(spark, sf_dir):
+    v, e, ball = _op_state(spark, sf_dir)
+    state = spark.range(1).select(F.lit(0).cast("bigint").alias("component"), F.lit(300.0).alias("temp_x"), F.lit(200.0).alias("temp_y"))
+    moved = layout.move(v, layout.forces(v, e, ball, layout.LayoutOptions()), state, 1.0, 5.0)
+    return rounded(moved.select("id", "x", "y", "converged"))
+
+
+@query("SELECT CAST(i AS INTEGER) AS step, round(100.0 * pow(0.93, i), 6) AS linear, round(100.0 * exp(-0.05 * i), 6) AS exponential FROM range(20) t(i)")
+def cooling_schedule(spark, sf_dir):
+    a, b, rows = 100.0, 100.0, []
+    for i in range(20):
+        rows.append((i, round(a, 6), round(b, 6)))
+        a, b = schedules.LinearCooling(0.93).cool(a), schedules.NegativeExponentialCooling(0.05).cool(b)
+    return spark.createDataFrame(rows, "step int, linear double, exponential double")
+
+
+SIZES = (249, 250, 499, 500, 999, 1000, 1499, 1500, 4999, 5000, 9999, 10000, 100000, 100001, 1000000, 1000001)
+
+
+@query(
+    f"""SELECT CAST(e AS BIGINT) AS n_edges, CAST(CASE WHEN e < 1000 THEN 6 WHEN e < 5000 THEN 5 WHEN e < 10000 THEN 4 WHEN e > 1000000 THEN 1 WHEN e > 100000 THEN 2 ELSE 3 END AS INTEGER) AS k_size,
+  CAST(CASE WHEN e / 1000.0 > 1.5 THEN 3 ELSE 6 END AS INTEGER) AS k_density,
+  CASE WHEN e < 250 THEN 0.1 WHEN e < 500 THEN 0.2 WHEN e < 10000 THEN 0.4 ELSE 0.8 END AS temp_factor,
+  CASE WHEN e < 500 THEN 0.98 WHEN e < 1500 THEN 0.96 WHEN e < 10000 THEN 0.94 WHEN e < 1000000 THEN 0.92 ELSE 0.9 END AS cooling,
+  CASE WHEN e < 1000 THEN 0.0001 WHEN e < 10000 THEN 0.001 WHEN e < 1000000 THEN 0.01 ELSE 0.1 END AS accuracy
+  FROM (SELECT unnest([{', '.join(map(str, SIZES))}]) AS e)"""
+)
+def adaptation_params(spark, sf_dir):
+    size, density = schedules.SizeDriven(), schedules.DensityDriven()
+    rows = [(e, size.hops(1, 2, 1000, e), density.hops(1, 2, 1000, e), size.temperature(1, 2, 1000, e), size.cooling(1, 2, 1000, e), size.accuracy(1, 2, 1000, e)) for e in SIZES]
+    return spark.createDataFrame(rows, "n_edges bigint, k_size int, k_density int, temp_factor double, cooling double, accuracy double")
+
+
+# --- coarsening --------------------------------------------------------------------------------
+
+SUNS = f"""cand AS (SELECT id FROM v WHERE {uniform_sql('id', 0)} < 0.1),
+  near AS (SELECT e.src AS a, e.dst AS b FROM e UNION SELECT f.src, g.dst FROM e f JOIN e g ON g.src = f.dst WHERE f.src IN (SELECT id FROM cand)),
+  suns AS (SELECT id FROM cand WHERE id NOT IN (SELECT n.a FROM near n WHERE n.a IN (SELECT id FROM cand) AND n.b IN (SELECT id FROM cand) AND n.b > n.a))"""
+SYSTEMS = """planet AS (SELECT e.dst AS id, min(e.src) AS sun FROM e WHERE e.src IN (SELECT id FROM suns) AND e.dst NOT IN (SELECT id FROM suns) GROUP BY e.dst),
+  reach AS (SELECT e.dst AS id, planet.sun, planet.id AS proxy FROM e JOIN planet ON planet.id = e.src WHERE e.dst NOT IN (SELECT id FROM suns) AND e.dst NOT IN (SELECT id FROM planet)),
+  moon AS (SELECT id, arg_min(sun, [sun, proxy]) AS sun, arg_min(proxy, [sun, proxy]) AS proxy FROM reach GROUP BY id),
+  body AS (SELECT id, id AS sun, 0 AS hops, 0 AS w, id AS proxy FROM suns UNION ALL SELECT id, sun, 1, 1, sun FROM planet UNION ALL SELECT id, sun, 2, 2, proxy FROM moon)"""
+ROUTES = """via AS (SELECT id, w FROM body WHERE hops < 2 UNION SELECT r.id, 2 FROM reach r JOIN moon m ON m.id = r.id AND m.sun = r.sun),
+  way AS (SELECT a.sun, b.sun AS nbr, via.w + 1 + b.w AS weight FROM e JOIN body a ON a.id = e.src JOIN body b ON b.id = e.dst JOIN via ON via.id = e.src WHERE a.sun <> b.sun)"""
+
+
+def _round(spark, sf_dir):
+    e = _op(spark, sf_dir)
+    free = vertices_of(e).withColumn("mass", F.lit(2))
+    return e, free, coarsen.candidate_suns(free, 0.1, 0, 42)
+
+
+@query(f"SELECT id FROM (SELECT DISTINCT src AS id FROM {OP}) WHERE {uniform_sql('id', 0)} < 0.1")
+def sun_candidates(spark, sf_dir):
+    return _round(spark, sf_dir)[2].select("id")
+
+
+@query(f"WITH e AS {OP}, {VERTICES}, {SUNS} SELECT id FROM suns")
+def sun_sweep(spark, sf_dir):
+    e, free, cand = _round(spark, sf_dir)
+    return coarsen.sweep(cand, free, e).select("id")
+
+
+def _systems(spark, sf_dir):
+    e, free, cand = _round(spark, sf_dir)
+    bodies, proxies = coarsen.gather(coarsen.sweep(cand, free, e), free, e)
+    return e, free, bodies, proxies
+
+
+@query(f"WITH e AS {OP}, {VERTICES}, {SUNS}, {SYSTEMS} SELECT id, sun, CAST(hops AS INTEGER) AS hops, CAST(w AS INTEGER) AS w_from_sun, proxy FROM body")
+def system_assignment_round(spark, sf_dir):
+    return _systems(spark, sf_dir)[2]
+
+
+@query(f"WITH e AS {OP}, {VERTICES}, {SUNS}, {SYSTEMS}, {ROUTES} SELECT src, dst, CAST(max(weight) AS INTEGER) AS weight FROM (SELECT sun AS src, nbr AS dst, weight FROM way UNION ALL SELECT nbr, sun, weight FROM way) GROUP BY src, dst")
+def coarse_edges(spark, sf_dir):
+    e, _, bodies, proxies = _systems(spark, sf_dir)
+    return coarsen.system_edges(coarsen.routes(e, bodies, proxies))
+
+
+@query(
+    f"""WITH e AS {OP}, {VERTICES}, {SUNS}, {SYSTEMS},
+  hop AS (SELECT id, w, CAST(NULL AS BIGINT) AS proxy FROM body WHERE hops < 2 UNION SELECT r.id, 2, r.proxy FROM reach r JOIN moon m ON m.id = r.id AND m.sun = r.sun),
+  way AS (SELECT a.sun, b.sun AS nbr, e.src AS body, hop.w, hop.proxy FROM e JOIN body a ON a.id = e.src JOIN body b ON b.id = e.dst JOIN hop ON hop.id = e.src WHERE a.sun <> b.sun)
+  SELECT sun, body, nbr AS nbr_sun, CAST(w AS INTEGER) AS position FROM way WHERE body <> sun UNION SELECT sun, proxy, nbr, CAST(1 AS INTEGER) FROM way WHERE proxy IS NOT NULL"""
+)
+def coarse_paths(spark, sf_dir):
+    e, _, bodies, proxies = _systems(spark, sf_dir)
+    return coarsen.system_paths(coarsen.routes(e, bodies, proxies), bodies)
+
+
+@query(f"WITH e AS {OP}, {VERTICES}, {SUNS}, {SYSTEMS} SELECT sun AS id, CAST(0 AS BIGINT) AS component, CAST(2 * count(*) AS INTEGER) AS lower_weight FROM body GROUP BY sun")
+def coarse_vertices(spark, sf_dir):
+    _, free, bodies, _ = _systems(spark, sf_dir)
+    return coarsen.next_layer(free.select("id", F.lit(0).cast("bigint").alias("component"), F.lit(1).alias("lower_weight")), bodies)
+
+
+@query(
+    f"""WITH e AS {OP}, {VERTICES}, {SUNS}, {SYSTEMS}
+  SELECT id, CASE hops WHEN 0 THEN 'SUN' WHEN 1 THEN 'PLANET' WHEN 2 THEN 'MOON' ELSE 'ASTEROID' END AS body, coalesce(sun, -1) AS sun FROM v LEFT JOIN body USING (id)"""
+)
+def debug_bodies(spark, sf_dir):
+    _, free, bodies, _ = _systems(spark, sf_dir)
+    all_ = free.select("id").join(bodies.select("id", "sun", "hops"), "id", "left")
+    return all_.select("id", text.body_name(F.col("hops")).alias("body"), F.coalesce("sun", F.lit(-1)).alias("sun"))
+
+
+@query()
+def coarsen_all(spark, sf_dir):
+    v, e = _placed_conversation(spark, sf_dir)
+    return coarsen.layer_table(coarsen.coarsen(v, e), spark)
+
+
+@query(f"SELECT id, {r4(uniform_sql('id', 101) + ' * 1200.0')} AS x, {r4(uniform_sql('id', 102) + ' * 1200.0')} AS y FROM (SELECT DISTINCT src AS id FROM {OP})")
+def random_placement(spark, sf_dir):
+    v = vertices_of(_op(spark, sf_dir))
+    return rounded(coarsest_places(coarsen.Layer(0, v, v)))
+
+
+@query()
+def placed_layer(spark, sf_dir):
+    v, e = _placed_conversation(spark, sf_dir)
+    layers = coarsen.coarsen(v, e)
+    places = coarsest_places(layers[-1])
+    for layer in reversed(layers[:-1]):
+        places = place_bodies(layer, places, layers[layer.number + 1].edges, IDEAL)
+    return rounded(places.select("id", "component", "x", "y"))
+
+
+# --- leaves and packing ------------------------------------------------------------------------
+
+HUBS = f"""WITH e AS {OP}, {VERTICES}, {LEAVES}, p AS (SELECT id, {X} AS x, {Y} AS y FROM v),
+  hub AS (SELECT DISTINCT hub AS id FROM leaf), s AS (SELECT src, dst FROM e WHERE src NOT IN (SELECT leaf FROM leaf) AND dst NOT IN (SELECT leaf FROM leaf)),
+  ray0 AS (SELECT a.id, b.id AS nbr, b.x - a.x AS dx, b.y - a.y AS dy FROM s JOIN hub ON hub.id = s.src JOIN p a ON a.id = s.src JOIN p b ON b.id = s.dst),
+  ray AS (SELECT id, nbr, dx, dy, sqrt(dx * dx + dy * dy) AS dist, CASE WHEN atan2(dy, dx) < 0 THEN atan2(dy, dx) + {TWO_PI} ELSE atan2(dy, dx) END AS angle FROM ray0),
+  gap AS (SELECT id, angle AS start, coalesce(lead(angle) OVER (PARTITION BY id ORDER BY angle, nbr), min(angle) OVER (PARTITION BY id) + {TWO_PI}) - angle AS gap FROM ray),
+  rad AS (SELECT hub.id, 0.2 * coalesce(min(dist), {IDEAL}) AS r, count(nbr) AS degree FROM hub LEFT JOIN ray USING (id) GROUP BY hub.id),
+  lf AS (SELECT hub AS id, leaf, row_number() OVER (PARTITION BY hub ORDER BY leaf) - 1 AS nth, count(*) OVER (PARTITION BY hub) AS n FROM leaf)"""
+
+
+def _hub_state(spark, sf_dir):
+    e = _op(spark, sf_dir)
+    pruned = prune_leaves(random_places(vertices_of(e)).withColumn("component", F.lit(0).cast("bigint")), e)
+    return pruned.vertices, pruned.edges, pruned.hubs
+
+
+def _leaf_query(strategy: str):
+    def run(spark, sf_dir):
+        return rounded(reintegrate.place_leaves(*_hub_state(spark, sf_dir), strategy).select("id", "hub", "x", "y"))
+
+    run.__name__ = f"{strategy}_reintegration"
+    return run
+
+
+def _leaf_sql(sector: str) -> str:
+    """Leaves spread over one sector (id, start, width) of each hub."""
+    angle = "start + width / n / 2 + nth * width / n"
+    return f"{HUBS}, sec AS ({sector}) SELECT leaf AS id, lf.id AS hub, {r4(f'x + cos({angle}) * r')} AS x, {r4(f'y + sin({angle}) * r')} AS y FROM lf JOIN sec USING (id) JOIN rad USING (id) JOIN p ON p.id = lf.id"
+
+
+PAD = 0.03490658503988659
+query(_leaf_sql(f"SELECT id, 0.0 AS start, {TWO_PI} AS width FROM hub"))(_leaf_query("radial"))
+query(
+    _leaf_sql("SELECT hub.id, coalesce(atan2(sum(-dy / (dist * dist)), sum(-dx / (dist * dist))), 0.0) - 0.7853981633974483 AS start, 1.5707963267948966 AS width FROM hub LEFT JOIN ray USING (id) GROUP BY hub.id")
+)(_leaf_query("cone"))
+query(
+    _leaf_sql(
+        f"""SELECT rad.id, CASE WHEN degree = 0 THEN 0.0 WHEN degree = 1 THEN g.start WHEN g.gap > {2 * PAD} THEN g.start + {PAD} ELSE 0.0 END AS start,
+  CASE WHEN degree > 1 AND g.gap > {2 * PAD} THEN g.gap - {2 * PAD} ELSE {TWO_PI} END AS width
+  FROM rad LEFT JOIN (SELECT id, arg_max(start, [gap, -start]) AS start, max(gap) AS gap FROM gap GROUP BY id) g USING (id)"""
+    )
+)(_leaf_query("max_slope"))
+query()(_leaf_query("fair_share"))
+
+
+@query(f"{HUBS} SELECT id, {r4('start')} AS start, {r4('gap')} AS gap FROM gap")
+def slopes_and_gaps(spark, sf_dir):
+    return rounded(reintegrate.gaps(reintegrate.hub_rays(*_hub_state(spark, sf_dir))))
+
+
+PACKED = f"""b AS (SELECT component, min(x) AS min_x, min(y) AS min_y, max(x) - min(x) AS w, max(y) - min(y) AS h, count(*) AS n FROM p GROUP BY component),
+  k AS (SELECT *, row_number() OVER (ORDER BY n DESC, component DESC) - 1 AS rank, greatest(1, ceil(sqrt((SELECT count(*) FROM b) - 1))) AS cols, max(n) OVER () AS top FROM b),
+  z AS (SELECT *, greatest(n / CAST(top AS DOUBLE), 0.2) AS ratio, floor((rank - 1) / cols) AS row FROM k),
+  t AS (SELECT row, sum(max(h * ratio) + 20.0) OVER (ORDER BY row) - (max(h * ratio) + 20.0) AS cur_y FROM z WHERE rank > 0 GROUP BY row),
+  q AS (SELECT component, min_x, min_y, ratio, (SELECT w FROM z WHERE rank = 0) + 20.0 + sum(w * ratio + 20.0) OVER (PARTITION BY z.row ORDER BY rank) - (w * ratio + 20.0) AS cur_x, cur_y
+    FROM z JOIN t ON t.row = z.row WHERE rank > 0 UNION ALL SELECT component, min_x, min_y, 1.0, 0.0, 0.0 FROM z WHERE rank = 0)"""
+
+
+def _packing(spark, sf_dir):
+    v, _ = _placed_conversation(spark, sf_dir)
+    return v, pack.pack_components(aggregates.boxes_and_sizes(v))
+
+
+@query(f"{PLACED}, {PACKED} SELECT component, {r4('-min_x')} AS off_x, {r4('-min_y')} AS off_y, {r4('ratio')} AS ratio, {r4('cur_x')} AS cur_x, {r4('cur_y')} AS cur_y FROM q")
+def pack_grid(spark, sf_dir):
+    return rounded(_packing(spark, sf_dir)[1])
+
+
+@query(f"{PLACED}, {PACKED} SELECT id, component, {r4('(x - min_x) * ratio + cur_x')} AS x, {r4('(y - min_y) * ratio + cur_y')} AS y FROM p JOIN q USING (component)")
+def pack_apply(spark, sf_dir):
+    v, packing = _packing(spark, sf_dir)
+    return rounded(pack.apply_packing(v, packing))
+
+
+@query(f"{PLACED}, b AS (SELECT component, count(*) AS n FROM p GROUP BY component) SELECT component, n, row_number() OVER (ORDER BY n DESC, component DESC) - 1 AS rank FROM b")
+def component_rank(spark, sf_dir):
+    v, _ = _placed_conversation(spark, sf_dir)
+    return pack.numbered(aggregates.boxes_and_sizes(v).select("component", "n"), F.desc("n"), F.desc("component"))
+
+
+ANGULAR = f"""r0 AS (SELECT e.src, e.dst, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, CASE WHEN atan2(b.y - a.y, b.x - a.x) < 0 THEN atan2(b.y - a.y, b.x - a.x) + {TWO_PI} ELSE atan2(b.y - a.y, b.x - a.x) END AS angle
+    FROM e JOIN p a ON a.id = e.src JOIN p b ON b.id = e.dst),
+  r1 AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY angle, dst) - 1 AS nth, count(*) OVER (PARTITION BY src) AS n, min(angle) OVER (PARTITION BY src) AS first FROM r0),
+  r2 AS (SELECT *, first + {TWO_PI} / n * (CASE WHEN nth = 0 THEN n ELSE nth END) AS target FROM r1 WHERE n > 2),
+  sug AS (SELECT src, dst, x1 + {IDEAL} * cos(target) - x2 AS dx, y1 + {IDEAL} * sin(target) - y2 AS dy FROM r2)"""
+
+
+@query(f"{OP_PLACED}, {ANGULAR} SELECT src, dst, {r4('dx')} AS dx, {r4('dy')} AS dy FROM sug")
+def angular_suggestions(spark, sf_dir):
+    v, e, _ = _op_state(spark, sf_dir)
+    return rounded(angular.angular_suggestions(v, e, IDEAL).select("src", "dst", "dx", "dy"))
+
+
+@query(f"{OP_PLACED}, {ANGULAR} SELECT id, {r4('any_value(x) + coalesce(avg(dx), 0.0)')} AS x, {r4('any_value(y) + coalesce(avg(dy), 0.0)')} AS y FROM p LEFT JOIN sug ON sug.dst = p.id GROUP BY id")
+def average_update(spark, sf_dir):
+    v, e, _ = _op_state(spark, sf_dir)
+    return rounded(angular.maximise_angles(v, e, IDEAL).select("id", "x", "y"))
+
+
+# --- text and whole jobs -----------------------------------------------------------------------
+
+
+@query(f"""WITH e AS {OP}, {VERTICES}, {LEAVES} SELECT id, component, part, {r4('x')} AS x, {r4('y')} AS y, leaves, degree FROM (
+  SELECT v.id, CAST(7 AS BIGINT) AS component, CAST(v.id % 5 AS INTEGER) AS part, {uniform_sql('v.id', 701)} * 1200.0 AS x, {uniform_sql('v.id', 702)} * 1200.0 AS y,
+    (SELECT count(*) FROM leaf WHERE hub = v.id) AS leaves, (SELECT count(*) FROM e WHERE src = v.id AND dst NOT IN (SELECT leaf FROM leaf)) AS degree
+  FROM v WHERE v.id NOT IN (SELECT leaf FROM leaf))""")
+def json_roundtrip(spark, sf_dir):
+    e = _op(spark, sf_dir)
+    pruned = prune_leaves(vertices_of(e), e)
+    v = with_leaves(pruned.vertices, pruned).withColumns({"component": F.lit(7).cast("bigint"), "part": (F.col("id") % 5).cast("int")})
+    back, links = text.read_layout_input(text.partition_lines(v, pruned.edges))
+    joined = back.join(degrees(links), "id", "left")
+    return rounded(joined.select("id", "component", "part", "x", "y", F.size("one_edges").cast("bigint").alias("leaves"), F.coalesce("degree", F.lit(0)).alias("degree")))
+
+
+SMALL = {"spinner.numberOfPartitions": 4, "spinner.maxIterations": 4, "layout.limit": 6}
+
+
+def _prepared(spark, sf_dir):
+    e = load_graph(spark, sf_dir, "conversation")
+    config = Config(SMALL)
+    return jobs.preprocess(vertices_of(e), e, config), config
+
+
+@query()
+def preprocess_job(spark, sf_dir):
+    return _prepared(spark, sf_dir)[0].vertices.select("id", "component", "part", F.size("one_edges").alias("leaves"))
+
+
+@query()
+def layout_single(spark, sf_dir):
+    graph, config = _prepared(spark, sf_dir)
+    return rounded(jobs.layout_single(graph, config).vertices)
+
+
+@query()
+def layout_multilevel(spark, sf_dir):
+    graph, config = _prepared(spark, sf_dir)
+    return rounded(jobs.layout_multilevel(graph, config).vertices)
+
+
