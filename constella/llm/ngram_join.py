@@ -215,37 +215,44 @@ class _Join:
         sums = by.agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
         return int(sums.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0.0))).first()[0])
 
+    def _rows(self) -> DataFrame:
+        """Entries of the groups that hold several labels, with their label and the histogram of their set."""
+        rows = self.labelled()
+        mixed = rows.groupBy("token", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token", "part")
+        return rows.join(mixed, ["token", "part"], "left_semi").join(self.classes.select("key", "hist"), "key")
+
     def _allowed(self) -> Column:
-        """Length and positional filters on one shared prefix shingle."""
+        """Length and positional filters on one shared prefix shingle, then the suffix filter on whole histograms.
+
+        Bins are kept modulo 256; the distance around that circle is a lower bound of the true one.
+        """
         n, m = F.col("n"), F.col("hn")
+        needed = _overlap_needed(n, m, self.percent)
         most = F.least(n - F.col("pos"), m - F.col("hpos"))
-        return (F.col("label") != F.col("hlabel")) & _long_enough(n, m, self.percent) & (most >= _overlap_needed(n, m, self.percent))
+        near = F.aggregate(
+            F.zip_with("hist", "hhist", lambda x, y: F.least((x - y).bitwiseAND(F.lit(255)), (y - x).bitwiseAND(F.lit(255)))), F.lit(0), lambda s, x: s + x
+        )
+        return (F.col("label") != F.col("hlabel")) & _long_enough(n, m, self.percent) & (most >= needed) & (near <= n + m - 2 * needed)
 
     def hub_pairs(self, number: int) -> DataFrame:
-        rows = self.labelled()
-        hub = F.min(F.struct(F.xxhash64(F.lit(number), "key").alias("h"), F.col("key").alias("hkey"), F.col("n").alias("hn"), F.col("pos").alias("hpos"), F.col("label").alias("hlabel")))
-        hubs = rows.groupBy("token", "part").agg(hub.alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token", "part", "hub.*")
+        rows = self._rows()
+        cells = [F.xxhash64(F.lit(number), "key").alias("h"), *[F.col(c).alias("h" + c) for c in ("key", "n", "pos", "label", "hist")]]
+        hubs = rows.groupBy("token", "part").agg(F.min(F.struct(*cells)).alias("hub")).select("token", "part", "hub.*")
         return rows.join(hubs, ["token", "part"]).where(self._allowed()).select("key", F.col("hkey").alias("to"))
 
     def all_pairs(self) -> DataFrame:
-        rows = self.labelled()
-        mixed = rows.groupBy("token", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token", "part")
-        rows = rows.join(mixed, ["token", "part"], "left_semi")
-        other = rows.select("token", "part", *[F.col(c).alias("h" + c) for c in ("key", "n", "pos", "label")])
+        rows = common.cut(self._rows(), "mixed")
+        other = rows.select("token", "part", *[F.col(c).alias("h" + c) for c in ("key", "n", "pos", "label", "hist")])
         joined = rows.join(other, ["token", "part"]).where((F.col("key") < F.col("hkey")) & self._allowed())
         return joined.select("key", F.col("hkey").alias("to"))
 
     def verify(self, pairs: DataFrame) -> bool:
         """Verify pairs that weren't tested before, once each, and keep their links. False when there was none."""
-        percent, facts = self.percent, self.classes.select("key", "n", "hist")
+        percent = self.percent
         pairs = pairs.groupBy(F.least("key", "to").alias("a"), F.greatest("key", "to").alias("b")).agg(F.min("to").alias("to"))
         if self.tested is not None:
             pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        both = pairs.join(facts.select(F.col("key").alias("a"), F.col("n").alias("n"), F.col("hist").alias("g")), "a").join(
-            facts.select(F.col("key").alias("b"), F.col("n").alias("m"), F.col("hist").alias("h")), "b"
-        )
-        shared = F.aggregate(F.zip_with("g", "h", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-        likely = both.where(shared >= _overlap_needed(F.col("n"), F.col("m"), percent)).select("a", "b", "to", F.when(F.col("a") == F.col("to"), F.col("b")).otherwise(F.col("a")).alias("key"))
+        likely = pairs.select("a", "b", "to", F.when(F.col("a") == F.col("to"), F.col("b")).otherwise(F.col("a")).alias("key"))
         likely = common.cut(likely, "pairs")
         # A hub with many members is repeated, once for every HUB_MEMBERS of them, so that no task gets them all.
         hot = likely.groupBy("to").agg(F.ceil(F.count("*") / HUB_MEMBERS).cast("int").alias("parts")).where("parts > 1")
@@ -293,7 +300,7 @@ def ngram_join(df: DataFrame, id_col: str, text_col: str, width: int = 5, percen
     facts = facts.where("n is not null").select("doc_id", "n", "key", "hist")
     filled = facts.where("n > 0")
     classes = filled.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("hist").alias("hist"))
-    classes = common.cut(classes, "classes")
+    classes = common.cut(classes.withColumn("hist", F.transform("hist", lambda x: (x % 256).cast("short"))), "classes")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tables = []
 
