@@ -15,6 +15,8 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from constella.llm import common
 
 #: Ids between two checkpoints, the longest code word in bits, and words that a task keeps with their ids.
-BLOCK, LONGEST, CACHE = 256, 16, 400_000
+BLOCK, LONGEST, CACHE = 256, 16, 250_000
 
 #: Fixed value: how byte-level BPE of this kind splits a text (see the tokenizer's own file).
 PIECES = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -39,8 +41,15 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: White space next to a space: there a word isn't a run of pieces by itself.
+_MIXED = re.compile("\\s | \\s")
+
+
 class PieceEncoder:
-    """Ids of whole texts. The pieces between which no merge can happen are encoded once and kept."""
+    """Ids of whole texts. Words with the space before them, between which no merge can happen, are encoded once and kept.
+
+    Where white space adjoins a space the pieces of the tokenizer's own pattern are used instead of words.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -51,29 +60,37 @@ class PieceEncoder:
         self.known: dict[str, bytes] = {}
 
     def _learn(self, pieces: list[str]) -> None:
-        coded = self.tokenizer.encode_batch(pieces, add_special_tokens=False)
-        for piece, x in zip(pieces, coded, strict=True):
-            self.known[piece] = np.array(x.ids, dtype="<u2").tobytes()
+        coded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        self.known.update((piece, np.array(x.ids, dtype="<u2").tobytes()) for piece, x in zip(pieces, coded, strict=True))
+
+    def _units(self, text: str) -> list[str] | None:
+        """Parts of a text that are encoded alone, or nothing for a text that has to be encoded as a whole."""
+        if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
+            return None
+        if _MIXED.search(text):
+            return self.split.findall(text)
+        words = text.replace(" ", "\0 ").split("\0")
+        return words if words[0] else words[1:]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 16-bit numbers."""
-        out: list[bytes | None] = [None] * len(texts)
-        pieces: dict[int, list[str]] = {}
-        for i, text in enumerate(texts):
-            if PLAIN.fullmatch(text) and not any(s in text for s in self.special):
-                pieces[i] = self.split.findall(text)
-            else:
-                out[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u2").tobytes()
-        new = set().union(*pieces.values()).difference(self.known)
-        if len(self.known) + len(new) > CACHE:
-            self.known = {}
-            new = set().union(*pieces.values())
+        units = [self._units(t) for t in texts]
+        wanted = set().union(*(u for u in units if u is not None))
+        if len(self.known) > CACHE:
+            # Words kept first are the frequent ones; the later half makes room.
+            self.known = dict(islice(self.known.items(), CACHE // 2))
+        new = wanted.difference(self.known)
         if new:
             self._learn(list(new))
         get = self.known.__getitem__
-        for i, p in pieces.items():
-            out[i] = b"".join(map(get, p))
-        return out
+        whole = lambda t: np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u2").tobytes()
+        return [whole(t) if u is None else b"".join(map(get, u)) for t, u in zip(texts, units, strict=True)]
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> PieceEncoder:
+    """One encoder for all tasks of a worker, so that its words are learned once."""
+    return PieceEncoder(path)
 
 
 # --- the code ----------------------------------------------------------------------------------
@@ -213,11 +230,10 @@ def tokenise(source: DataFrame, make: Callable[[], PieceEncoder], end_id: int, n
                 while end < len(texts) and size + len(texts[end]) < common.CHUNK_BYTES:
                     size += len(texts[end])
                     end += 1
-                for ids in encoder.encode(texts[at:end]):
-                    ids += last
-                    counts += np.bincount(np.frombuffer(ids, "<u2"), minlength=n_symbols)
-                    planes.append(_planes(ids))
-                    n.append(len(ids) // 2)
+                rows = [ids + last for ids in encoder.encode(texts[at:end])]
+                counts += np.bincount(np.frombuffer(b"".join(rows), "<u2"), minlength=n_symbols)
+                planes += [_planes(ids) for ids in rows]
+                n += [len(ids) // 2 for ids in rows]
                 at = end
             out = pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(planes, pa.binary()), pa.nulls(len(n), pa.binary())], names=["doc_id", "n", "planes", "counts"]
@@ -262,7 +278,7 @@ def write_ids(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     if n_symbols > 65536:
         raise ValueError("ids of more than 16 bits aren't stored")
     source = common.pick(df, doc_id=id_col, text=text_col).withColumn("text", F.col("text").cast("string"))
-    written = common.cut(tokenise(source, lambda: PieceEncoder(tokenizer), end_id, n_symbols), "ids")
+    written = common.cut(tokenise(source, lambda: _encoder(tokenizer), end_id, n_symbols), "ids")
     lengths = code_lengths(id_counts(written, n_symbols))
     codes = canonical_codes(lengths)
     spark.createDataFrame([(bytes(lengths),)], "lengths binary").coalesce(1).write.parquet(f"{path}/code")
