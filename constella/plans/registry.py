@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from constella.functions import geometry as G
 from constella.functions import schedules
 from constella.functions.portable import uniform_sql
+from constella.iterate import cut
 from constella.operators import aggregates, angular, coarsen, layout, pack, partition, reintegrate
 from constella.operators.ball import k_hop_ball
 from constella.operators.components import connected_components
@@ -367,8 +368,9 @@ def sun_sweep(spark, sf_dir):
 
 def _systems(spark, sf_dir):
     e, free, cand = _round(spark, sf_dir)
-    bodies, proxies = coarsen.gather(coarsen.sweep(cand, free, e), free, e)
-    return e, free, bodies, proxies
+    e, free = cut(e, "edges"), cut(free, "free")
+    bodies, proxies = coarsen.gather(cut(coarsen.sweep(cand, free, e), "suns"), free, e)
+    return e, free, cut(bodies, "bodies"), cut(proxies, "proxies")
 
 
 @query(f"WITH e AS {OP}, {VERTICES}, {SUNS}, {SYSTEMS} SELECT id, sun, CAST(hops AS INTEGER) AS hops, CAST(w AS INTEGER) AS w_from_sun, proxy FROM body")
