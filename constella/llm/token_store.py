@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from constella.llm import common
 
 #: Ids between two checkpoints, the longest code word in bits, and words that a task keeps with their ids.
-BLOCK, LONGEST, CACHE = 256, 16, 250_000
+BLOCK, LONGEST, CACHE = 256, 16, 600_000
 
 #: Fixed value: how byte-level BPE of this kind splits a text (see the tokenizer's own file).
 PIECES = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -58,10 +58,27 @@ class PieceEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.split = regex.compile(PIECES)
         self.known: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        coded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        self.known.update((piece, np.array(x.ids, dtype="<u2").tobytes()) for piece, x in zip(pieces, coded, strict=True))
+        self.pieces: dict[str, bytes] = {}
+
+    def _learn(self, words: list[str]) -> None:
+        """Encode new words by their pieces; pieces that are a space and letters go to the tokenizer as one text."""
+        cut_up = [self.split.findall(w) for w in words]
+        new = list(set().union(*cut_up).difference(self.pieces))
+        plain = [p for p in new if p[0] == " " and p[1:].isalpha()]
+        if plain:
+            coded = self.tokenizer.encode("".join(plain), add_special_tokens=False)
+            ids, owner = np.array(coded.ids, dtype="<u2"), np.array(coded.word_ids)
+            ends = np.flatnonzero(np.diff(owner, append=-1)) + 1
+            if len(ends) == len(plain):
+                data, at = ids.tobytes(), 0
+                for piece, end in zip(plain, (2 * ends).tolist(), strict=True):
+                    self.pieces[piece] = data[at:end]
+                    at = end
+        left = [p for p in new if p not in self.pieces]
+        for piece, x in zip(left, self.tokenizer.encode_batch_fast(left, add_special_tokens=False), strict=True):
+            self.pieces[piece] = np.array(x.ids, dtype="<u2").tobytes()
+        get = self.pieces.__getitem__
+        self.known.update((w, b"".join(map(get, c))) for w, c in zip(words, cut_up, strict=True))
 
     def _units(self, text: str) -> list[str] | None:
         """Parts of a text that are encoded alone, or nothing for a text that has to be encoded as a whole."""
@@ -79,6 +96,8 @@ class PieceEncoder:
         if len(self.known) > CACHE:
             # Words kept first are the frequent ones; the later half makes room.
             self.known = dict(islice(self.known.items(), CACHE // 2))
+        if len(self.pieces) > CACHE:
+            self.pieces = dict(islice(self.pieces.items(), CACHE // 2))
         new = wanted.difference(self.known)
         if new:
             self._learn(list(new))
