@@ -171,12 +171,12 @@ def _partition_state(spark, sf_dir):
 SP = edges_sql("supplier_part")
 
 
-@query(f"WITH e AS {SP}, {VERTICES}, {LABELS}, {SCORES}, {BEST} SELECT id, part, {r4('max(h_now)')} AS h_now, {r4('max(h)')} AS h_best FROM best JOIN sc USING (id, part) GROUP BY id, part")
+@query(f"WITH e AS {SP}, {VERTICES}, {LABELS}, {SCORES}, {BEST} SELECT id, part, round(max(h_now), 9) + 0.0 AS h_now, round(max(h), 9) + 0.0 AS h_best FROM best JOIN sc USING (id, part) GROUP BY id, part")
 def partition_score(spark, sf_dir):
     e, o, labels, _, load, cap = _partition_state(spark, sf_dir)
     own = F.col("label") == F.col("part")
     scored = partition.scores(labels, e, load, cap, o).groupBy("id", "part")
-    return rounded(scored.agg(F.max(F.when(own, F.col("h"))).alias("h_now"), F.max("h").alias("h_best")))
+    return rounded(scored.agg(F.max(F.when(own, F.col("h"))).alias("h_now"), F.max("h").alias("h_best")), 9)
 
 
 @query(f"WITH e AS {SP}, {VERTICES}, {LABELS} SELECT part, CAST(load AS BIGINT) AS load FROM ld")
