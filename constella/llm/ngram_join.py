@@ -191,6 +191,11 @@ def _overlap_needed(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(((n + m) * percent).cast("bigint") / F.lit(100 + percent))
 
 
+def _around(difference: Column) -> Column:
+    """Distance on the circle of 256."""
+    return F.least(difference.bitwiseAND(F.lit(255)), (-difference).bitwiseAND(F.lit(255)))
+
+
 class _Join:
     """One run of the join: its written tables, tested pairs and links so far.
 
@@ -230,7 +235,7 @@ class _Join:
         needed = _overlap_needed(n, m, self.percent)
         most = F.least(n - F.col("pos"), m - F.col("hpos"))
         near = F.aggregate(
-            F.zip_with("hist", "hhist", lambda x, y: F.least((x - y).bitwiseAND(F.lit(255)), (y - x).bitwiseAND(F.lit(255)))), F.lit(0), lambda s, x: s + x
+            F.zip_with("hist", "hhist", lambda x, y: _around(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x
         )
         return (F.col("label") != F.col("hlabel")) & _long_enough(n, m, self.percent) & (most >= needed) & (near <= n + m - 2 * needed)
 
@@ -300,10 +305,17 @@ def ngram_join(df: DataFrame, id_col: str, text_col: str, width: int = 5, percen
     facts = facts.where("n is not null").select("doc_id", "n", "key", "hist")
     filled = facts.where("n > 0")
     classes = filled.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("hist").alias("hist"))
-    classes = common.cut(classes.withColumn("hist", F.transform("hist", lambda x: (x % 256).cast("short"))), "classes")
+    classes = common.cut(classes.withColumn("hist", F.transform("hist", lambda x: (x % 256 - 128).cast("byte"))), "classes")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     tables = []
 
+    def unbucket() -> None:
+        while tables:
+            name, path = tables.pop()
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+            common.drop_path(spark, path)
+        common.release(spark)
+
     def bucketed(df: DataFrame, by: str, once: bool = False) -> DataFrame:
         """Written once in buckets, so that grouping and joining by the key need no further exchange."""
         name, path = f"t_{uuid.uuid4().hex}", common.new_path(spark, "buckets")
@@ -317,16 +329,21 @@ def ngram_join(df: DataFrame, id_col: str, text_col: str, width: int = 5, percen
     lengths = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
     shared = entries.join(several, "token", "left_semi").distinct().withColumn("part", F.explode(F.array(lengths, lengths + 1)))
     shared = common.cut(shared, "shared")
+    unbucket()
     grouped = shared.groupBy("token", "part").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("token", "part")
-    shared = common.cut(shared.join(grouped, ["token", "part"], "left_semi"), "groups")
+    several_groups = common.cut(shared.join(grouped, ["token", "part"], "left_semi"), "groups")
+    common.drop(shared)
+    shared = several_groups
     keep = candidate_filter(shared.select("key").distinct())
     sets = bucketed(candidate_sets(source, width, keep), "key", once=True)
+    common.release(spark)
     join = _Join(shared, classes, sets, percent)
     most = 2 * shared.count()
     for number in range(ROUNDS):
         if join.left() <= most or not join.verify(join.hub_pairs(number)):
             break
         join.relabel()
+        common.release(spark)
     join.verify(join.all_pairs())
     if join.links is None:
         groups = classes.select("key", "class_id", F.col("class_id").alias("component_id"))
@@ -337,9 +354,7 @@ def ngram_join(df: DataFrame, id_col: str, text_col: str, width: int = 5, percen
     out = filled.join(common.cut(groups, "groups"), "key").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "class_id", "component_id")
     alone = facts.where("n = 0").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     out = common.cut(out.unionByName(alone), "joined")
-    for name, path in tables:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-        common.drop_path(spark, path)
+    unbucket()
     return out
 
 
