@@ -8,31 +8,28 @@ from pyspark.sql import functions as F
 from constella.iterate import cut
 
 
-def expected_rows(edges: DataFrame) -> int:
-    """Pairs that two hops reach at most: the sum of squared degrees."""
-    squares = edges.groupBy("src").agg((F.count("*") * F.count("*")).alias("q"))
-    return int(squares.agg(F.coalesce(F.sum("q"), F.lit(0))).first()[0])
+#: Links of one vertex that one task extends a frontier by; a vertex with more is split.
+BLOCK_LINKS = 2048
 
 
-def k_hop_ball(edges: DataFrame, k: int, cut_steps: bool = True) -> DataFrame:
-    """``dst, src, hop`` with hop from 1 to k; a vertex isn't in its own ball.
+def k_hop_ball(edges: DataFrame, k: int, cut_steps: bool = True, block_links: int = BLOCK_LINKS) -> DataFrame:
+    """``dst, src, hop`` with hop from 1 to k, for any degrees; a vertex isn't in its own ball.
 
-    Each step extends the frontier of the last hop only, keyed by the vertex that it is at.
+    Each step extends the frontier of the last hop only, keyed by the vertex that it is at and a block of that vertex's links,
+    so that the pairs through a hub are made by as many tasks as it has blocks.
     """
     links = edges.select("src", "dst").distinct()
+    blocks = links.groupBy(F.col("dst").alias("at")).agg(F.ceil(F.count("*") / F.lit(block_links)).cast("int").alias("n"))
+    outward = links.select(F.col("dst").alias("at"), F.col("src").alias("new")).join(blocks, "at")
+    outward = outward.select("at", "new", F.pmod(F.xxhash64("new"), F.col("n")).cast("int").alias("block"))
+    hubs = blocks.where("n > 1")
     ball = links.select("dst", "src", F.lit(1).alias("hop"))
     frontier = ball
     for hop in range(2, k + 1):
-        step = frontier.select("dst", F.col("src").alias("at")).join(links.select(F.col("dst").alias("at"), F.col("src").alias("new")), "at")
+        step = frontier.select("dst", F.col("src").alias("at")).join(hubs, "at", "left")
+        step = step.select("dst", "at", F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1)).alias("block")).join(outward, ["at", "block"])
         step = step.where("new <> dst").select("dst", F.col("new").alias("src")).distinct()
         frontier = step.join(ball.select("dst", "src"), ["dst", "src"], "left_anti").withColumn("hop", F.lit(hop))
         frontier = cut(frontier, "ball") if cut_steps else frontier
         ball = ball.unionByName(frontier)
     return ball
-
-
-def bounded_ball(edges: DataFrame, k: int, most_rows: int | None = None) -> tuple[DataFrame, int]:
-    """The ball of k hops, or of one hop where two could exceed ``most_rows`` pairs; and the hops used."""
-    if k > 1 and most_rows is not None and expected_rows(edges) > most_rows:
-        k = 1
-    return k_hop_ball(edges, k), k

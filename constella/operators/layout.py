@@ -12,8 +12,8 @@ from constella.functions import geometry as G
 from constella.functions.forces import force_model
 from constella.functions.schedules import LinearCooling
 from constella.iterate import cut, drop
+from constella.operators import ball as balls
 from constella.operators.aggregates import boxes_and_sizes
-from constella.operators.ball import bounded_ball
 from constella.operators.graph import degrees
 
 
@@ -34,7 +34,6 @@ class LayoutOptions:
     force_options: str = ""
     ideal: float = field(default_factory=G.ideal_edge)
     strict: bool = False
-    most_ball_rows: int | None = 200_000_000
 
 
 def frames(boxes: DataFrame, ideal: float, temp_factor: float, max_weight: int = 1) -> DataFrame:
@@ -113,8 +112,7 @@ def layout_layer(vertices: DataFrame, edges: DataFrame, options: LayoutOptions,
     """
     state = cut(frames(boxes_and_sizes(vertices), options.ideal, options.temp_factor, max_weight), "frames")
     current = cut(scale_drawing(vertices, state) if rescale else vertices, "places")
-    pairs, hops = bounded_ball(edges, options.k, options.most_ball_rows)
-    ball = cut(pairs.repartition("dst"), "ball")
+    ball = cut(balls.k_hop_ball(edges, options.k).repartition("dst", "src"), "ball")
     links = cut(edges.select("src", "dst", "weight"), "links")
     degree = cut(degrees(edges), "degree")
     total = current.count()
@@ -131,7 +129,7 @@ def layout_layer(vertices: DataFrame, edges: DataFrame, options: LayoutOptions,
         temperature = cooling.cool(temperature)
         current = current.select(*columns)
         current._constella_path = moved._constella_path
-    return LayoutResult(current.select(*columns), done, hops)
+    return LayoutResult(current.select(*columns), done, options.k)
 
 
 def window_converged(states: deque, new: float, threshold: float) -> bool:

@@ -48,6 +48,40 @@ def test_ball_on_a_path(spark):
     assert k_hop_ball(e, 6).count() == 42
 
 
+def test_a_hub_keeps_the_hops_of_its_layer(spark, monkeypatch):
+    # The sum of squared degrees, 14,200² and more, is above 200 million.
+    asked = []
+
+    def stop(edges, k, *_, **__):
+        asked.append(k)
+        raise StopIteration
+
+    monkeypatch.setattr("constella.operators.ball.k_hop_ball", stop)
+    e = symmetrise(spark.range(1, 14_201).select(F.lit(0).cast("bigint").alias("src"), F.col("id").alias("dst")))
+    v = vertices_of(e).select("id", F.lit(0).cast("bigint").alias("component"), (F.col("id") % 97).cast("double").alias("x"), (F.col("id") % 89).cast("double").alias("y"))
+    with pytest.raises(StopIteration):
+        layout.layout_layer(v, e, layout.LayoutOptions(k=3))
+    assert asked == [3]
+
+
+def test_ball_through_split_hubs(spark):
+    # Two hubs with a common neighbour, each split into blocks of three links.
+    pairs = [(0, i) for i in range(1, 12)] + [(100, i) for i in range(11, 30)] + [(29, 40), (40, 41)]
+    near: dict = {}
+    for a, b in pairs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = set()
+    for v in near:
+        reached, edge = {v}, {v}
+        for hop in range(1, 5):
+            edge = set().union(*[near[u] for u in edge]) - reached
+            reached |= edge
+            want |= {(v, u, hop) for u in edge}
+    got = [tuple(r) for r in k_hop_ball(edges(spark, *pairs), 4, block_links=3).select("dst", "src", "hop").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_frame_force_and_move(spark):
     v = spark.createDataFrame([(1, 0, 0.0, 0.0), (2, 0, 3.0, 4.0)], "id bigint, component bigint, x double, y double")
     e = edges(spark, (1, 2))
