@@ -197,3 +197,22 @@ def test_partitioner_balances_and_repeats(spark):
     assert {r.part for r in one.labels.collect()} <= {0, 1}
     with pytest.raises(ValueError):
         partition.changed_k(one.labels, o)
+
+
+def test_registered_jobs_have_the_default_limits(spark, monkeypatch):
+    from constella.plans import config, jobs, registry
+
+    asked = []
+
+    def stop(vertices, edges, given):
+        asked.append(given)
+        raise StopIteration
+
+    monkeypatch.setattr(partition, "partition_graph", stop)
+    monkeypatch.setattr(jobs, "preprocess", stop)
+    for name in ("partition_run", "preprocess_job", "layout_single", "layout_multilevel"):
+        with pytest.raises(StopIteration):
+            registry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert asked[0].max_iterations == config.DEFAULTS["spinner.maxIterations"]
+    for given in asked[1:]:
+        assert all(given[key] == config.DEFAULTS[key] for key in ("spinner.maxIterations", "layout.limit"))
