@@ -339,6 +339,23 @@ def test_leaks_exact_and_paraphrased(spark, documents, odd, texts):
     assert decontaminate.decontaminate(odd.limit(0), items).count() == 0
 
 
+def test_leaks_with_rare_words_replaced(spark):
+    rng = np.random.default_rng(12)
+    common_words = np.array([f"plain{i}" for i in range(60)])
+    item = rng.choice(common_words, 32, replace=False)
+    rare = [3, 11, 19, 26]
+    item[rare] = ["anna", "violin", "geneva", "harbour"]
+    leak = item.copy()
+    leak[rare] = ["boris", "trumpet", "lisbon", "airport"]
+    rows = [(n, " ".join(rng.choice(common_words, 120))) for n in range(120)]
+    rows.append((500, " ".join([*rng.choice(common_words, 45), *leak, *rng.choice(common_words, 45)])))
+    rows.append((501, " ".join([*rng.choice(common_words, 15_003), *leak, *rng.choice(common_words, 5_000)])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")
+    got = {r.doc_id: r.lcs for r in decontaminate.decontaminate(docs, items).collect()}
+    assert got == {500: 0.875, 501: 0.875}
+
+
 # --- pipeline ----------------------------------------------------------------------------------
 
 
