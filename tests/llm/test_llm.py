@@ -356,6 +356,29 @@ def test_leaks_with_rare_words_replaced(spark):
     assert got == {500: 0.875, 501: 0.875}
 
 
+def test_leak_beside_its_words_in_other_order(spark):
+    item = [f"term{i}" for i in range(16)]
+    leak = [w if i not in (4, 9, 13) else f"other{i}" for i, w in enumerate(item)]
+    rng = np.random.default_rng(4)
+    filler = [[f"fill{x}" for x in rng.integers(0, 300, 100)] for _ in range(80)]
+    rows = [(n, " ".join(words)) for n, words in enumerate(filler)]
+    rows.append((500, " ".join([*item[::-1], *filler[0][:24], *leak, *filler[1][:30]])))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = decontaminate.decontaminate(docs, spark.createDataFrame([(1, " ".join(item))], "item_id bigint, text string")).collect()
+    assert [(r.doc_id, r.lcs) for r in got] == [(500, 0.8125)]
+
+
+def test_passages_that_meet_are_confirmed_by_any_piece():
+    item = np.arange(1, 21)
+    longer, answered = np.concatenate([item[:12], np.zeros(18, int)]), np.concatenate([np.zeros(8, int), item[9:], np.zeros(11, int)])
+    doc = np.concatenate([longer, answered])
+    # The piece with most of the item lacks its answer; the other one has it.
+    assert decontaminate.best_cover(item, doc, 0, len(doc), 0.7, 0.5)[:2] == (0.55, 1.0)
+    assert decontaminate.best_cover(item, longer, 0, len(longer), 0.7, 0.5) is None
+    far = [(200, 216, 0.7), (0, 16, 0.9), (40, 56, 0.8)]
+    assert list(decontaminate.merged(far, 20)) == [[(0, 16, 0.9), (40, 56, 0.8)], [(200, 216, 0.7)]]
+
+
 # --- pipeline ----------------------------------------------------------------------------------
 
 
