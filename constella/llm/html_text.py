@@ -1,7 +1,7 @@
 """Main text of web pages: a linear-chain conditional random field over the leaf blocks of the document tree.
 
 A page is scanned once into leaf blocks, runs of text between block-level tags, each with its chain of open elements
-(with ids, classes and roles). Scripts, styles, comments and the head are never text. Features of a block come from
+(with ids, classes and roles). Scripts, styles, comments and the head are never text; text of math, svg, object and noscript is like any other. Features of a block come from
 its ancestors and its text; the chain gives every block the label ``main`` or ``other`` (Viterbi). The field is trained
 in numpy on labelled pages that ``labelled_pages`` makes from a rule: articles in varied page layouts among menus, headers,
 footers, sidebars, notices, adverts, forms and reader comments.
@@ -28,8 +28,10 @@ from constella.llm import common
 
 #: Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("script style head template noscript svg math iframe object select option textarea title".split())
+SKIPPED = frozenset("script style head template iframe select option textarea title".split())
 RAW = frozenset("script style textarea title".split())
+#: Elements that a head may hold; any other start tag ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title head html".split())
 BLOCK = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 "
     "h5 h6 header hr html label legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -142,6 +144,14 @@ def leaf_blocks(page: str) -> list[Block]:
                 if stack[depth][0] in ("td", "th", "table", "article", "body") and tag not in BLOCK:
                     break
             continue
+        if tag not in IN_HEAD:
+            # The end tag of a head is optional: the first element that can't be in it, such as the body, ends it.
+            for depth in range(len(stack) - 1, -1, -1):
+                if stack[depth][0] == "head":
+                    close(depth)
+                    break
+                if stack[depth][0] == "template":
+                    break
         if tag in BLOCK:
             flush()
         if tag in VOID or m[3].endswith("/") and tag in ("svg", "path"):

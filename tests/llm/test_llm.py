@@ -146,6 +146,17 @@ def test_main_text_of_pages_and_held_out_layouts(spark):
     assert html_text.main_text(None, model) == html_text.main_text("<p", model)[:0] == ""
 
 
+def test_optional_head_end_and_embedded_text():
+    texts = lambda page: [b.text for b in html_text.leaf_blocks(page)]
+    for start in ("<body><p>", "<p>", "<div><p>", "<img src=a><p>"):
+        assert texts(f"<html><head><meta charset=utf-8><title>t</title><script>x</script>{start}One text.</p></html>") == ["One text."]
+    assert texts("<head><title>t</title></head><body><p>One text.</p></body>") == ["One text."]
+    assert texts("<head><noscript><style>a</style></noscript><title>t</title></head><p>One</p>") == ["One"]
+    for tag in ("math", "svg", "object", "noscript"):
+        assert texts(f"<article><p>Before <{tag}>inside</{tag}> after</p></article>") == ["Before inside after"]
+    assert texts("<p>Kept</p><iframe src=x><p>old</p></iframe><p>too</p>") == ["Kept", "too"]
+
+
 def test_viterbi_against_all_labelings():
     rng = np.random.default_rng(1)
     chain = html_text.Chain(rng.normal(size=(3, 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
