@@ -1,10 +1,7 @@
-"""What the corpus operators share: the shared folder, written intermediate tables, word hashing."""
+"""What the corpus operators share: written intermediate tables, sums of arrays, word hashing."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,57 +10,29 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch: a batch of texts of ordinary length stays below a few dozen MB.
-BATCH_ROWS = 1000
+from constella.iterate import cut, drop, drop_path, new_path, release, shared_dir  # noqa: F401
 
+#: Arrays that one task of a merge adds up.
+FAN_IN = 16
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Where the setting is absent (a local session, tests) a temporary folder is made once and kept.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="constella-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-
-
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it again: lineage ends, lost executors cost nothing."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._constella_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Delete the files that ``cut`` wrote for ``df``."""
-    drop_path(df.sparkSession, df._constella_path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+def summed(parts: DataFrame, column: str, size: int, dtype: str = "int64") -> np.ndarray:
+    """Sum of the arrays of ``size`` numbers that the rows hold as bytes, by a tree: a task adds ``FAN_IN`` or so of them, and the
+    driver gets one. Arrays travel as ``dtype`` and are added in double precision where that is a fraction."""
+    exact = "int64" if np.dtype(dtype).kind in "iu" else "float64"
 
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(size, exact)
+        for batch in batches:
+            for x in batch.column(column):
+                out += np.frombuffer(x.as_buffer(), dtype)
+        yield pa.RecordBatch.from_arrays([pa.array([out.astype(dtype).tobytes()], pa.binary())], names=[column])
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of queries that are done; it acts when references are collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    rows, left = parts.select(column), parts.rdd.getNumPartitions()
+    while left > 1:
+        left = -(-left // FAN_IN)
+        rows = rows.repartition(left).mapInArrow(total, f"{column} binary")
+    return sum((np.frombuffer(r[column], dtype) for r in rows.collect()), np.zeros(size, exact))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

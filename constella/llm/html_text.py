@@ -401,7 +401,6 @@ def main_text(page: str | None, model: Chain) -> str:
 
 def extract_text(df: DataFrame, id_col: str, url_col: str, html_col: str, model: Chain | None = None) -> DataFrame:
     """page_id, url, text (main text of the whole page) and n_chars (its code points)."""
-    common.small_batches(df.sparkSession)
     chain = model or default_chain()
     source = common.pick(df, page_id=id_col, url=url_col, html=html_col).withColumn("html", F.col("html").cast("string"))
 

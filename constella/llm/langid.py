@@ -170,7 +170,6 @@ def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def predict_languages(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred and score of every row."""
-    common.small_batches(docs.sparkSession)
     source = common.pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

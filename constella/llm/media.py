@@ -165,7 +165,6 @@ _TILED = "id {id}, width int, height int, tiles array<binary>, hash string, erro
 
 def media_columns(df: DataFrame, id_col: str, blob_col: str, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Decode each blob, and return id, width, height, NPY ``tiles`` top to bottom, difference ``hash``, ``error``."""
-    common.small_batches(df.sparkSession)
     source = common.pick(df, id=id_col, blob=blob_col)
     schema = _TILED.format(id=source.schema["id"].dataType.simpleString())
 
@@ -198,7 +197,6 @@ def payload_of(text: str | None, unit: int = PAYLOAD_WIDTH) -> tuple[int, bytes]
 
 def text_media(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Each text as a PGM image of 64 samples a row: id, n_bytes, blob. A null text counts as empty."""
-    common.small_batches(df.sparkSession)
     source = common.pick(df, id=id_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +215,6 @@ def text_media(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def store_text_media(df: DataFrame, id_col: str, text_col: str, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Texts as images, decoded, tiled and written once to the shared folder; the written table is returned."""
-    common.small_batches(df.sparkSession)
     source = common.pick(df, id=id_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +235,6 @@ def store_text_media(df: DataFrame, id_col: str, text_col: str, tile_rows: int =
 
 def read_text_media(stored: DataFrame) -> DataFrame:
     """Read stored tiles back and digest them; ``feature`` is the difference hash of the stored image."""
-    common.small_batches(stored.sparkSession)
     names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
 

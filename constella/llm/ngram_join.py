@@ -1,15 +1,20 @@
 """N-gram Jaccard join: documents link when the Jaccard similarity of their shingle sets reaches a threshold.
 
 Rare-first prefix filtering finds candidates: two sets that are similar enough share a shingle among the first
-``n - ceil(t n) + 1`` of any common order. Shingles come in the order of how far their bucket of a fixed-size count sketch of
-the corpus stands out, then of their words' frequencies (a second sketch), then of their hash. The length filter is part of the
-join key (a shingle and a class of lengths); length and positional filters apply in the join, a suffix filter (the overlap
-that histograms of both sets allow) to each candidate pair, and pairs that are left are verified once on their full sets.
-
-Equal sets form one class and need no pairs. Within a group that shares a prefix shingle pairs are not listed while hubs
-can stand for them: in each round every group names one hub, members that aren't known to be connected with it are
-verified against it, and linked members take its label. What is left after that, pairs of different labels only, is joined in
-full, so that no link between components is lost whatever the size of a group.
+``n - ceil(t n) + 1`` of any common order. Shingles come in the order of how far their bucket of a count sketch of
+the corpus stands out, then of their words' frequencies (a second sketch), then of their hash. Sets meet in groups of one prefix
+shingle and one class of lengths. In a small group every pair passes the length and positional filters, each
+distinct pair then the suffix filter (the overlap that histograms of both sets allow), and pairs that are left are verified once on
+their full sets.
+
+A larger group lists no pairs. The set that most of its large groups share becomes its hub, every member is compared with the hub in full, and members that
+link take its label. Any other pair of the group is a question about differences: with A and B the shingles in which two sets differ
+from the hub, the sets differ from each other in the symmetric difference of A and B. So the same prefix and positional filters apply
+to A and B, in the order of how many members of the hub have a difference, and members meet again in groups of one of them, which are far
+smaller: copies of one text differ in different places, and what all have but the hub comes last. Members that both link to the hub need no
+comparison, which halves the prefixes of those that do.
+This goes on until no large group of several labels is left. Every pair that can link is thus verified, or both its
+sets are known to be connected; work grows with the members of a group, not with its pairs.
 
 Defined results: null and empty texts, and texts of white space, have an empty set and link with nothing; repeated rows
 fall into one class; rows that share an id but not their text are kept apart. Ids may be null. An empty table gives an empty table.
@@ -23,17 +28,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from constella.llm import common, graphs
-
-#: Buckets of the sketches of shingles and words, bins of the suffix filter's histogram, bits of the candidate filter.
-SKETCH, WORDS, BINS, FILTER_BITS = 1 << 16, 1 << 18, 64, 1 << 26
+from constella.llm import common
+from constella.operators.components import connected_components
+
+#: Bits of the sketches of shingles and of words; what they miss makes prefixes less rare, not results less whole.
+SKETCH_BITS, WORD_BITS = 18, 19
+SKETCH, WORDS = 1 << SKETCH_BITS, 1 << WORD_BITS
+#: Bins of the suffix filter's histogram.
+BINS = 64
+#: Sets in a group of one prefix shingle, and in one of one difference from a hub, whose pairs are listed; a larger group gets a hub.
+#: The second kind is filtered by how much of the differences must be shared, so that few of its pairs are left.
+SMALL, SMALL_APART = 12, 200
 #: Members of a hub that are verified together, so that one task needn't hold a large group.
 HUB_MEMBERS = 500
-#: Rounds of hubs at most, before what is left is joined in full.
-ROUNDS = 3
+#: Bits of one slice of the candidate filter, and keys up to which that filter is broadcast (256 MB then).
+SLICE, FILTER_KEYS = 1 << 20, 100_000_000
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -50,65 +62,53 @@ def _key(s: np.ndarray) -> int:
     return int(common.mix(np.array([total], dtype=np.uint64)).view(np.int64)[0])
 
 
+def _word_bucket(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+
+
 def set_facts(source: DataFrame, width: int) -> DataFrame:
-    """Size, key and histogram of each text's set; one more row for each task carries its part of both sketches."""
+    """Size and key of each text's set; one more row for each task carries its part of both sketches."""
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, schema = np.zeros(SKETCH + WORDS, np.int64), None
         for batch in batches:
-            n, keys, hist = [], [], []
+            n, keys = [], []
             for _, _, data, offsets in common.text_chunks(batch.column("text")):
                 words, before = common.word_hashes(data, offsets)
-                sketch[SKETCH:] += np.bincount((words >> np.uint64(46)).astype(np.int64), minlength=WORDS)
-                for s in common.shingle_sets(words, before, width):
-                    n.append(len(s))
-                    keys.append(_key(s))
-                    hist.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS).astype(np.int32))
-                    sketch[:SKETCH] += np.bincount((s & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+                sketch[SKETCH:] += np.bincount(_word_bucket(words), minlength=WORDS)
+                sets = common.shingle_sets(words, before, width)
+                n += map(len, sets)
+                keys += map(_key, sets)
+                sketch[:SKETCH] += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
             nothing = pa.nulls(batch.num_rows, pa.binary())
-            out = pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(keys, pa.int64()), pa.array(hist, pa.list_(pa.int32())), nothing],
-                names=["doc_id", "n", "key", "hist", "sketch"],
-            )
+            out = pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(keys, pa.int64()), nothing], names=["doc_id", "n", "key", "sketch"])
             schema = out.schema
             yield out
         if schema is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((None, None, None, None, sketch.tobytes()), schema, strict=True)], schema=schema)
+            part = sketch.astype(np.float32).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((None, None, None, part), schema, strict=True)], schema=schema)
 
-    return source.mapInArrow(run, f"doc_id {kind}, n int, key bigint, hist array<int>, sketch binary")
+    return source.mapInArrow(run, f"doc_id {kind}, n int, key bigint, sketch binary")
 
 
 def corpus_sketches(facts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """How far each shingle bucket stands out (0: not), and the logarithm of each word bucket's count, in 64ths.
-
-    The driver sums at most eight arrays of fixed size.
-    """
-    size = SKETCH + WORDS
-
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(size, np.int64)
-        for batch in batches:
-            for x in batch.column("sketch"):
-                out += np.frombuffer(x.as_py(), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sketch"])
-
-    parts = facts.where("sketch is not null").select("sketch").repartition(8).mapInArrow(total, "sketch binary").collect()
-    counts = sum((np.frombuffer(r["sketch"], np.int64) for r in parts), np.zeros(size, np.int64))
+    """How far each shingle bucket stands out (0: not), and the logarithm of each word bucket's count, in 64ths."""
+    counts = common.summed(facts.where("sketch is not null"), "sketch", SKETCH + WORDS, "float32")
     shingles, words = counts[:SKETCH], counts[SKETCH:]
     usual = np.median(shingles)
     above = np.maximum(shingles - usual, 0) / (6 * np.sqrt(max(usual, 1.0)))
-    return np.floor(np.log2(above + 1)).astype(np.uint64), np.round(64 * np.log2(words + 1)).astype(np.uint64)
+    return np.minimum(np.floor(np.log2(above + 1)), 31).astype(np.uint8), np.round(64 * np.log2(words + 1)).astype(np.uint16)
 
 
 def _ordered(words: np.ndarray, width: int, standing: np.ndarray, log_words: np.ndarray) -> np.ndarray:
     """For each shingle a number that holds its place in the order in the upper 20 bits and 44 bits of its hash."""
     full = common.fold(words, width)
-    each = log_words[(words >> np.uint64(46)).astype(np.int64)]
+    each = log_words[_word_bucket(words)].astype(np.uint64)
     rarity = np.zeros(len(full), np.uint64)
     for i in range(width):
         rarity += each[i : i + len(full)]
-    level = np.minimum(standing[(full & np.uint64(SKETCH - 1)).astype(np.int64)], np.uint64(31))
+    level = standing[(full & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64)
     return (level << np.uint64(59)) | (np.minimum(rarity // np.uint64(width), np.uint64(32767)) << np.uint64(44)) | (full & np.uint64((1 << 44) - 1))
 
 
@@ -138,223 +138,313 @@ def prefix_entries(source: DataFrame, width: int, percent: int, sketches: tuple[
     return source.mapInArrow(run, "token bigint, key bigint, n int, pos int")
 
 
-def _filter_bits(ids: np.ndarray) -> np.ndarray:
-    mixed = common.mix(ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return np.concatenate([(mixed >> np.uint64(shift)) & np.uint64(FILTER_BITS - 1) for shift in (0, 20, 38)]).astype(np.int64).reshape(3, -1)
+def _filter_bits(ids: np.ndarray, size: int) -> np.ndarray:
+    """Three places of each key in a filter of ``size`` bits (a power of two)."""
+    salts = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+    return (common.mix(ids.view(np.uint64) ^ salts[:, None]) & np.uint64(size - 1)).astype(np.int64)
 
 
-def candidate_filter(keys: DataFrame) -> np.ndarray:
-    """A Bloom filter of fixed size (8 MB) over the keys that share a prefix shingle with another, packed to bytes."""
+def candidate_filter(keys: DataFrame, n_keys: int) -> np.ndarray:
+    """A Bloom filter of 16 bits or more a key, packed to bytes. Tasks fill slices of it, the driver joins them."""
+    size = 1 << max(16, int(np.ceil(np.log2(16 * n_keys + 1))))
+    width = min(size, SLICE)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.unique(_filter_bits(batch.column("key").to_numpy(zero_copy_only=False).copy()).ravel())
-            mask = np.left_shift(np.int32(1), (7 - (bits & 7)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(bits >> 3), pa.array(mask)], names=["at", "mask"])
-
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    # At most as many rows as the filter has bytes, whatever the number of keys.
-    for batch in keys.mapInArrow(run, "at bigint, mask int").groupBy("at").agg(F.bit_or("mask").alias("mask")).toArrow().to_batches():
-        out[batch.column("at").to_numpy()] = batch.column("mask").to_numpy().astype(np.uint8)
+            bits = np.unique(_filter_bits(batch.column("key").to_numpy(zero_copy_only=False).copy(), size).ravel())
+            heads = np.flatnonzero(np.diff(bits // width, prepend=-1))
+            parts = np.split((bits % width).astype(np.uint32), heads[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(bits[heads] // width, pa.int64()), pa.array([x.tobytes() for x in parts][: len(heads)], pa.binary())], names=["slice", "bits"])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slices: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, bits in zip(batch.column("slice").to_pylist(), batch.column("bits"), strict=True):
+                slices.setdefault(at, np.zeros(width, bool))[np.frombuffer(bits.as_buffer(), np.uint32)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(slices), pa.int64()), pa.array([np.packbits(x).tobytes() for x in slices.values()], pa.binary())], names=["slice", "bits"])
+
+    placed = keys.select("key").mapInArrow(places, "slice bigint, bits binary").repartition(size // width, "slice")
+    out = np.zeros(size // 8, np.uint8)
+    for r in placed.mapInArrow(fill, "slice bigint, bits binary").collect():
+        out[r["slice"] * (width // 8) :][: width // 8] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
-def candidate_sets(source: DataFrame, width: int, words: np.ndarray) -> DataFrame:
-    """Full sets (key, n, tokens) of the texts whose key passes the candidate filter."""
-    held = source.sparkSession.sparkContext.broadcast(words)
+def candidate_sets(source: DataFrame, width: int, bits: np.ndarray | None) -> DataFrame:
+    """Full sets (key, n, hist, tokens) of the texts whose key passes the candidate filter, or of all."""
+    held = source.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
         seen: set[int] = set()
         for batch in batches:
-            keys, n, tokens = [], [], []
+            keys, n, hist, tokens = [], [], [], []
             for _, s in _sets(batch, width):
                 if not len(s) or (k := _key(s)) in seen:
                     continue
-                at = _filter_bits(np.array([k], np.int64)).ravel()
-                if not ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all():
-                    continue
+                if bits is not None:
+                    at = _filter_bits(np.array([k], np.int64), 8 * len(bits)).ravel()
+                    if not ((bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all():
+                        continue
                 seen.add(k)
                 keys.append(k)
                 n.append(len(s))
+                hist.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS).astype(np.uint8).tobytes())
                 tokens.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int32()), pa.array(tokens, pa.binary())], names=["key", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int32()), pa.array(hist, pa.binary()), pa.array(tokens, pa.binary())], names=["key", "n", "hist", "tokens"])
+
+    return source.mapInArrow(run, "key bigint, n int, hist binary, tokens binary")
 
-    return source.mapInArrow(run, "key bigint, n int, tokens binary")
 
+def _needed(n, m, percent: int):
+    """Least overlap of sets of n and m shingles that link."""
+    return F.ceil(((n + m) * percent).cast("bigint") / F.lit(100 + percent))
 
-def _long_enough(n: Column, m: Column, percent: int) -> Column:
-    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
+def _differences(s: np.ndarray, hub: np.ndarray) -> tuple[np.ndarray, int]:
+    """Shingles in which a set and its hub differ, and the number that they share."""
+    at = np.searchsorted(hub, s)
+    inside = hub[np.minimum(at, len(hub) - 1)] == s
+    missing = np.ones(len(hub), bool)
+    missing[at[inside]] = False
+    return np.concatenate([s[~inside], hub[missing]]), int(np.count_nonzero(inside))
 
-def _overlap_needed(n: Column, m: Column, percent: int) -> Column:
-    return F.ceil(((n + m) * percent).cast("bigint") / F.lit(100 + percent))
 
+def _prefix_size(n: int, m: int, shared: int, percent: int) -> tuple[int, bool]:
+    """How many of the differences from a hub of m shingles a set of n must show, and whether the two link.
 
-def _around(difference: Column) -> Column:
-    """Distance on the circle of 256."""
-    return F.least(difference.bitwiseAND(F.lit(255)), (-difference).bitwiseAND(F.lit(255)))
+    A set that isn't linked differs from a partner in at most ``widest`` shingles, so one of ``widest + 1`` differences is shared. A
+    linked one only needs partners that aren't: these differ from the hub so much that about half of its own differences must be shared.
+    """
+    linked = 100 * shared >= percent * (n + m - shared)
+    a = n + m - 2 * shared
+    if linked:
+        least = (a + m - n) / 2 + percent * (n - m) / (100 + percent)
+        return a - max(1, int(np.floor(least))) + 1, True
+    widest = (n + 100 * n // percent) * (100 - percent) // (100 + percent)
+    return min(a, widest + 1), False
 
 
 class _Join:
-    """One run of the join: its written tables, tested pairs and links so far.
+    """One run of the join: its tables, links and labels so far.
 
-    ``entries`` has a row for each prefix shingle and length class (columns token and part) of a set; two sets whose lengths the
-    threshold allows meet in one length class at least.
+    ``entries`` at each level: ``g`` (the group: a shingle with its length class, or with its hub), key, n, a (size of what is
+    listed: the set, or its differences from the hub) and pos (place in the order of what is listed).
     """
 
-    def __init__(self, entries: DataFrame, classes: DataFrame, sets: DataFrame, percent: int):
-        self.entries, self.classes, self.sets, self.percent = entries, classes, sets, percent
+    def __init__(self, sets: DataFrame, percent: int, stats: dict | None):
+        self.sets, self.percent, self.stats = sets, percent, stats
         self.labels: DataFrame | None = None
         self.tested: DataFrame | None = None
         self.links: DataFrame | None = None
+        self.written: list[DataFrame] = []
 
-    def labelled(self) -> DataFrame:
-        if self.labels is None:
-            return self.entries.withColumn("label", F.col("key"))
-        return self.entries.join(self.labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+    def cut(self, df: DataFrame, name: str) -> DataFrame:
+        out = common.cut(df, name)
+        self.written.append(out)
+        return out
 
-    def left(self) -> int:
-        """Pairs of different labels in one group, each counted for every group."""
-        by = self.labelled().groupBy("token", "part", "label").agg(F.count("*").cast("double").alias("c")).groupBy("token", "part")
-        sums = by.agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        return int(sums.agg(F.coalesce(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.lit(0.0))).first()[0])
+    def count(self, name: str, df: DataFrame) -> None:
+        if self.stats is not None:
+            self.stats[name] = self.stats.get(name, 0) + df.count()
 
-    def _rows(self) -> DataFrame:
-        """Entries of the groups that hold several labels, with their label and the histogram of their set."""
-        rows = self.labelled()
-        mixed = rows.groupBy("token", "part").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token", "part")
-        return rows.join(mixed, ["token", "part"], "left_semi").join(self.classes.select("key", "hist"), "key")
+    def grouped(self, entries: DataFrame) -> DataFrame:
+        """Entries of the groups that hold several labels, with their label and the group's size ``c``."""
+        if self.labels is None:
+            rows = entries.withColumn("label", F.col("key"))
+        else:
+            rows = entries.join(self.labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+            # The positional filter for the group as a whole: no partner can list more than ``most`` shingles.
+            ends = (F.col("n") + F.floor(F.col("n") * 100 / self.percent)) * (100 - self.percent) / (100 + self.percent)
+            rows = rows.withColumn("most", F.col("a") + F.floor(ends) - 2 * F.col("pos"))
+            bounds = rows.groupBy("g").agg(F.min("a").alias("least_a"), F.max("most").alias("most_a"))
+            rows = rows.join(bounds, "g").where("most >= least_a and a <= most_a").drop("most", "least_a", "most_a")
+        sizes = rows.groupBy("g").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("g", "c")
+        return self.cut(rows.join(sizes, "g"), "groups")
+
+    def pairs(self, rows: DataFrame, most: int) -> DataFrame:
+        """Distinct pairs of the groups of ``most`` sets at most after the length and positional filters that weren't tested before."""
+        small = rows.where(F.col("c") <= most)
+        other = small.select("g", *[F.col(c).alias("o" + c) for c in ("key", "n", "a", "pos", "label")])
+        n, m = F.col("n"), F.col("on")
+        # What has to be shared of the listed shingles: the overlap that a link needs, less what both have in common with the hub.
+        shared = (F.col("a") + F.col("oa") - n - m) / 2 + _needed(n, m, self.percent)
+        near = (F.least(n, m) * 100 >= F.greatest(n, m) * self.percent) & (F.least(F.col("a") - F.col("pos"), F.col("oa") - F.col("opos")) >= shared)
+        found = small.join(other, "g").where((F.col("key") < F.col("okey")) & (F.col("label") != F.col("olabel")) & near)
+        found = found.select(F.col("key").alias("a"), F.col("okey").alias("b")).distinct()
+        if self.tested is not None:
+            found = found.join(self.tested, ["a", "b"], "left_anti")
+        return self.cut(found, "pairs")
 
-    def _allowed(self) -> Column:
-        """Length and positional filters on one shared prefix shingle, then the suffix filter on whole histograms.
+    def members(self, rows: DataFrame, most: int, first: bool) -> DataFrame:
+        """(fam, key, hub) of the larger groups: the hub is the member of most large groups.
 
-        Bins are kept modulo 256; the distance around that circle is a lower bound of the true one.
+        Groups of one hub become one family where they are made of prefixes; later each stays by itself, so that the groups that follow from it
+        have fewer members than it has and the levels come to an end.
         """
-        n, m = F.col("n"), F.col("hn")
-        needed = _overlap_needed(n, m, self.percent)
-        most = F.least(n - F.col("pos"), m - F.col("hpos"))
-        near = F.aggregate(
-            F.zip_with("hist", "hhist", lambda x, y: _around(x.cast("int") - y.cast("int"))), F.lit(0), lambda s, x: s + x
-        )
-        return (F.col("label") != F.col("hlabel")) & _long_enough(n, m, self.percent) & (most >= needed) & (near <= n + m - 2 * needed)
-
-    def hub_pairs(self, number: int) -> DataFrame:
-        rows = self._rows()
-        cells = [F.xxhash64(F.lit(number), "key").alias("h"), *[F.col(c).alias("h" + c) for c in ("key", "n", "pos", "label", "hist")]]
-        hubs = rows.groupBy("token", "part").agg(F.min(F.struct(*cells)).alias("hub")).select("token", "part", "hub.*")
-        return rows.join(hubs, ["token", "part"]).where(self._allowed()).select("key", F.col("hkey").alias("to"))
-
-    def all_pairs(self) -> DataFrame:
-        rows = common.cut(self._rows(), "mixed")
-        other = rows.select("token", "part", *[F.col(c).alias("h" + c) for c in ("key", "n", "pos", "label", "hist")])
-        joined = rows.join(other, ["token", "part"]).where((F.col("key") < F.col("hkey")) & self._allowed())
-        return joined.select("key", F.col("hkey").alias("to"))
-
-    def verify(self, pairs: DataFrame) -> bool:
-        """Verify pairs that weren't tested before, once each, and keep their links. False when there was none."""
+        large = rows.where(F.col("c") > most).select("g", "key")
+        often = large.groupBy("key").agg(F.count("*").alias("often"))
+        ranked = large.join(often, "key")
+        best = ranked.groupBy("g").agg(F.max(F.struct("often", F.xxhash64("key").alias("h"), F.col("key").alias("hub"))).alias("b")).select("g", "b.hub")
+        fam = F.lit(0).cast("bigint") if first else F.col("g")
+        return self.cut(large.join(best, "g").where("key <> hub").select(fam.alias("fam"), "key", "hub").distinct(), "members")
+
+    def verify(self, pairs: DataFrame) -> None:
+        """Suffix filter, then full comparison of each pair; links are kept."""
         percent = self.percent
-        pairs = pairs.groupBy(F.least("key", "to").alias("a"), F.greatest("key", "to").alias("b")).agg(F.min("to").alias("to"))
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        likely = pairs.select("a", "b", "to", F.when(F.col("a") == F.col("to"), F.col("b")).otherwise(F.col("a")).alias("key"))
-        likely = common.cut(likely, "pairs")
-        # A hub with many members is repeated, once for every HUB_MEMBERS of them, so that no task gets them all.
-        hot = likely.groupBy("to").agg(F.ceil(F.count("*") / HUB_MEMBERS).cast("int").alias("parts")).where("parts > 1")
-        dealt = likely.select("key", "to").join(F.broadcast(hot) if hot.count() < 10000 else hot, "to", "left")
-        dealt = dealt.select("key", "to", F.coalesce(F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"), F.lit(-1)).alias("part"))
-        mine = dealt.join(self.sets.select("key", "tokens"), "key")
-        theirs = self.sets.select(F.col("key").alias("to"), F.col("tokens").alias("other"))
-        spread = theirs.join(hot, "to").select("to", "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        mine = self.sets.select(F.col("key").alias("a"), F.col("n"), "hist")
+        theirs = self.sets.select(F.col("key").alias("b"), F.col("n").alias("on"), F.col("hist").alias("ohist"), F.col("tokens").alias("other"))
+
+        def suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("hist", "ohist"))
+                n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "on"))
+                # Bins are kept modulo 256: the distance on that circle is a lower bound of the true one.
+                apart = np.minimum(x - y, y - x).sum(axis=1, dtype=np.int64)
+                needed = -(-percent * (n + m) // (100 + percent))
+                yield batch.select(["a", "b", "other"]).filter(pa.array(apart <= n + m - 2 * needed))
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 good = []
                 for x, y in zip(batch.column("tokens"), batch.column("other"), strict=True):
                     s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    common_n = len(np.intersect1d(s, t, assume_unique=True))
-                    good.append(100 * common_n >= percent * (len(s) + len(t) - common_n))
-                mask = pa.array(good, pa.bool_())
-                yield pa.RecordBatch.from_arrays([batch.column(c).filter(mask) for c in ("key", "to")], names=["a", "b"])
-
-        columns = ("key", "to", "tokens", "other")
-        matched = mine.where("part < 0").join(theirs, "to").select(*columns).unionByName(mine.where("part >= 0").join(spread, ["to", "part"]).select(*columns))
-        links = common.cut(matched.mapInArrow(compare, "a bigint, b bigint"), "links")
-        tested = likely.select("a", "b")
-        self.tested = tested if self.tested is None else self.tested.union(tested)
-        if links.isEmpty():
-            return False
-        self.links = links if self.links is None else self.links.union(links)
-        return True
-
-    def relabel(self) -> None:
-        """Members of verified links take the smallest label that is one or two links away: equal labels are connected."""
-        both = self.links.union(self.links.select("b", "a"))
-        near = both.groupBy(F.col("a").alias("key")).agg(F.least(F.min("b"), F.col("a")).alias("near"))
-        further = near.select(F.col("key").alias("near"), F.col("near").alias("far"))
-        self.labels = common.cut(near.join(further, "near", "left").select("key", F.coalesce("far", "near").alias("label")), "labels")
+                    shared = len(np.intersect1d(s, t, assume_unique=True))
+                    good.append(100 * shared >= percent * (len(s) + len(t) - shared))
+                yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+        likely = pairs.join(mine, "a").join(theirs, "b").select("a", "b", "n", "on", "hist", "ohist", "other").mapInArrow(suffix, "a bigint, b bigint, other binary")
+        matched = likely.join(self.sets.select(F.col("key").alias("a"), "tokens"), "a")
+        self.keep(self.cut(matched.mapInArrow(compare, "a bigint, b bigint"), "links"), pairs)
+        self.count("pairs", pairs)
+
+    def keep(self, links: DataFrame, tested: DataFrame) -> None:
+        links, tested = links.select("a", "b"), tested.select("a", "b")
+        self.links = links if self.links is None else self.links.unionByName(links)
+        self.tested = tested if self.tested is None else self.tested.unionByName(tested)
+
+    def compare_with_hubs(self, pairs: DataFrame) -> DataFrame:
+        """Full comparison of members with their hub: (key, hub, n, a, linked, size, apart), the last all differences, of which ``size`` have to show."""
+        percent = self.percent
+        # A hub with many members is repeated, once for every HUB_MEMBERS of them, so that no task gets them all.
+        parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_MEMBERS).cast("int").alias("parts"))
+        dealt = pairs.join(parts, "hub").select("key", "hub", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"))
+        hubs = self.sets.select(F.col("key").alias("hub"), F.col("tokens").alias("other")).join(parts, "hub")
+        hubs = hubs.select("hub", "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        joined = dealt.join(self.sets.select("key", "tokens"), "key").join(hubs, ["hub", "part"]).select("key", "hub", "tokens", "other")
 
+        def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                n, a, linked, sizes, every = [], [], [], [], []
+                for x, y in zip(batch.column("tokens"), batch.column("other"), strict=True):
+                    s, hub = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                    apart, shared = _differences(s, hub)
+                    size, link = _prefix_size(len(s), len(hub), shared, percent)
+                    n.append(len(s))
+                    a.append(len(apart))
+                    linked.append(link)
+                    sizes.append(size)
+                    every.append(apart.view(np.int64))
+                columns = [pa.array(n, pa.int32()), pa.array(a, pa.int32()), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int32()), pa.array(every, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("hub"), *columns], names=["key", "hub", "n", "a", "linked", "size", "apart"])
+
+        out = self.cut(joined.mapInArrow(differ, "key bigint, hub bigint, n int, a int, linked boolean, size int, apart array<bigint>"), "differences")
+        ends = [F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")]
+        self.keep(out.where("linked").select(*ends), out.select(*ends))
+        self.count("hub_pairs", out)
+        return out
 
-def ngram_join(df: DataFrame, id_col: str, text_col: str, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row for each text: doc_id, n_shingles, class_id (smallest id of its equal sets), component_id (smallest reachable id)."""
+    def relabel(self) -> None:
+        """Every set on a link takes a small key near it: the smallest within two links, and then that one's. Equal labels are connected."""
+        both = self.links.union(self.links.select("b", "a")).toDF("key", "other")
+        near = both.groupBy("key").agg(F.least(F.min("other"), F.col("key")).alias("label"))
+        further = both.join(near.toDF("other", "label"), "other").groupBy("key").agg(F.min("label").alias("label"))
+        further = self.cut(further, "near")
+        jump = further.toDF("label", "far")
+        self.labels = self.cut(further.join(jump, "label", "left").select("key", F.coalesce("far", "label").alias("label")), "labels")
+
+    def differing(self, members: DataFrame, apart: DataFrame) -> DataFrame:
+        """Entries of the next level: prefixes of the differences, those that few of the family have first.
+
+        Differences that one member alone has come before all others and lead nowhere, so they are only counted.
+        """
+        every = members.join(apart, ["key", "hub"]).select("fam", "hub", "key", "n", "a", "size", F.explode("apart").alias("token"))
+        several = every.groupBy("fam", "hub", "token").agg(F.count("*").alias("f")).where("f > 1")
+        rows = every.join(several, ["fam", "hub", "token"])
+        own = Window.partitionBy("fam", "hub", "key")
+        place = F.row_number().over(own.orderBy("f", "token")) - 1 + F.col("a") - F.count("*").over(own)
+        rows = rows.withColumn("pos", place.cast("int")).where("pos < size")
+        return rows.select(F.xxhash64("fam", "hub", "token").alias("g"), "key", "n", "a", "pos")
+
+    def run(self, entries: DataFrame) -> None:
+        most, first = SMALL, True
+        while True:
+            rows = self.grouped(entries)
+            self.verify(self.pairs(rows, most))
+            if rows.where(F.col("c") > most).isEmpty():
+                return
+            members = self.members(rows, most, first)
+            apart = self.compare_with_hubs(members.select("key", "hub").distinct())
+            self.relabel()
+            common.drop(rows)
+            entries = self.differing(members, apart)
+            most, first = SMALL_APART, False
+            common.release(rows.sparkSession)
+
+
+def ngram_join(df: DataFrame, id_col: str, text_col: str, width: int = 5, percent: int = 80, stats: dict | None = None) -> DataFrame:
+    """One row for each text: doc_id, n_shingles, class_id (smallest id of its equal sets), component_id (smallest reachable id).
+
+    ``stats``, if given, gets the numbers of compared pairs.
+    """
     spark = df.sparkSession
-    common.small_batches(spark)
     source = common.pick(df, doc_id=id_col, text=text_col).withColumn("text", F.col("text").cast("string"))
-    facts = common.cut(set_facts(source, width), "sets")
-    sketches = corpus_sketches(facts)
-    facts = facts.where("n is not null").select("doc_id", "n", "key", "hist")
+    written = common.cut(set_facts(source, width), "sets")
+    sketches = corpus_sketches(written)
+    facts = written.where("n is not null").select("doc_id", "n", "key")
     filled = facts.where("n > 0")
-    classes = filled.groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("hist").alias("hist"))
-    classes = common.cut(classes.withColumn("hist", F.transform("hist", lambda x: (x % 256 - 128).cast("byte"))), "classes")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    tables = []
-
-    def unbucket() -> None:
-        while tables:
-            name, path = tables.pop()
-            spark.sql(f"DROP TABLE IF EXISTS {name}")
-            common.drop_path(spark, path)
-        common.release(spark)
-
-    def bucketed(df: DataFrame, by: str, once: bool = False) -> DataFrame:
-        """Written once in buckets, so that grouping and joining by the key need no further exchange."""
-        name, path = f"t_{uuid.uuid4().hex}", common.new_path(spark, "buckets")
-        tables.append((name, path))
-        df = df.repartition(buckets, by)
-        (df.dropDuplicates([by]) if once else df).write.option("path", path).option("compression", "zstd").bucketBy(buckets, by).sortBy(by).saveAsTable(name)
-        return spark.table(name)
-
-    entries = bucketed(prefix_entries(source, width, percent, sketches), "token")
-    several = entries.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("token")
+    classes = filled.groupBy("key").agg(F.min("doc_id").alias("class_id"))
+    prefixes = common.cut(prefix_entries(source, width, percent, sketches), "prefixes")
+    several = prefixes.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("token")
     lengths = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
-    shared = entries.join(several, "token", "left_semi").distinct().withColumn("part", F.explode(F.array(lengths, lengths + 1)))
-    shared = common.cut(shared, "shared")
-    unbucket()
-    grouped = shared.groupBy("token", "part").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("token", "part")
-    several_groups = common.cut(shared.join(grouped, ["token", "part"], "left_semi"), "groups")
-    common.drop(shared)
-    shared = several_groups
-    keep = candidate_filter(shared.select("key").distinct())
-    sets = bucketed(candidate_sets(source, width, keep), "key", once=True)
+    shared = prefixes.join(several, "token", "left_semi").distinct().withColumn("part", F.explode(F.array(lengths, lengths + 1)))
+    entries = common.cut(shared.select(F.xxhash64("token", "part").alias("g"), "key", "n", F.col("n").alias("a"), "pos"), "entries")
+    common.drop(prefixes)
     common.release(spark)
-    join = _Join(shared, classes, sets, percent)
-    most = 2 * shared.count()
-    for number in range(ROUNDS):
-        if join.left() <= most or not join.verify(join.hub_pairs(number)):
-            break
-        join.relabel()
-        common.release(spark)
-    join.verify(join.all_pairs())
-    if join.links is None:
+    # Only sets that meet another one are kept in full.
+    several = entries.groupBy("g").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("g")
+    keys = common.cut(entries.join(several, "g", "left_semi").select("key").distinct(), "keys")
+    n_keys = keys.count()
+    if n_keys <= FILTER_KEYS:
+        full = candidate_sets(source, width, candidate_filter(keys, n_keys))
+    else:
+        first = classes.join(keys, "key", "left_semi").select("class_id")
+        full = candidate_sets(source.join(first, F.col("doc_id").eqNullSafe(F.col("class_id")), "left_semi"), width, None)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, path = f"t_{uuid.uuid4().hex}", common.new_path(spark, "buckets")
+    # Written once in buckets, so that joining by the key needs no further exchange of whole sets.
+    full.repartition(buckets, "key").dropDuplicates(["key"]).write.option("path", path).option("compression", "zstd").bucketBy(buckets, "key").sortBy("key").saveAsTable(name)
+    common.drop(keys)
+    common.release(spark)
+    join = _Join(spark.table(name), percent, stats)
+    join.run(entries)
+    common.drop(entries)
+    links = common.cut(join.links, "all-links")
+    if links.isEmpty():
         groups = classes.select("key", "class_id", F.col("class_id").alias("component_id"))
     else:
-        labels = graphs.components(join.links).select(F.col("node").alias("key"), "label")
+        ends = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
+        nodes = ends.select(F.col("src").alias("id")).union(ends.select("dst")).distinct()
+        labels = connected_components(nodes, ends).select(F.col("id").alias("key"), F.col("component").alias("label"))
         placed = classes.join(labels, "key", "left").select("key", "class_id", F.coalesce("label", "key").alias("label"))
         groups = placed.join(placed.groupBy("label").agg(F.min("class_id").alias("component_id")), "label").select("key", "class_id", "component_id")
-    out = filled.join(common.cut(groups, "groups"), "key").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "class_id", "component_id")
+    out = filled.join(groups, "key").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "class_id", "component_id")
     alone = facts.where("n = 0").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     out = common.cut(out.unionByName(alone), "joined")
-    unbucket()
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    common.drop_path(spark, path)
+    common.drop(written, links, *join.written)
+    common.release(spark)
     return out
 
 

@@ -205,7 +205,6 @@ def learning_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Gam:
     """Features are computed on the executors; the driver gets one row of numbers for each sampled text."""
-    common.small_batches(docs.sparkSession)
     sample = learning_sample(docs, labels, id_col, text_col, label_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +222,6 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
 def score_quality(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """doc_id, score in 0 to 1 (higher: label 1 is likelier) and predicted (1 from the threshold on)."""
-    common.small_batches(docs.sparkSession)
     source = common.pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +236,6 @@ def score_quality(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col:
 
 def keep_good(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that the model doesn't reject, with all their columns, in one pass and without a join."""
-    common.small_batches(docs.sparkSession)
     where = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

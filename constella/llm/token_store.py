@@ -289,7 +289,6 @@ def _bounds(tokens: DataFrame, parts: int) -> list:
 def write_ids(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 0) -> None:
     """Write the coded ids of every text to ``path``/rows and the code lengths to ``path``/code."""
     spark = df.sparkSession
-    common.small_batches(spark)
     tokenizer = tokenizer or default_tokenizer()
     from tokenizers import Tokenizer
 
@@ -328,7 +327,6 @@ def write_ids(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
 def read_ids(spark: SparkSession, path: str, per_row: Callable[[np.ndarray], object], schema_of_result: str, arrow_type: pa.DataType) -> DataFrame:
     """range, row, doc_id, n and ``result``: what ``per_row`` makes of each document's decoded ids."""
-    common.small_batches(spark)
     rows = spark.read.parquet(f"{path}/rows")
     lengths = np.frombuffer(spark.read.parquet(f"{path}/code").first()["lengths"], np.uint8)
     held = spark.sparkContext.broadcast(decoding_table(lengths))
