@@ -201,19 +201,24 @@ def _needed(n, m, percent: int):
     return F.ceil(((n + m) * percent).cast("bigint") / F.lit(100 + percent))
 
 
-def _differences(s: np.ndarray, hub: np.ndarray) -> tuple[np.ndarray, int]:
-    """Shingles in which a set and its hub differ, and the number that they share."""
+def _differences(s: np.ndarray, hub: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of a set that its hub lacks, and those of the hub that it lacks."""
     at = np.searchsorted(hub, s)
     inside = hub[np.minimum(at, len(hub) - 1)] == s
     missing = np.ones(len(hub), bool)
     missing[at[inside]] = False
-    return np.concatenate([s[~inside], hub[missing]]), int(np.count_nonzero(inside))
+    return s[~inside], hub[missing]
+
+
+def _widest(n: int, percent: int) -> int:
+    """Shingles in which a set of n and one that links with it differ at most."""
+    return (n + 100 * n // percent) * (100 - percent) // (100 + percent)
 
 
 def _prefix_size(n: int, m: int, shared: int, percent: int) -> tuple[int, bool]:
     """How many of the differences from a hub of m shingles a set of n must show, and whether the two link.
 
-    A set that isn't linked differs from a partner in at most ``widest`` shingles, so one of ``widest + 1`` differences is shared. A
+    A set that isn't linked differs from a partner in ``_widest`` shingles at most, so one of that many and one more is shared. A
     linked one only needs partners that aren't: these differ from the hub so much that about half of its own differences must be shared.
     """
     linked = 100 * shared >= percent * (n + m - shared)
@@ -221,8 +226,7 @@ def _prefix_size(n: int, m: int, shared: int, percent: int) -> tuple[int, bool]:
     if linked:
         least = (a + m - n) / 2 + percent * (n - m) / (100 + percent)
         return a - max(1, int(np.floor(least))) + 1, True
-    widest = (n + 100 * n // percent) * (100 - percent) // (100 + percent)
-    return min(a, widest + 1), False
+    return min(a, _widest(n, percent) + 1), False
 
 
 class _Join:
@@ -232,8 +236,8 @@ class _Join:
     listed: the set, or its differences from the hub) and pos (place in the order of what is listed).
     """
 
-    def __init__(self, sets: DataFrame, percent: int, stats: dict | None):
-        self.sets, self.percent, self.stats = sets, percent, stats
+    def __init__(self, sets: DataFrame, percent: int, standing: np.ndarray, stats: dict | None):
+        self.sets, self.percent, self.standing, self.stats = sets, percent, standing, stats
         self.labels: DataFrame | None = None
         self.tested: DataFrame | None = None
         self.links: DataFrame | None = None
@@ -324,34 +328,43 @@ class _Join:
         self.tested = tested if self.tested is None else self.tested.unionByName(tested)
 
     def compare_with_hubs(self, pairs: DataFrame) -> DataFrame:
-        """Full comparison of members with their hub: (key, hub, n, a, linked, size, apart), the last all differences, of which ``size`` have to show."""
-        percent = self.percent
+        """Full comparison of members with their hub: (key, hub, far, n, a, linked, size, apart).
+
+        ``a`` is the number of differences and ``size`` how many of them have to show. A member near its hub lists all of them, one that is far
+        the first ``size``: what the hub lacks, by how much its bucket of the sketch stands out. Two sets whose ``a`` are further apart than a
+        partner's differences can't link, so near and far members are families of their own, and those between are in both.
+        """
+        percent, held = self.percent, self.sets.sparkSession.sparkContext.broadcast(self.standing)
         # A hub with many members is repeated, once for every HUB_MEMBERS of them, so that no task gets them all.
         parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_MEMBERS).cast("int").alias("parts"))
         dealt = pairs.join(parts, "hub").select("key", "hub", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int").alias("part"))
         hubs = self.sets.select(F.col("key").alias("hub"), F.col("tokens").alias("other")).join(parts, "hub")
         hubs = hubs.select("hub", "other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         joined = dealt.join(self.sets.select("key", "tokens"), "key").join(hubs, ["hub", "part"]).select("key", "hub", "tokens", "other")
+        schema = pa.schema([("key", pa.int64()), ("hub", pa.int64()), ("far", pa.bool_()), ("n", pa.int32()), ("a", pa.int32()), ("linked", pa.bool_()), ("size", pa.int32()), ("apart", pa.list_(pa.int64()))])
 
         def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            standing = held.value
             for batch in batches:
-                n, a, linked, sizes, every = [], [], [], [], []
-                for x, y in zip(batch.column("tokens"), batch.column("other"), strict=True):
+                rows = []
+                for key, hub_key, x, y in zip(*[batch.column(c) for c in ("key", "hub", "tokens", "other")], strict=True):
                     s, hub = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                    apart, shared = _differences(s, hub)
-                    size, link = _prefix_size(len(s), len(hub), shared, percent)
-                    n.append(len(s))
-                    a.append(len(apart))
-                    linked.append(link)
-                    sizes.append(size)
-                    every.append(apart.view(np.int64))
-                columns = [pa.array(n, pa.int32()), pa.array(a, pa.int32()), pa.array(linked, pa.bool_()), pa.array(sizes, pa.int32()), pa.array(every, pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("hub"), *columns], names=["key", "hub", "n", "a", "linked", "size", "apart"])
-
-        out = self.cut(joined.mapInArrow(differ, "key bigint, hub bigint, n int, a int, linked boolean, size int, apart array<bigint>"), "differences")
+                    more, less = _differences(s, hub)
+                    a, near = len(more) + len(less), 2 * _widest(len(hub), percent)
+                    size, linked = _prefix_size(len(s), len(hub), len(s) - len(more), percent)
+                    facts = (len(s), a, linked, size)
+                    if a <= near + _widest(len(s), percent):
+                        rows.append((key.as_py(), hub_key.as_py(), False, *facts, np.concatenate([more, less]).view(np.int64)))
+                    if a > near:
+                        order = np.lexsort((more, standing[(more & np.uint64(SKETCH - 1)).astype(np.int64)]))
+                        rows.append((key.as_py(), hub_key.as_py(), True, *facts, np.concatenate([more[order[:size]], less])[:size].view(np.int64)))
+                columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+        out = self.cut(joined.mapInArrow(differ, "key bigint, hub bigint, far boolean, n int, a int, linked boolean, size int, apart array<bigint>"), "differences")
         ends = [F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")]
         self.keep(out.where("linked").select(*ends), out.select(*ends))
-        self.count("hub_pairs", out)
+        self.count("hub_pairs", pairs)
         return out
 
     def relabel(self) -> None:
@@ -364,17 +377,20 @@ class _Join:
         self.labels = self.cut(further.join(jump, "label", "left").select("key", F.coalesce("far", "label").alias("label")), "labels")
 
     def differing(self, members: DataFrame, apart: DataFrame) -> DataFrame:
-        """Entries of the next level: prefixes of the differences, those that few of the family have first.
+        """Entries of the next level: prefixes of the differences, for near members those first that few of the family have.
 
         Differences that one member alone has come before all others and lead nowhere, so they are only counted.
         """
-        every = members.join(apart, ["key", "hub"]).select("fam", "hub", "key", "n", "a", "size", F.explode("apart").alias("token"))
+        listed = members.join(apart, ["key", "hub"])
+        group = F.xxhash64("fam", "hub", "token", "far").alias("g")
+        far = listed.where("far").select("fam", "hub", "far", "key", "n", "a", F.posexplode("apart").alias("pos", "token"))
+        every = listed.where("not far").select("fam", "hub", "far", "key", "n", "a", "size", F.explode("apart").alias("token"))
         several = every.groupBy("fam", "hub", "token").agg(F.count("*").alias("f")).where("f > 1")
         rows = every.join(several, ["fam", "hub", "token"])
         own = Window.partitionBy("fam", "hub", "key")
         place = F.row_number().over(own.orderBy("f", "token")) - 1 + F.col("a") - F.count("*").over(own)
-        rows = rows.withColumn("pos", place.cast("int")).where("pos < size")
-        return rows.select(F.xxhash64("fam", "hub", "token").alias("g"), "key", "n", "a", "pos")
+        near = rows.withColumn("pos", place.cast("int")).where("pos < size")
+        return near.select(group, "key", "n", "a", "pos").unionByName(far.select(group, "key", "n", "a", "pos"))
 
     def run(self, entries: DataFrame) -> None:
         most, first = SMALL, True
@@ -426,7 +442,7 @@ def ngram_join(df: DataFrame, id_col: str, text_col: str, width: int = 5, percen
     full.repartition(buckets, "key").dropDuplicates(["key"]).write.option("path", path).option("compression", "zstd").bucketBy(buckets, "key").sortBy("key").saveAsTable(name)
     common.drop(keys)
     common.release(spark)
-    join = _Join(spark.table(name), percent, stats)
+    join = _Join(spark.table(name), percent, sketches[0], stats)
     join.run(entries)
     common.drop(entries)
     links = common.cut(join.links, "all-links")

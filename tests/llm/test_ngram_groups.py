@@ -53,8 +53,8 @@ def test_every_level_of_hubs(spark, monkeypatch, width, percent):
     monkeypatch.setattr(ngram_join, "HUB_MEMBERS", 20)
     rng = np.random.default_rng(21)
     passage = " ".join(f"passage{i}" for i in range(60))
-    texts = copies(rng, 90, 100, 5, "a") + copies(rng, 60, 140, 9, "b")
-    texts += [f"{passage} " + " ".join(rng.choice([f"w{k}" for k in range(400)], int(rng.integers(3, 30)))) for _ in range(60)]
+    texts = copies(rng, 45, 100, 5, "a") + copies(rng, 30, 140, 9, "b")
+    texts += [f"{passage} " + " ".join(rng.choice([f"w{k}" for k in range(400)], int(rng.integers(3, 30)))) for _ in range(30)]
     want = components_of(texts, width, percent)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("g", F.lit("x")).repartition(3)
     got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(df, "doc_id", "text", width, percent).collect()}
