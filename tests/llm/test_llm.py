@@ -315,15 +315,28 @@ def test_token_files(spark, odd, documents):
 # --- leaks -------------------------------------------------------------------------------------
 
 
-def test_common_subsequence():
+def plain_subsequence(a, b):
+    table = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, table[j] = table[j], before + 1 if x == y else max(table[j], table[j - 1])
+    return table[-1]
+
+
+@pytest.mark.parametrize("longest", [30, 64, 150])
+def test_common_subsequences_in_step(longest):
     rng = np.random.default_rng(6)
-    for _ in range(50):
-        a, b = rng.integers(0, 5, 12), rng.integers(0, 5, 15)
-        table = np.zeros((13, 16), int)
-        for i in range(12):
-            for j in range(15):
-                table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])
-        assert decontaminate.common_subsequence(a, b) == table[-1, -1]
+    texts = [rng.integers(0, 9, int(rng.integers(9, longest + 1))).astype(np.uint16) for _ in range(12)] + [rng.integers(0, 9, longest).astype(np.uint16)]
+    (items,) = decontaminate.item_groups(texts, 0.7, 0.5)
+    k = rng.integers(0, len(texts), 40)
+    words = rng.integers(0, 11, (40, 50)).astype(np.int64)
+    rows = items.row[words]
+    whole, answer = items.subsequences(rows, k), items.subsequences(rows, k, answer=True)
+    for i in range(40):
+        item = texts[items.at[k[i]]].tolist()
+        assert whole[i] == plain_subsequence(item, words[i].tolist())
+        assert answer[i] == plain_subsequence(item[-5:], words[i].tolist())
 
 
 def test_leaks_exact_and_paraphrased(spark, documents, odd, texts):
@@ -379,15 +392,68 @@ def test_leak_beside_its_words_in_other_order(spark):
     assert [(r.doc_id, r.lcs) for r in got] == [(500, 0.8125)]
 
 
-def test_passages_that_meet_are_confirmed_by_any_piece():
-    item = np.arange(1, 21)
-    longer, answered = np.concatenate([item[:12], np.zeros(18, int)]), np.concatenate([np.zeros(8, int), item[9:], np.zeros(11, int)])
-    doc = np.concatenate([longer, answered])
-    # The piece with most of the item lacks its answer; the other one has it.
-    assert decontaminate.best_cover(item, doc, 0, len(doc), 0.7, 0.5)[:2] == (0.55, 1.0)
-    assert decontaminate.best_cover(item, longer, 0, len(longer), 0.7, 0.5) is None
-    far = [(200, 216, 0.7), (0, 16, 0.9), (40, 56, 0.8)]
-    assert list(decontaminate.merged(far, 20)) == [[(0, 16, 0.9), (40, 56, 0.8)], [(200, 216, 0.7)]]
+def plain_words(text):
+    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+
+
+def plain_leaks(docs, items, strong=0.7, weak=0.5):
+    """Every item against every piece of one and a half times its length, at every word of every document."""
+    out = set()
+    for d, text in docs:
+        w = plain_words(text)
+        for k, item in items:
+            t = plain_words(item)
+            if len(t) < 8:
+                found = any(w[i : i + len(t)] == t for i in range(len(w) - len(t) + 1)) if t else False
+            else:
+                span, known, found = len(t) + len(t) // 2, set(t), False
+                for i in range(max(1, len(w) - len(t) // 2)):
+                    piece = w[i : i + span]
+                    if sum(x in known for x in piece) < weak * len(t):
+                        continue
+                    share = plain_subsequence(t, piece) / len(t)
+                    if share >= strong or share >= weak and plain_subsequence(t[-5:], piece) >= 0.8 * min(5, len(t)):
+                        found = True
+                        break
+            if found:
+                out.add((d, k))
+    return out
+
+
+def test_leaks_against_every_piece_of_every_document(spark):
+    """Paraphrases with half of the words changed, others reordered, and short items, against the plain search: recall, and nothing beyond it."""
+    rng = np.random.default_rng(31)
+    vocabulary = [f"v{i}" for i in range(150)]
+    text = lambda n: list(rng.choice(vocabulary, n))
+    items = [(i, " ".join(text(n))) for i, n in enumerate([3, 5, 7, 8, 9, 12, 15, 16, 20, 24, 31, 32, 33, 48, 59, 64, 65, 90, 130])]
+    rows = []
+    for i, item in items:
+        words = item.split()
+        for share in (0.0, 0.15, 0.3, 0.45):
+            changed = [w if rng.random() >= share else "other" for w in words]
+            rows.append(" ".join([*text(int(rng.integers(0, 90))), *changed, *text(int(rng.integers(0, 60)))]))
+        rows.append(" ".join([*text(20), *words[len(words) // 2 :], *words[: len(words) // 2], *text(9)]))
+    rows += [" ".join(text(60)) for _ in range(40)]
+    docs = list(enumerate(rows))
+    want = plain_leaks(docs, items)
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.decontaminate(frame, spark.createDataFrame(items, "item_id int, text string")).collect()}
+    assert len(want) > 50 and len(got & want) >= 0.97 * len(want)
+    assert got <= want
+
+
+def test_long_documents_are_searched_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(32)
+    item = [f"item{i}" for i in range(40)]
+    words = [f"w{i}" for i in rng.integers(0, 3000, 9000)]
+    for at in (10, 1000, 1030, 5000, 8950):
+        whole = decontaminate.CHUNK_WORDS
+        doc = [*words[:at], *item, *words[at:]]
+        frame = spark.createDataFrame([(1, " ".join(doc)), (2, " ".join(words))], "doc_id string, text string")
+        monkeypatch.setattr(decontaminate, "CHUNK_WORDS", 1024)
+        got = decontaminate.decontaminate(frame, spark.createDataFrame([("a", " ".join(item))], "item_id string, text string")).collect()
+        monkeypatch.setattr(decontaminate, "CHUNK_WORDS", whole)
+        assert [(r.doc_id, r.item_id, r.lcs, r.answer) for r in got] == [("1", "a", 1.0, 1.0)]
 
 
 # --- pipeline ----------------------------------------------------------------------------------
