@@ -102,25 +102,25 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 CHUNK_BYTES = 1 << 20
 
 
-def text_chunks(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of texts (first row, end row, their bytes, offsets in them); a null text counts as empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)
     first = 0
     while first < len(column):
-        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + CHUNK_BYTES, side="right")) - 1)
+        end = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1)
         end = min(end, len(column))
         yield first, end, data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first]
         first = end
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lower-cased (A-Z only) bytes, start and end of each word, and words before each text.
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes (A-Z in lower case), start and end of each word, and words before each text.
 
     A word is a maximal run of bytes that are not ``between`` words (white space), within one text.
     """
-    raw = _LOWER[data]
+    raw = _LOWER[data] if lower else data
     space = between[data]
     first = np.ones(len(raw) + 1, dtype=bool)
     first[1:] = space
@@ -133,16 +133,18 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPA
     return raw, start, end, np.searchsorted(start, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit hash of each word and the number of words before each text.
-
-    The hash is a polynomial over the word's bytes, taken from one prefix sum, then mixed with its length.
-    """
-    raw, start, end, before = word_spans(data, offsets, between)
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run of bytes: a polynomial over them, taken from one prefix sum, then mixed with their number."""
     up, down = _powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
     np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
-    return mix(((sums[end] - sums[start]) * down[start]) ^ (end - start).astype(np.uint64)), before
+    return mix(((sums[end] - sums[start]) * down[start]) ^ (end - start).astype(np.uint64))
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each word and the number of words before each text."""
+    raw, start, end, before = word_spans(data, offsets, between)
+    return span_hashes(raw, start, end), before
 
 
 def fold(words: np.ndarray, width: int) -> np.ndarray:

@@ -6,9 +6,11 @@ import html
 import re
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -296,20 +298,64 @@ def test_code_is_complete_and_optimal():
     assert short.max() <= 4 and sum(2.0 ** -int(n) for n in short) <= 1.0
 
 
+TRICKY = [
+    "a  b \n c\n\nd  ", "it's <|endoftext|> 你好", "x" * 3000, " lead", "trail ", " ", "\n", "a\n", "\na b", "don't we'll I'm they've he'd 'tis can't, won't.", "3.14, a.b,c;d 1,000 x='y' O'Neil's!",
+    "é. à, ñ! ß; ×. ÷, a×b÷c", "nbsp\u00a0here, \u00a0 there", "curly \u2018quotes\u2019 \u2013 dash\u2026.", "tab\tin word\t, x", "line\nbreak. in\nword", "\u0085next", "e\u0301 combining", "a, b, a, b",
+    "emoji 🙂. ok", "\x00nul", "__init__.py --flag=1 [x](y) {z}", "##a#b ...", "a..b ...c. .d", "''s 's 'S", "ſt ŀ. ǆ,", "word", "word word", "wordword.word word.",
+]
+
+
+def test_units_are_encoded_as_the_tokenizer_encodes_whole_texts(monkeypatch, texts):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(token_store.default_tokenizer())
+    encoder = token_store.PieceEncoder(token_store.default_tokenizer())
+    rng = np.random.default_rng(40)
+    parts = ["a", "b'", "'s", ".", ",", " ", "\n", "é", "×", "1", "-", "\u00a0", "'ll", "ab", "\u2019", "  "]
+    mixed = ["".join(rng.choice(parts, int(rng.integers(0, 14)))) for _ in range(1500)]
+    for cache in (600_000, 50):
+        monkeypatch.setattr(token_store, "CACHE", cache)
+        for some in (TRICKY, mixed, [None, "", *texts.values()], TRICKY[::-1]):
+            ids, sizes = [], []
+            for _, _, data, offsets in common.text_chunks(pa.array(some, pa.string()), 1 << 16):
+                got, each = encoder.encode(data, offsets, 7)
+                ids.append(got)
+                sizes += each.tolist()
+            ends = np.cumsum(sizes)
+            flat = np.concatenate(ids).tolist()
+            for text, a, b in zip(some, (ends - sizes).tolist(), ends.tolist(), strict=True):
+                assert flat[a:b] == [*tokenizer.encode(text or "", add_special_tokens=False).ids, 7], text
+
+
 def test_token_files(spark, odd, documents):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(token_store.default_tokenizer())
-    more = [(100, "a  b \n c\n\nd  "), (101, "it's <|endoftext|> 你好"), (102, "x" * 3000)]
-    every = odd.select("doc_id", "text").unionByName(documents.select(F.col("doc_id") + 1000, "text").toDF("doc_id", "text")).unionByName(spark.createDataFrame(more, "doc_id bigint, text string"))
+    hot = spark.range(60).select(F.lit(77).cast("bigint").alias("doc_id"), F.concat(F.lit("hot "), F.col("id").cast("string")).alias("text"))
+    every = odd.select("doc_id", "text").unionByName(documents.select(F.col("doc_id") + 1000, "text").toDF("doc_id", "text")).unionByName(hot)
+    every = every.unionByName(spark.createDataFrame(list(enumerate(TRICKY, 100)), "doc_id bigint, text string")).repartition(3)
     path = common.new_path(spark, "test-tokens")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
     token_store.write_ids(every.withColumn("bits", F.lit(1)), path)
+    spark.conf.set("spark.sql.shuffle.partitions", before)
     got = Counter((r.doc_id, tuple(r.ids)) for r in token_store.ids_of(spark, path).collect())
     want = Counter((r.doc_id, (*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0)) for r in every.collect())
     assert got == want
-    rows = token_store.with_starts(token_store.read_ids(spark, path, len, "bigint", pa.int64())).where("doc_id is not null").orderBy("start").collect()
-    assert [r.doc_id for r in rows] == sorted(r.doc_id for r in rows)
-    assert all(b.start == a.start + a.n for a, b in zip(rows, rows[1:], strict=False))
+    files = sorted(Path(f"{path}/rows".removeprefix("file://")).glob("part-*"))
+    ids = [i for f in files for i in pq.read_table(f, columns=["doc_id"])["doc_id"].to_pylist()]
+    assert len(files) > 3 and ids == sorted(ids, key=lambda i: (i is not None, i))
+    crc = lambda x: zlib.crc32(x.astype("<u4").tobytes())
+    rows = token_store.with_starts(token_store.read_ids(spark, path, crc, "bigint", pa.int64())).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == ids
+    at = 0
+    for r in rows:
+        assert r.start == at
+        at += r.n
+    assert Counter((r.doc_id, r.result) for r in rows) == Counter((d, crc(np.array(x))) for d, x in want.elements())
+    empty = common.new_path(spark, "test-no-tokens")
+    token_store.write_ids(every.limit(0), empty)
+    assert token_store.ids_of(spark, empty).count() == 0
 
 
 # --- leaks -------------------------------------------------------------------------------------
