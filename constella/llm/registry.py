@@ -19,8 +19,9 @@ def queries() -> dict:
         "op9_latent_decontamination": decontaminate.op9_latent_decontamination,
         "op10_quality_gam": quality.op10_quality_gam,
         "pipeline": corpus_pipeline.run,
+        "secret_base_spans": secrets.base_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc_archive": warc.OP2_SQL}
+    return {"op2_warc_archive": warc.OP2_SQL, "secret_base_spans": secrets.BASE_SQL}

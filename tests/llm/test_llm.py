@@ -3,7 +3,9 @@
 import base64
 import hashlib
 import html
+import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -109,12 +111,136 @@ def plain_spans(text):
     return sorted(out)
 
 
-def test_secret_spans(spark, documents, odd):
-    extra = spark.createDataFrame([(-1, "é🙂 Token = 'secret: abcdefgh'"), (-2, "API_KEY:\"abcdef\" " + "0123456789abcdef" * 2)], "doc_id bigint, text string")
+ALPHABETS = [("0123456789abcdef", r"[0-9a-f]+"), ("0123456789ABCDEF", r"[0-9A-F]+"), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", r"[A-Z2-7]+"), ("0123456789abcdefghijklmnopqrstuvwxyz", r"[0-9a-z]+")]
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+ALPHABETS += [("0123456789" + LETTERS, r"[0-9A-Za-z]+"), (LETTERS + "0123456789+/", r".+")]
+
+
+def plain_p(run):
+    """The battery for one run, in plain Python."""
+    plain = run.rstrip("=").replace("-", "+").replace("_", "/")
+    symbols = next(a for a, pattern in ALPHABETS if re.fullmatch(pattern, plain))
+    if "0" == symbols[0] and len(symbols) == 62:
+        symbols = "0123456789" + LETTERS
+    k, u = len(symbols), [(symbols.index(c) + 0.5) / len(symbols) for c in plain if c in symbols]
+    n = len(u)
+    if n < 16:
+        return 0.0
+    share = Counter(int((i + 0.5) * 8 / k) for i in range(k))
+    seen = Counter(int(v * 8) for v in u)
+    chi2 = sum((seen[b] - n * share[b] / k) ** 2 / (n * share[b] / k) for b in range(8))
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    p_chi = tail(((max(chi2, 0) / 7) ** (1 / 3) - (1 - 2 / 63)) / math.sqrt(2 / 63))
+    runs = sum((a < 0.5) != (b < 0.5) for a, b in zip(u, u[1:], strict=False))
+    p_runs = min(1, 2 * tail(abs(runs - (n - 1) / 2) / math.sqrt((n - 1) / 4))) - (2 * runs == n - 1) / math.sqrt(2 * math.pi * (n - 1))
+    lag = sum((a - 0.5) * (b - 0.5) for a, b in zip(u, u[1:], strict=False))
+    p_lag = min(1, 2 * tail(abs(lag) * 12 / (1 - 1 / k**2) / math.sqrt(n - 1)))
+    x = -sum(math.log(max(p, 1e-12)) for p in (p_chi, p_runs, p_lag))
+    freedom = 72 / (12 + 2 * 2.218)
+    return tail(((x / 3) ** (1 / 3) - (1 - 2 / (9 * freedom))) / math.sqrt(2 / (9 * freedom)))
+
+
+def plain_runs(text):
+    base = plain_spans(text)
+    found = [m for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text or "") if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
+    return [(m.start(), m.end(), m[0]) for m in found if not any(s < m.end() and m.start() < e for s, _, e in base)]
+
+
+def plain_levels(runs, rate=0.1):
+    """Least p of each length class, from (length, p) of all runs."""
+    out, starts = {}, (20, 28, 36, 48, 64, 128)
+    for c, low in enumerate(starts):
+        high = starts[c + 1] if c + 1 < len(starts) else 10**9
+        bins = Counter(min(63, int(p * 64)) for n, p in runs if low <= n < high)
+        parts = [sum(bins[b] for b in range(32 + 8 * j, 40 + 8 * j)) for j in range(4)]
+        eighth = min((sum(parts) + 2 * sum(parts) ** 0.5) / 4, *[x * 4 / 3 + 2 * x**0.5 + 1 for x in parts])
+        for at in range(33):
+            kept = sum(v for b, v in bins.items() if b >= at)
+            if sum(parts) and 1 - 8 * eighth * (1 - at / 64) / max(kept, 1) <= rate:
+                out[c] = at / 64
+                break
+    return out
+
+
+def secret_texts():
+    rng = np.random.default_rng(3)
+    texts = ["é🙂 Token = 'secret: abcdefgh'", "API_KEY:\"abcdef\" " + "0123456789abcdef" * 2, "AKIA" + "A1" * 10 + " AKIA12", "a" * 30 + "1" * 5, "=" * 25 + "a1", "token=abc " * 70 + "Zx9" * 9]
+    for symbols, _ in ALPHABETS:
+        texts += [f"key {''.join(rng.choice(list(symbols), int(n)))}== é end" for n in rng.integers(20, 200, 25)]
+    return texts + [f"run user_profile_settings_backup_{i:04d}_final_version here" for i in range(30)]
+
+
+def test_secret_spans_and_battery(spark, documents, odd):
+    extra = spark.createDataFrame(list(enumerate(secret_texts(), 10**6)), "doc_id bigint, text string")
     every = documents.select("doc_id", "text").unionByName(odd.select("doc_id", "text")).unionByName(extra)
-    for r in secrets.scan_secrets(every.withColumn("base", F.lit(1)), "doc_id", "text").join(every.withColumnRenamed("doc_id", "d"), F.expr("doc_id <=> d")).collect():
-        if r.doc_id is not None and r.doc_id > 9 or r.doc_id in (-1, -2):
-            assert [(s.start, s.kind, s.end) for s in sorted(r.base, key=lambda s: (s.start, s.kind))] == plain_spans(r.text)
+    runs = Counter()
+    for r in secrets._with_spans(every.withColumn("base", F.lit(1)), "text").collect():
+        assert [(s.start, s.kind, s.end) for s in r["__base"]] == plain_spans(r.text)
+        want = plain_runs(r.text)
+        assert [(x.start, x.end) for x in r["__runs"]] == [(a, b) for a, b, _ in want]
+        for x, (a, b, run) in zip(r["__runs"], want, strict=True):
+            assert x.p == pytest.approx(plain_p(run), abs=2e-6)
+            runs[b - a, x.p] += 1
+    least = plain_levels(list(runs.elements()))
+    classes = lambda n: sum(n >= s for s in (20, 28, 36, 48, 64, 128)) - 1
+    texts = every.collect()
+    got = Counter((r.doc_id, tuple(sorted((s.start, s.kind, s.end) for s in r.spans))) for r in secrets.scan_secrets(every, "doc_id", "text").collect())
+    want = Counter()
+    for r in texts:
+        more = [(a, 3, b) for a, b, run in plain_runs(r.text) if round(plain_p(run), 7) >= least.get(classes(b - a), 2)]
+        want[r.doc_id, tuple(sorted(plain_spans(r.text) + more))] += 1
+    assert sum((got - want).values()) <= 1  # a p-value next to its threshold
+
+
+def test_random_keys_have_uniform_p_values():
+    rng = np.random.default_rng(9)
+    for symbols, _ in (ALPHABETS[0], ALPHABETS[3], ALPHABETS[4], ALPHABETS[5]):
+        for n in (24, 40, 100):
+            runs = ["".join(rng.choice(list(symbols), n)) for _ in range(3000)]
+            p = [plain_p(r) for r in runs if len(symbols) < 64 or "+" in r or "/" in r][:1200]
+            parts = np.histogram(p, np.linspace(0, 1, 9))[0]
+            assert abs(parts - 150).max() < 60, (len(symbols), n, parts)
+            # The control takes them for random.
+            assert parts[4:].mean() <= min(c * 4 / 3 + 2 * c**0.5 + 1 for c in parts[4:])
+
+
+def test_runs_piled_up_above_one_half_are_not_random(spark):
+    rng = np.random.default_rng(10)
+    p = lambda n, lo, hi: [(2, float(x)) for x in rng.uniform(lo, hi, n)]
+    piled = p(400, 0.5, 0.58) + p(40, 0, 1)
+    spread = [(3, x) for _, x in p(300, 0, 1) + p(300, 0, 0.01)]
+    rows = spark.createDataFrame(piled + spread, "length_class int, p double")
+    got = {r.length_class: r.least_p for r in secrets.thresholds(rows, 0.1).collect()}
+    assert 2 not in got and 0 < got[3] <= 0.1
+
+
+def test_redaction_against_plain(spark, odd):
+    rng = np.random.default_rng(11)
+    texts = [*secret_texts(), None, "", "é" * 5000 + "password=hunter22" + "🙂" * 9000 + " token: abcdefgh", "secret=AKIA" + "A" * 20, " ".join("password=hunter22" for _ in range(700))]
+    texts += ["".join(rng.choice(["é", "token=abcdef1 ", "x", "🙂", "0123456789abcdef01234567 "], 600)) for _ in range(4)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    spans = secrets.scan_secrets(df, "doc_id", "text").select("doc_id", "spans")
+    for r in df.join(spans, "doc_id").withColumn("out", secrets.redact(F.col("text"), F.col("spans"))).collect():
+        merged = []
+        for s in sorted((s.start, s.end) for s in r.spans):
+            if merged and s[0] < merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], s[1])
+            else:
+                merged.append(list(s))
+        at, out = 0, ""
+        for a, b in merged:
+            out, at = out + (r.text or "")[at:a] + "[secret]", b
+        assert r.out == (None if r.text is None else out + r.text[at:])
+    assert secrets.redact_secrets(odd, "text").columns == odd.columns
+
+
+def test_dense_texts_are_scanned_in_time(spark):
+    rng = np.random.default_rng(12)
+    blob = "".join(rng.choice(list(LETTERS + "0123456789+/"), 200_000))
+    dense = " ".join(f"token=abc{i:07d} {i:020d}x" for i in range(4000))
+    began = time.time()
+    got = secrets.redact_secrets(spark.createDataFrame([(1, blob), (2, dense)], "doc_id bigint, text string"), "text").collect()
+    assert time.time() - began < 60 and got[1].text.count("[secret]") == 4000
 
 
 def test_randomness_battery_tells_keys_from_names(spark):
