@@ -98,6 +98,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+#: Rows of a batch that are worked on, and sent back, together.
+BATCH_ROWS = 1000
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches: what is made of each stays small whatever Spark's setting."""
+    for batch in batches:
+        for at in range(0, max(batch.num_rows, 1), BATCH_ROWS):
+            yield batch.slice(at, BATCH_ROWS)
+
+
 #: Bytes of text that are hashed in one go; a longer text goes alone.
 CHUNK_BYTES = 1 << 20
 

@@ -7,7 +7,8 @@ in numpy on labelled pages that ``labelled_pages`` makes from a rule: articles i
 footers, sidebars, notices, adverts, forms and reader comments.
 
 Defined results: a null or empty page has empty text. Repeated rows give equal rows. Broken markup is read as far as it goes: an
-unclosed element ends with its parent, a tag that is never closed by ``>`` is text. An empty table gives an empty table. Extra
+unclosed element ends with its parent, a tag that is never closed by ``>`` is text, a quote without an end is no quote. Work and memory grow
+with the page, however deep or broken it is. An empty table gives an empty table. Extra
 columns are left out. Nothing is cut: white space inside a block becomes one space, blocks are joined by one line end.
 """
 
@@ -16,7 +17,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -43,7 +44,14 @@ CLOSES = {
 }
 ENDS_P = BLOCK - {"br", "label", "button"}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.DOTALL)
+#: Elements out of which an inline element isn't closed.
+FENCES = frozenset({"td", "th", "table", "article", "body"})
+
+_NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+_IN_TAG = re.compile(r"[>=]")
+_VALUE = re.compile(r"\s*([\"'])?")
+_BARE = re.compile(r"[^\s>]*")
+_LONG_NUMBER = re.compile(r"&#([xX]?)([0-9a-fA-F]{7,});?")
 _ATTRIBUTE = re.compile(r"\b(id|class|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
 _WORDS = re.compile(r"[a-z]+")
 _SPACES = re.compile(r"\s+")
@@ -62,117 +70,212 @@ HINTS = {
 }
 
 
+_TAGS = "article main section div p h1 h2 h3 li ul ol nav header footer aside form table td blockquote pre figure figcaption button label details dl a span body".split()
+_KINDS = [*HINTS, "hidden"]
+_TAG_BIT = {t: 1 << i for i, t in enumerate(_TAGS)}
+_KIND_BIT = {k: 1 << i for i, k in enumerate(_KINDS)}
+
+
 @dataclass
 class Block:
-    """Text of a leaf block and the features of its ancestors."""
+    """Text of a leaf block and what its ancestors are: tags and hints as bits, the innermost block-level tag, their number."""
 
     text: str
-    path: tuple[str, ...]
-    hints: frozenset[str]
+    tags: int
+    hints: int
+    inner: str
+    depth: int
     linked: int
 
 
-def _hints_of(tag: str, attributes: str) -> frozenset[str]:
-    found: set[str] = set()
-    if attributes and len(attributes) > 3:
+def _hints_of(attributes: str) -> int:
+    found = 0
+    if len(attributes) > 3:
         for name, value in _ATTRIBUTE.findall(attributes):
             words = set(_WORDS.findall(_CAMEL.sub(" ", value.strip("\"'")).lower()))
             if name.lower() in ("hidden",) or (name.lower() == "aria-hidden" and "true" in words) or {"display", "none"} <= words:
-                found.add("hidden")
+                found |= _KIND_BIT["hidden"]
             elif name.lower() != "style":
-                found |= {kind for kind, known in HINTS.items() if words & set(known)}
-    return frozenset(found)
+                for kind, known in HINTS.items():
+                    if not words.isdisjoint(known):
+                        found |= _KIND_BIT[kind]
+    return found
 
 
 _hints = lru_cache(maxsize=20000)(_hints_of)
 
 
+def _shorter(m: re.Match) -> str:
+    """A long number without its leading zeros; one beyond all characters becomes the replacement character."""
+    digits = m[2] if m[1] else re.match("[0-9]*", m[2])[0]
+    short = digits.lstrip("0")
+    return ("\ufffd" if len(short) > 7 else f"&#{m[1]}{short or 0};") + m[2][len(digits) :] + (";" if len(digits) < len(m[2]) and m[0][-1] == ";" else "")
+
+
+def _decoded(text: str) -> str:
+    """Text with its character references decoded."""
+    if "&" not in text:
+        return text
+    return html.unescape(_LONG_NUMBER.sub(_shorter, text) if "&#" in text else text)
+
+
+class _Scanner:
+    """Tags, comments and text of a page in order. What is searched for in vain once isn't searched for again, so work grows with the page."""
+
+    def __init__(self, page: str):
+        self.page, self.gone = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.gone:
+            return -1
+        out = self.page.find(what, at)
+        if out < 0:
+            self.gone.add(what)
+        return out
+
+    def tag_end(self, at: int) -> int:
+        """Place of the ``>`` that ends the tag whose attributes start at ``at``, or -1. A quote counts where a value begins and has an end."""
+        while True:
+            if ">" in self.gone:
+                return -1
+            m = _IN_TAG.search(self.page, at)
+            if not m:
+                self.gone.add(">")
+                return -1
+            if m[0] == ">":
+                return m.start()
+            value = _VALUE.match(self.page, m.end())
+            close = self.find(value[1], value.end()) if value[1] else -1
+            at = close + 1 if close >= 0 else _BARE.match(self.page, value.end()).end()
+
+    def __iter__(self) -> Iterator[tuple[str, str, str]]:
+        """(kind, name or text, attributes): kinds are text, raw (text as it stands), start and end."""
+        page, at, start = self.page, 0, 0
+        while (start := page.find("<", start)) >= 0:
+            ahead = page[start + 1 : start + 2]
+            closing = ahead == "/"
+            name = _NAME.match(page, start + 1 + closing)
+            raw = ""
+            if name:
+                end = self.tag_end(name.end())
+            elif ahead == "!" and page.startswith("!--", start + 1):
+                end = self.find("-->", start + 4)
+                end = end + 2 if end >= 0 else len(page)
+            elif ahead == "!" and page.startswith("![CDATA[", start + 1) and (close := self.find("]]>", start + 9)) >= 0:
+                raw, end = page[start + 9 : close], close + 2
+            elif ahead in ("!", "?"):
+                end = self.find(">", start)
+            else:
+                end = -1
+            if end < 0:
+                start += 1
+                continue
+            if start > at:
+                yield "text", page[at:start], ""
+            if raw:
+                yield "raw", raw, ""
+            at = start = end + 1
+            if name:
+                tag = name[0].lower()
+                yield ("end" if closing else "start"), tag, page[name.end() : end]
+                if tag in RAW and not closing:
+                    close = _RAW_END[tag].search(page, at)
+                    at = start = close.start() if close else len(page)
+        if at < len(page):
+            yield "text", page[at:], ""
+
+
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.IGNORECASE) for t in RAW}
+
+
+class _Stack:
+    """Open elements, with what all of them together are, and where each kind of tag was opened last."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.facts: list[tuple[int, int, str]] = [(0, 0, "")]
+        self.places: dict[str, list[int]] = {}
+
+    def last(self, group: str) -> int:
+        """Depth of the innermost open element of a tag or group, or -1."""
+        places = self.places.get(group)
+        return places[-1] if places else -1
+
+    @staticmethod
+    def groups(tag: str) -> list[str]:
+        return [tag, *(["*block"] if tag in BLOCK else []), *(["*fence"] if tag in FENCES else [])]
+
+    def push(self, tag: str, hints: int) -> None:
+        for group in self.groups(tag):
+            self.places.setdefault(group, []).append(len(self.tags))
+        bits, kinds, inner = self.facts[-1]
+        self.tags.append(tag)
+        self.facts.append((bits | _TAG_BIT.get(tag, 0), kinds | hints, tag if tag in BLOCK else inner))
+
+    def pop(self) -> str:
+        tag = self.tags.pop()
+        self.facts.pop()
+        for group in self.groups(tag):
+            self.places[group].pop()
+        return tag
+
+
 def leaf_blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order. Inline elements don't end a block, line breaks and block-level tags do."""
+    """Leaf blocks in page order. Line breaks and block-level tags end a block, inline elements don't, skipped ones among them."""
     out: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = []
-    texts: list[str] = []
-    linked, skipping, at = 0, 0, 0
+    stack, texts = _Stack(), []
+    linked = skipping = 0
 
     def flush() -> None:
         nonlocal linked
         if texts:
-            text = _SPACES.sub(" ", html.unescape("".join(texts))).strip()
+            text = _SPACES.sub(" ", "".join(texts)).strip()
             if text:
-                path = tuple(t for t, _ in stack)
-                out.append(Block(text, path, frozenset().union(*[h for _, h in stack]) if stack else frozenset(), min(linked, len(text))))
+                tags, hints, inner = stack.facts[-1]
+                out.append(Block(text, tags, hints, inner, len(stack.tags), min(linked, len(text))))
             texts.clear()
         linked = 0
 
-    def add(piece: str) -> None:
-        nonlocal linked
-        if piece and not skipping:
-            texts.append(piece)
-            if any(t == "a" for t, _ in stack):
-                linked += len(piece)
-
     def close(depth: int) -> None:
         nonlocal skipping
-        while len(stack) > depth:
-            tag, _ = stack[-1]
-            if tag in BLOCK:
+        while len(stack.tags) > depth:
+            if stack.tags[-1] in BLOCK:
                 flush()
-            if tag in SKIPPED:
+            if stack.pop() in SKIPPED:
                 skipping -= 1
-            stack.pop()
-
-    while True:
-        m = _TOKEN.search(page, at)
-        if not m:
-            add(page[at:])
-            break
-        add(page[at : m.start()])
-        at = m.end()
-        if not m[2]:
-            if m[0].startswith("<![CDATA["):
-                add(m[0][9:-3])
+
+    for kind, name, attributes in _Scanner(page):
+        if kind in ("text", "raw"):
+            if not skipping:
+                piece = _decoded(name) if kind == "text" else name
+                texts.append(piece)
+                if stack.last("a") >= 0:
+                    linked += len(piece)
             continue
-        tag = m[2].lower()
-        if m[1]:
-            if tag in ("br", "p") and not any(t == tag for t, _ in stack):
+        depth = stack.last(name)
+        if kind == "end":
+            if depth < 0 and name in ("br", "p"):
                 flush()
-                continue
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == tag:
-                    close(depth)
-                    break
-                if stack[depth][0] in ("td", "th", "table", "article", "body") and tag not in BLOCK:
-                    break
+            elif depth >= 0 and (name in BLOCK or depth >= stack.last("*fence")):
+                close(depth)
             continue
-        if tag not in IN_HEAD:
+        if name not in IN_HEAD and stack.last("head") > stack.last("template"):
             # The end tag of a head is optional: the first element that can't be in it, such as the body, ends it.
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == "head":
-                    close(depth)
-                    break
-                if stack[depth][0] == "template":
-                    break
-        if tag in BLOCK:
+            close(stack.last("head"))
+        if name in BLOCK:
             flush()
-        if tag in VOID or m[3].endswith("/") and tag in ("svg", "path"):
+        if name in VOID or attributes.endswith("/") and name in ("svg", "path"):
             continue
-        if stack and stack[-1][0] in CLOSES.get(tag, ()):
-            close(len(stack) - 1)
-        elif tag in ENDS_P or tag in CLOSES:
+        if stack.tags and stack.tags[-1] in CLOSES.get(name, ()):
+            close(len(stack.tags) - 1)
+        elif name in ENDS_P or name in CLOSES:
             # An open paragraph, and the inline elements that were left open in it, end before a block-level element.
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == "p" or stack[depth][0] in CLOSES.get(tag, ()):
-                    close(depth)
-                    break
-                if stack[depth][0] in BLOCK:
-                    break
-        if tag in SKIPPED:
-            flush()
+            target = max(stack.last(t) for t in (*(["p"] if name in ENDS_P else []), *CLOSES.get(name, ())))
+            if target >= 0 and target >= stack.last("*block"):
+                close(target)
+        if name in SKIPPED:
             skipping += 1
-        stack.append((tag, _hints(tag, m[3])))
-        if tag in RAW:
-            end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(page, at)
-            at = end.start() if end else len(page)
+        stack.push(name, _hints(attributes))
     close(0)
     flush()
     return out
@@ -180,12 +283,9 @@ def leaf_blocks(page: str) -> list[Block]:
 
 # --- features ----------------------------------------------------------------------------------
 
-_TAGS = "article main section div p h1 h2 h3 li ul ol nav header footer aside form table td blockquote pre figure figcaption button label details dl a span body".split()
-_KINDS = [*HINTS, "hidden"]
 _LENGTHS = (10, 25, 50, 100, 200, 400)
 N_FEATURES = 2 + len(_TAGS) * 2 + len(_KINDS) + len(_LENGTHS) + 9
 _AT = {t: i for i, t in enumerate(_TAGS)}
-_KIND_AT = {k: i for i, k in enumerate(_KINDS)}
 
 
 def block_features(blocks: list[Block]) -> np.ndarray:
@@ -196,16 +296,12 @@ def block_features(blocks: list[Block]) -> np.ndarray:
     for row, b in enumerate(blocks):
         x, n = out[row], len(b.text)
         x[0] = 1
-        for t in b.path:
-            if t in _AT:
-                x[1 + _AT[t]] = 1
-        for t in reversed(b.path):
-            if t in BLOCK:
-                if t in _AT:
-                    x[inner + _AT[t]] = 1
-                break
-        for h in b.hints:
-            x[hints + _KIND_AT[h]] = 1
+        for i in range(len(_TAGS)):
+            x[1 + i] = b.tags >> i & 1
+        if b.inner in _AT:
+            x[inner + _AT[b.inner]] = 1
+        for i in range(len(_KINDS)):
+            x[hints + i] = b.hints >> i & 1
         for i, size in enumerate(_LENGTHS):
             x[lengths + i] = n >= size
         words = b.text.count(" ") + 1
@@ -215,9 +311,9 @@ def block_features(blocks: list[Block]) -> np.ndarray:
         x[rest + 3] = min(1.0, sum(map(b.text.count, ".,;:")) / words)
         x[rest + 4] = words <= 3
         x[rest + 5] = "©" in b.text or "@" in b.text
-        x[rest + 6] = min(1.0, len(b.path) / 20)
+        x[rest + 6] = min(1.0, b.depth / 20)
         x[rest + 7] = "|" in b.text or "»" in b.text or "·" in b.text
-        x[rest + 8] = not ({"article", "main"} & set(b.path)) and "main" not in b.hints
+        x[rest + 8] = not (b.tags & (_TAG_BIT["article"] | _TAG_BIT["main"])) and not b.hints & _KIND_BIT["main"]
     return out
 
 
@@ -381,7 +477,7 @@ def training_set(pages: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     for page in pages:
         blocks = leaf_blocks(page)
         labels = np.array([MARK in b.text for b in blocks], np.int64)
-        plain = [Block(t, b.path, b.hints, b.linked) for b in blocks if (t := b.text.replace(MARK, "").strip() or " ")]
+        plain = [replace(b, text=b.text.replace(MARK, "").strip() or " ") for b in blocks]
         out.append((block_features(plain), labels))
     return out
 
@@ -405,7 +501,7 @@ def extract_text(df: DataFrame, id_col: str, url_col: str, html_col: str, model:
     source = common.pick(df, page_id=id_col, url=url_col, html=html_col).withColumn("html", F.col("html").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches):
             texts = [main_text(p, chain) for p in batch.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],

@@ -26,8 +26,8 @@ from constella.llm import common
 
 #: Bytes of a window, and windows that are convolved in one go.
 WINDOW, BLOCK = 256, 256
-#: Texts of each language that are learned from, at most about; and bytes taken from each (a training sample).
-SAMPLE_TEXTS, SAMPLE_BYTES = 1200, 2048
+#: The training sample: texts of each language, at most about; code points of the piece that is taken from each, anywhere in it.
+SAMPLE_TEXTS, SAMPLE_CHARS = 1200, 2048
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -155,16 +155,15 @@ def classify(net: Network, column: pa.Array) -> tuple[list[str], list[float]]:
 
 
 def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fold: int = 4, held: int = 2) -> Network:
-    """Learn from rows outside the held-out fold: of each language about ``SAMPLE_TEXTS``, chosen by a hash of the id."""
+    """Learn from rows outside the held-out fold: of each language about ``SAMPLE_TEXTS`` different texts, chosen by a hash of id and text."""
     rows = common.pick(docs, id=id_col, text=text_col, lang=lang_col).where("lang is not null and text is not null and id is not null")
     rows = rows.where(common.crc_mod(F.col("id"), fold) != held)
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1000).collect()}
-    rate = F.lit(0.0)
-    for lang, n in counts.items():
-        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, SAMPLE_TEXTS / n))).otherwise(rate)
-    chosen = rows.where(common.uniform(F.col("id"), "language") < rate).select("id", "lang", F.substring("text", 1, SAMPLE_BYTES).alias("text"))
-    got = sorted((r["id"], r["lang"], r["text"]) for r in chosen.limit(2 * SAMPLE_TEXTS * max(1, len(counts))).collect())
-    got = [(lang, text.encode()[:SAMPLE_BYTES]) for _, lang, text in got if _LETTER.search(text)]
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    chosen = rows.join(counts, "lang").where(common.uniform(F.xxhash64("id", "text"), "language") * F.col("n") < SAMPLE_TEXTS)
+    start = F.floor(common.uniform(F.xxhash64("id", "text"), "piece") * (F.greatest(F.char_length("text") - SAMPLE_CHARS, F.lit(0)) + 1)).cast("int") + 1
+    pieces = chosen.select("id", "lang", F.substring("text", start, F.lit(SAMPLE_CHARS)).alias("text")).distinct()
+    got = sorted((r["id"], r["lang"], r["text"]) for r in pieces.collect())
+    got = [(lang, text.encode()) for _, lang, text in got if _LETTER.search(text)]
     return train_network([t for _, t in got], [lang for lang, _ in got])
 
 
@@ -173,7 +172,7 @@ def predict_languages(docs: DataFrame, net: Network, id_col: str = "doc_id", tex
     source = common.pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches):
             names, scores = classify(net, pc.fill_null(batch.column("text"), ""))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 

@@ -1,7 +1,9 @@
 """Media columns: Netpbm and BMP images as numpy arrays, area-resized, tiled as NPY, difference-hashed.
 
-Defined results: a null or empty blob, and one that is no image of a known kind, gives no tiles, height
-and width 0, a null hash and a message in ``error``. Repeated rows give repeated, equal rows. Other
+Samples of a Netpbm image whose maximum isn't the whole range of a byte (or of two) are scaled to it.
+
+Defined results: a null or empty blob, one that is no image of a known kind, and one that is broken (too few samples, samples above
+the maximum, an index beyond the palette, sizes beyond its bytes) gives no tiles, height and width 0, a null hash and a message in ``error``. Repeated rows give repeated, equal rows. Other
 columns of the input are left out, so their names can't clash. An empty table gives an empty table.
 """
 
@@ -9,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import math
 import re
 import struct
 import zlib
@@ -53,12 +56,14 @@ def decode_netpbm(data: bytes) -> np.ndarray:
     if not 0 < most < 65536:
         raise ValueError("maximum sample out of range")
     shape = (height, width, 3) if colour else (height, width)
-    n = int(np.prod(shape))
+    n = math.prod(shape)
+    if n > 8 * len(data):
+        raise ValueError("more samples than bytes could hold")
     if kind == b"P1":
         digits = re.findall(rb"[01]", re.sub(rb"#[^\n\r]*", b"", data[at:]))
         samples = np.array(digits[:n], dtype=np.uint8)
     elif kind in (b"P2", b"P3"):
-        samples = np.array(re.sub(rb"#[^\n\r]*", b"", data[at:]).split()[:n], dtype=np.int64)
+        samples = np.array([int(x[:9]) for x in re.sub(rb"#[^\n\r]*", b"", data[at:]).split()[:n]], dtype=np.int64)
     elif kind == b"P4":
         stride = (width + 7) // 8
         rows = np.frombuffer(data, np.uint8, height * stride, at + 1).reshape(height, stride)
@@ -69,22 +74,44 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         raise ValueError("too few samples")
     if bitmap:
         return ((1 - samples) * 255).astype(np.uint8).reshape(shape)
+    if n and (samples.max() > most or samples.min() < 0):
+        raise ValueError("a sample is out of range")
+    full = 255 if most < 256 else 65535
+    if most != full:
+        samples = (samples.astype(np.int64) * (2 * full) + most) // (2 * most)
     return samples.astype(np.uint8 if most < 256 else np.uint16).reshape(shape)
 
 
+def _masked(pixels: np.ndarray, mask: int) -> np.ndarray:
+    """One channel of pixels, scaled to a byte."""
+    if not mask:
+        return np.zeros(pixels.shape, np.uint8)
+    low = (mask & -mask).bit_length() - 1
+    most = mask >> low
+    return ((((pixels.astype(np.int64) & mask) >> low) * 510 + most) // (2 * most)).astype(np.uint8)
+
+
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP of 1, 4, 8, 24 or 32 bits as (height, width, 3), or (height, width) with a grey palette."""
+    """Uncompressed BMP of 1, 4, 8, 16, 24 or 32 bits, with channel masks where it has them, as (height, width, 3), or (height, width) with a grey palette."""
     if data[:2] != b"BM" or len(data) < 54:
         raise ValueError("no BMP image")
     at, header, width, height, _, bits, packing = struct.unpack_from("<IIiiHHI", data, 10)
-    if packing not in (0, 3) or bits not in (1, 4, 8, 24, 32) or width <= 0 or height == 0:
+    if (packing, bits) not in ((0, 1), (0, 4), (0, 8), (0, 16), (0, 24), (0, 32), (3, 16), (3, 32)) or width <= 0 or height == 0:
         raise ValueError("this kind of BMP is not read")
     stride, rows = (width * bits + 31) // 32 * 4, abs(height)
+    if rows * stride > len(data):
+        raise ValueError("more pixels than bytes could hold")
     raw = np.frombuffer(data, np.uint8, rows * stride, at).reshape(rows, stride)
     raw = raw[::-1] if height > 0 else raw
+    if bits == 16 or packing == 3:
+        masks = struct.unpack_from("<III", data, 54) if packing == 3 else (0x7C00, 0x3E0, 0x1F)
+        pixels = np.ascontiguousarray(raw).view("<u2" if bits == 16 else "<u4")[:, :width]
+        return np.stack([_masked(pixels, m) for m in masks], axis=2)
     if bits >= 24:
         return raw[:, : width * bits // 8].reshape(rows, width, bits // 8)[:, :, 2::-1].copy()
     used = struct.unpack_from("<I", data, 46)[0] or 1 << bits
+    if used > 1 << bits:
+        raise ValueError("a palette of too many colours")
     palette = np.frombuffer(data, np.uint8, used * 4, 14 + header).reshape(used, 4)[:, 2::-1]
     if bits == 8:
         index = raw[:, :width]
@@ -92,6 +119,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
         per = 8 // bits
         parts = [(raw >> (8 - bits * (i + 1))) & ((1 << bits) - 1) for i in range(per)]
         index = np.stack(parts, axis=2).reshape(rows, stride * per)[:, :width]
+    if index.max() >= used:
+        raise ValueError("an index beyond the palette")
     grey = bool((palette == palette[:, :1]).all())
     return palette[index][:, :, 0].copy() if grey else palette[index].copy()
 
@@ -169,7 +198,7 @@ def media_columns(df: DataFrame, id_col: str, blob_col: str, tile_rows: int = TI
     schema = _TILED.format(id=source.schema["id"].dataType.simpleString())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches):
             out: dict[str, list] = {k: [] for k in ("width", "height", "tiles", "hash", "error")}
             for blob in batch.column("blob"):
                 row = (0, 0, [], None, "no image")
@@ -177,7 +206,7 @@ def media_columns(df: DataFrame, id_col: str, blob_col: str, tile_rows: int = TI
                     image = decode_image(blob.as_py() or b"")
                     if image.size:
                         row = (image.shape[1], image.shape[0], tiles_of(image, tile_rows), difference_hash(image), None)
-                except (ValueError, struct.error) as problem:
+                except (ValueError, IndexError, OverflowError, struct.error) as problem:
                     row = (0, 0, [], None, str(problem))
                 for key, value in zip(out, row, strict=True):
                     out[key].append(value)
@@ -195,30 +224,12 @@ def payload_of(text: str | None, unit: int = PAYLOAD_WIDTH) -> tuple[int, bytes]
     return len(data), data.ljust(size, b"\0")
 
 
-def text_media(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Each text as a PGM image of 64 samples a row: id, n_bytes, blob. A null text counts as empty."""
-    source = common.pick(df, id=id_col, text=text_col)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, blobs = [], []
-            for text in batch.column("text"):
-                n, data = payload_of(text.as_py())
-                sizes.append(n)
-                blobs.append(encode_pgm(np.frombuffer(data, np.uint8).reshape(-1, PAYLOAD_WIDTH)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], names=["id", "n_bytes", "blob"]
-            )
-
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n_bytes bigint, blob binary")
-
-
 def store_text_media(df: DataFrame, id_col: str, text_col: str, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Texts as images, decoded, tiled and written once to the shared folder; the written table is returned."""
     source = common.pick(df, id=id_col, text=text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches):
             sizes, tiles = [], []
             for text in batch.column("text"):
                 n, data = payload_of(text.as_py())
@@ -239,7 +250,7 @@ def read_text_media(stored: DataFrame) -> DataFrame:
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches):
             rows = []
             for cell in batch.column("tiles"):
                 tiles = cell.as_py()

@@ -72,7 +72,7 @@ def set_facts(source: DataFrame, width: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, schema = np.zeros(SKETCH + WORDS, np.int64), None
-        for batch in batches:
+        for batch in common.sliced(batches):
             n, keys = [], []
             for _, _, data, offsets in common.text_chunks(batch.column("text")):
                 words, before = common.word_hashes(data, offsets)
@@ -118,7 +118,7 @@ def prefix_entries(source: DataFrame, width: int, percent: int, sketches: tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for batch in batches:
+        for batch in common.sliced(batches):
             token, key, n, pos = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
             for _, _, data, offsets in common.text_chunks(batch.column("text")):
                 words, before = common.word_hashes(data, offsets)
@@ -150,7 +150,7 @@ def candidate_filter(keys: DataFrame, n_keys: int) -> np.ndarray:
     width = min(size, SLICE)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches):
             bits = np.unique(_filter_bits(batch.column("key").to_numpy(zero_copy_only=False).copy(), size).ravel())
             heads = np.flatnonzero(np.diff(bits // width, prepend=-1))
             parts = np.split((bits % width).astype(np.uint32), heads[1:])
@@ -158,7 +158,7 @@ def candidate_filter(keys: DataFrame, n_keys: int) -> np.ndarray:
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slices: dict[int, np.ndarray] = {}
-        for batch in batches:
+        for batch in common.sliced(batches):
             for at, bits in zip(batch.column("slice").to_pylist(), batch.column("bits"), strict=True):
                 slices.setdefault(at, np.zeros(width, bool))[np.frombuffer(bits.as_buffer(), np.uint32)] = True
         yield pa.RecordBatch.from_arrays([pa.array(list(slices), pa.int64()), pa.array([np.packbits(x).tobytes() for x in slices.values()], pa.binary())], names=["slice", "bits"])
@@ -177,7 +177,7 @@ def candidate_sets(source: DataFrame, width: int, bits: np.ndarray | None) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
         seen: set[int] = set()
-        for batch in batches:
+        for batch in common.sliced(batches):
             keys, n, hist, tokens = [], [], [], []
             for _, s in _sets(batch, width):
                 if not len(s) or (k := _key(s)) in seen:
@@ -300,7 +300,7 @@ class _Join:
         theirs = self.sets.select(F.col("key").alias("b"), F.col("n").alias("on"), F.col("hist").alias("ohist"), F.col("tokens").alias("other"))
 
         def suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in common.sliced(batches):
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("hist", "ohist"))
                 n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "on"))
                 # Bins are kept modulo 256: the distance on that circle is a lower bound of the true one.
@@ -309,7 +309,7 @@ class _Join:
                 yield batch.select(["a", "b", "other"]).filter(pa.array(apart <= n + m - 2 * needed))
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in common.sliced(batches):
                 good = []
                 for x, y in zip(batch.column("tokens"), batch.column("other"), strict=True):
                     s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
@@ -345,7 +345,7 @@ class _Join:
 
         def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             standing = held.value
-            for batch in batches:
+            for batch in common.sliced(batches):
                 rows = []
                 for key, hub_key, x, y in zip(*[batch.column(c) for c in ("key", "hub", "tokens", "other")], strict=True):
                     s, hub = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)

@@ -3,8 +3,7 @@
 The length of a text is its number of words (maximal runs of characters that are not white space) and one end mark. A dynamic
 programme over the histogram of all lengths chooses ``n_buckets`` upper boundaries so that the padding, the sum over all texts of
 boundary minus length, is least. Inside a bucket texts are numbered and every ``budget // boundary`` of them (one at
-least) form a batch. Lengths over ``EXACT`` are rounded up to 1/128 of their power of two for the histogram, so
-that it has a bounded number of rows; such a text alone exceeds any usual budget.
+least) form a batch. The driver has one row for each length that occurs: their number is at most the root of twice the words of the corpus.
 
 Defined results: null and empty texts have length 1. Rows that repeat an id are packed separately. An empty table gives an
 empty table. Null ids are packed like any other. Extra columns are left out. No text is cut, dropped or split.
@@ -18,8 +17,6 @@ from pyspark.sql import functions as F
 
 from constella.llm import common
 
-#: Lengths up to this are histogrammed exactly.
-EXACT = 32768
 #: Rows of a bucket that one task numbers, about.
 SLICE_ROWS = 20000
 
@@ -31,16 +28,11 @@ def word_count(text: Column) -> Column:
     return F.when(squeezed == "", F.lit(0)).otherwise(gaps + 1).cast("bigint")
 
 
-def rounded(length: Column) -> Column:
-    """The length itself up to ``EXACT``, above it the next multiple of 1/128 of its power of two."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(length, F.lit(EXACT)).cast("double"))) - 7).cast("bigint")
-    return F.when(length <= EXACT, length).otherwise((F.ceil(length / step) * step).cast("bigint"))
-
-
 def best_boundaries(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) -> list[int]:
     """Upper boundaries of at most ``n_buckets`` runs of the ascending ``lengths`` with the least padding.
 
-    Divide and conquer over the cut points: the best cut moves up with the end, so a layer takes n log n steps.
+    Divide and conquer over the cut points: the best cut moves up with the end, so a layer takes n log n steps. All ends of one depth are
+    worked out together.
     """
     n = len(lengths)
     if not n:
@@ -53,17 +45,22 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) ->
     for _ in range(min(n_buckets, n)):
         following, cut = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
         following[0] = 0
-        stack = [(1, n, 0, n - 1)]
-        while stack:
-            lo, hi, first, last = stack.pop()
-            if lo > hi:
-                continue
+        lo, hi, first, last = (np.array([x], np.int64) for x in (1, n, 0, n - 1))
+        while len(lo):
             j = (lo + hi) // 2
-            i = np.arange(first, min(last, j - 1) + 1)
-            cost = best[i] + lengths[j - 1] * (rows[j] - rows[i]) - (mass[j] - mass[i])
-            k = int(np.argmin(cost))
-            following[j], cut[j] = cost[k], i[k]
-            stack += [(lo, j - 1, first, int(i[k])), (j + 1, hi, int(i[k]), last)]
+            size = np.minimum(last, j - 1) - first + 1
+            start = np.cumsum(size) - size
+            i = np.arange(int(size.sum())) - np.repeat(start - first, size)
+            end = np.repeat(j, size)
+            cost = best[i] + lengths[end - 1] * (rows[end] - rows[i]) - (mass[end] - mass[i])
+            least = np.minimum.reduceat(cost, start)
+            # The first cut of each end that has the least cost.
+            at = np.flatnonzero(cost == np.repeat(least, size))
+            k = i[at[np.searchsorted(at, start)]]
+            following[j], cut[j] = least, k
+            lo, hi, first, last = np.concatenate([lo, j + 1]), np.concatenate([j - 1, hi]), np.concatenate([first, k]), np.concatenate([k, last])
+            some = lo <= hi
+            lo, hi, first, last = lo[some], hi[some], first[some], last[some]
         best = following
         cuts.append(cut)
     out, j = [], n
@@ -74,32 +71,37 @@ def best_boundaries(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) ->
     return out[::-1]
 
 
-def pack(df: DataFrame, id_col: str, text_col: str, n_buckets: int = 16, budget: int = 16384) -> DataFrame:
-    """doc_id, n_tokens, bucket, padded_length, batch (from 0 in each bucket), slot (place in the batch) for each row."""
-    lengths = common.pick(df, doc_id=id_col, text=text_col).select("doc_id", (word_count(F.col("text")) + 1).alias("n_tokens"))
-    lengths = common.cut(lengths.withColumn("rounded", rounded(F.col("n_tokens"))), "lengths")
-    histogram = lengths.groupBy("rounded").agg(F.count("*").alias("n")).orderBy("rounded").collect()
-    bounds = best_boundaries(np.array([r["rounded"] for r in histogram]), np.array([r["n"] for r in histogram]), n_buckets)
+def pack(df: DataFrame, id_col: str, text_col: str, n_buckets: int = 16, budget: int = 16384, length_col: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, bucket, padded_length, batch (from 0 in each bucket), slot (place in the batch) for each row.
+
+    ``length_col`` names a column with lengths that are known already, such as numbers of token ids; nulls there count as 1.
+    """
+    length = word_count(F.col("text")) + 1 if length_col is None else F.greatest(F.coalesce(F.col("length").cast("bigint"), F.lit(1)), F.lit(1)).cast("bigint")
+    columns = common.pick(df, doc_id=id_col, **({"text": text_col} if length_col is None else {"length": length_col}))
+    lengths = common.cut(columns.select("doc_id", length.alias("n_tokens"), F.monotonically_increasing_id().alias("row")), "lengths")
+    histogram = lengths.groupBy("n_tokens").agg(F.count("*").alias("n")).toArrow()
+    order = np.argsort(histogram["n_tokens"].to_numpy())
+    bounds = best_boundaries(histogram["n_tokens"].to_numpy()[order], histogram["n"].to_numpy()[order], n_buckets)
     return batches(lengths, bounds, budget)
 
 
 def batches(lengths: DataFrame, bounds: list[int], budget: int) -> DataFrame:
     """Number the rows of each bucket exactly, without bringing a bucket to one task.
 
-    A bucket's rows are dealt to slices by a hash; the sizes of the slices give each one's first number.
+    A bucket's rows are dealt to slices by a hash of the row; the sizes of the slices give each one's first number.
     """
     if not bounds:
         return lengths.select("doc_id", "n_tokens", *[F.lit(0).cast(t).alias(c) for c, t in (("bucket", "int"), ("padded_length", "bigint"), ("batch", "bigint"), ("slot", "int"))])
     bucket, padded = F.lit(len(bounds) - 1), F.lit(bounds[-1])
     for i in range(len(bounds) - 2, -1, -1):
-        bucket = F.when(F.col("rounded") <= bounds[i], F.lit(i)).otherwise(bucket)
-        padded = F.when(F.col("rounded") <= bounds[i], F.lit(bounds[i])).otherwise(padded)
-    placed = lengths.select("doc_id", "n_tokens", bucket.cast("int").alias("bucket"), padded.cast("bigint").alias("padded_length"))
+        bucket = F.when(F.col("n_tokens") <= bounds[i], F.lit(i)).otherwise(bucket)
+        padded = F.when(F.col("n_tokens") <= bounds[i], F.lit(bounds[i])).otherwise(padded)
+    placed = lengths.select("doc_id", "n_tokens", "row", bucket.cast("int").alias("bucket"), padded.cast("bigint").alias("padded_length"))
     slices = max(1, lengths.count() // SLICE_ROWS)
-    placed = placed.withColumn("slice", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(slices)).cast("int"))
+    placed = placed.withColumn("slice", F.pmod(F.xxhash64("row"), F.lit(slices)).cast("int"))
     sizes = placed.groupBy("bucket", "slice").agg(F.count("*").alias("n"))
     first = sizes.select("bucket", "slice", (F.sum("n").over(Window.partitionBy("bucket").orderBy("slice")) - F.col("n")).alias("first"))
-    within = F.row_number().over(Window.partitionBy("bucket", "slice").orderBy("doc_id", "n_tokens")) - 1
+    within = F.row_number().over(Window.partitionBy("bucket", "slice").orderBy("doc_id", "n_tokens", "row")) - 1
     numbered = placed.withColumn("within", within).join(first, ["bucket", "slice"])
     per_batch = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("padded_length"))).cast("bigint")
     number = (F.col("within") + F.col("first")).cast("bigint")
@@ -108,5 +110,12 @@ def batches(lengths: DataFrame, bounds: list[int], budget: int) -> DataFrame:
     )
 
 
+def batch_table(packed: DataFrame) -> DataFrame:
+    """One row for each batch: bucket, batch, padded_length, doc_ids in slot order, and its tokens with and without padding."""
+    members = F.array_sort(F.collect_list(F.struct("slot", "doc_id")))
+    out = packed.groupBy("bucket", "batch").agg(F.first("padded_length").alias("padded_length"), members.alias("m"), F.sum("n_tokens").alias("n_tokens"))
+    return out.select("bucket", "batch", "padded_length", F.transform("m", lambda x: x["doc_id"]).alias("doc_ids"), "n_tokens", (F.size("m") * F.col("padded_length")).alias("padded_tokens"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(common.table(spark, sf_dir, "documents"), "doc_id", "text")

@@ -2,7 +2,7 @@
 
 Cyclic boosting: in turn each feature gets a shallow tree fitted to the current logistic gradients over its
 bins, shrunk and added to that feature's lookup table; then the pairs of features whose two-way tables reduce the loss most get
-tables of their own in the same way. A text's score is the sum of its bins' entries through the logistic
+tables of their own in the same way, by trees that cut a coarse grid of both into a few rectangles. A text's score is the sum of its bins' entries through the logistic
 function, computed for a whole batch by indexing.
 
 Defined results: null and empty texts are scored like any other, from features that are all zero; a null label
@@ -12,7 +12,6 @@ table gives an empty table. Extra columns are left out.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 
 from constella.llm import common
 
-#: Labelled rows that are learned from, at most: those with the smallest hashes of their ids.
+#: Labelled rows that are learned from, about, at most: those with the smallest hashes of their ids.
 SAMPLE_ROWS = 20000
 
 FEATURES = (
@@ -142,6 +141,33 @@ def _tree(gradient: np.ndarray, weight: np.ndarray, leaves: int, ridge: float) -
     return out
 
 
+def _pair_tree(gradient: np.ndarray, weight: np.ndarray, leaves: int, ridge: float) -> np.ndarray:
+    """Values of a grid by greedy cuts along either side into at most ``leaves`` rectangles (a shallow tree on two features)."""
+    gain = lambda g, h: g * g / (h + ridge)
+    boxes = [(0, gradient.shape[0], 0, gradient.shape[1])]
+    while len(boxes) < leaves:
+        best = (1e-9, None, None)
+        for a, b, c, d in boxes:
+            g, h = gradient[a:b, c:d], weight[a:b, c:d]
+            for axis, low in ((0, a), (1, c)):
+                left_g, left_h = np.cumsum(g.sum(axis=1 - axis))[:-1], np.cumsum(h.sum(axis=1 - axis))[:-1]
+                if not len(left_g):
+                    continue
+                better = gain(left_g, left_h) + gain(g.sum() - left_g, h.sum() - left_h) - gain(g.sum(), h.sum())
+                k = int(np.argmax(better))
+                if better[k] > best[0]:
+                    at = low + k + 1
+                    best = (better[k], (a, b, c, d), ((a, at, c, d), (at, b, c, d)) if axis == 0 else ((a, b, c, at), (a, b, at, d)))
+        if best[1] is None:
+            break
+        boxes.remove(best[1])
+        boxes += best[2]
+    out = np.zeros(gradient.shape)
+    for a, b, c, d in boxes:
+        out[a:b, c:d] = gradient[a:b, c:d].sum() / (weight[a:b, c:d].sum() + ridge)
+    return out
+
+
 def fit_gam(x: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.2, max_bins: int = 32, n_pairs: int = 6, pair_bins: int = 8) -> Gam:
     """Fit on features ``x`` and labels ``y`` in 0 and 1. Without both labels the model is constant."""
     model = Gam()
@@ -182,9 +208,10 @@ def fit_gam(x: np.ndarray, y: np.ndarray, rounds: int = 60, rate: float = 0.2, m
         for i, j, t in model.pairs:
             g, h = slopes()
             cell = coarse[i][bins[:, i]] * pair_bins + coarse[j][bins[:, j]]
-            step = rate * np.bincount(cell, g, pair_bins**2) / (np.bincount(cell, h, pair_bins**2) + 5 * ridge)
-            t += step.reshape(pair_bins, pair_bins)[coarse[i][:, None], coarse[j][None, :]]
-            margin += step[cell]
+            grids = [np.bincount(cell, x, pair_bins**2).reshape(pair_bins, pair_bins) for x in (g, h)]
+            step = rate * _pair_tree(*grids, 4, 5 * ridge)
+            t += step[coarse[i][:, None], coarse[j][None, :]]
+            margin += step.ravel()[cell]
     return model
 
 
@@ -200,7 +227,8 @@ def learning_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
         known = known.where(common.uniform(F.col("id"), "quality") < rows / total)
     known = known.groupBy("id").agg(F.max("label").alias("label"))
     texts = common.pick(docs, id=id_col, text=text_col)
-    return texts.join(F.broadcast(known.limit(2 * rows)), "id").select("text", F.col("label").cast("double").alias("label"))
+    # About ``rows`` ids by the sampling above, each once: small enough for a broadcast.
+    return texts.join(F.broadcast(known), "id").select("id", "text", F.col("label").cast("double").alias("label"))
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Gam:
@@ -208,11 +236,13 @@ def train_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     sample = learning_sample(docs, labels, id_col, text_col, label_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches):
             x = pa.array(list(text_features(batch.column("text"))), pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([x, batch.column("label")], names=["x", "label"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), x, batch.column("label")], names=["id", "x", "label"])
 
-    rows = sample.mapInArrow(run, "x array<double>, label double").toPandas()
+    found = sample.mapInArrow(run, f"id {sample.schema['id'].dataType.simpleString()}, x array<double>, label double")
+    # Of rows that share an id one is learned from, so the driver gets no more than the sample.
+    rows = found.groupBy("id").agg(F.min(F.struct("x", "label")).alias("r")).select("r.x", "r.label").toPandas()
     if not len(rows):
         return Gam(base=0.0)
     x, y = np.stack(rows["x"].to_numpy()), rows["label"].to_numpy()
@@ -225,7 +255,7 @@ def score_quality(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col:
     source = common.pick(docs, doc_id=id_col, text=text_col).withColumn("text", F.col("text").cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches):
             score = np.round(model.score(text_features(batch.column("text"))), 6)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "score", "predicted"]
@@ -239,7 +269,7 @@ def keep_good(docs: DataFrame, model: Gam, id_col: str = "doc_id", text_col: str
     where = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.sliced(batches):
             yield batch.filter(pa.array(np.round(model.score(text_features(batch.column(where))), 6) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
@@ -253,8 +283,3 @@ def op10_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     model = train_quality(docs, common.table(spark, sf_dir, "labels"))
     return score_quality(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
-
-
-# Keep the fold's definition in one place for callers that work outside Spark.
-def fold_of(doc_id: int, modulus: int) -> int:
-    return zlib.crc32(str(doc_id).encode()) % modulus

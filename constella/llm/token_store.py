@@ -27,8 +27,8 @@ from constella.llm import common
 
 #: Ids between two checkpoints, the longest code word in bits, and units that a task keeps with their ids.
 BLOCK, LONGEST, CACHE = 256, 16, 600_000
-#: Bytes of new units that the tokenizer gets as one text, and bytes of texts that are encoded together.
-NEW_BYTES, CHUNK = 1 << 18, 1 << 22
+#: Bytes of new units that the tokenizer gets as one text.
+NEW_BYTES = 1 << 18
 
 #: Texts of other characters than these go to the tokenizer as a whole, since Unicode tables of libraries may differ there.
 PLAIN = re.compile("[\\t-\\r\\x20-\\x7e\\xa0-\\u024f\\u2010-\\u2027\\u2030-\\u205e\\u20a0-\\u20bf]*")
@@ -321,9 +321,9 @@ def tokenise(source: DataFrame, make: Callable[[], PieceEncoder], end_id: int, n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, counts, schema = make(), np.zeros(n_symbols, np.int64), None
-        for batch in batches:
+        for batch in common.sliced(batches):
             planes, n = [], []
-            for _, _, data, offsets in common.text_chunks(batch.column("text"), CHUNK):
+            for _, _, data, offsets in common.text_chunks(batch.column("text")):
                 ids, sizes = encoder.encode(data, offsets, end_id)
                 counts += np.bincount(ids, minlength=n_symbols)
                 raw, at = ids.astype("<u2").tobytes(), 0
@@ -376,7 +376,7 @@ def write_ids(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits_of, code_of = held.value
-        for batch in batches:
+        for batch in common.sliced(batches):
             rows = [_from_planes(x.as_buffer()) for x in batch.column("planes")]
             sizes = np.array([len(r) for r in rows], np.int64)
             blobs, marks = encode_rows(np.concatenate(rows) if rows else np.zeros(0, np.int64), sizes, bits_of, code_of)
@@ -408,7 +408,7 @@ def read_ids(spark: SparkSession, path: str, per_row: Callable[[np.ndarray], obj
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, bits, widest = held.value
-        for batch in batches:
+        for batch in common.sliced(batches):
             sizes = batch.column("n").to_numpy().astype(np.int64)
             marks = batch.column("marks")
             values, offsets = marks.flatten().to_numpy(), np.cumsum([0, *[len(m) for m in marks]])

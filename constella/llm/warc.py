@@ -2,8 +2,10 @@
 
 ``archive`` writes two tables to the shared folder: ``payloads`` (digest, payload), bucketed by digest
 with one row for each distinct payload, and ``headers`` (one exact WARC header for each page, with the digest it
-points to). ``read_back`` joins them again, checks every stored payload against its digest and parses
-the reconstructed records. ``export_warc`` writes plain WARC files from the same tables.
+points to). ``reconstruct`` joins them again into the records as they are in a WARC file, ``original_payloads`` into every page's
+payload, revisits included; ``read_back`` checks every stored payload against its digest and parses
+the reconstructed records. ``export_warc`` writes plain WARC files from the same tables. Record ids are made from the page id and a
+number of the row, so they differ even where page ids don't.
 
 Defined results: a null payload counts as empty; a null URL leaves the target line out; a null id is kept
 and comes after all others when the response is chosen; rows that repeat an id and its payload are all responses when that
@@ -52,20 +54,29 @@ class Archive:
         common.drop_path(spark, self.path)
 
 
-def _header(kind: Column, id_: Column, url: Column, sha1: Column, sha256: Column, size: Column, first: Column, date: str) -> Column:
-    """The WARC header text of a record, its closing empty line included. A revisit has no block."""
+def _urn(record: Column) -> Column:
+    """A record id in the form of a UUID from the digest of what names the record."""
+    h = F.md5(record.cast("binary"))
+    return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
+
+
+#: Fixed value: SHA-256 of nothing, the block of a revisit.
+NOTHING = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def _header(kind: Column, name: Column, url: Column, sha1: Column, sha256: Column, size: Column, first: Column, date: str) -> Column:
+    """The WARC header text of a record, its closing empty line included. A revisit has an empty block and its payload's digest."""
     line = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit(CRLF))
-    urn = lambda value: F.concat(F.lit("<urn:page:"), F.coalesce(value.cast("string"), F.lit("none")), F.lit(">"))
     response = kind == "response"
     return F.concat(
         F.lit("WARC/1.1" + CRLF),
         line("WARC-Type", kind),
-        line("WARC-Record-ID", urn(id_)),
+        line("WARC-Record-ID", _urn(name)),
         F.when(url.isNotNull(), line("WARC-Target-URI", F.regexp_replace(url, r"[\r\n]", "%0A"))).otherwise(F.lit("")),
         line("WARC-Date", F.lit(date)),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), sha1)),
-        line("WARC-Block-Digest", F.concat(F.lit("sha256:"), sha256)),
-        F.when(response, F.lit("")).otherwise(F.concat(line("WARC-Refers-To", urn(first)), line("WARC-Profile", F.lit("identical-payload-digest")))),
+        line("WARC-Block-Digest", F.concat(F.lit("sha256:"), F.when(response, sha256).otherwise(F.lit(NOTHING)))),
+        F.when(response, F.lit("")).otherwise(F.concat(line("WARC-Refers-To", _urn(first)), line("WARC-Profile", F.lit("identical-payload-digest")))),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
         line("Content-Length", F.when(response, size).otherwise(F.lit(0)).cast("string")),
         F.lit(CRLF),
@@ -82,19 +93,22 @@ def archive(df: DataFrame, id_col: str, url_col: str, payload_col: str, date: st
     pages = common.pick(df, id=id_col, url=url_col, payload=payload_col).withColumn("payload", F.coalesce(F.col("payload").cast("binary"), F.lit(b"")))
     pages = pages.withColumn("digest", F.sha2("payload", 256))
     path = common.new_path(spark, "warc")
-    facts = common.cut(pages.select("id", "url", "digest", sha1_base32(F.col("payload")).alias("sha1"), F.length("payload").alias("size")), "warc-facts")
-    first = facts.groupBy("digest").agg(F.min("id").alias("first"))
+    name = F.concat_ws(":", F.coalesce(F.col("id").cast("string"), F.lit("none")), F.monotonically_increasing_id().cast("string"))
+    facts = common.cut(pages.select("id", "url", "digest", sha1_base32(F.col("payload")).alias("sha1"), F.length("payload").alias("size"), name.alias("name")), "warc-facts")
+    # Null ids come after all others.
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "name"))
+    first = facts.groupBy("digest").agg(least.alias("f")).select("digest", F.col("f.id").alias("first"), F.col("f.name").alias("first_name"))
     kind = F.when(F.col("id").eqNullSafe(F.col("first")), F.lit("response")).otherwise(F.lit("revisit"))
     headers = facts.join(first, "digest").select(
         "id",
         "digest",
         "first",
         kind.alias("record_type"),
-        _header(kind, F.col("id"), F.col("url"), F.col("sha1"), F.col("digest"), F.col("size"), F.col("first"), date).alias("header"),
+        _header(kind, F.col("name"), F.col("url"), F.col("sha1"), F.col("digest"), F.col("size"), F.col("first_name"), date).alias("header"),
     )
     headers.write.option("compression", "zstd").parquet(f"{path}/headers")
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"payloads_{uuid.uuid4().hex}"
+    table = f"payloads_{uuid.uuid4().hex}"
     # The aggregation deals payloads by digest into as many parts as there are buckets: each bucket is whole in a task.
     (
         pages.groupBy("digest")
@@ -103,19 +117,25 @@ def archive(df: DataFrame, id_col: str, url_col: str, payload_col: str, date: st
         .option("path", f"{path}/payloads")
         .bucketBy(buckets, "digest")
         .sortBy("digest")
-        .saveAsTable(name)
+        .saveAsTable(table)
     )
     common.drop(facts)
-    return Archive(spark.read.schema(headers.schema).parquet(f"{path}/headers"), spark.table(name), name, path)
+    return Archive(spark.read.schema(headers.schema).parquet(f"{path}/headers"), spark.table(table), table, path)
 
 
 def reconstruct(stored: Archive) -> DataFrame:
-    """Original response records: id, digest, header, and record = header, payload and two line ends, as bytes."""
-    responses = stored.headers.where(F.col("record_type") == "response")
+    """Records as a WARC file has them: id, digest, record_type, header, and record = header, block and two line ends, as bytes."""
     tail = F.lit((CRLF + CRLF).encode())
-    return stored.payloads.join(responses, "digest").select(
-        "id", "digest", "header", F.concat(F.encode("header", "UTF-8"), F.col("payload"), tail).alias("record")
-    )
+    columns = ["id", "digest", "record_type", "header"]
+    responses = stored.headers.where(F.col("record_type") == "response").join(stored.payloads, "digest")
+    responses = responses.select(*columns, F.concat(F.encode("header", "UTF-8"), F.col("payload"), tail).alias("record"))
+    revisits = stored.headers.where(F.col("record_type") == "revisit").select(*columns, F.concat(F.encode("header", "UTF-8"), tail).alias("record"))
+    return responses.unionByName(revisits)
+
+
+def original_payloads(stored: Archive) -> DataFrame:
+    """id, record_type and payload of every archived page, revisits included."""
+    return stored.headers.join(stored.payloads, "digest").select("id", "record_type", "payload")
 
 
 def _field(header: Column, name: str) -> Column:
@@ -140,7 +160,7 @@ def read_back(stored: Archive) -> DataFrame:
     Payloads are read and verified once each; revisits take the verified figures of the payload they refer to by
     a join of narrow rows, which Spark may split where one payload has very many revisits.
     """
-    parsed = parse(reconstruct(stored)).groupBy("digest").agg(F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest"))
+    parsed = parse(reconstruct(stored).where("record_type = 'response'")).groupBy("digest").agg(F.max("payload_bytes").alias("payload_bytes"), F.max("payload_digest").alias("payload_digest"))
     verified = common.cut(parsed, "warc-verified")
     revisit = F.col("record_type") == "revisit"
     return stored.headers.select("id", "digest", "record_type", "first").join(verified, "digest").select(
@@ -157,7 +177,10 @@ def export_warc(stored: Archive, path: str) -> None:
 
 
 def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_back(archive(common.table(spark, sf_dir, "pages"), "page_id", "url", "html"))
+    stored = archive(common.table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    out = common.cut(read_back(stored), "warc-read")
+    stored.delete()
+    return out
 
 
 OP2_SQL = """

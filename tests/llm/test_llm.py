@@ -3,8 +3,11 @@
 import base64
 import hashlib
 import html
+import io
+import itertools
 import math
 import re
+import struct
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -56,6 +59,39 @@ def test_media_codecs():
         media.decode_image(b"GIF89a")
 
 
+BROKEN = [
+    b"P6 9999999999999999999999 3 255 x", b"P4 99999999999 9999999999\n", b"P2 2 1 255 300 1", b"P5 2 2 255 \x01", b"P2 1 1 255 -1", b"P5 1 1 9 \x0a", b"P3 1 1 99999999 1 1 1", b"BM", b"P7", b"P2 1 1 255 " + b"9" * 5000, b"\x00", b"P1 3 3 1",
+]
+
+
+def bmp(width, height, bits, pixels, packing=0, masks=b"", palette=b"", used=0):
+    start = 54 + len(masks) + len(palette)
+    head = b"BM" + (start + len(pixels)).to_bytes(4, "little") + bytes(4) + start.to_bytes(4, "little") + struct.pack("<IiiHHIIiiII", 40, width, height, 1, bits, packing, 0, 0, 0, used, 0)
+    return head + masks + palette + pixels
+
+
+def test_scaled_samples_masks_and_broken_images(spark):
+    assert media.decode_image(b"P2 3 1 15 15 0 7").tolist() == [[255, 0, 119]] and media.decode_image(b"P5 1 1 1023 \x03\xff").tolist() == [[65535]]
+    assert media.decode_image(bmp(2, 1, 16, struct.pack("<HH", 0x7C1F, 0x03E0))).tolist() == [[[255, 0, 255], [0, 255, 0]]]
+    masks = struct.pack("<III", 0xFF, 0xFF00, 0xFF0000)
+    assert media.decode_image(bmp(1, 1, 32, struct.pack("<I", 0x00030201), 3, masks)).tolist() == [[[1, 2, 3]]]
+    palette = bytes([0, 0, 0, 0, 9, 9, 9, 0])
+    assert media.decode_image(bmp(2, 1, 8, b"\x01\x00\0\0", palette=palette, used=2)).tolist() == [[9, 0]]
+    broken = [*BROKEN, bmp(2, 1, 8, b"\x01\x05\0\0", palette=palette, used=2), bmp(10**9, 10**9, 24, b""), bmp(1, 1, 8, b"\x00\0\0\0", used=10**9)]
+    rows = [(i, bytearray(b), "x") for i, b in enumerate(broken)]
+    got = media.media_columns(spark.createDataFrame(rows, "id bigint, blob binary, tiles string"), "id", "blob").collect()
+    assert len(got) == len(broken) and all(r.error and r.width == 0 and r.tiles == [] for r in got)
+
+
+def plain_difference_hash(image):
+    """Nine cells in a row, eight rows, each the exact mean of its area."""
+    height, width = image.shape
+    cover = lambda n, m, i: np.clip(np.minimum(np.arange(1, n + 1), (i + 1) * n / m) - np.maximum(np.arange(n), i * n / m), 0, None)
+    cells = np.array([[cover(height, 8, r) @ image @ cover(width, 9, c) / (height / 8 * width / 9) for c in range(9)] for r in range(8)])
+    cells = np.round(cells, 6)
+    return np.packbits((cells[:, 1:] > cells[:, :-1]).ravel()).tobytes().hex()
+
+
 def test_area_resize_is_the_exact_mean():
     x = np.arange(48, dtype=float).reshape(6, 8)
     assert np.allclose(media.area_resize(x, 3, 4), x.reshape(3, 2, 4, 2).mean(axis=(1, 3)))
@@ -70,6 +106,15 @@ def test_text_media(spark, odd):
         padded = data.ljust(max(64, -(-len(data) // 64) * 64), b"\0")
         assert (r.n_bytes, r.payload_bytes) == (len(data), len(padded))
         assert r.payload_sha256 == hashlib.sha256(padded).hexdigest() and r.tail_crc32 == zlib.crc32(padded[-64:])
+        image = np.frombuffer(padded, np.uint8).reshape(-1, 64)
+        tiles = []
+        for at in range(0, len(image), media.TILE_ROWS):
+            out = io.BytesIO()
+            np.save(out, image[at : at + media.TILE_ROWS])
+            tiles.append(out.getvalue())
+        assert (r.media_bytes, r.media_sha256) == (sum(map(len, tiles)), hashlib.sha256(b"".join(tiles)).hexdigest())
+        assert r.feature == plain_difference_hash(image.astype(float))
+    assert media.read_text_media(media.store_text_media(odd.limit(0), "doc_id", "text")).count() == 0
     blobs = spark.createDataFrame([(1, bytearray(b"P5 1 1 255 \x07")), (2, None), (3, bytearray(b"junk"))], "id bigint, blob binary")
     got = {r.id: r for r in media.media_columns(blobs, "id", "blob").collect()}
     assert got[1].width == 1 and got[2].error and got[3].error and got[3].tiles == []
@@ -79,19 +124,30 @@ def test_text_media(spark, odd):
 
 
 def test_archive(spark, tmp_path):
-    rows = [(3, "http://a", "same"), (1, "http://b", "same"), (2, None, None), (4, "http://c", ""), (5, "http://d", "öther")]
-    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id bigint, url string, html string, digest string")
+    rows = [(3, "http://a", "same"), (1, "http://b", "same"), (2, None, None), (4, "http://c", ""), (5, "http://d", "öther"), (1, "http://b", "same"), (None, "http://e", "same"), (None, "http://f", "alone"), (None, None, "alone")]
+    pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id bigint, url string, html string, digest string").repartition(3)
     stored = warc.archive(pages, "page_id", "url", "html")
-    got = {r.page_id: r for r in warc.read_back(stored).collect()}
+    got = warc.read_back(stored).collect()
+    want = Counter()
     for i, _, text in rows:
         data = (text or "").encode()
-        assert got[i].payload_bytes == len(data)
-        assert got[i].payload_digest == base64.b32encode(hashlib.sha1(data).digest()).decode()
-    assert [(got[i].record_type, got[i].refers_to) for i in (1, 2, 3, 4, 5)] == [("response", None), ("response", None), ("revisit", 1), ("revisit", 2), ("response", None)]
-    assert stored.payloads.count() == 3
+        first = min((k for k, _, t in rows if (t or "") == (text or "") and k is not None), default=None)
+        want[i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), *(("response", None) if i == first else ("revisit", first))] += 1
+    assert Counter((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got) == want
+    assert stored.payloads.count() == 4
+    records = warc.reconstruct(stored).collect()
+    fields = [dict(line.split(": ", 1) for line in r.header.split("\r\n")[1:] if line) for r in records]
+    assert len({f["WARC-Record-ID"] for f in fields}) == len(rows)
+    responses = {f["WARC-Record-ID"] for f in fields if f["WARC-Type"] == "response"}
+    for r, f in zip(records, fields, strict=True):
+        block = bytes(r.record)[len(r.header.encode()) : -4]
+        assert int(f["Content-Length"]) == len(block) and f["WARC-Block-Digest"] == "sha256:" + hashlib.sha256(block).hexdigest()
+        assert r.record_type == "response" or f["WARC-Refers-To"] in responses
+    whole = Counter((r.id, bytes(r.payload).decode()) for r in warc.original_payloads(stored).collect())
+    assert whole == Counter((i, t or "") for i, _, t in rows)
     warc.export_warc(stored, str(tmp_path / "warc"))
     out = b"".join(p.read_bytes() for p in sorted((tmp_path / "warc").glob("part-*")))
-    assert out.count(b"WARC/1.1\r\n") == 5 and b"\r\n\r\nsame\r\n\r\n" in out
+    assert out.count(b"WARC/1.1\r\n") == len(rows) and b"\r\n\r\nsame\r\n\r\n" in out
     empty = warc.read_back(warc.archive(pages.limit(0), "page_id", "url", "html"))
     assert empty.count() == 0
 
@@ -285,6 +341,35 @@ def test_optional_head_end_and_embedded_text():
     assert texts("<p>Kept</p><iframe src=x><p>old</p></iframe><p>too</p>") == ["Kept", "too"]
 
 
+def test_scanner():
+    texts = lambda page: [b.text for b in html_text.leaf_blocks(page)]
+    assert texts("<p>One long first half of a sentence <script>x()</script> and then <select><option>no</select>more…</p>") == ["One long first half of a sentence and then more…"]
+    assert texts('<p title="a > b">x</p><p title=a"b>y</p><p title="open>z</p>') == ["x", "y", "z"]
+    assert texts("<p>a &amp; b &#233;&#x1F642; &#99999999999999999999; &#x0000000041; &lt;i&gt;</p>") == ["a & b é🙂 \ufffd A <i>"]
+    assert texts("<p>" + "&#" + "9" * 6000 + "; &#" + "0" * 6000 + "65; &#65abcdefg</p>") == ["\ufffd A Aabcdefg"]
+    assert texts("a < b <3 </ c <!doctype x> d <!-- no > no --> e <![CDATA[f &amp; g]]> h <p") == ["a < b <3 </ c d e f &amp; g h <p"]
+    assert texts("<ul><li>a<li>b<b>c<li>d</ul><table><tr><td>e<td>f</b>g</table>") == ["a", "bc", "d", "e", "fg"]
+    assert texts("<p>one<div>two</div>three") == ["one", "two", "three"]
+    assert texts("<!-- never closed <p>x</p>") == [] and texts("") == []
+    b = html_text.leaf_blocks("<article class=story><p>x <a href=#>link</a></p></article>")[0]
+    assert (b.depth, b.inner, b.linked, bin(b.tags).count("1")) == (2, "p", 4, 2)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 200_000, "<b>x" * 200_000, "<div><b></i>" * 80_000, "<![CDATA[" * 110_000, "<!" * 500_000, "<a href=\"" * 100_000, "<a b='" * 160_000, "<p =" * 250_000, "<" * 10**6, "</p" * 300_000, "<table></b>" * 90_000])
+def test_a_megabyte_of_broken_markup(page):
+    began = time.time()
+    html_text.main_text(page + "<p>end", html_text.default_chain())
+    assert time.time() - began < 6
+
+
+def test_main_text_of_odd_rows(spark):
+    rows = [(1, "u", None), (1, "u", None), (2, None, ""), (None, "u", "<article><p>Some words that make a sentence here.</p></article>"), (3, "u", "<article><p>" + "word " * 200_000 + "</p></article>")]
+    pages = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id bigint, url string, html string, text string, n_chars int")
+    got = Counter((r.page_id, r.url, r.n_chars) for r in html_text.extract_text(pages, "page_id", "url", "html").collect())
+    assert got == Counter({(1, "u", 0): 2, (2, None, 0): 1, (None, "u", 37): 1, (3, "u", 999_999): 1})
+    assert html_text.extract_text(pages.limit(0), "page_id", "url", "html").count() == 0
+
+
 def test_viterbi_against_all_labelings():
     rng = np.random.default_rng(1)
     chain = html_text.Chain(rng.normal(size=(3, 2)), rng.normal(size=(2, 2)), rng.normal(size=2))
@@ -376,6 +461,20 @@ def test_packing(spark, documents, odd):
     assert packing.pack(odd.limit(0), "doc_id", "text").count() == 0
 
 
+def test_packing_of_long_and_repeated_rows(spark):
+    lengths = [40_000, 40_001, 50_021, 50_021, 99_991, *[3] * 60, *[7] * 5]
+    df = spark.createDataFrame([(1, n, "x") for n in lengths] + [(None, None, "y")], "doc_id bigint, n int, row string").repartition(3)
+    packed = packing.pack(df, "doc_id", "doc_id", n_buckets=4, budget=60, length_col="n").collect()
+    bounds = sorted({r.padded_length for r in packed})
+    every = sorted(set(lengths) | {1})
+    cost = lambda b: sum(min(x for x in b if x >= n) - n for n in [*lengths, 1])
+    assert cost(bounds) == min(cost([*c, every[-1]]) for c in itertools.combinations(every[:-1], 3))
+    batches = packing.batch_table(spark.createDataFrame(packed)).collect()
+    assert sum(len(b.doc_ids) for b in batches) == len(lengths) + 1
+    assert all(b.padded_tokens <= 60 or len(b.doc_ids) == 1 for b in batches)
+    assert sum(b.n_tokens for b in batches) == sum(lengths) + 1
+
+
 # --- models ------------------------------------------------------------------------------------
 
 
@@ -390,6 +489,63 @@ def test_language_model(spark, documents, odd):
     assert {r.lang_pred for r in langid.predict_languages(odd, nothing).collect()} == {"und"}
 
 
+def test_network_against_loops():
+    rng = np.random.default_rng(50)
+    net = langid.train_network([b"the cat sat on the mat " * 3, b"le chat est sur le tapis " * 3] * 4, ["en", "fr"] * 4, epochs=2)
+    texts = ["the cat", "le chat " * 90, "x" * 700, "é" * 300, "", None, "12 34", "".join(chr(int(c)) for c in rng.integers(32, 250, 900))]
+    names, scores = langid.classify(net, pa.array(texts, pa.string()))
+    for text, name, score in zip(texts, names, scores, strict=True):
+        if not text or not re.search(r"[^\W\d_]", text):
+            assert (name, score) == ("und", 0.0)
+            continue
+        data, total = text.encode(), np.zeros(2)
+        for at in range(0, len(data), 256):
+            window = np.zeros(256, np.int64)
+            window[: len(data[at : at + 256])] = list(data[at : at + 256])
+            hidden = []
+            for f in range(net.filters.shape[2]):
+                best = max(sum(float(net.vectors[window[p + w]] @ net.filters[w, :, f]) for w in range(net.filters.shape[0])) for p in range(256 - net.filters.shape[0] + 1))
+                hidden.append(max(best + float(net.bias[f]), 0.0))
+            z = np.array(hidden) @ net.out + net.out_bias
+            total += (z - np.log(np.exp(z).sum())) * len(data[at : at + 256]) / 256
+        p = np.exp(total - total.max()) / np.exp(total - total.max()).sum()
+        assert name == net.languages[int(p.argmax())] and score == pytest.approx(p.max(), abs=2e-3)
+
+
+def test_learning_with_many_rows_of_one_id_and_rare_languages(spark):
+    rows = [(1, f"das ist ein text nummer {i}", "de") for i in range(300)] + [(2, "same text here", "en")] * 300 + [(i, "ceci est un texte", f"l{i}") for i in range(10, 40)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id bigint, text string, lang string, n string")
+    net = langid.train_languages(docs)
+    assert "de" in net.languages and len(net.languages) > 20
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (3, None)], "doc_id bigint, quality int")
+    assert len(quality.learning_sample(docs, labels, "doc_id", "text", "quality").select("id").distinct().collect()) == 2
+    model = quality.train_quality(docs, labels)
+    assert quality.score_quality(docs, model).count() == len(rows) and quality.score_quality(docs.limit(0), model).count() == 0
+    assert langid.predict_languages(docs.limit(0), net).count() == 0
+
+
+def test_additive_model_against_loops():
+    rng = np.random.default_rng(51)
+    x = rng.normal(size=(400, 3))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(float)
+    model = quality.fit_gam(x, y, max_bins=8, n_pairs=2)
+    want = []
+    for row in x[:60]:
+        bins = [sum(v >= e for e in edges) for v, edges in zip(row, model.edges, strict=True)]
+        margin = model.base + sum(t[b] for t, b in zip(model.tables, bins, strict=True)) + sum(t[bins[i], bins[j]] for i, j, t in model.pairs)
+        want.append(1 / (1 + math.exp(-max(-30, min(30, margin)))))
+    assert np.allclose(model.score(x[:60]), want)
+    # The pair carries what no single feature tells.
+    assert ((model.score(x) > 0.5) == y).mean() > 0.85
+
+
+def test_pair_trees_cut_a_grid_into_rectangles():
+    g = np.zeros((4, 4))
+    g[:2, :2], g[2:, 2:] = 3, -2
+    out = quality._pair_tree(g, np.ones((4, 4)), 4, 0.0)
+    assert np.allclose(out, g)
+
+
 def test_quality_model(spark, odd):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     model = quality.train_quality(docs, labels)
