@@ -26,6 +26,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     found = ngram_join.ngram_join(docs, "doc_id", "text", width=5, percent=80)
     gone = common.cut(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
     again = common.cut(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    common.drop(found)
     kept = common.by_ids(docs, gone, "doc_id", "left_anti")
     if again.isEmpty():
         return kept
@@ -37,6 +38,7 @@ def leak_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item was confirmed."""
     found = decontaminate.decontaminate(docs, common.table(spark, sf_dir, "benchmark"))
     gone = common.cut(found.select("doc_id").distinct(), "leaks")
+    common.drop(found)
     return common.by_ids(docs, gone, "doc_id", "left_anti")
 
 
@@ -59,12 +61,15 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Stages train models and iterate: SQL can't express them. tests/llm compare run() with a plain version.
+#: Stages train models and iterate: SQL can't express them. tests/llm hold each stage's operator against a plain version, and run() against the stages.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = common.cut(stage(spark, docs, sf_dir), name)
+        kept = common.cut(stage(spark, docs, sf_dir), name)
+        common.drop(docs)
+        common.release(spark)
+        docs = kept
     return docs
