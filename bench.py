@@ -26,7 +26,6 @@ def main() -> None:
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.warehouse.dir", "/tmp/constella-bench-warehouse")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

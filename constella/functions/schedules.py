@@ -22,8 +22,6 @@ class NegativeExponentialCooling:
         return temperature * math.exp(-self.speed)
 
 
-COOLING = {"linear": LinearCooling, "exponential": NegativeExponentialCooling}
-
 #: Upper bounds on the number of edges (exclusive) and the value below each; None: all others.
 TEMPERATURE = [(250, 0.1), (500, 0.2), (10_000, 0.4), (None, 0.8)]
 COOLING_SPEED = [(500, 0.98), (1_500, 0.96), (10_000, 0.94), (1_000_000, 0.92), (None, 0.9)]

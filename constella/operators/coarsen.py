@@ -69,11 +69,13 @@ def gather(suns: DataFrame, unassigned: DataFrame, edges: DataFrame) -> tuple[Da
     return own.unionByName(planets).unionByName(moons), proxies
 
 
-def assign_systems(vertices: DataFrame, edges: DataFrame, layer: int, chance: float = 0.1, seed: int = 42, max_rounds: int = 200) -> tuple[DataFrame, DataFrame]:
-    """Rounds of suns until every vertex belongs to a system."""
+def assign_systems(vertices: DataFrame, edges: DataFrame, layer: int, chance: float = 0.1, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Rounds of suns until every vertex belongs to a system: once the chance is 1, the best candidate left is a sun in every round."""
     left = cut(vertices.select("id", (F.col("lower_weight") + 1).alias("mass")), "asteroids")
     bodies = proxies = None
-    for number in range(max_rounds):
+    number = -1
+    while True:
+        number += 1
         suns = cut(sweep(candidate_suns(left, min(1.0, chance), layer * 1000 + number, seed), left, edges), "suns")
         chance *= 1.05
         if suns.isEmpty():
@@ -87,14 +89,15 @@ def assign_systems(vertices: DataFrame, edges: DataFrame, layer: int, chance: fl
         left = remaining
         if left.isEmpty():
             return cut(bodies, "bodies"), cut(proxies, "proxies")
-    raise RuntimeError("some vertices were not assigned to any system")
 
 
-def routes(edges: DataFrame, bodies: DataFrame, proxies: DataFrame) -> DataFrame:
-    """Ways between two systems, one for each edge that leaves one and each proxy of its source."""
+def routes(edges: DataFrame, bodies: DataFrame, proxies: DataFrame, longest: bool = False) -> DataFrame:
+    """Ways between two systems, one for each edge that leaves one and each proxy of its source; or by the farthest proxy only."""
     b = bodies.select("id", "sun", "hops", "w_from_sun")
     via = b.where("hops < 2").select("id", F.lit(None).cast("bigint").alias("proxy"), F.col("w_from_sun").alias("w_via"))
     via = via.unionByName(proxies.select("id", "proxy", F.col("w_via_proxy").alias("w_via")))
+    if longest:
+        via = via.groupBy("id").agg(F.max("w_via").alias("w_via")).withColumn("proxy", F.lit(None).cast("bigint"))
     out = edges.join(b.select(F.col("id").alias("src"), "sun"), "src").join(
         b.select(F.col("id").alias("dst"), F.col("sun").alias("nbr_sun"), F.col("w_from_sun").alias("w_there")), "dst"
     )
@@ -122,8 +125,11 @@ def next_layer(vertices: DataFrame, bodies: DataFrame) -> DataFrame:
     return weights.withColumnRenamed("sun", "id").join(vertices.select("id", "component"), "id").select("id", "component", "lower_weight")
 
 
-def coarsen(vertices: DataFrame, edges: DataFrame, threshold: int = 7, chance: float = 0.1, seed: int = 42, max_layers: int = 30) -> list[Layer]:
-    """Layers from finest to coarsest: at least two, until no component has more than ``threshold`` suns."""
+def coarsen(vertices: DataFrame, edges: DataFrame, threshold: int = 7, chance: float = 0.1, seed: int = 42) -> list[Layer]:
+    """Layers from finest to coarsest: at least two, until no component has more than ``threshold`` suns.
+
+    A system of a connected component has two bodies or more, so every layer has at most half of the vertices that it can merge.
+    """
     base = vertices.select("id", "component", F.lit(1).alias("lower_weight"))
     layers = [Layer(0, cut(base, "layer"), cut(edges.select("src", "dst", "weight"), "layer-edges"))]
     while True:
@@ -133,7 +139,7 @@ def coarsen(vertices: DataFrame, edges: DataFrame, threshold: int = 7, chance: f
         here.n_edges, here.max_weight = size[0] // 2, size[1] or 1
         if here.number:
             most = here.vertices.groupBy("component").count().agg(F.max("count")).first()[0] or 0
-            if most <= threshold or here.number >= max_layers:
+            if most <= threshold or here.n_vertices == layers[-2].n_vertices:
                 return layers
         bodies, proxies = assign_systems(here.vertices, here.edges, here.number, chance, seed)
         ways = cut(routes(here.edges, bodies, proxies), "ways")

@@ -31,6 +31,3 @@ def connected_components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         mark = now
     return vertices.select("id").distinct().join(stars.select(F.col("u").alias("id"), "v"), "id", "left").select("id", F.coalesce("v", "id").alias("component"))
 
-
-def component_sizes(labels: DataFrame) -> DataFrame:
-    return labels.groupBy("component").agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from constella.functions.portable import uniform
@@ -62,7 +62,7 @@ def load_graph(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Symmetric edges of one of ``GRAPHS``, or of ``conversation``: a path through the turns of each conversation."""
     if name == "conversation":
         turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn").distinct()
-        here = F.col("conv_id") * 1000 + F.col("turn")
+        here = F.col("conv_id") * (1 << 31) + F.col("turn")
         nodes = turns.select(here.cast("bigint").alias("id"), (here + 1).cast("bigint").alias("following"))
         edges = nodes.join(nodes.select(F.col("id").alias("following")), "following").select(F.col("id").alias("src"), F.col("following").alias("dst"))
     else:
@@ -75,7 +75,7 @@ def edges_sql(name: str) -> str:
     """The same edges as DuckDB SQL (src, dst)."""
     if name == "conversation":
         one = (
-            "SELECT DISTINCT a.conv_id * 1000 + a.turn AS s, b.conv_id * 1000 + b.turn AS d FROM conversations a "
+            "SELECT DISTINCT a.conv_id * 2147483648 + a.turn AS s, b.conv_id * 2147483648 + b.turn AS d FROM conversations a "
             "JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
         )
     else:
@@ -83,6 +83,3 @@ def edges_sql(name: str) -> str:
         one = f"SELECT DISTINCT {src} AS s, {dst} AS d FROM {table}"
     return f"(SELECT s AS src, d AS dst FROM ({one}) UNION SELECT d AS src, s AS dst FROM ({one}))"
 
-
-def degree_guard(degree: Column, least: int) -> Column:
-    return F.coalesce(degree, F.lit(0)) >= least

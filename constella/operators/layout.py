@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import deque
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -26,7 +26,7 @@ class LayoutOptions:
     cooling: float = 0.93
     accuracy: float = 0.01
     convergence: float = 0.85
-    limit: int = 100
+    limit: int = 10000
     enhancer: float = 2.0
     walshaw_modifier: float = 1.0
     repulsion_factor: float | None = None
@@ -98,6 +98,21 @@ def move(vertices: DataFrame, force: DataFrame, state: DataFrame, cooled: float,
     return moved.withColumns({"x": checked(F.col("x") + F.col("mx")), "y": checked(F.col("y") + F.col("my"))}).select(*vertices.columns, "converged")
 
 
+@dataclass
+class Steps:
+    """What a layer's layout is made of; each can be replaced by a function of the same arguments.
+
+    ``explore`` gives boxes and sizes of components, ``scale`` fits a drawing to its frames, ``propagate`` gives the forces (the ball is made by ``reach``),
+    ``seed`` moves the vertices by them.
+    """
+
+    explore: Callable = boxes_and_sizes
+    scale: Callable = scale_drawing
+    reach: Callable = balls.k_hop_ball
+    propagate: Callable = forces
+    seed: Callable = move
+
+
 @dataclass
 class LayoutResult:
     vertices: DataFrame
@@ -105,21 +120,22 @@ class LayoutResult:
     ball_rows_hops: int
 
 
-def layout_layer(vertices: DataFrame, edges: DataFrame, options: LayoutOptions, max_weight: int = 1, rescale: bool = True) -> LayoutResult:
+def layout_layer(vertices: DataFrame, edges: DataFrame, options: LayoutOptions, max_weight: int = 1, rescale: bool = True, steps: Steps | None = None) -> LayoutResult:
     """Lay out one layer: frame, scale (on the first layer drawn), then moves until converged or ``limit``.
 
     The ball and degrees are written once; each move reads two written tables and writes one.
     """
-    state = cut(frames(boxes_and_sizes(vertices), options.ideal, options.temp_factor, max_weight), "frames")
-    current = cut(scale_drawing(vertices, state) if rescale else vertices, "places")
-    ball = cut(balls.k_hop_ball(edges, options.k).repartition("dst", "src"), "ball")
+    steps = steps or Steps(reach=balls.k_hop_ball)
+    state = cut(frames(steps.explore(vertices), options.ideal, options.temp_factor, max_weight), "frames")
+    current = cut(steps.scale(vertices, state) if rescale else vertices, "places")
+    ball = cut(steps.reach(edges, options.k).repartition("dst", "src"), "ball")
     links = cut(edges.select("src", "dst", "weight"), "links")
     degree = cut(degrees(edges), "degree")
     total = current.count()
     cooling, temperature, done = LinearCooling(options.cooling), 1.0, 0
     columns = current.columns
     for step in range(1, options.limit + 1):
-        moved = cut(move(current, forces(current, links, ball, options, max_weight, degree), state, temperature, options.accuracy), "places")
+        moved = cut(steps.seed(current, steps.propagate(current, links, ball, options, max_weight, degree), state, temperature, options.accuracy), "places")
         n = moved.agg(F.sum("converged")).first()[0] or 0
         drop(current)
         current, done = moved, step
@@ -129,9 +145,5 @@ def layout_layer(vertices: DataFrame, edges: DataFrame, options: LayoutOptions,
         temperature = cooling.cool(temperature)
         current = current.select(*columns)
         current._constella_path = moved._constella_path
+    drop(state, ball, links, degree)
     return LayoutResult(current.select(*columns), done, options.k)
-
-
-def window_converged(states: deque, new: float, threshold: float) -> bool:
-    """Whether a score hardly changed against the best of a window of earlier ones."""
-    return bool(states) and abs(1 - new / max(states)) < threshold

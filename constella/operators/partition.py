@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +10,6 @@ from pyspark.sql import functions as F
 from constella.functions.portable import uniform
 from constella.iterate import cut, drop
 from constella.operators.graph import degrees
-from constella.operators.layout import window_converged
 
 
 @dataclass
@@ -116,11 +114,31 @@ def quality(labels: DataFrame, edges: DataFrame, options: PartitionOptions) -> D
     local = ends.agg((F.sum((F.col("p") == F.col("q")).cast("int")) / F.count("*")).alias("local_ratio"), F.count("*").alias("ends"))
     load = loads(labels, degree).agg(F.max("load").alias("max_load"), F.when(F.count("*") < options.total, F.lit(0)).otherwise(F.min("load")).alias("min_load"))
     joined = local.crossJoin(load)
-    return joined.select("local_ratio", "max_load", "min_load", (F.col("max_load") * options.total / F.col("ends")).alias("max_normalised_load"))
+    unbalance = F.when(F.col("min_load") > 0, F.col("max_load") / F.col("min_load")).alias("max_min_unbalance")
+    return joined.select("local_ratio", "max_load", "min_load", (F.col("max_load") * options.total / F.col("ends")).alias("max_normalised_load"), unbalance)
+
+
+class Convergence:
+    """Whether a score hardly changed against the best of the scores before it.
+
+    Steps count half-rounds as the options do: scores come at steps 4, 6, 8 and so on. The first that is tested comes after step ``3 + window``;
+    from then on each new score replaces the oldest one.
+    """
+
+    def __init__(self, window: int, threshold: float):
+        self.window, self.threshold, self.states = window, threshold, []
+
+    def __call__(self, step: int, score: float) -> bool:
+        settled = False
+        if step > 3 + self.window and self.states:
+            settled = abs(1 - score / max(self.states)) < self.threshold
+            self.states.pop(0)
+        self.states.append(score)
+        return settled
 
 
 def partition_graph(vertices: DataFrame, edges: DataFrame, options: PartitionOptions | None = None) -> Partitioned:
-    """Label propagation until the total score settles, or ``max_iterations`` half-steps are done."""
+    """Label propagation until the total score settles, or ``max_iterations`` steps are done; the wishes of the last step aren't granted."""
     options = options or PartitionOptions()
     edges = cut(edges.select("src", "dst", "weight"), "edges")
     degree = cut(degrees(edges), "degree")
@@ -129,21 +147,22 @@ def partition_graph(vertices: DataFrame, edges: DataFrame, options: PartitionOpt
         labels = changed_k(labels, options)
     labels = cut(labels, "labels")
     capacity = round(edges.count() * (1 + options.capacity) / options.total)
-    states: deque = deque(maxlen=options.window)
+    settled = Convergence(options.window, options.threshold)
     out = Partitioned(labels, 0)
-    for number in range(max(1, options.max_iterations // 2)):
+    number = 0
+    while 2 * number + 3 < options.max_iterations:
         load = cut(loads(labels, degree), "loads")
         chosen = cut(best_labels(scores(labels, edges, load, capacity, options), options.seed, 600 + number), "chosen")
         state = chosen.agg(F.sum("h_now"), F.sum("freq_now"), F.sum("total"), F.sum((F.col("new_part") != F.col("part")).cast("int"))).first()
         out.metrics.append({"iteration": number, "score": state[0], "local_ratio": (state[1] or 0) / max(state[2] or 1, 1), "wishes": state[3]})
+        if settled(2 * number + 4, state[0]) or 2 * number + 4 >= options.max_iterations:
+            break
         moved = migrate(chosen, degree, load, capacity, options.seed, 900 + number)
         still = labels.join(moved.select("id", F.col("part").alias("new")), "id", "left").select("id", F.coalesce("new", "part").alias("part"))
         following = cut(still, "labels")
-        drop(labels)
+        drop(labels, load, chosen)
         labels, out.iterations = following, number + 1
-        if len(states) > 1 and window_converged(states, state[0], options.threshold):
-            break
-        states.append(state[0])
+        number += 1
     out.labels = labels
     return out
 

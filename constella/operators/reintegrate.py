@@ -7,12 +7,14 @@ angle, and the radius is a share of the hub's shortest edge (or of the ideal edg
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from constella.functions import geometry as G
+from constella.iterate import cut
 
 
 @dataclass
@@ -56,8 +58,13 @@ def on_sector(start: Column, sector: Column, quantity: Column, nth: Column) -> C
     return start + step / 2 + nth * step
 
 
-def sectors(rays: DataFrame, hubs: DataFrame, strategy: str, options: ReintegrationOptions) -> DataFrame:
-    """(id, sectors): for each hub an array of (start, sector, quantity), in order; quantities add up to its leaves."""
+def sectors(rays: DataFrame, hubs: DataFrame, strategy: str | Callable, options: ReintegrationOptions) -> DataFrame:
+    """(id, sectors): for each hub an array of (start, sector, quantity), in order; quantities add up to its leaves.
+
+    ``strategy`` is a name or a function of (rays, hubs, options); an unknown name stands for the default, ``fair_share``.
+    """
+    if callable(strategy):
+        return strategy(rays, hubs, options)
     padding = math.radians(options.padding)
     one = lambda start, sector: F.array(F.struct(start.cast("double").alias("start"), sector.cast("double").alias("sector"), F.size("one_edges").alias("quantity")))
     around = one(F.lit(0.0), F.lit(G.TWO_PI))
@@ -73,8 +80,6 @@ def sectors(rays: DataFrame, hubs: DataFrame, strategy: str, options: Reintegrat
         start, sector = -F.col("m.minus") + padding, F.col("m.gap") - 2 * padding
         chosen = F.when(F.col("degree").isNull(), around).when(F.col("degree") == 1, one(F.col("first"), F.lit(G.TWO_PI))).when(sector > 0, one(start, sector)).otherwise(around)
         return hubs.join(widest, "id", "left").select("id", chosen.alias("sectors"))
-    if strategy != "fair_share":
-        raise ValueError(f"unknown strategy {strategy}")
     least = math.radians(options.low_threshold) + 2 * padding
     wide = found.where(F.col("gap") >= least).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "gap"))).alias("gaps"))
     row = "struct<start:double,sector:double,quantity:int>"
@@ -93,7 +98,9 @@ def sectors(rays: DataFrame, hubs: DataFrame, strategy: str, options: Reintegrat
 def place_leaves(vertices: DataFrame, edges: DataFrame, hubs: DataFrame, strategy: str = "fair_share", options: ReintegrationOptions | None = None) -> DataFrame:
     """(id, hub, x, y) of every leaf. ``hubs`` has (id, one_edges); ``vertices`` the places and component of the hubs."""
     options = options or ReintegrationOptions()
-    rays = hub_rays(vertices, edges, hubs)
+    # Both are used several times: written once, they needn't be joined anew for gaps, radius and leaves.
+    hubs = cut(hubs, "hubs")
+    rays = cut(hub_rays(vertices, edges, hubs), "rays")
     cut_up = sectors(rays, hubs, strategy, options).select("id", F.explode("sectors").alias("s"), F.lit(0).alias("z"))
     before = F.coalesce(F.sum("s.quantity").over(Window.partitionBy("id").orderBy("s.start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = cut_up.withColumn("before", before).where("s.quantity > 0")

@@ -55,18 +55,28 @@ DEFAULTS = {
 }
 
 
+def _typed(value, default):
+    """A value given as text in the type of its default."""
+    if not isinstance(value, str) or isinstance(default, str):
+        return value
+    if isinstance(default, bool):
+        return value.strip().lower() == "true"
+    return type(default)(value) if default is not None else float(value)
+
+
 class Config:
-    """Values by key; unknown keys are refused."""
+    """Values by key, given as they are or as text. Keys that nothing reads, such as those of logs, are kept and have no effect."""
 
     def __init__(self, values: dict | None = None):
-        unknown = set(values or {}) - set(DEFAULTS)
-        if unknown:
-            raise KeyError(f"unknown keys: {sorted(unknown)}")
-        self.values = {**DEFAULTS, **(values or {})}
+        self.values = {**DEFAULTS, **{k: _typed(v, DEFAULTS.get(k, "")) for k, v in (values or {}).items()}}
 
     def __getitem__(self, key: str):
         return self.values[key]
 
+    @property
+    def angular(self) -> dict:
+        return {"ideal": self.ideal, "angle_moderator": self["layout.angularModeration"], "move_moderator": self["layout.translationModeration"]}
+
     @property
     def ideal(self) -> float:
         return G.ideal_edge(self["layout.node_length"], self["layout.node_width"], self["layout.node_separation"])

@@ -2,18 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from constella.functions.schedules import hops_at
-from constella.iterate import cut
+from constella.iterate import cut, drop
 from constella.operators.aggregates import bounding_boxes
 from constella.operators.coarsen import coarsen
 from constella.operators.components import connected_components
 from constella.operators.graph import random_places, symmetrise
-from constella.operators.layout import layout_layer
+from constella.operators.layout import Steps, layout_layer
 from constella.operators.pack import apply_packing, pack_components
 from constella.operators.partition import partition_graph
 from constella.operators.place import coarsest_places, place_bodies
@@ -29,9 +30,14 @@ class Graph:
     metrics: list[dict] = field(default_factory=list)
 
 
-def preprocess(vertices: DataFrame, edges: DataFrame, config: Config | None = None) -> Graph:
-    """Components, pruned leaves (listed at their hubs) and partitions: the input of both layout jobs."""
-    config = config or Config()
+def metrics_table(spark: SparkSession, graph: Graph) -> DataFrame:
+    """The counters of a job as rows (step, name, value)."""
+    rows = [(step, name, float(value)) for step, m in enumerate(graph.metrics) for name, value in m.items() if value is not None]
+    return spark.createDataFrame(rows, "step int, name string, value double")
+
+
+def prepare(vertices: DataFrame, edges: DataFrame, config: Config) -> Graph:
+    """Components and pruned leaves, listed at their hubs."""
     edges = cut(symmetrise(edges, config["spinner.weight"]), "edges")
     if config["partitioning.computeComponents"]:
         vertices = vertices.drop("component").join(connected_components(vertices, edges), "id")
@@ -42,7 +48,14 @@ def preprocess(vertices: DataFrame, edges: DataFrame, config: Config | None = No
         vertices, edges = with_leaves(pruned.vertices, pruned), pruned.edges
     else:
         vertices = vertices.withColumn("one_edges", F.array().cast("array<bigint>"))
-    vertices, edges = cut(vertices, "vertices"), cut(edges, "edges")
+    return Graph(cut(vertices, "vertices"), cut(edges, "edges"))
+
+
+def preprocess(vertices: DataFrame, edges: DataFrame, config: Config | None = None) -> Graph:
+    """Components, pruned leaves and partitions: the input of both layout jobs."""
+    config = config or Config()
+    prepared = prepare(vertices, edges, config)
+    vertices, edges = prepared.vertices, prepared.edges
     done = partition_graph(vertices, edges, config.partition())
     return Graph(vertices.drop("part").join(done.labels, "id"), edges, done.metrics)
 
@@ -53,13 +66,13 @@ def _places(vertices: DataFrame, config: Config) -> DataFrame:
     return random_places(vertices, config["partitioning.input.bBox.X"], config["partitioning.input.bBox.Y"], config["seed"])
 
 
-def finish(vertices: DataFrame, edges: DataFrame, hubs: DataFrame, config: Config) -> Graph:
+def finish(vertices: DataFrame, edges: DataFrame, hubs: DataFrame, config: Config, pack: Callable = pack_components) -> Graph:
     """Leaves around their hubs, then all components in one grid."""
     if config["multi.layout.reintegrateOneDegrees"]:
         vertices, edges = reintegrate(vertices, edges, hubs, config["reintegration.reintegratingClass"], config.reintegration())
     vertices = cut(vertices.select("id", "component", "x", "y"), "drawn")
     sizes = vertices.groupBy("component").agg(F.count("*").alias("n"))
-    packing = pack_components(bounding_boxes(vertices).join(sizes, "component"), config["reintegration.componentPadding"], config["layout.minRatioThreshold"])
+    packing = pack(bounding_boxes(vertices).join(sizes, "component"), config["reintegration.componentPadding"], config["layout.minRatioThreshold"])
     return Graph(apply_packing(vertices, packing), edges)
 
 
@@ -67,17 +80,17 @@ def _hubs(vertices: DataFrame) -> DataFrame:
     return vertices.where(F.size("one_edges") > 0).select("id", "one_edges")
 
 
-def layout_single(graph: Graph, config: Config | None = None, **options) -> Graph:
-    """One layer with fixed parameters, then leaves and packing."""
+def layout_single(graph: Graph, config: Config | None = None, steps: Steps | None = None, pack: Callable = pack_components, **options) -> Graph:
+    """One layer with fixed parameters, then leaves and packing. ``steps`` and ``pack`` replace parts of the job."""
     config = config or Config()
     start = cut(_places(graph.vertices, config).select("id", "component", "x", "y", "one_edges"), "start")
-    drawn = layout_layer(start, graph.edges, config.layout(**{"k": 3, **options}))
-    out = finish(drawn.vertices, graph.edges, _hubs(graph.vertices), config)
+    drawn = layout_layer(start, graph.edges, config.layout(**{"k": 3, **options}), steps=steps)
+    out = finish(drawn.vertices, graph.edges, _hubs(graph.vertices), config, pack)
     out.metrics = [{"layer": 0, "iterations": drawn.iterations, "hops": drawn.ball_rows_hops}]
     return out
 
 
-def layout_multilevel(graph: Graph, config: Config | None = None, **options) -> Graph:
+def layout_multilevel(graph: Graph, config: Config | None = None, steps: Steps | None = None, pack: Callable = pack_components, **options) -> Graph:
     """Coarsen, draw the coarsest layer, then place and draw each finer one; leaves and packing last."""
     config = config or Config()
     adapt, ideal, seed = config.adaptation, config.ideal, config["seed"]
@@ -91,9 +104,12 @@ def layout_multilevel(graph: Graph, config: Config | None = None, **options) ->
         facts = (layer.number, len(layers), layer.n_vertices, layer.n_edges)
         chosen = config.layout(**{"k": hops_at(adapt, *facts), "temp_factor": adapt.temperature(*facts), "cooling": adapt.cooling(*facts), "accuracy": adapt.accuracy(*facts), **options})
         start = cut(places.select("id", "component", "x", "y"), "start")
-        drawn = layout_layer(start, layer.edges, chosen, layer.max_weight, rescale=layer.number == len(layers) - 1)
+        drawn = layout_layer(start, layer.edges, chosen, layer.max_weight, rescale=layer.number == len(layers) - 1, steps=steps)
         places = drawn.vertices
+        if config["placer.destroyLevels"] and layer.number < len(layers) - 1:
+            above = layers[layer.number + 1]
+            drop(above.vertices, above.edges, above.bodies, above.proxies, above.paths, start)
         metrics.append({"layer": layer.number, "n_vertices": layer.n_vertices, "n_edges": layer.n_edges, "iterations": drawn.iterations, "hops": drawn.ball_rows_hops})
-    out = finish(places, graph.edges, _hubs(graph.vertices), config)
+    out = finish(places, graph.edges, _hubs(graph.vertices), config, pack)
     out.metrics = metrics
     return out

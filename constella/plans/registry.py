@@ -187,7 +187,8 @@ def partition_loads(spark, sf_dir):
 @query(
     f"""WITH e AS {SP}, {VERTICES}, {LABELS}
   SELECT {r4('avg(CASE WHEN a.part = b.part THEN 1.0 ELSE 0.0 END)')} AS local_ratio, (SELECT CAST(max(load) AS BIGINT) FROM ld) AS max_load, (SELECT CAST(min(load) AS BIGINT) FROM ld) AS min_load,
-    {r4(f'(SELECT max(load) FROM ld) * {K} / CAST(count(*) AS DOUBLE)')} AS max_normalised_load
+    {r4(f'(SELECT max(load) FROM ld) * {K} / CAST(count(*) AS DOUBLE)')} AS max_normalised_load,
+    {r4('(SELECT max(load) / CAST(min(load) AS DOUBLE) FROM ld)')} AS max_min_unbalance
   FROM e JOIN lab a ON a.id = e.src JOIN lab b ON b.id = e.dst"""
 )
 def partition_metrics(spark, sf_dir):
@@ -195,7 +196,11 @@ def partition_metrics(spark, sf_dir):
     return rounded(partition.quality(labels, e, o)).withColumn("min_load", F.col("min_load").cast("bigint"))
 
 
-@query()
+@query(
+    f"""WITH e AS {SP}, {VERTICES}, {LABELS}, {SCORES}, {BEST}, w AS (SELECT new_part AS label, sum(degree) AS demand FROM best JOIN deg USING (id) WHERE new_part <> part GROUP BY new_part),
+  room AS (SELECT label, greatest(0.0, (cap.cap - coalesce(ld.load, 0)) / CAST(w.demand AS DOUBLE)) AS chance FROM w CROSS JOIN cap LEFT JOIN ld ON ld.part = w.label)
+  SELECT id, CASE WHEN new_part <> part AND {uniform_sql('id', 900)} < chance THEN new_part ELSE part END AS part FROM best LEFT JOIN room ON room.label = best.new_part"""
+)
 def partition_migration(spark, sf_dir):
     e, o, labels, d, load, cap = _partition_state(spark, sf_dir)
     chosen = partition.best_labels(partition.scores(labels, e, load, cap, o), SEED, 600)
@@ -381,7 +386,7 @@ def system_assignment_round(spark, sf_dir):
 @query(f"WITH e AS {OP}, {VERTICES}, {SUNS}, {SYSTEMS}, {ROUTES} SELECT src, dst, CAST(max(weight) AS INTEGER) AS weight FROM (SELECT sun AS src, nbr AS dst, weight FROM way UNION ALL SELECT nbr, sun, weight FROM way) GROUP BY src, dst")
 def coarse_edges(spark, sf_dir):
     e, _, bodies, proxies = _systems(spark, sf_dir)
-    return coarsen.system_edges(coarsen.routes(e, bodies, proxies))
+    return coarsen.system_edges(coarsen.routes(e, bodies, proxies, longest=True))
 
 
 @query(
@@ -423,6 +428,30 @@ def random_placement(spark, sf_dir):
     return rounded(coarsest_places(coarsen.Layer(0, v, v)))
 
 
+LAST_WAYS = """hop AS (SELECT id, w, CAST(NULL AS BIGINT) AS proxy FROM body WHERE hops < 2 UNION SELECT r.id, 2, r.proxy FROM reach r JOIN moon m ON m.id = r.id AND m.sun = r.sun),
+  way AS (SELECT a.sun, b.sun AS nbr, e.src AS body, hop.w, hop.proxy, hop.w + 1 + b.w AS weight FROM e JOIN body a ON a.id = e.src JOIN body b ON b.id = e.dst JOIN hop ON hop.id = e.src WHERE a.sun <> b.sun),
+  len AS (SELECT s, d, max(weight) AS length FROM (SELECT sun AS s, nbr AS d, weight FROM way UNION ALL SELECT nbr, sun, weight FROM way) GROUP BY s, d),
+  path AS (SELECT sun, body, nbr, w AS position FROM way WHERE body <> sun UNION SELECT sun, proxy, nbr, 1 FROM way WHERE proxy IS NOT NULL)"""
+
+
+@query(
+    f"""WITH e AS {OP}, {VERTICES}, {SUNS}, {SYSTEMS}, {LAST_WAYS}, up AS (SELECT id, {X} AS x, {Y} AS y FROM suns),
+  al AS (SELECT p.body AS id, avg((o.x - s.x) * (position / CAST(length AS DOUBLE))) AS ax, avg((o.y - s.y) * (position / CAST(length AS DOUBLE))) AS ay
+    FROM path p JOIN len ON len.s = p.sun AND len.d = p.nbr JOIN up s ON s.id = p.sun JOIN up o ON o.id = p.nbr GROUP BY p.body),
+  b AS (SELECT body.*, up.x AS sx, up.y AS sy, ax, ay, {uniform_sql('body.id', 201)} * 2 - 1 AS shift, {uniform_sql('body.id', 301)} * {TWO_PI} AS angle FROM body JOIN up ON up.id = body.sun LEFT JOIN al ON al.id = body.id),
+  q AS (SELECT id, proxy, w, angle, CASE WHEN hops = 0 THEN sx WHEN ax IS NOT NULL THEN sx + ax + shift WHEN hops = 1 THEN sx + cos(angle) * w * {IDEAL} END AS x,
+    CASE WHEN hops = 0 THEN sy WHEN ay IS NOT NULL THEN sy + ay + shift WHEN hops = 1 THEN sy + sin(angle) * w * {IDEAL} END AS y FROM b)
+  SELECT q.id, {r4(f'coalesce(q.x, o.x + cos(q.angle) * (q.w - o.w) * {IDEAL})')} AS x, {r4(f'coalesce(q.y, o.y + sin(q.angle) * (q.w - o.w) * {IDEAL})')} AS y FROM q LEFT JOIN q o ON o.id = q.proxy"""
+)
+def placed_bodies(spark, sf_dir):
+    """Bodies of one round around suns whose places are given."""
+    e, _, bodies, proxies = _systems(spark, sf_dir)
+    ways = cut(coarsen.routes(e, bodies, proxies), "ways")
+    upper = random_places(bodies.where("hops = 0").select("id"))
+    layer = coarsen.Layer(0, bodies.select("id"), e, bodies, proxies, coarsen.system_paths(ways, bodies))
+    return rounded(place_bodies(layer, upper, coarsen.system_edges(ways), IDEAL).select("id", "x", "y"))
+
+
 @query()
 def placed_layer(spark, sf_dir):
     v, e = _placed_conversation(spark, sf_dir)
@@ -476,7 +505,20 @@ query(
   FROM rad LEFT JOIN (SELECT id, arg_max(start, [gap, -start]) AS start, max(gap) AS gap FROM gap GROUP BY id) g USING (id)"""
     )
 )(_leaf_query("max_slope"))
-query()(_leaf_query("fair_share"))
+WIDE = 2 * PAD + PAD
+query(
+    HUBS.replace("WITH e", "WITH RECURSIVE e", 1)
+    + f""", nl AS (SELECT hub AS id, count(*) AS n FROM leaf GROUP BY hub),
+  g AS (SELECT id, start, gap, row_number() OVER (PARTITION BY id ORDER BY start) AS i, count(*) OVER (PARTITION BY id) AS m FROM gap WHERE gap >= {WIDE}),
+  f(id, i, before, q, rest) AS (
+    SELECT g.id, g.i, CAST(0 AS BIGINT), q, n - q FROM (SELECT g.id, g.i, nl.n, CASE WHEN m = 1 THEN n ELSE CAST(round(n * gap / {TWO_PI}) AS BIGINT) END AS q FROM g JOIN nl USING (id) WHERE i = 1) g
+    UNION ALL
+    SELECT id, i, before, q, rest - q FROM (SELECT g.id, g.i, f.before + f.q AS before, f.rest, CASE WHEN g.i = g.m THEN f.rest ELSE CAST(round(f.rest * g.gap / {TWO_PI}) AS BIGINT) END AS q FROM f JOIN g ON g.id = f.id AND g.i = f.i + 1)),
+  sec AS (SELECT f.id, before, q, g.start + {PAD} AS start, g.gap - {2 * PAD} AS width FROM f JOIN g ON g.id = f.id AND g.i = f.i WHERE q > 0
+    UNION ALL SELECT id, 0, n, 0.0, {TWO_PI} FROM nl WHERE id NOT IN (SELECT id FROM g))
+  SELECT leaf AS id, lf.id AS hub, {r4('x + cos(start + width / q / 2 + (nth - before) * (width / q)) * r')} AS x, {r4('y + sin(start + width / q / 2 + (nth - before) * (width / q)) * r')} AS y
+  FROM lf JOIN sec ON sec.id = lf.id AND nth >= before AND nth < before + q JOIN rad ON rad.id = lf.id JOIN p ON p.id = lf.id"""
+)(_leaf_query("fair_share"))
 
 
 @query(f"{HUBS} SELECT id, {r4('start')} AS start, {r4('gap')} AS gap FROM gap")
@@ -549,6 +591,72 @@ def json_roundtrip(spark, sf_dir):
     return rounded(joined.select("id", "component", "part", "x", "y", F.size("one_edges").cast("bigint").alias("leaves"), F.coalesce("degree", F.lit(0)).alias("degree")))
 
 
+LINE_VERTICES = "lv AS (SELECT id, id % 100 + 0.5 AS x, id % 7 + 0.25 AS y, CAST(id % 3 AS INTEGER) AS part FROM v)"
+
+
+def _line_vertices(spark, sf_dir):
+    e = _op(spark, sf_dir)
+    v = vertices_of(e)
+    return v.withColumns({"x": (F.col("id") % 100).cast("double") + 0.5, "y": (F.col("id") % 7).cast("double") + 0.25, "part": (F.col("id") % 3).cast("int"), "component": F.lit(7).cast("bigint")}), e
+
+
+@query(
+    f"""WITH e AS {OP}, {VERTICES}, {LINE_VERTICES}, n AS (SELECT e.src AS id, string_agg('[' || dst || ',' || part || ']', ',' ORDER BY dst) AS nbrs FROM e JOIN lv ON lv.id = e.dst GROUP BY e.src)
+  SELECT '[' || id || ',' || part || ',' || CAST(x AS DOUBLE) || ',' || CAST(y AS DOUBLE) || ',7,[' || nbrs || ']]' AS value FROM lv JOIN n USING (id)"""
+)
+def layout_text(spark, sf_dir):
+    return text.layout_lines(*_line_vertices(spark, sf_dir), show_partition=True)
+
+
+@query(
+    f"""WITH e AS {OP}, {VERTICES}, {LINE_VERTICES}, n AS (SELECT src AS id, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS nbrs FROM e GROUP BY src)
+  SELECT '[' || id || ',' || CAST(x AS DOUBLE) || ',' || CAST(y AS DOUBLE) || ',[' || nbrs || ']]' AS value FROM lv JOIN n USING (id) WHERE id % 2 = 0"""
+)
+def layered_layout_text(spark, sf_dir):
+    v, e = _line_vertices(spark, sf_dir)
+    return text.layout_lines(v.withColumn("layer", (F.col("id") % 2).cast("int")), e, show_component=False, bare_ids=True)
+
+
+@query(
+    f"""WITH e AS {OP}, {VERTICES}, {SUNS}, {SYSTEMS}, {LINE_VERTICES}, n AS (SELECT src AS id, string_agg('[' || dst || ',0,1]', ',' ORDER BY dst) AS nbrs FROM e GROUP BY src)
+  SELECT '[' || lv.id || ',0,' || CAST(x AS DOUBLE) || ',' || CAST(y AS DOUBLE) || ',' || CASE hops WHEN 0 THEN 'SUN' WHEN 1 THEN 'PLANET' WHEN 2 THEN 'MOON' ELSE 'ASTEROID' END || ',' || coalesce(sun, -1) || ',[' || nbrs || ']]' AS value
+  FROM lv JOIN n USING (id) LEFT JOIN body USING (id)"""
+)
+def body_text(spark, sf_dir):
+    v, e = _line_vertices(spark, sf_dir)
+    return text.body_lines(_systems(spark, sf_dir)[2], v, e, 0)
+
+
+@query(f"SELECT DISTINCT src AS id, src % 5 || '_' || src AS plain, src % 5 || '_' || src || '_2' AS layered FROM {OP}")
+def vertex_names(spark, sf_dir):
+    part = F.col("id") % 5
+    named = vertices_of(_op(spark, sf_dir)).select("id", G.vertex_text(part, F.col("id")).alias("plain"), G.vertex_text(part, F.col("id"), F.lit(2)).alias("layered"))
+    # Names are read back: a difference would show as another id.
+    return named.select(G.parse_vertex_text(F.col("layered"))["id"].alias("id"), "plain", "layered")
+
+
+@query(f"WITH e AS {OP} SELECT src % 10 AS component, list_sort(list_distinct(list(dst))) AS ids FROM e GROUP BY src % 10")
+def component_ids(spark, sf_dir):
+    lists = _op(spark, sf_dir).groupBy("src").agg(F.collect_list("dst").alias("ids")).select((F.col("src") % 10).alias("component"), "ids")
+    return aggregates.id_union(lists)
+
+
+@query(f"WITH e AS {OP}, {VERTICES} SELECT id AS component, CAST(CASE WHEN id % 3 = 0 THEN 2 ELSE 1 END AS DOUBLE) AS temp FROM v")
+def state_overwrite(spark, sf_dir):
+    v = vertices_of(_op(spark, sf_dir)).select(F.col("id").alias("component"))
+    return aggregates.overwrite(v.withColumn("temp", F.lit(1.0)), v.where("component % 3 = 0").withColumn("temp", F.lit(2.0)))
+
+
+@query(
+    f"""{OP_PLACED}, a AS (SELECT e.src, e.dst, atan2(q.y, q.x) - atan2(p.y, p.x) AS t FROM e JOIN p ON p.id = e.src JOIN p q ON q.id = e.dst)
+  SELECT src, dst, {r4(f'CASE WHEN t < 0 THEN t + {TWO_PI} ELSE t END')} AS angle FROM a"""
+)
+def directed_angles(spark, sf_dir):
+    v, e, _ = _op_state(spark, sf_dir)
+    ends = e.join(v.select(F.col("id").alias("src"), "x", "y"), "src").join(v.select(F.col("id").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2")), "dst")
+    return rounded(ends.select("src", "dst", G.angle_between(F.col("x"), F.col("y"), F.col("x2"), F.col("y2")).alias("angle")))
+
+
 #: Few partitions for a small graph; the limits are the defaults, so that the jobs end by their convergence tests.
 JOB = {"spinner.numberOfPartitions": 4}
 
@@ -559,6 +667,15 @@ def _prepared(spark, sf_dir):
     return jobs.preprocess(vertices_of(e), e, config), config
 
 
+@query(
+    f"""WITH RECURSIVE e AS {CONV}, {VERTICES}, {COMPONENTS}, {LEAVES}
+  SELECT id, component, CAST(coalesce(n, 0) AS INTEGER) AS leaves FROM comp LEFT JOIN (SELECT hub AS id, count(*) AS n FROM leaf GROUP BY hub) h USING (id) WHERE id NOT IN (SELECT leaf FROM leaf)"""
+)
+def prepared_graph(spark, sf_dir):
+    e = load_graph(spark, sf_dir, "conversation")
+    return jobs.prepare(vertices_of(e), e, Config(JOB)).vertices.select("id", "component", F.size("one_edges").alias("leaves"))
+
+
 @query()
 def preprocess_job(spark, sf_dir):
     return _prepared(spark, sf_dir)[0].vertices.select("id", "component", "part", F.size("one_edges").alias("leaves"))

@@ -12,6 +12,7 @@ from constella.operators.ball import k_hop_ball
 from constella.operators.components import connected_components
 from constella.operators.graph import symmetrise, vertices_of
 from constella.operators.prune import prune_leaves
+from constella.plans import config, jobs, runner
 from constella.sources import text
 
 K = G.ideal_edge()
@@ -216,3 +217,57 @@ def test_registered_jobs_have_the_default_limits(spark, monkeypatch):
     assert asked[0].max_iterations == config.DEFAULTS["spinner.maxIterations"]
     for given in asked[1:]:
         assert all(given[key] == config.DEFAULTS[key] for key in ("spinner.maxIterations", "layout.limit"))
+
+
+def test_scores_are_tested_after_the_window():
+    settled = partition.Convergence(5, 0.001)
+    scores = [100.0, 100.0, 100.0, 100.0, 120.0, 120.0, 120.0, 120.0, 120.0]
+    assert [settled(4 + 2 * i, x) for i, x in enumerate(scores)] == [False, False, False, True, False, True, True, True, True]
+
+
+def test_hooks_and_unknown_strategies(spark):
+    v = spark.createDataFrame([(0, 0, 0.0, 0.0), (1, 0, 10.0, 0.0), (2, 0, 0.0, 10.0)], "id bigint, component bigint, x double, y double")
+    e = edges(spark, (0, 1), (0, 2))
+    hubs = spark.createDataFrame([(0, [11, 12])], "id bigint, one_edges array<bigint>")
+    around = lambda rays, hubs, options: reintegrate.sectors(rays, hubs, "radial", options)
+    places = lambda strategy: sorted((r.id, round(r.x, 6), round(r.y, 6)) for r in reintegrate.place_leaves(v, e, hubs, strategy).collect())
+    assert places(around) == places("radial") and places("no.such.Class") == places("fair_share")
+    asked = []
+    steps = layout.Steps(seed=lambda *a: asked.append("seed") or layout.move(*a), propagate=lambda *a: asked.append("propagate") or layout.forces(*a), explore=lambda d: asked.append("explore") or aggregates.boxes_and_sizes(d))
+    layout.layout_layer(v, e, layout.LayoutOptions(k=1, limit=2), steps=steps)
+    assert asked == ["explore", "propagate", "seed", "propagate", "seed"]
+    given = config.Config({"spinner.maxIterations": "8", "layout.output.showComponent": "false", "some.log.key": "x"})
+    assert given["spinner.maxIterations"] == 8 and given["layout.output.showComponent"] is False and given["some.log.key"] == "x"
+
+
+def test_runner_from_lines_to_lines(spark, tmp_path):
+    """A path with a leaf at either end and a lone pair, through all three jobs at their default limits but a shorter one."""
+    near = {1: [2], 2: [1, 3], 3: [2, 4], 4: [3, 5], 5: [4], 8: [9], 9: [8]}
+    (tmp_path / "in.txt").write_text("\n".join(f"[{i},0,0,{n}]" for i, n in near.items()))
+    values = {"spinner.numberOfPartitions": "2", "spinner.maxIterations": "6", "layout.limit": "7"}
+    out = runner.run(spark, "preprocess", str(tmp_path / "in.txt"), str(tmp_path / "pre"), values)
+    table = jobs.metrics_table(spark, out)
+    assert table.where("name = 'score'").count() == 2 and table.where("name = 'local_ratio'").count() == 2
+    lines = [r.value for r in text.read_lines(spark, str(tmp_path / "pre")).collect()]
+    assert len(lines) == 5 and sum(line.startswith("[2,1,") and ",[1],[[3," in line for line in lines) == 1
+    for job in ("single", "multilevel"):
+        runner.run(spark, job, str(tmp_path / "pre"), str(tmp_path / job), {**values, "layout.output.showPartitioning": "true" if job == "single" else "false"})
+        got = sorted(r.value for r in text.read_lines(spark, str(tmp_path / job)).collect())
+        assert [int(g[1:].split(",")[0]) for g in got] == sorted(near)
+        assert all(g.count("[") == (2 + len(n) if job == "single" else 2) for g, n in zip(got, near.values(), strict=True))
+        assert not any("NaN" in g or "Infinity" in g for g in got)
+    with pytest.raises(ValueError, match="unknown job"):
+        runner.run(spark, "nothing", "", "")
+
+
+def test_rows_of_a_partition_share_a_task(spark):
+    labels = spark.range(100).select("id", (F.col("id") % 7).cast("int").alias("part"))
+    owner = partition.by_partition(labels, 3).withColumn("task", F.spark_partition_id())
+    assert owner.groupBy("part").agg(F.countDistinct("task").alias("n")).where("n > 1").count() == 0
+
+
+def test_fewer_partitions(spark):
+    labels = spark.range(300).select("id", (F.col("id") % 8).cast("int").alias("part"))
+    got = partition.changed_k(labels, partition.PartitionOptions(partitions=8, repartition=-3)).collect()
+    assert {r.part for r in got} == set(range(5))
+    assert all(r.part == r.id % 8 for r in got if r.id % 8 < 5)
