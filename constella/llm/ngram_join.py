@@ -24,7 +24,7 @@ Extra columns are left out. Sets are compared by 64-bit hashes of their shingles
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +38,7 @@ from constella.operators.components import connected_components
 SKETCH_BITS, WORD_BITS = 18, 19
 SKETCH, WORDS = 1 << SKETCH_BITS, 1 << WORD_BITS
 #: Bins of the suffix filter's histogram.
-BINS = 64
+BINS = 128
 #: Sets in a group of one prefix shingle, and in one of one difference from a hub, whose pairs are listed; a larger group gets a hub.
 #: The second kind is filtered by how much of the differences must be shared, so that few of its pairs are left.
 SMALL, SMALL_APART = 12, 200
@@ -64,34 +64,40 @@ def _key(s: np.ndarray) -> int:
     return int(common.mix(np.array([total], dtype=np.uint64)).view(np.int64)[0])
 
 
+def _histogram(s: np.ndarray) -> bytes:
+    """Shingles of a set by the upper bits of their hashes, modulo 256."""
+    return np.bincount((s >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), minlength=BINS).astype(np.uint8).tobytes()
+
+
 def _word_bucket(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(64 - WORD_BITS)).astype(np.int64)
 
 
 def set_facts(source: DataFrame, width: int) -> DataFrame:
-    """Size and key of each text's set; one more row for each task carries its part of both sketches."""
+    """Size, key and histogram of each text's set; one more row for each task carries its part of both sketches."""
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, schema = np.zeros(SKETCH + WORDS, np.int64), None
         for batch in common.sliced(batches):
-            n, keys = [], []
+            n, keys, hist = [], [], []
             for _, _, data, offsets in common.text_chunks(batch.column("text")):
                 words, before = common.word_hashes(data, offsets)
                 sketch[SKETCH:] += np.bincount(_word_bucket(words), minlength=WORDS)
                 sets = common.shingle_sets(words, before, width)
                 n += map(len, sets)
                 keys += map(_key, sets)
+                hist += map(_histogram, sets)
                 sketch[:SKETCH] += np.bincount((np.concatenate(sets) & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
             nothing = pa.nulls(batch.num_rows, pa.binary())
-            out = pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(keys, pa.int64()), nothing], names=["doc_id", "n", "key", "sketch"])
+            out = pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int32()), pa.array(keys, pa.int64()), pa.array(hist, pa.binary()), nothing], names=["doc_id", "n", "key", "hist", "sketch"])
             schema = out.schema
             yield out
         if schema is not None:
             part = sketch.astype(np.float32).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((None, None, None, part), schema, strict=True)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((None, None, None, None, part), schema, strict=True)], schema=schema)
 
-    return source.mapInArrow(run, f"doc_id {kind}, n int, key bigint, sketch binary")
+    return source.mapInArrow(run, f"doc_id {kind}, n int, key bigint, hist binary, sketch binary")
 
 
 def corpus_sketches(facts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -173,14 +179,14 @@ def candidate_filter(keys: DataFrame, n_keys: int) -> np.ndarray:
 
 
 def candidate_sets(source: DataFrame, width: int, bits: np.ndarray | None) -> DataFrame:
-    """Full sets (key, n, hist, tokens) of the texts whose key passes the candidate filter, or of all."""
+    """Full sets (key, tokens) of the texts whose key passes the candidate filter, or of all."""
     held = source.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = held.value
         seen: set[int] = set()
         for batch in common.sliced(batches):
-            keys, n, hist, tokens = [], [], [], []
+            keys, tokens = [], []
             for _, s in _sets(batch, width):
                 if not len(s) or (k := _key(s)) in seen:
                     continue
@@ -190,12 +196,10 @@ def candidate_sets(source: DataFrame, width: int, bits: np.ndarray | None) -> Da
                         continue
                 seen.add(k)
                 keys.append(k)
-                n.append(len(s))
-                hist.append(np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=BINS).astype(np.uint8).tobytes())
                 tokens.append(s.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int32()), pa.array(hist, pa.binary()), pa.array(tokens, pa.binary())], names=["key", "n", "hist", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(tokens, pa.binary())], names=["key", "tokens"])
 
-    return source.mapInArrow(run, "key bigint, n int, hist binary, tokens binary")
+    return source.mapInArrow(run, "key bigint, tokens binary")
 
 
 def _needed(n, m, percent: int):
@@ -238,8 +242,9 @@ class _Join:
     listed: the set, or its differences from the hub) and pos (place in the order of what is listed).
     """
 
-    def __init__(self, sets: DataFrame, percent: int, standing: np.ndarray, stats: dict | None):
-        self.sets, self.percent, self.standing, self.stats = sets, percent, standing, stats
+    def __init__(self, classes: DataFrame, make_sets: Callable[[DataFrame], DataFrame], percent: int, standing: np.ndarray, stats: dict | None):
+        self.classes, self.make_sets, self.percent, self.standing, self.stats = classes, make_sets, percent, standing, stats
+        self.sets: DataFrame | None = None
         self.labels: DataFrame | None = None
         self.tested: DataFrame | None = None
         self.links: DataFrame | None = None
@@ -295,11 +300,11 @@ class _Join:
         fam = F.lit(0).cast("bigint") if first else F.col("g")
         return self.cut(large.join(best, "g").where("key <> hub").select(fam.alias("fam"), "key", "hub").distinct(), "members")
 
-    def verify(self, pairs: DataFrame) -> None:
-        """Suffix filter, then full comparison of each pair; links are kept."""
+    def likely(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that pass the suffix filter: how much their histograms differ allows for a link."""
         percent = self.percent
-        mine = self.sets.select(F.col("key").alias("a"), F.col("n"), "hist")
-        theirs = self.sets.select(F.col("key").alias("b"), F.col("n").alias("on"), F.col("hist").alias("ohist"), F.col("tokens").alias("other"))
+        mine = self.classes.select(F.col("key").alias("a"), "n", "hist")
+        theirs = self.classes.select(F.col("key").alias("b"), F.col("n").alias("on"), F.col("hist").alias("ohist"))
 
         def suffix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in common.sliced(batches):
@@ -308,7 +313,14 @@ class _Join:
                 # Bins are kept modulo 256: the distance on that circle is a lower bound of the true one.
                 apart = np.minimum(x - y, y - x).sum(axis=1, dtype=np.int64)
                 needed = -(-percent * (n + m) // (100 + percent))
-                yield batch.select(["a", "b", "other"]).filter(pa.array(apart <= n + m - 2 * needed))
+                yield batch.select(["a", "b"]).filter(pa.array(apart <= n + m - 2 * needed))
+
+        joined = pairs.join(mine, "a").join(theirs, "b").select("a", "b", "n", "on", "hist", "ohist")
+        return self.cut(joined.mapInArrow(suffix, "a bigint, b bigint"), "likely")
+
+    def verify(self, likely: DataFrame, pairs: DataFrame) -> None:
+        """Full comparison of the likely ones of some pairs; links are kept."""
+        percent = self.percent
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in common.sliced(batches):
@@ -319,8 +331,8 @@ class _Join:
                     good.append(100 * shared >= percent * (len(s) + len(t) - shared))
                 yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-        likely = pairs.join(mine, "a").join(theirs, "b").select("a", "b", "n", "on", "hist", "ohist", "other").mapInArrow(suffix, "a bigint, b bigint, other binary")
-        matched = likely.join(self.sets.select(F.col("key").alias("a"), "tokens"), "a")
+        mine, theirs = self.sets.select(F.col("key").alias("a"), "tokens"), self.sets.select(F.col("key").alias("b"), F.col("tokens").alias("other"))
+        matched = likely.join(mine, "a").join(theirs, "b").select("a", "b", "tokens", "other")
         self.keep(self.cut(matched.mapInArrow(compare, "a bigint, b bigint"), "links"), pairs)
         self.count("pairs", pairs)
 
@@ -402,10 +414,16 @@ class _Join:
         most, first = SMALL, True
         while True:
             rows = self.grouped(entries)
-            self.verify(self.pairs(rows, most))
-            if rows.where(F.col("c") > most).isEmpty():
-                return
+            pairs = self.pairs(rows, most)
+            likely = self.likely(pairs)
             members = self.members(rows, most, first)
+            if first:
+                # Whole sets are only made of what is to be compared; later levels compare members of this one.
+                ends = [likely.select(F.col(c).alias("key")) for c in ("a", "b")] + [members.select(F.col(c).alias("key")) for c in ("key", "hub")]
+                self.sets = self.make_sets(self.cut(ends[0].union(ends[1]).union(ends[2]).union(ends[3]).distinct(), "keys"))
+            self.verify(likely, pairs)
+            if members.isEmpty():
+                return
             apart = self.compare_with_hubs(members.select("key", "hub").distinct())
             self.relabel()
             common.drop(rows)
@@ -425,7 +443,7 @@ def ngram_join(df: DataFrame, id_col: str, text_col: str, width: int = 5, percen
     sketches = corpus_sketches(written)
     facts = written.where("n is not null").select("doc_id", "n", "key")
     filled = facts.where("n > 0")
-    classes = filled.groupBy("key").agg(F.min("doc_id").alias("class_id"))
+    classes = common.cut(written.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("hist").alias("hist")), "classes")
     prefixes = common.cut(prefix_entries(source, width, percent, sketches), "prefixes")
     several = prefixes.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("token")
     lengths = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
@@ -433,22 +451,23 @@ def ngram_join(df: DataFrame, id_col: str, text_col: str, width: int = 5, percen
     entries = common.cut(shared.select(F.xxhash64("token", "part").alias("g"), "key", "n", F.col("n").alias("a"), "pos"), "entries")
     common.drop(prefixes)
     common.release(spark)
-    # Only sets that meet another one are kept in full.
-    several = entries.groupBy("g").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("g")
-    keys = common.cut(entries.join(several, "g", "left_semi").select("key").distinct(), "keys")
-    n_keys = keys.count()
-    if n_keys <= FILTER_KEYS:
-        full = candidate_sets(source, width, candidate_filter(keys, n_keys))
-    else:
-        first = classes.join(keys, "key", "left_semi").select("class_id")
-        full = candidate_sets(source.join(first, F.col("doc_id").eqNullSafe(F.col("class_id")), "left_semi"), width, None)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name, path = f"t_{uuid.uuid4().hex}", common.new_path(spark, "buckets")
-    # Written once in buckets, so that joining by the key needs no further exchange of whole sets.
-    full.repartition(buckets, "key").dropDuplicates(["key"]).write.option("path", path).option("compression", "zstd").bucketBy(buckets, "key").sortBy("key").saveAsTable(name)
-    common.drop(keys)
-    common.release(spark)
-    join = _Join(spark.table(name), percent, sketches[0], stats)
+
+    def make_sets(keys: DataFrame) -> DataFrame:
+        """Sets of the keys, written once in buckets, so that joining by the key needs no further exchange of whole sets."""
+        n_keys = keys.count()
+        if n_keys <= FILTER_KEYS:
+            full = candidate_sets(source, width, candidate_filter(keys, n_keys))
+        else:
+            first = classes.join(keys, "key", "left_semi").select("class_id")
+            full = candidate_sets(source.join(first, F.col("doc_id").eqNullSafe(F.col("class_id")), "left_semi"), width, None)
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        full = full.repartition(buckets, "key").dropDuplicates(["key"])
+        full.write.option("path", path).option("compression", "zstd").bucketBy(buckets, "key").sortBy("key").saveAsTable(name)
+        common.release(spark)
+        return spark.table(name)
+
+    join = _Join(classes, make_sets, percent, sketches[0], stats)
     join.run(entries)
     common.drop(entries)
     links = common.cut(join.links, "all-links")
@@ -458,14 +477,14 @@ def ngram_join(df: DataFrame, id_col: str, text_col: str, width: int = 5, percen
         ends = links.select(F.col("a").alias("src"), F.col("b").alias("dst"))
         nodes = ends.select(F.col("src").alias("id")).union(ends.select("dst")).distinct()
         labels = connected_components(nodes, ends).select(F.col("id").alias("key"), F.col("component").alias("label"))
-        placed = classes.join(labels, "key", "left").select("key", "class_id", F.coalesce("label", "key").alias("label"))
+        placed = classes.select("key", "class_id").join(labels, "key", "left").select("key", "class_id", F.coalesce("label", "key").alias("label"))
         groups = placed.join(placed.groupBy("label").agg(F.min("class_id").alias("component_id")), "label").select("key", "class_id", "component_id")
     out = filled.join(groups, "key").select("doc_id", F.col("n").cast("bigint").alias("n_shingles"), "class_id", "component_id")
     alone = facts.where("n = 0").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
     out = common.cut(out.unionByName(alone), "joined")
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     common.drop_path(spark, path)
-    common.drop(written, links, *join.written)
+    common.drop(written, classes, links, *join.written)
     common.release(spark)
     return out
 
