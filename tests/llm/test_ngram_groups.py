@@ -63,7 +63,7 @@ def test_every_level_of_hubs(spark, monkeypatch):
 
 def test_work_grows_with_members_not_pairs(spark):
     rng = np.random.default_rng(22)
-    texts = copies(rng, 2000, 150, 6, "c")
+    texts = copies(rng, 800, 150, 6, "c")
     stats: dict = {}
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(df, "doc_id", "text", 3, 90, stats).collect()}
