@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,6 +35,16 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
     return out
 
 
+def cut_observed(df: DataFrame, name: str, **totals: Column) -> tuple[DataFrame, dict]:
+    """``cut``, and aggregates of its rows taken while they are written, so that no second job reads them.
+
+    They are taken in the writing stage, which counts each partition once whatever attempts it took.
+    """
+    seen = Observation()
+    out = cut(df.observe(seen, *[c.alias(n) for n, c in totals.items()]), name)
+    return out, seen.get
+
+
 def drop(*tables: DataFrame | None) -> None:
     """Delete the files behind tables that ``cut`` wrote; other tables are left alone."""
     for df in tables:

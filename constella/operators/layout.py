@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from constella.functions import geometry as G
 from constella.functions.forces import force_model
 from constella.functions.schedules import LinearCooling
-from constella.iterate import cut, drop
+from constella.iterate import cut, cut_observed, drop
 from constella.operators import ball as balls
 from constella.operators.aggregates import boxes_and_sizes
 from constella.operators.graph import degrees
@@ -135,8 +135,9 @@ def layout_layer(vertices: DataFrame, edges: DataFrame, options: LayoutOptions,
     cooling, temperature, done = LinearCooling(options.cooling), 1.0, 0
     columns = current.columns
     for step in range(1, options.limit + 1):
-        moved = cut(steps.seed(current, steps.propagate(current, links, ball, options, max_weight, degree), state, temperature, options.accuracy), "places")
-        n = moved.agg(F.sum("converged")).first()[0] or 0
+        pushed = steps.propagate(current, links, ball, options, max_weight, degree)
+        moved, seen = cut_observed(steps.seed(current, pushed, state, temperature, options.accuracy), "places", n=F.sum("converged"))
+        n = seen["n"] or 0
         drop(current)
         current, done = moved, step
         ready = n == total if options.strict else n >= options.convergence * total

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from constella.functions.portable import uniform
-from constella.iterate import cut, drop
+from constella.iterate import cut, cut_observed, drop
 from constella.operators.graph import degrees
 
 
@@ -138,7 +138,10 @@ class Convergence:
 
 
 def partition_graph(vertices: DataFrame, edges: DataFrame, options: PartitionOptions | None = None) -> Partitioned:
-    """Label propagation until the total score settles, or ``max_iterations`` steps are done; the wishes of the last step aren't granted."""
+    """Label propagation until the total score settles, or ``max_iterations`` steps are done; the wishes of the last step aren't granted.
+
+    An empty graph, or one without edges, keeps its first labels.
+    """
     options = options or PartitionOptions()
     edges = cut(edges.select("src", "dst", "weight"), "edges")
     degree = cut(degrees(edges), "degree")
@@ -151,16 +154,18 @@ def partition_graph(vertices: DataFrame, edges: DataFrame, options: PartitionOpt
     out = Partitioned(labels, 0)
     number = 0
     while 2 * number + 3 < options.max_iterations:
-        load = cut(loads(labels, degree), "loads")
-        chosen = cut(best_labels(scores(labels, edges, load, capacity, options), options.seed, 600 + number), "chosen")
-        state = chosen.agg(F.sum("h_now"), F.sum("freq_now"), F.sum("total"), F.sum((F.col("new_part") != F.col("part")).cast("int"))).first()
-        out.metrics.append({"iteration": number, "score": state[0], "local_ratio": (state[1] or 0) / max(state[2] or 1, 1), "wishes": state[3]})
-        if settled(2 * number + 4, state[0]) or 2 * number + 4 >= options.max_iterations:
+        # A row for each label in use: k at most.
+        load = labels.sparkSession.createDataFrame(loads(labels, degree).collect(), "part int, load bigint")
+        wished = (F.col("new_part") != F.col("part")).cast("int")
+        offers = best_labels(scores(labels, edges, load, capacity, options), options.seed, 600 + number)
+        chosen, state = cut_observed(offers, "chosen", score=F.sum("h_now"), local=F.sum("freq_now"), total=F.sum("total"), wishes=F.sum(wished))
+        out.metrics.append({"iteration": number, "score": state["score"], "local_ratio": (state["local"] or 0) / max(state["total"] or 1, 1), "wishes": state["wishes"]})
+        if state["score"] is None or settled(2 * number + 4, state["score"]) or 2 * number + 4 >= options.max_iterations:
             break
         moved = migrate(chosen, degree, load, capacity, options.seed, 900 + number)
         still = labels.join(moved.select("id", F.col("part").alias("new")), "id", "left").select("id", F.coalesce("new", "part").alias("part"))
         following = cut(still, "labels")
-        drop(labels, load, chosen)
+        drop(labels, chosen)
         labels, out.iterations = following, number + 1
         number += 1
     out.labels = labels

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from constella.functions import forces, schedules
 from constella.functions import geometry as G
+from constella.iterate import cut_observed
 from constella.operators import aggregates, coarsen, layout, pack, partition, reintegrate
 from constella.operators.ball import k_hop_ball
 from constella.operators.components import connected_components
@@ -271,3 +272,18 @@ def test_fewer_partitions(spark):
     got = partition.changed_k(labels, partition.PartitionOptions(partitions=8, repartition=-3)).collect()
     assert {r.part for r in got} == set(range(5))
     assert all(r.part == r.id % 8 for r in got if r.id % 8 < 5)
+
+
+def test_loops_on_an_empty_graph(spark):
+    vertices = spark.createDataFrame([], "id bigint, component bigint, x double, y double")
+    edges = spark.createDataFrame([], "src bigint, dst bigint, weight int")
+    drawn = layout.layout_layer(vertices, edges, layout.LayoutOptions(limit=2))
+    assert drawn.vertices.count() == 0
+    done = partition.partition_graph(vertices, edges, partition.PartitionOptions(max_iterations=10))
+    assert (done.labels.count(), done.iterations) == (0, 0)
+
+
+def test_totals_taken_while_writing(spark):
+    rows = spark.range(1000).select("id", (F.col("id") % 7).alias("r")).repartition(5, "r")
+    written, seen = cut_observed(rows, "observed", n=F.count("*"), total=F.sum("r"))
+    assert seen == {"n": written.count(), "total": written.agg(F.sum("r")).first()[0]}
