@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from constella.llm import decontaminate, html_text, langid, media, ngram_join, packing, quality, secrets, token_store, warc
+from constella.llm import decontaminate, html_text, langid, media, mixing, ngram_join, packing, periodic, quality, secrets, token_store, warc, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,9 @@ def queries() -> dict:
         "op8_huffman_ids": token_store.op8_huffman_ids,
         "op9_latent_decontamination": decontaminate.op9_latent_decontamination,
         "op10_quality_gam": quality.op10_quality_gam,
+        "op11_periodic_runs": periodic.op11_periodic_runs,
+        "op12_mixed_sources": mixing.op12_mixed_sources,
+        "op13_embedding_whitening": whitening.op13_embedding_whitening,
         "pipeline": corpus_pipeline.run,
         "secret_base_spans": secrets.base_query,
     }
