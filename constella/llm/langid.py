@@ -12,7 +12,6 @@ table. Extra columns are left out.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +28,11 @@ WINDOW, BLOCK = 256, 256
 #: The training sample: texts of each language, at most about; code points of the piece that is taken from each, anywhere in it.
 SAMPLE_TEXTS, SAMPLE_CHARS = 1200, 2048
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a code point is a letter; digits of any script, fractions and circled numbers aren't."""
+    return any(map(str.isalpha, text))
 
 
 @dataclass
@@ -129,7 +132,7 @@ def classify(net: Network, column: pa.Array) -> tuple[list[str], list[float]]:
     """Language and probability of each whole text; windows of many texts go through the network together."""
     n = len(column)
     names, scores = [UNKNOWN] * n, [0.0] * n
-    known = [i for i, t in enumerate(column.to_pylist()) if t and _LETTER.search(t)] if net.languages else []
+    known = [i for i, t in enumerate(column.to_pylist()) if t and has_letter(t)] if net.languages else []
     wanted = np.zeros(n, bool)
     wanted[known] = True
     for first, end, data, offsets in common.text_chunks(column):
@@ -163,7 +166,7 @@ def train_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     start = F.floor(common.uniform(F.xxhash64("id", "text"), "piece") * (F.greatest(F.char_length("text") - SAMPLE_CHARS, F.lit(0)) + 1)).cast("int") + 1
     pieces = chosen.select("id", "lang", F.substring("text", start, F.lit(SAMPLE_CHARS)).alias("text")).distinct()
     got = sorted((r["id"], r["lang"], r["text"]) for r in pieces.collect())
-    got = [(lang, text.encode()) for _, lang, text in got if _LETTER.search(text)]
+    got = [(lang, text.encode()) for _, lang, text in got if has_letter(text)]
     return train_network([t for _, t in got], [lang for lang, _ in got])
 
 

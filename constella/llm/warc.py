@@ -72,7 +72,7 @@ def _header(kind: Column, name: Column, url: Column, sha1: Column, sha256: Colum
         F.lit("WARC/1.1" + CRLF),
         line("WARC-Type", kind),
         line("WARC-Record-ID", _urn(name)),
-        F.when(url.isNotNull(), line("WARC-Target-URI", F.regexp_replace(url, r"[\r\n]", "%0A"))).otherwise(F.lit("")),
+        F.when(url.isNotNull(), line("WARC-Target-URI", F.replace(F.replace(url, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A")))).otherwise(F.lit("")),
         line("WARC-Date", F.lit(date)),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), sha1)),
         line("WARC-Block-Digest", F.concat(F.lit("sha256:"), F.when(response, sha256).otherwise(F.lit(NOTHING)))),
@@ -110,15 +110,12 @@ def archive(df: DataFrame, id_col: str, url_col: str, payload_col: str, date: st
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"payloads_{uuid.uuid4().hex}"
     # The aggregation deals payloads by digest into as many parts as there are buckets: each bucket is whole in a task.
-    (
-        pages.groupBy("digest")
-        .agg(F.first("payload").alias("payload"))
-        .write.option("compression", "zstd")
-        .option("path", f"{path}/payloads")
-        .bucketBy(buckets, "digest")
-        .sortBy("digest")
-        .saveAsTable(table)
-    )
+    once = pages.groupBy("digest").agg(F.first("payload").alias("payload"))
+    try:
+        once.write.option("compression", "zstd").option("path", f"{path}/payloads").bucketBy(buckets, "digest").sortBy("digest").saveAsTable(table)
+    except BaseException:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        raise
     common.drop(facts)
     return Archive(spark.read.schema(headers.schema).parquet(f"{path}/headers"), spark.table(table), table, path)
 
@@ -139,7 +136,8 @@ def original_payloads(stored: Archive) -> DataFrame:
 
 
 def _field(header: Column, name: str) -> Column:
-    return F.regexp_extract(header, rf"(?m)^{name}: ([^\r\n]*)\r?$", 1)
+    """Value of a header line. Lines end at line feeds only: U+0085, U+2028 and U+2029 may stand within a URL."""
+    return F.regexp_extract(header, rf"(?md)^{name}: ([^\r\n]*)\r?$", 1)
 
 
 def parse(records: DataFrame) -> DataFrame:
@@ -178,9 +176,10 @@ def export_warc(stored: Archive, path: str) -> None:
 
 def op2_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = archive(common.table(spark, sf_dir, "pages"), "page_id", "url", "html")
-    out = common.cut(read_back(stored), "warc-read")
-    stored.delete()
-    return out
+    try:
+        return common.cut(read_back(stored), "warc-read")
+    finally:
+        stored.delete()
 
 
 OP2_SQL = """

@@ -804,3 +804,23 @@ def test_pipeline_stages(spark, texts):
             assert not any(plain_spans(r.text) for r in docs.collect())
     order = [kept[n] for n, _ in corpus_pipeline.STAGES]
     assert all(b <= a for a, b in zip(order, order[1:], strict=False)) and order[-1] == order[-2] == order[-3]
+
+
+@pytest.mark.parametrize("mark", [" ", " ", "\u0085", "\r\n", "\n", "\r", "\v"])
+def test_archive_separators_in_urls(spark, mark):
+    """Whatever separates lines elsewhere, a URL can't add header lines; long payloads stay whole."""
+    rows = [(1, f"http://a/{mark}Content-Length: 3", "<p>one</p>"), (2, f"http://b/{mark}WARC-Payload-Digest: sha1:X", "<p>ä</p>" * 40_000), (3, None, "<p>one</p>")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    stored = warc.archive(pages, "page_id", "url", "html")
+    got = {r.page_id: r for r in warc.read_back(stored).collect()}
+    stored.delete()
+    for i, _, text in rows:
+        assert (got[i].payload_bytes, got[i].payload_digest) == (len(text.encode()), base64.b32encode(hashlib.sha1(text.encode()).digest()).decode())
+    assert [got[i].record_type for i in (1, 2, 3)] == ["response", "response", "revisit"] and got[3].refers_to == 1
+
+
+def test_language_of_symbols():
+    """Fractions, raised and circled numbers and digits of other scripts aren't letters."""
+    net = langid.train_network([b"the cat sat on the mat " * 3, b"le chat est sur le tapis " * 3] * 4, ["en", "fr"] * 4, epochs=1)
+    names, scores = langid.classify(net, pa.array(["½", "²①", "٣", "12 !? _", "", None, "½ a", "ª", "中"], pa.string()))
+    assert names[:6] == ["und"] * 6 and scores[:6] == [0.0] * 6 and "und" not in names[6:]
