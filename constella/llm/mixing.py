@@ -31,6 +31,8 @@ SHARD_SLOTS = 1024
 BROADCAST_SOURCES = 100_000
 #: Shards whose counts one task adds up; sums of such groups are added up in a second step.
 SHARD_GROUP = 4096
+#: Slots that a task maps, at about: the counts that they are made from are few, so their number says nothing about the work.
+TASK_SLOTS = 16_384
 #: Rounds of the permutation.
 ROUNDS = 24
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -135,6 +137,7 @@ def _slots(spark: SparkSession, rows: list[dict], sources: DataFrame, block: int
     told = spark.createDataFrame(told, "number int, have bigint, over bigint, under bigint, lack bigint")
     slot = Window.partitionBy("shard").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
     numbered = _before(counts, "shard", "number", "n", SHARD_GROUP, "base").withColumn("at", F.coalesce(F.sum("n").over(slot), F.lit(0)))
+    numbered = numbered.repartition(-(-total // TASK_SLOTS), "shard")
     each = numbered.select("shard", "number", "base", "at", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("j"))
     each = each.join(_few(told.drop("under", "lack"), n), "number").join(_few(sources.select("number", "slots"), n), "number")
     rank = permuted(F.col("base") + F.col("j"), F.col("have"), F.lit("rank"), F.lit(seed), F.col("number"))
