@@ -1,36 +1,37 @@
-"""Force models: attraction along an edge and repulsion between two vertices, as column expressions.
+"""Force models: attraction along an edge and repulsion between two vertices, on columns or on numpy arrays alike.
 
-``dx, dy`` point from the vertex to the other one.
+``dx, dy`` point from the vertex to the other one. A model whose arithmetic holds for arrays too says so by ``on_arrays``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from constella.functions import geometry as G
 
 
 class FruchtermanReingold:
-    def attraction(self, dx: Column, dy: Column, ideal: Column, deg: Column, other_deg: Column) -> tuple[Column, Column]:
+    on_arrays = True
+
+    def attraction(self, dx, dy, ideal, deg, other_deg) -> tuple:
         pull = G.distance(dx, dy) / ideal
         return dx * pull, dy * pull
 
-    def repulsion(self, dx: Column, dy: Column, deg: Column, other_deg: Column) -> tuple[Column, Column]:
-        push = F.lit(1.0) / G.square_distance(dx, dy)
+    def repulsion(self, dx, dy, deg, other_deg) -> tuple:
+        push = 1.0 / G.square_distance(dx, dy)
         return dx * push, dy * push
 
 
 class LinLog:
+    on_arrays = True
+
     def __init__(self, constant: float = 25.0):
         self.constant = constant
 
-    def attraction(self, dx: Column, dy: Column, ideal: Column, deg: Column, other_deg: Column) -> tuple[Column, Column]:
-        pull = F.lit(self.constant) / G.distance(dx, dy)
+    def attraction(self, dx, dy, ideal, deg, other_deg) -> tuple:
+        pull = self.constant / G.distance(dx, dy)
         return dx * pull, dy * pull
 
-    def repulsion(self, dx: Column, dy: Column, deg: Column, other_deg: Column) -> tuple[Column, Column]:
-        push = (deg * other_deg).cast("double") / G.square_distance(dx, dy)
+    def repulsion(self, dx, dy, deg, other_deg) -> tuple:
+        push = deg * 1.0 * other_deg / G.square_distance(dx, dy)
         return dx * push, dy * push
 
 

@@ -1,9 +1,13 @@
-"""Plane geometry as column expressions, with zero lengths replaced by a small number."""
+"""Plane geometry as column expressions, with zero lengths replaced by a small number.
+
+Lengths are made of numpy arrays as well, by the same arithmetic.
+"""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,20 +16,26 @@ TINY = 1e-5
 TWO_PI = 2 * math.pi
 
 
-def fuzzy(value: Column) -> Column:
-    return F.when(value == 0, F.lit(TINY)).otherwise(value)
+def fuzzy(value):
+    if isinstance(value, Column):
+        return F.when(value == 0, F.lit(TINY)).otherwise(value)
+    return np.where(value == 0, TINY, value)
+
+
+def _root(value):
+    return F.sqrt(value) if isinstance(value, Column) else np.sqrt(value)
 
 
-def square_distance(dx: Column, dy: Column) -> Column:
+def square_distance(dx, dy):
     return fuzzy(dx * dx + dy * dy)
 
 
-def norm(dx: Column, dy: Column) -> Column:
-    return fuzzy(F.sqrt(dx * dx + dy * dy))
+def norm(dx, dy):
+    return fuzzy(_root(dx * dx + dy * dy))
 
 
-def distance(dx: Column, dy: Column) -> Column:
-    return F.sqrt(square_distance(dx, dy))
+def distance(dx, dy):
+    return _root(square_distance(dx, dy))
 
 
 def polar(dx: Column, dy: Column) -> Column:

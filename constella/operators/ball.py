@@ -24,12 +24,16 @@ def k_hop_ball(edges: DataFrame, k: int, cut_steps: bool = True, block_links: in
     outward = outward.select("at", "new", F.pmod(F.xxhash64("new"), F.col("n")).cast("int").alias("block"))
     hubs = blocks.where("n > 1")
     ball = links.select("dst", "src", F.lit(1).alias("hop"))
-    frontier = ball
+    frontier, written = ball, []
     for hop in range(2, k + 1):
         step = frontier.select("dst", F.col("src").alias("at")).join(hubs, "at", "left")
         step = step.select("dst", "at", F.explode(F.sequence(F.lit(0), F.coalesce("n", F.lit(1)) - 1)).alias("block")).join(outward, ["at", "block"])
         step = step.where("new <> dst").select("dst", F.col("new").alias("src")).distinct()
         frontier = step.join(ball.select("dst", "src"), ["dst", "src"], "left_anti").withColumn("hop", F.lit(hop))
-        frontier = cut(frontier, "ball") if cut_steps else frontier
+        if cut_steps:
+            frontier = cut(frontier, "ball")
+            written.append(frontier)
         ball = ball.unionByName(frontier)
+    # What a caller that copies the ball can delete then.
+    ball._constella_parts = written
     return ball

@@ -13,6 +13,7 @@ from constella.functions.forces import force_model
 from constella.functions.schedules import LinearCooling
 from constella.iterate import cut, cut_observed, drop
 from constella.operators import ball as balls
+from constella.operators import epochs
 from constella.operators.aggregates import boxes_and_sizes
 from constella.operators.graph import degrees
 
@@ -71,7 +72,6 @@ def forces(vertices: DataFrame, edges: DataFrame, ball: DataFrame, options: Layo
     model = force_model(options.force, options.force_options)
     degree = degrees(edges) if degree is None else degree
     place = vertices.select("id", "x", "y").join(degree, "id", "left").select("id", "x", "y", F.coalesce("degree", F.lit(0)).alias("deg"))
-    far = options.repulsion_factor if options.repulsion_factor is not None else (max_weight * options.ideal) ** 2
     pull = edges.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("weight").alias("w"))
     pairs = ball.select("dst", "src", F.lit(None).cast("int").alias("w")).unionByName(pull)
     mine = place.select(F.col("id").alias("dst"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("deg").alias("d1"))
@@ -80,7 +80,7 @@ def forces(vertices: DataFrame, edges: DataFrame, ball: DataFrame, options: Layo
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     ax, ay = model.attraction(dx, dy, F.col("w") * F.lit(float(options.ideal)), F.col("d1"), F.col("d2"))
     rx, ry = model.repulsion(dx, dy, F.col("d1"), F.col("d2"))
-    strength = F.lit(float(options.enhancer * far * options.walshaw_modifier))
+    strength = F.lit(_strength(options, max_weight))
     fx = F.when(F.col("w").isNull(), -rx * strength).otherwise(ax)
     fy = F.when(F.col("w").isNull(), -ry * strength).otherwise(ay)
     return both.groupBy(F.col("dst").alias("id")).agg(F.sum(fx).alias("fx"), F.sum(fy).alias("fy"))
@@ -120,31 +120,83 @@ class LayoutResult:
     ball_rows_hops: int
 
 
-def layout_layer(vertices: DataFrame, edges: DataFrame, options: LayoutOptions, max_weight: int = 1, rescale: bool = True, steps: Steps | None = None) -> LayoutResult:
+def _strength(options: LayoutOptions, max_weight: int) -> float:
+    """What repulsion is multiplied by."""
+    far = options.repulsion_factor if options.repulsion_factor is not None else (max_weight * options.ideal) ** 2
+    return float(options.enhancer * far * options.walshaw_modifier)
+
+
+def layout_layer(vertices: DataFrame, edges: DataFrame, options: LayoutOptions, max_weight: int = 1, rescale: bool = True, steps: Steps | None = None, task_rows: int = epochs.TASK_ROWS) -> LayoutResult:
     """Lay out one layer: frame, scale (on the first layer drawn), then moves until converged or ``limit``.
 
-    The ball and degrees are written once; each move reads two written tables and writes one.
+    Components of up to ``task_rows`` pairs and vertices are moved in epochs, many moves a job, without a shuffle between two moves. Larger
+    ones, and all if ``steps`` replaces how forces or moves are made or the force model has no arithmetic for arrays, are moved by joins: each move reads two written
+    tables and writes one. Both kinds take part in every test of convergence.
     """
-    steps = steps or Steps(reach=balls.k_hop_ball)
+    steps = steps or Steps()
+    model = force_model(options.force, options.force_options)
     state = cut(frames(steps.explore(vertices), options.ideal, options.temp_factor, max_weight), "frames")
     current = cut(steps.scale(vertices, state) if rescale else vertices, "places")
-    ball = cut(steps.reach(edges, options.k).repartition("dst", "src"), "ball")
-    links = cut(edges.select("src", "dst", "weight"), "links")
+    reached = steps.reach(edges, options.k)
+    home = current.select(F.col("id").alias("dst"), "component")
+    ball = cut(reached.select("dst", "src").join(home, "dst").repartition("dst", "src"), "ball")
+    drop(*getattr(reached, "_constella_parts", ()))
+    links = cut(edges.select("src", "dst", "weight").join(home, "dst"), "links")
     degree = cut(degrees(edges), "degree")
     total = current.count()
-    cooling, temperature, done = LinearCooling(options.cooling), 1.0, 0
-    columns = current.columns
-    for step in range(1, options.limit + 1):
-        pushed = steps.propagate(current, links, ball, options, max_weight, degree)
-        moved, seen = cut_observed(steps.seed(current, pushed, state, temperature, options.accuracy), "places", n=F.sum("converged"))
-        n = seen["n"] or 0
-        drop(current)
-        current, done = moved, step
-        ready = n == total if options.strict else n >= options.convergence * total
-        if step > 5 and ready:
-            break
-        temperature = cooling.cool(temperature)
-        current = current.select(*columns)
-        current._constella_path = moved._constella_path
-    drop(state, ball, links, degree)
-    return LayoutResult(current.select(*columns), done, options.k)
+    here, rows = current.withColumn("large", F.lit(True)), 0
+    if steps.propagate is forces and steps.seed is move and getattr(model, "on_arrays", False):
+        counted = ball.select("component").unionByName(links.select("component")).unionByName(current.select("component"))
+        sizes = cut(counted.groupBy("component").agg(F.count("*").alias("n")), "sizes")
+        rows = sizes.where(F.col("n") <= task_rows).agg(F.sum("n")).first()[0] or 0
+        large = sizes.where(F.col("n") > task_rows).select("component", F.lit(True).alias("large"))
+        here = current.join(large, "component", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+        if large.isEmpty():
+            by_joins = None
+        else:
+            mark = lambda df, kind: df.join(large.select("component"), "component", kind)
+            by_joins = {"ball": cut(mark(ball, "left_semi"), "ball"), "links": cut(mark(links, "left_semi"), "links")}
+            small = mark(ball, "left_anti"), mark(links, "left_anti")
+    else:
+        by_joins = {"ball": ball, "links": links}
+    bins = None
+    if rows:
+        pairs = (ball, links) if by_joins is None else small
+        table = cut(epochs.packed(here.where("not large").drop("large"), state, *pairs, degree, rows), "epoch")
+        bins = epochs.Epochs(table, model, options.ideal, _strength(options, max_weight), options.accuracy, epochs.epoch_length(rows))
+    slow = cut(here.where("large").select(*current.columns), "places") if by_joins else None
+    cooling, temperature, done, finished = LinearCooling(options.cooling), 1.0, 0, False
+    while not finished and done < options.limit:
+        temperatures = []
+        for _ in range(min(bins.length if bins else 1, options.limit - done)):
+            temperatures.append(temperature)
+            temperature = cooling.cool(temperature)
+        after, counts = bins.run(temperatures) if bins else (None, [0] * len(temperatures))
+        for i, t in enumerate(temperatures):
+            n = counts[i]
+            if slow is not None:
+                pushed = steps.propagate(slow, by_joins["links"], by_joins["ball"], options, max_weight, degree)
+                stepped, seen = cut_observed(steps.seed(slow, pushed, state, t, options.accuracy), "places", n=F.sum("converged"))
+                n += seen["n"] or 0
+                drop(slow)
+                slow = stepped.select(*current.columns)
+                slow._constella_path = stepped._constella_path
+            done += 1
+            finished = done > 5 and (n == total if options.strict else n >= options.convergence * total)
+            if finished:
+                if bins and i + 1 < len(temperatures):
+                    drop(after)
+                    after, _ = bins.run(temperatures[: i + 1])
+                break
+        if bins:
+            bins.take(after)
+    out = None
+    if bins:
+        rest = [c for c in current.columns if c not in ("id", "x", "y")]
+        out = bins.places().join(current.select("id", *rest), "id").select(*current.columns)
+    if slow is not None:
+        out = slow if out is None else out.unionByName(slow.select(*current.columns))
+    out = current if out is None else out
+    result = cut(out, "drawn") if out is not current else current
+    drop(state, ball, links, degree, slow, bins.table if bins else None, current if out is not current else None, *(by_joins or {}).values())
+    return LayoutResult(result, done, options.k)
