@@ -45,10 +45,26 @@ def cut_observed(df: DataFrame, name: str, **totals: Column) -> tuple[DataFrame,
     return out, seen.get
 
 
+def cut_buckets(df: DataFrame, name: str, column: str, n: int) -> DataFrame:
+    """``cut`` into ``n`` buckets by a column: a later join on it leaves these rows where they are. ``df`` should be dealt by it already."""
+    spark = df.sparkSession
+    path, table = new_path(spark, name), f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    try:
+        df.write.option("compression", "zstd").option("path", path).bucketBy(n, column).sortBy(column).saveAsTable(table)
+    except BaseException:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        raise
+    out = spark.table(table)
+    out._constella_path, out._constella_table = path, table
+    return out
+
+
 def drop(*tables: DataFrame | None) -> None:
-    """Delete the files behind tables that ``cut`` wrote; other tables are left alone."""
+    """Delete the files behind tables that ``cut`` and ``cut_buckets`` wrote; other tables are left alone."""
     for df in tables:
-        path = getattr(df, "_constella_path", None)
+        path, table = getattr(df, "_constella_path", None), getattr(df, "_constella_table", None)
+        if table:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
         if path:
             drop_path(df.sparkSession, path)
 

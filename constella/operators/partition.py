@@ -1,14 +1,21 @@
-"""Balanced k-way partitioning by label propagation with a load penalty and probabilistic migration."""
+"""Balanced k-way partitioning by label propagation with a load penalty and probabilistic migration.
+
+The loop keeps, with each vertex, how often each label occurs around it (a map of k entries at most), in files bucketed by vertex. A round
+then scores and chooses without any join; only the edges of vertices that moved are looked up, and what they change is added
+to the counts of their neighbours: rows that travel follow the moves, not the graph. ``scores``, ``best_labels`` and ``migrate`` are one round from
+the edges alone.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from constella.functions.portable import uniform
-from constella.iterate import cut, cut_observed, drop
+from constella.iterate import cut, cut_buckets, cut_observed, drop
 from constella.operators.graph import degrees
 
 
@@ -137,38 +144,105 @@ class Convergence:
         return settled
 
 
-def partition_graph(vertices: DataFrame, edges: DataFrame, options: PartitionOptions | None = None) -> Partitioned:
+#: Moves that are broadcast at most, 20 bytes each; more are joined with the edges by a shuffle.
+BROADCAST_MOVES = 500_000
+
+
+def heard_labels(labels: DataFrame, edges: DataFrame, degree: DataFrame) -> DataFrame:
+    """id, part, degree, total (weight of its edges) and heard: the weight of its neighbours by label. The state of the loop."""
+    by = edges.join(labels.select(F.col("id").alias("dst"), F.col("part").alias("label")), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("weight").alias("freq"))
+    heard = by.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("label", "freq"))).alias("heard"), F.sum("freq").alias("total"))
+    state = labels.join(degree, "id", "left").join(heard, "id", "left")
+    empty = F.create_map().cast("map<int,bigint>")
+    return state.select("id", "part", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("heard", empty).alias("heard"))
+
+
+def choose(state: DataFrame, load: list[int], capacity: float, options: PartitionOptions, salt: int) -> DataFrame:
+    """``state`` with new_part, h_now and freq_now: what ``scores`` and ``best_labels`` give, from the kept counts. Vertices without edges keep their label."""
+    loads_ = F.array(*[F.lit(x).cast("bigint") for x in load])
+    least = min(range(len(load)), key=lambda p: (load[p], p))
+    freq = lambda label: F.coalesce(F.try_element_at("heard", label), F.lit(0).cast("bigint"))
+    h = lambda label: F.lit(options.penalty) + freq(label) / F.col("total") - F.lit(options.penalty) * _ceil3(F.element_at(loads_, label + 1) / F.lit(float(capacity)))
+    draw = lambda label: uniform(F.concat_ws("-", F.col("id").cast("string"), label.cast("string")), salt, options.seed)
+    offers = F.array_union(F.map_keys("heard"), F.array("part", F.lit(least)))
+    rank = F.transform(offers, lambda label: F.struct(F.round(h(label), 9).alias("h"), (label == F.col("part")).cast("int").alias("own"), draw(label).alias("u"), label.alias("label")))
+    some = F.col("total") > 0
+    return state.withColumns({"new_part": F.when(some, F.array_max(rank)["label"]).otherwise(F.col("part")), "h_now": F.when(some, h(F.col("part"))), "freq_now": F.when(some, freq(F.col("part")))})
+
+
+def _granted(chosen: DataFrame, chance: list[float], seed: int, salt: int) -> DataFrame:
+    go = (F.col("new_part") != F.col("part")) & (uniform(F.col("id"), salt, seed) < F.element_at(F.array(*[F.lit(float(c)) for c in chance]), F.col("new_part") + 1))
+    return chosen.withColumn("after", F.when(go, F.col("new_part")).otherwise(F.col("part")))
+
+
+def moved_counts(edges: DataFrame, moves: DataFrame) -> DataFrame:
+    """id, change: by label, what the moves (id, old, new) change in the counts of their neighbours."""
+    at = edges.join(moves.select(F.col("id").alias("src"), "old", "new"), "src")
+    each = at.select(F.col("dst").alias("id"), F.explode(F.array(F.struct(F.col("old").alias("label"), (-F.col("weight")).alias("by")), F.struct(F.col("new").alias("label"), F.col("weight").alias("by")))).alias("c"))
+    sums = each.groupBy("id", "c.label").agg(F.sum("c.by").alias("by"))
+    return sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("label", "by"))).alias("change"))
+
+
+def partition_graph(vertices: DataFrame, edges: DataFrame, options: PartitionOptions | None = None, watch: Callable | None = None) -> Partitioned:
     """Label propagation until the total score settles, or ``max_iterations`` steps are done; the wishes of the last step aren't granted.
 
-    An empty graph, or one without edges, keeps its first labels.
+    An empty graph, or one without edges, keeps its first labels. ``watch`` gets the number of a round and the labels after it.
     """
     options = options or PartitionOptions()
+    spark = vertices.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     edges = cut(edges.select("src", "dst", "weight"), "edges")
-    degree = cut(degrees(edges), "degree")
     labels = initial_labels(vertices, options)
     if options.repartition:
         labels = changed_k(labels, options)
-    labels = cut(labels, "labels")
-    capacity = round(edges.count() * (1 + options.capacity) / options.total)
+    state = cut_buckets(heard_labels(labels, edges, degrees(edges)).repartition(buckets, "id"), "labels", "id", buckets)
+    total = edges.count()
+    capacity = round(total * (1 + options.capacity) / options.total)
+    load = [0] * options.total
+    for part, n in state.groupBy("part").agg(F.sum("degree")).collect():
+        load[part] = n
     settled = Convergence(options.window, options.threshold)
     out = Partitioned(labels, 0)
     number = 0
     while 2 * number + 3 < options.max_iterations:
-        # A row for each label in use: k at most.
-        load = labels.sparkSession.createDataFrame(loads(labels, degree).collect(), "part int, load bigint")
-        wished = (F.col("new_part") != F.col("part")).cast("int")
-        offers = best_labels(scores(labels, edges, load, capacity, options), options.seed, 600 + number)
-        chosen, state = cut_observed(offers, "chosen", score=F.sum("h_now"), local=F.sum("freq_now"), total=F.sum("total"), wishes=F.sum(wished))
-        out.metrics.append({"iteration": number, "score": state["score"], "local_ratio": (state["local"] or 0) / max(state["total"] or 1, 1), "wishes": state["wishes"]})
-        if state["score"] is None or settled(2 * number + 4, state["score"]) or 2 * number + 4 >= options.max_iterations:
+        chosen = choose(state, load, capacity, options, 600 + number)
+        wish = F.col("new_part") != F.col("part")
+        # A row for each label in use: k at most, as in all that is collected here.
+        sums = chosen.groupBy("new_part").agg(F.sum("h_now").alias("score"), F.sum("freq_now").alias("local"), F.sum("total").alias("total"), F.count_if(wish).alias("wishes"), F.sum(F.when(wish, F.col("degree"))).alias("demand")).collect()
+        score = sum(r["score"] for r in sums if r["score"] is not None) if any(r["score"] is not None for r in sums) else None
+        used = [x for x in load if x]
+        out.metrics.append({
+            "iteration": number, "score": score, "local_ratio": sum(r["local"] or 0 for r in sums) / max(sum(r["total"] or 0 for r in sums), 1), "wishes": sum(r["wishes"] for r in sums),
+            "max_normalised_load": max(load, default=0) * options.total / max(total, 1), "max_min_unbalance": max(load) / min(load) if len(used) == len(load) and used else None, "migrations": 0,
+        })
+        if score is None or settled(2 * number + 4, score) or 2 * number + 4 >= options.max_iterations:
             break
-        moved = migrate(chosen, degree, load, capacity, options.seed, 900 + number)
-        still = labels.join(moved.select("id", F.col("part").alias("new")), "id", "left").select("id", F.coalesce("new", "part").alias("part"))
-        following = cut(still, "labels")
-        drop(labels, chosen)
-        labels, out.iterations = following, number + 1
-        number += 1
-    out.labels = labels
+        chance = [0.0] * options.total
+        for r in sums:
+            if r["demand"]:
+                chance[r["new_part"]] = max(0.0, (float(capacity) - load[r["new_part"]]) / r["demand"])
+        granted = _granted(chosen, chance, options.seed, 900 + number)
+        moves = granted.where("after <> part").select("id", F.col("part").alias("old"), F.col("after").alias("new"), "degree")
+        moves, seen = cut_observed(moves, "moves", n=F.count(F.lit(1)))
+        out.metrics[-1]["migrations"] = seen["n"]
+        if seen["n"]:
+            for old, new, n in moves.groupBy("old", "new").agg(F.sum("degree")).collect():
+                load[old] -= n
+                load[new] += n
+            few = seen["n"] <= BROADCAST_MOVES
+            changes = moved_counts(edges, F.broadcast(moves) if few else moves)
+            both = F.map_zip_with(F.col("heard"), F.col("change"), lambda _, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
+            heard = F.when(F.col("change").isNull(), F.col("heard")).otherwise(F.map_filter(both, lambda _, n: n != 0))
+            following = granted.join(changes, "id", "left").select("id", F.col("after").alias("part"), "degree", "total", heard.alias("heard"))
+            following = cut_buckets(following, "labels", "id", buckets)
+            drop(state)
+            state = following
+        drop(moves)
+        out.iterations = number = number + 1
+        if watch:
+            watch(number, state.select("id", "part"))
+    out.labels = cut(state.select("id", "part"), "labels")
+    drop(edges, state)
     return out
 
 
