@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from constella.functions.portable import uniform
-from constella.iterate import cut, drop
+from constella.iterate import cut, cut_observed, drop
 
 
 @dataclass
@@ -73,22 +73,26 @@ def assign_systems(vertices: DataFrame, edges: DataFrame, layer: int, chance: fl
     """Rounds of suns until every vertex belongs to a system: once the chance is 1, the best candidate left is a sun in every round."""
     left = cut(vertices.select("id", (F.col("lower_weight") + 1).alias("mass")), "asteroids")
     bodies = proxies = None
-    number = -1
+    number, written = -1, []
     while True:
         number += 1
-        suns = cut(sweep(candidate_suns(left, min(1.0, chance), layer * 1000 + number, seed), left, edges), "suns")
+        suns, seen = cut_observed(sweep(candidate_suns(left, min(1.0, chance), layer * 1000 + number, seed), left, edges), "suns", n=F.count(F.lit(1)))
         chance *= 1.05
-        if suns.isEmpty():
+        if not seen["n"]:
+            drop(suns)
             continue
         some, via = gather(suns, left, edges)
         some, via = cut(some, "bodies"), cut(via, "proxies")
         bodies = some if bodies is None else bodies.unionByName(some)
         proxies = via if proxies is None else proxies.unionByName(via)
-        remaining = cut(left.join(some.select("id"), "id", "left_anti"), "asteroids")
-        drop(left)
+        written += [some, via]
+        remaining, seen = cut_observed(left.join(some.select("id"), "id", "left_anti"), "asteroids", n=F.count(F.lit(1)))
+        drop(left, suns)
         left = remaining
-        if left.isEmpty():
-            return cut(bodies, "bodies"), cut(proxies, "proxies")
+        if not seen["n"]:
+            out = cut(bodies, "bodies"), cut(proxies, "proxies")
+            drop(left, *written)
+            return out
 
 
 def routes(edges: DataFrame, bodies: DataFrame, proxies: DataFrame, longest: bool = False) -> DataFrame:
