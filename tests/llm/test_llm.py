@@ -768,6 +768,19 @@ def test_leaks_against_every_piece_of_every_document(spark):
     got = {(r.doc_id, r.item_id) for r in decontaminate.decontaminate(frame, spark.createDataFrame(items, "item_id int, text string")).collect()}
     assert len(want) > 50 and len(got & want) >= 0.97 * len(want)
     assert got <= want
+    # Candidates come from the latent space only: without any, just the short items are left.
+    none = decontaminate.decontaminate(frame, spark.createDataFrame(items, "item_id int, text string"), least_cosine=2.0).collect()
+    assert {r.item_id for r in none} <= {0, 1, 2}
+
+
+def test_leaks_are_confirmed_on_whole_words():
+    """Words that share 16 bits aren't equal in the end."""
+    item = np.arange(1, 41, dtype=np.uint64) << np.uint64(48) | np.uint64(7)
+    other = item + np.uint64(1)
+    assert (decontaminate._small(item) == decontaminate._small(other)).all()
+    assert decontaminate.exact_share(item, other, 0.7, 0.5) is None
+    assert decontaminate.exact_share(item, np.concatenate([other, item[:30], other, item[30:]]), 0.7, 0.5)[0] >= 0.75
+    assert decontaminate.exact_share(item, item, 0.7, 0.5) == (1.0, 1.0)
 
 
 def test_long_documents_are_searched_in_parts(spark, monkeypatch):
