@@ -124,9 +124,10 @@ def system_paths(ways: DataFrame, bodies: DataFrame) -> DataFrame:
 
 
 def next_layer(vertices: DataFrame, bodies: DataFrame) -> DataFrame:
-    """One vertex for each sun; its weight is that of its whole system."""
+    """One vertex for each sun, in the sun's partition; its weight is that of its whole system."""
+    kept = [c for c in vertices.columns if c in ("component", "part")]
     weights = bodies.select("id", "sun").join(vertices.select("id", "lower_weight"), "id").groupBy("sun").agg(F.sum(F.col("lower_weight") + 1).cast("int").alias("lower_weight"))
-    return weights.withColumnRenamed("sun", "id").join(vertices.select("id", "component"), "id").select("id", "component", "lower_weight")
+    return weights.withColumnRenamed("sun", "id").join(vertices.select("id", *kept), "id").select("id", *kept, "lower_weight")
 
 
 def coarsen(vertices: DataFrame, edges: DataFrame, threshold: int = 7, chance: float = 0.1, seed: int = 42) -> list[Layer]:
@@ -134,7 +135,8 @@ def coarsen(vertices: DataFrame, edges: DataFrame, threshold: int = 7, chance: f
 
     A system of a connected component has two bodies or more, so every layer has at most half of the vertices that it can merge.
     """
-    base = vertices.select("id", "component", F.lit(1).alias("lower_weight"))
+    part = [c for c in vertices.columns if c == "part"]
+    base = vertices.select("id", "component", *part, F.lit(1).alias("lower_weight"))
     layers = [Layer(0, cut(base, "layer"), cut(edges.select("src", "dst", "weight"), "layer-edges"))]
     while True:
         here = layers[-1]

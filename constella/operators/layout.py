@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from constella.functions import geometry as G
 from constella.functions.forces import force_model
 from constella.functions.schedules import LinearCooling
-from constella.iterate import cut, cut_observed, drop
+from constella.iterate import cut, cut_buckets, cut_observed, drop, settings
 from constella.operators import ball as balls
 from constella.operators import epochs
 from constella.operators.aggregates import boxes_and_sizes
@@ -64,38 +65,111 @@ def scale_drawing(vertices: DataFrame, state: DataFrame) -> DataFrame:
     return moved.select(*vertices.columns)
 
 
-def forces(vertices: DataFrame, edges: DataFrame, ball: DataFrame, options: LayoutOptions, max_weight: int = 1, degree: DataFrame | None = None) -> DataFrame:
-    """``id, fx, fy``: attraction along edges minus repulsion within the ball; vertices without either have no row.
+def _strength(options: LayoutOptions, max_weight: int) -> float:
+    """What repulsion is multiplied by."""
+    far = options.repulsion_factor if options.repulsion_factor is not None else (max_weight * options.ideal) ** 2
+    return float(options.enhancer * far * options.walshaw_modifier)
 
-    Both kinds are one union of (dst, src) pairs, so that places are joined once to each end and summed once.
-    """
+
+def _summed(pairs: DataFrame, options: LayoutOptions, max_weight: int, *keys: Column) -> DataFrame:
+    """fx and fy by key. Pairs have both places (x1, y1, x2, y2) and degrees (d1, d2); w is the weight of a link and null in the ball."""
     model = force_model(options.force, options.force_options)
-    degree = degrees(edges) if degree is None else degree
-    place = vertices.select("id", "x", "y").join(degree, "id", "left").select("id", "x", "y", F.coalesce("degree", F.lit(0)).alias("deg"))
-    pull = edges.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("weight").alias("w"))
-    pairs = ball.select("dst", "src", F.lit(None).cast("int").alias("w")).unionByName(pull)
-    mine = place.select(F.col("id").alias("dst"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("deg").alias("d1"))
-    theirs = place.select(F.col("id").alias("src"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("deg").alias("d2"))
-    both = pairs.join(theirs, "src").join(mine, "dst")
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     ax, ay = model.attraction(dx, dy, F.col("w") * F.lit(float(options.ideal)), F.col("d1"), F.col("d2"))
     rx, ry = model.repulsion(dx, dy, F.col("d1"), F.col("d2"))
     strength = F.lit(_strength(options, max_weight))
     fx = F.when(F.col("w").isNull(), -rx * strength).otherwise(ax)
     fy = F.when(F.col("w").isNull(), -ry * strength).otherwise(ay)
-    return both.groupBy(F.col("dst").alias("id")).agg(F.sum(fx).alias("fx"), F.sum(fy).alias("fy"))
+    return pairs.groupBy(*keys).agg(F.sum(fx).alias("fx"), F.sum(fy).alias("fy"))
 
 
-def move(vertices: DataFrame, force: DataFrame, state: DataFrame, cooled: float, accuracy: float) -> DataFrame:
-    """Vertices after one tempered move, with ``converged``. A place that isn't a number is an error."""
-    f = vertices.join(force, "id", "left").join(state.select("component", "temp_x", "temp_y"), "component")
+def both_kinds(ball: DataFrame, links: DataFrame, *more: str) -> DataFrame:
+    """Links and ball as one table of (dst, src, w), w null in the ball, so that places are joined once to each end and forces summed once."""
+    near = links.select(F.col("src").alias("dst"), F.col("dst").alias("src"), F.col("weight").alias("w"), *more)
+    return ball.select("dst", "src", F.lit(None).cast("int").alias("w"), *more).unionByName(near)
+
+
+def forces(vertices: DataFrame, edges: DataFrame, ball: DataFrame, options: LayoutOptions, max_weight: int = 1, degree: DataFrame | None = None) -> DataFrame:
+    """``id, fx, fy``: attraction along edges minus repulsion within the ball; vertices without either have no row."""
+    degree = degrees(edges) if degree is None else degree
+    place = vertices.select("id", "x", "y").join(degree, "id", "left").select("id", "x", "y", F.coalesce("degree", F.lit(0)).alias("deg"))
+    mine = place.select(F.col("id").alias("dst"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("deg").alias("d1"))
+    theirs = place.select(F.col("id").alias("src"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("deg").alias("d2"))
+    return _summed(both_kinds(ball, edges).join(theirs, "src").join(mine, "dst"), options, max_weight, F.col("dst").alias("id"))
+
+
+def _moved(f: DataFrame, cooled: float, accuracy: float, columns: list[str]) -> DataFrame:
+    """Vertices with forces (null: none) and temperatures after one move."""
     fx, fy = F.coalesce("fx", F.lit(0.0)), F.coalesce("fy", F.lit(0.0))
     size = G.norm(fx, fy)
     mx = fx / size * F.least(size, F.col("temp_x") * F.lit(cooled))
     my = fy / size * F.least(size, F.col("temp_y") * F.lit(cooled))
     checked = lambda c: F.when(F.isnan(c), F.raise_error(F.lit("a coordinate is not a number")).cast("double")).otherwise(c)
     moved = f.withColumns({"mx": mx, "my": my}).withColumn("converged", (G.norm(F.col("mx"), F.col("my")) < accuracy).cast("int"))
-    return moved.withColumns({"x": checked(F.col("x") + F.col("mx")), "y": checked(F.col("y") + F.col("my"))}).select(*vertices.columns, "converged")
+    return moved.withColumns({"x": checked(F.col("x") + F.col("mx")), "y": checked(F.col("y") + F.col("my"))}).select(*columns, "converged")
+
+
+def move(vertices: DataFrame, force: DataFrame, state: DataFrame, cooled: float, accuracy: float) -> DataFrame:
+    """Vertices after one tempered move, with ``converged``. A place that isn't a number is an error."""
+    f = vertices.join(force, "id", "left").join(state.select("component", "temp_x", "temp_y"), "component")
+    return _moved(f, cooled, accuracy, vertices.columns)
+
+
+#: Rows dealt by slot meet by slot and id where they are.
+BY_SLOT = {"spark__sql__requireAllClusterKeysForCoPartition": "false"}
+
+
+class Placed:
+    """Vertices, pairs and routes of a layer placed by partition: a move sends each vertex once to every slot that needs its place.
+
+    A slot is a part of a partition (``part`` of the vertices; without it, a hash), as many as there are buckets or more. Pairs lie in the slot of the vertex that they move, so
+    the ball, which never changes, never travels: places are joined to both of its ends, and forces summed, inside slots. What a move shuffles
+    is the list of routes: a row for each vertex and slot where it is wanted, few where neighbours share a partition.
+    """
+
+    def __init__(self, vertices: DataFrame, state: DataFrame, ball: DataFrame, links: DataFrame, degree: DataFrame, options: LayoutOptions, max_weight: int):
+        self.options, self.max_weight = options, max_weight
+        self.buckets = n = int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        if "part" in vertices.columns:
+            parts = vertices.agg(F.max("part")).first()[0] or 0
+            fine = max(1, -(-n // (parts + 1)))
+            slot = F.coalesce("part", F.lit(0)) * fine + F.pmod(F.xxhash64("id"), F.lit(fine)).cast("int")
+        else:
+            slot = F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+        full = vertices.join(state.select("component", "temp_x", "temp_y"), "component").join(degree, "id", "left")
+        full = full.select(slot.cast("int").alias("slot"), "id", "component", "x", "y", "temp_x", "temp_y", F.coalesce("degree", F.lit(0)).alias("deg"))
+        self.columns = full.columns
+        self.vertices = self._dealt(full, "places")
+        home = self.vertices.select("id", "slot")
+        self.pairs = self._dealt(both_kinds(ball, links).join(home.withColumnRenamed("id", "dst"), "dst").select("slot", "dst", "src", "w"), "pairs")
+        wanted = self.pairs.select("slot", F.col("src").alias("id")).unionByName(home.select("slot", "id")).distinct()
+        routes = wanted.select("id", F.col("slot").alias("to")).join(home, "id").select("slot", "id", "to")
+        self.routes = self._dealt(routes, "routes")
+
+    def _dealt(self, df: DataFrame, name: str) -> DataFrame:
+        return cut_buckets(df.repartition(self.buckets, "slot"), name, "slot", self.buckets)
+
+    def step(self, cooled: float) -> DataFrame:
+        """Vertices after one move, with ``converged``; dealt by slot as before."""
+        sent = self.routes.join(self.vertices.select("slot", "id", "x", "y", "deg").hint("shuffle_hash"), ["slot", "id"])
+        sent = sent.select(F.col("to").alias("slot"), "id", "x", "y", "deg").repartition(self.buckets, "slot")
+        mine = sent.select("slot", F.col("id").alias("dst"), F.col("x").alias("x1"), F.col("y").alias("y1"), F.col("deg").alias("d1"))
+        theirs = sent.select("slot", F.col("id").alias("src"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("deg").alias("d2"))
+        both = self.pairs.join(theirs.hint("shuffle_hash"), ["slot", "src"]).join(mine.hint("shuffle_hash"), ["slot", "dst"])
+        pushed = _summed(both, self.options, self.max_weight, F.col("slot"), F.col("dst").alias("id"))
+        return _moved(self.vertices.join(pushed, ["slot", "id"], "left"), cooled, self.options.accuracy, self.columns)
+
+    def move(self, cooled: float) -> int:
+        """Moves all vertices once; the number of converged ones."""
+        seen = Observation()
+        with settings(self.vertices.sparkSession, **BY_SLOT):
+            after = cut_buckets(self.step(cooled).observe(seen, F.sum("converged").alias("n")).drop("converged"), "places", "slot", self.buckets)
+        drop(self.vertices)
+        self.vertices = after
+        return seen.get["n"] or 0
+
+    def drop(self) -> None:
+        drop(self.vertices, self.pairs, self.routes)
 
 
 @dataclass
@@ -120,18 +194,12 @@ class LayoutResult:
     ball_rows_hops: int
 
 
-def _strength(options: LayoutOptions, max_weight: int) -> float:
-    """What repulsion is multiplied by."""
-    far = options.repulsion_factor if options.repulsion_factor is not None else (max_weight * options.ideal) ** 2
-    return float(options.enhancer * far * options.walshaw_modifier)
-
-
 def layout_layer(vertices: DataFrame, edges: DataFrame, options: LayoutOptions, max_weight: int = 1, rescale: bool = True, steps: Steps | None = None, task_rows: int = epochs.TASK_ROWS) -> LayoutResult:
     """Lay out one layer: frame, scale (on the first layer drawn), then moves until converged or ``limit``.
 
     Components of up to ``task_rows`` pairs and vertices are moved in epochs, many moves a job, without a shuffle between two moves. Larger
-    ones, and all if ``steps`` replaces how forces or moves are made or the force model has no arithmetic for arrays, are moved by joins: each move reads two written
-    tables and writes one. Both kinds take part in every test of convergence.
+    ones, and all if the force model has no arithmetic for arrays, are placed by partition and moved by joins inside it. If ``steps`` replaces how forces or moves are
+    made, its functions are called for all vertices. All kinds take part in every test of convergence.
     """
     steps = steps or Steps(reach=balls.k_hop_ball)
     model = force_model(options.force, options.force_options)
@@ -143,28 +211,40 @@ def layout_layer(vertices: DataFrame, edges: DataFrame, options: LayoutOptions,
     drop(*getattr(reached, "_constella_parts", ()))
     links = cut(edges.select("src", "dst", "weight").join(home, "dst"), "links")
     degree = cut(degrees(edges), "degree")
-    total = current.count()
-    here, rows = current.withColumn("large", F.lit(True)), 0
-    if steps.propagate is forces and steps.seed is move and getattr(model, "on_arrays", False):
+    total, written = current.count(), [state, current, ball, links, degree]
+    own = steps.propagate is forces and steps.seed is move
+    bins = placed = hooked = sizes = None
+    if own and getattr(model, "on_arrays", False):
         counted = ball.select("component").unionByName(links.select("component")).unionByName(current.select("component"))
         sizes = cut(counted.groupBy("component").agg(F.count("*").alias("n")), "sizes")
-        rows = sizes.where(F.col("n") <= task_rows).agg(F.sum("n")).first()[0] or 0
-        large = sizes.where(F.col("n") > task_rows).select("component", F.lit(True).alias("large"))
-        here = current.join(large, "component", "left").withColumn("large", F.coalesce("large", F.lit(False)))
-        if large.isEmpty():
-            by_joins = None
-        else:
-            mark = lambda df, kind: df.join(large.select("component"), "component", kind)
-            by_joins = {"ball": cut(mark(ball, "left_semi"), "ball"), "links": cut(mark(links, "left_semi"), "links")}
-            small = mark(ball, "left_anti"), mark(links, "left_anti")
+        written.append(sizes)
+        rows, over = sizes.agg(F.sum(F.when(F.col("n") <= task_rows, F.col("n"))), F.count_if(F.col("n") > task_rows)).first()
+        large = sizes.where(F.col("n") > task_rows).select("component")
+        of = (lambda df, kind: df.join(large, "component", kind)) if over else lambda df, kind: df
+        if rows:
+            table = cut(epochs.packed(of(current, "left_anti"), state, of(ball, "left_anti"), of(links, "left_anti"), degree, rows), "epoch")
+            bins = epochs.Epochs(table, model, options.ideal, _strength(options, max_weight), options.accuracy, epochs.epoch_length(rows))
+        if over:
+            placed = Placed(of(current, "left_semi"), state, of(ball, "left_semi"), of(links, "left_semi"), degree, options, max_weight)
+    elif own:
+        placed = Placed(current, state, ball, links, degree, options, max_weight)
     else:
-        by_joins = {"ball": ball, "links": links}
-    bins = None
-    if rows:
-        pairs = (ball, links) if by_joins is None else small
-        table = cut(epochs.packed(here.where("not large").drop("large"), state, *pairs, degree, rows), "epoch")
-        bins = epochs.Epochs(table, model, options.ideal, _strength(options, max_weight), options.accuracy, epochs.epoch_length(rows))
-    slow = cut(here.where("large").select(*current.columns), "places") if by_joins else None
+        hooked = current
+
+    def one_move(t: float) -> int:
+        """Converged vertices of all that aren't in bins."""
+        nonlocal hooked
+        n = placed.move(t) if placed else 0
+        if hooked is not None:
+            pushed = steps.propagate(hooked, links, ball, options, max_weight, degree)
+            stepped, seen = cut_observed(steps.seed(hooked, pushed, state, t, options.accuracy), "places", n=F.sum("converged"))
+            if hooked is not current:
+                drop(hooked)
+            hooked = stepped.select(*current.columns)
+            hooked._constella_path = stepped._constella_path
+            n += seen["n"] or 0
+        return n
+
     cooling, temperature, done, finished = LinearCooling(options.cooling), 1.0, 0, False
     while not finished and done < options.limit:
         temperatures = []
@@ -173,14 +253,7 @@ def layout_layer(vertices: DataFrame, edges: DataFrame, options: LayoutOptions,
             temperature = cooling.cool(temperature)
         after, counts = bins.run(temperatures) if bins else (None, [0] * len(temperatures))
         for i, t in enumerate(temperatures):
-            n = counts[i]
-            if slow is not None:
-                pushed = steps.propagate(slow, by_joins["links"], by_joins["ball"], options, max_weight, degree)
-                stepped, seen = cut_observed(steps.seed(slow, pushed, state, t, options.accuracy), "places", n=F.sum("converged"))
-                n += seen["n"] or 0
-                drop(slow)
-                slow = stepped.select(*current.columns)
-                slow._constella_path = stepped._constella_path
+            n = counts[i] + one_move(t)
             done += 1
             finished = done > 5 and (n == total if options.strict else n >= options.convergence * total)
             if finished:
@@ -190,13 +263,11 @@ def layout_layer(vertices: DataFrame, edges: DataFrame, options: LayoutOptions,
                 break
         if bins:
             bins.take(after)
-    out = None
-    if bins:
-        rest = [c for c in current.columns if c not in ("id", "x", "y")]
-        out = bins.places().join(current.select("id", *rest), "id").select(*current.columns)
-    if slow is not None:
-        out = slow if out is None else out.unionByName(slow.select(*current.columns))
-    out = current if out is None else out
-    result = cut(out, "drawn") if out is not current else current
-    drop(state, ball, links, degree, slow, bins.table if bins else None, current if out is not current else None, *(by_joins or {}).values())
-    return LayoutResult(result, done, options.k)
+    if hooked is None:
+        found = [x for x in (bins and bins.places(), placed and placed.vertices.select("id", "x", "y")) if x is not None]
+        rest = [c for c in current.columns if c not in ("x", "y")]
+        hooked = cut(reduce(DataFrame.unionByName, found).join(current.select(*rest), "id").select(*current.columns), "drawn") if found else current
+    if placed:
+        placed.drop()
+    drop(bins.table if bins else None, *[x for x in written if x is not hooked])
+    return LayoutResult(hooked, done, options.k)

@@ -76,6 +76,11 @@ def finish(vertices: DataFrame, edges: DataFrame, hubs: DataFrame, config: Confi
     return Graph(apply_packing(vertices, packing), edges)
 
 
+def _part(vertices: DataFrame) -> list[str]:
+    """The partition, where it is known: layouts place their tables by it."""
+    return [c for c in vertices.columns if c == "part"]
+
+
 def _hubs(vertices: DataFrame) -> DataFrame:
     return vertices.where(F.size("one_edges") > 0).select("id", "one_edges")
 
@@ -83,7 +88,8 @@ def _hubs(vertices: DataFrame) -> DataFrame:
 def layout_single(graph: Graph, config: Config | None = None, steps: Steps | None = None, pack: Callable = pack_components, **options) -> Graph:
     """One layer with fixed parameters, then leaves and packing. ``steps`` and ``pack`` replace parts of the job."""
     config = config or Config()
-    start = cut(_places(graph.vertices, config).select("id", "component", "x", "y", "one_edges"), "start")
+    start = _places(graph.vertices, config)
+    start = cut(start.select("id", "component", *_part(start), "x", "y", "one_edges"), "start")
     drawn = layout_layer(start, graph.edges, config.layout(**{"k": 3, **options}), steps=steps)
     out = finish(drawn.vertices, graph.edges, _hubs(graph.vertices), config, pack)
     out.metrics = [{"layer": 0, "iterations": drawn.iterations, "hops": drawn.ball_rows_hops}]
@@ -103,7 +109,7 @@ def layout_multilevel(graph: Graph, config: Config | None = None, steps: Steps |
             places = place_bodies(layer, places, above.edges, ideal, seed)
         facts = (layer.number, len(layers), layer.n_vertices, layer.n_edges)
         chosen = config.layout(**{"k": hops_at(adapt, *facts), "temp_factor": adapt.temperature(*facts), "cooling": adapt.cooling(*facts), "accuracy": adapt.accuracy(*facts), **options})
-        start = cut(places.select("id", "component", "x", "y"), "start")
+        start = cut(places.select("id", "component", *_part(places), "x", "y"), "start")
         drawn = layout_layer(start, layer.edges, chosen, layer.max_weight, rescale=layer.number == len(layers) - 1, steps=steps)
         places = drawn.vertices
         if config["placer.destroyLevels"] and layer.number < len(layers) - 1:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from constella.functions import geometry as G
 from constella.functions import schedules
+from constella.iterate import settings
 from constella.operators import layout, partition
 from constella.operators.coarsen import coarsen
 from constella.operators.components import connected_components
@@ -131,3 +132,24 @@ def test_multilevel_job(spark):
         at, _ = plain.layout(at, layer["component"], layer["edges"], IDEAL, schedules.hops_at(adapt, *facts), adapt.temperature(*facts), adapt.cooling(*facts), adapt.accuracy(*facts), 12, top, rescale=n == len(layers) - 1)
     close(places(got.vertices), at)
     assert [m["iterations"] for m in got.metrics] == [12] * len(layers)
+
+
+@pytest.mark.parametrize("labelled", [True, False])
+def test_a_move_sends_routes_only(spark, labelled):
+    """Tables placed by partition: neither ball nor vertices are exchanged in a move, and routes follow the cut."""
+    v, e, component, edges = tables(spark, graph(13, 30, 4))
+    part = F.when(F.col("id") < 100, 0).otherwise(1) if labelled else F.pmod(F.hash("id"), F.lit(2))
+    start = v.withColumns({"x": F.col("id") * 3.0, "y": F.pmod(F.col("id") * 7, F.lit(31)).cast("double"), "part": part})
+    state = layout.frames(layout.boxes_and_sizes(start), IDEAL, 0.4)
+    ball = layout.balls.k_hop_ball(e, 2)
+    placed = layout.Placed(start, state, ball, e, layout.degrees(e), layout.LayoutOptions(), 1)
+    with settings(spark, **layout.BY_SLOT):
+        plan = placed.step(1.0)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [x for x in plan.split("\n") if "Exchange " in x and "Reused" not in x]
+    assert len(exchanges) == 1 and "REPARTITION_BY_NUM" in exchanges[0] and "ENSURE_REQUIREMENTS" not in plan
+    want = layout.move(start, layout.forces(start, e, ball, layout.LayoutOptions()), state, 1.0, 0.01)
+    close(places(placed.step(1.0)), places(want))
+    # Two pieces of their own partition: every vertex goes to one slot. Mixed labels send most of them twice.
+    sent = placed.routes.count() / len(component)
+    assert sent == 1.0 if labelled else sent > 1.3
+    placed.drop()
