@@ -10,32 +10,55 @@ from pyspark.sql import functions as F
 from constella.functions import geometry as G
 
 
-def angular_suggestions(vertices: DataFrame, edges: DataFrame, ideal: float, angle_moderator: float = 1.0, move_moderator: float = 1.0, clockwise: bool = True) -> DataFrame:
-    """(dst, dx, dy): moves that each vertex of three neighbours or more suggests to them.
+#: Neighbours that one task walks at about; a vertex with more is walked by ranges of the angle.
+RANGE = 4096
+
+
+def _walked(rays: DataFrame, range_rows: int = RANGE) -> DataFrame:
+    """Rays with n (neighbours of src), nth (by angle), first (angle) and carried: the running sum of the walk's terms up to each.
+
+    The terms are the first angle and then, with changing signs, twice the angle minus a fair one. Ranges of the angle are numbered and summed by themselves; what
+    stands before a range, a number and a sum whose sign the number turns, is added afterwards.
+    """
+    sizes = rays.groupBy("src").agg(F.count("*").alias("n"), F.min("angle").alias("first"))
+    rays = rays.join(sizes.where("n > 2"), "src")
+    rays = rays.withColumn("range", F.floor(F.col("angle") / G.TWO_PI * F.ceil(F.col("n") / range_rows)))
+    inside = Window.partitionBy("src", "range").orderBy("angle", "dst")
+    rays = rays.withColumn("own", F.row_number().over(inside) - 1)
+    sign = lambda number: F.when(number % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
+    term = sign(F.col("own")) * (2 * F.col("angle") - F.lit(G.TWO_PI) / F.col("n"))
+    rays = rays.withColumn("term", term).withColumn("sum", F.sum("term").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    ranges = rays.groupBy("src", "range").agg(F.count("*").alias("held"), F.sum("term").alias("held_sum"))
+    earlier = Window.partitionBy("src").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("before", F.coalesce(F.sum("held").over(earlier), F.lit(0)))
+    ranges = ranges.withColumn("before_sum", F.coalesce(F.sum(sign(F.col("before")) * F.col("held_sum")).over(earlier), F.lit(0.0)))
+    rays = rays.join(ranges.select("src", "range", "before", "before_sum"), ["src", "range"])
+    # The first term is the first angle instead of twice it minus a fair one.
+    start = F.lit(G.TWO_PI) / F.col("n") - F.col("first")
+    carried = F.col("before_sum") + sign(F.col("before")) * F.col("sum") + start
+    return rays.withColumns({"nth": F.col("before") + F.col("own"), "carried": carried})
+
+
+def angular_suggestions(vertices: DataFrame, edges: DataFrame, ideal: float, angle_moderator: float = 1.0, move_moderator: float = 1.0, clockwise: bool = True, range_rows: int = RANGE) -> DataFrame:
+    """(src, dst, nth, dx, dy): moves that each vertex of three neighbours or more suggests to them.
 
     Neighbours are walked by angle from the first one; the walk starts by comparing the first with the second and ends with the first
-    again. Turning each to a fair angle from the one before, whose angle was just changed, adds up to the first angle plus whole steps (clockwise:
-    the recurrence has this closed form, so no sequential fold is needed); the first is turned last, from the last one.
+    again. Clockwise, turning each to a fair angle from the one before, whose angle was just changed, adds up to the first angle plus whole steps. The other
+    way a step's gap is doubled instead of closed, angle' = 2 angle - previous' - fair: with changing signs this is a running sum. So no
+    row holds a list of neighbours, and the neighbours of a hub are walked by many tasks.
     """
     me = vertices.select(F.col("id").alias("src"), F.col("x").alias("x1"), F.col("y").alias("y1"))
     you = vertices.select(F.col("id").alias("dst"), F.col("x").alias("x2"), F.col("y").alias("y2"))
     rays = edges.select("src", "dst", "weight").join(me, "src").join(you, "dst")
-    rays = rays.withColumn("angle", G.polar(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")))
-    order = Window.partitionBy("src").orderBy("angle", "dst")
-    whole = Window.partitionBy("src")
-    rays = rays.withColumns({"nth": F.row_number().over(order) - 1, "n": F.count("*").over(whole), "first": F.min("angle").over(whole)}).where("n > 2")
+    rays = _walked(rays.withColumn("angle", G.polar(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))), range_rows)
     fair = F.lit(2 * math.pi) / F.col("n")
     if clockwise:
-        turned = F.when(F.col("nth") == 0, F.col("first") + fair * F.col("n")).otherwise(F.col("first") + fair * F.col("nth"))
-        target = turned
+        target = F.when(F.col("nth") == 0, F.col("first") + fair * F.col("n")).otherwise(F.col("first") + fair * F.col("nth"))
     else:
-        # Turning the other way doubles each step's gap instead of closing it: angle' = 2 angle - previous' - fair.
-        gathered = F.sort_array(F.collect_list(F.struct("nth", "angle")).over(whole))
-        def fold(a, r):
-            return F.when(r["nth"] == 0, a).otherwise(F.lit(2.0) * r["angle"] - a - fair)
-        upto = F.aggregate(F.slice(gathered, 1, F.col("nth") + 1), F.col("first"), fold)
-        last = F.aggregate(gathered, F.col("first"), fold)
-        target = F.when(F.col("nth") == 0, F.lit(2.0) * F.col("first") - last - fair).otherwise(upto)
+        turned = F.when(F.col("nth") % 2 == 0, F.col("carried")).otherwise(-F.col("carried"))
+        last = rays.where("nth = n - 1").select("src", turned.alias("last"))
+        rays = rays.join(last, "src")
+        target = F.when(F.col("nth") == 0, 2 * F.col("first") - F.col("last") - fair).otherwise(turned)
     reach = F.col("weight") * F.lit(float(ideal))
     dx = move_moderator * (F.col("x1") + reach * F.cos(angle_moderator * target) - F.col("x2"))
     dy = move_moderator * (F.col("y1") + reach * F.sin(angle_moderator * target) - F.col("y2"))

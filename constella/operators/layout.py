@@ -189,9 +189,12 @@ class Steps:
 
 @dataclass
 class LayoutResult:
+    """Places, moves done, hops of the ball, and pairs (of ball and links) that exchange a message in each move."""
+
     vertices: DataFrame
     iterations: int
     ball_rows_hops: int
+    pairs: int = 0
 
 
 def layout_layer(vertices: DataFrame, edges: DataFrame, options: LayoutOptions, max_weight: int = 1, rescale: bool = True, steps: Steps | None = None, task_rows: int = epochs.TASK_ROWS) -> LayoutResult:
@@ -211,7 +214,7 @@ def layout_layer(vertices: DataFrame, edges: DataFrame, options: LayoutOptions,
     drop(*getattr(reached, "_constella_parts", ()))
     links = cut(edges.select("src", "dst", "weight").join(home, "dst"), "links")
     degree = cut(degrees(edges), "degree")
-    total, written = current.count(), [state, current, ball, links, degree]
+    total, messages, written = current.count(), ball.count() + links.count(), [state, current, ball, links, degree]
     own = steps.propagate is forces and steps.seed is move
     bins = placed = hooked = sizes = None
     if own and getattr(model, "on_arrays", False):
@@ -270,4 +273,4 @@ def layout_layer(vertices: DataFrame, edges: DataFrame, options: LayoutOptions,
     if placed:
         placed.drop()
     drop(bins.table if bins else None, *[x for x in written if x is not hooked])
-    return LayoutResult(hooked, done, options.k)
+    return LayoutResult(hooked, done, options.k, messages)

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from constella.functions import geometry as G
+from constella.functions.forces import FORCES
 from constella.functions.schedules import ADAPTATION, SizeDriven
-from constella.operators.layout import LayoutOptions
+from constella.operators.layout import LayoutOptions, Steps
 from constella.operators.partition import PartitionOptions
-from constella.operators.reintegrate import ReintegrationOptions
+from constella.operators.reintegrate import STRATEGIES, ReintegrationOptions
+from constella.plans.named import named
 
 #: Keys and their defaults.
 DEFAULTS = {
@@ -52,7 +54,18 @@ DEFAULTS = {
     "merger.convergenceThreshold": 7,
     "placer.destroyLevels": True,
     "seed": 42,
+    # Dotted names of what replaces a part: readers and writers of lines, parts of a layout, packing.
+    "input.reader": None,
+    "output.writer": None,
+    "layout.explorer": None,
+    "layout.scaler": None,
+    "layout.reach": None,
+    "layout.propagator": None,
+    "layout.seeder": None,
+    "layout.packer": None,
 }
+#: Keys without a default whose values are text.
+_TEXT = ("input.reader", "output.writer", "layout.explorer", "layout.scaler", "layout.reach", "layout.propagator", "layout.seeder", "layout.packer")
 
 
 def _typed(value, default):
@@ -68,7 +81,7 @@ class Config:
     """Values by key, given as they are or as text. Keys that nothing reads, such as those of logs, are kept and have no effect."""
 
     def __init__(self, values: dict | None = None):
-        self.values = {**DEFAULTS, **{k: _typed(v, DEFAULTS.get(k, "")) for k, v in (values or {}).items()}}
+        self.values = {**DEFAULTS, **{k: _typed(v, "" if k in _TEXT else DEFAULTS.get(k, "")) for k, v in (values or {}).items()}}
 
     def __getitem__(self, key: str):
         return self.values[key]
@@ -83,14 +96,34 @@ class Config:
 
     @property
     def adaptation(self):
-        named = self["multi.layout.adaptationStrategy"]
-        return ADAPTATION.get(named, SizeDriven)() if isinstance(named, str) else named
+        given = self["multi.layout.adaptationStrategy"]
+        found = ADAPTATION.get(given) if isinstance(given, str) else given
+        found = named(given, SizeDriven) if found is None else found
+        return found() if isinstance(found, type) else found
+
+    @property
+    def steps(self) -> Steps:
+        """The parts of a layout, those that are named replaced."""
+        base = Steps()
+        return Steps(*[named(self[f"layout.{key}"], old) for key, old in (("explorer", base.explore), ("scaler", base.scale), ("reach", base.reach), ("propagator", base.propagate), ("seeder", base.seed))])
+
+    @property
+    def force(self):
+        """A model's name, or a model made by the class that is named, from the options where there are any."""
+        given, options = self["layout.forceModel"], self["layout.forceModel.extraOptions"]
+        found = given if given in FORCES else named(given, "FR")
+        return (found(options) if options else found()) if isinstance(found, type) else found
+
+    @property
+    def reintegrating(self):
+        given = self["reintegration.reintegratingClass"]
+        return given if given in STRATEGIES else named(given, "fair_share")
 
     def layout(self, **changed) -> LayoutOptions:
         base = {
             "limit": self["layout.limit"], "convergence": self["layout.convergence-threshold"], "enhancer": self["layout.enhanceRepulsiveForcesBy"],
             "walshaw_modifier": self["layout.walshawModifier"], "repulsion_factor": self["layout.repulsiveForceModerationFactor"],
-            "force": self["layout.forceModel"], "force_options": self["layout.forceModel.extraOptions"], "ideal": self.ideal,
+            "force": self.force, "force_options": self["layout.forceModel.extraOptions"], "ideal": self.ideal,
         }
         return LayoutOptions(**{**base, **changed})
 

@@ -69,7 +69,7 @@ def _places(vertices: DataFrame, config: Config) -> DataFrame:
 def finish(vertices: DataFrame, edges: DataFrame, hubs: DataFrame, config: Config, pack: Callable = pack_components) -> Graph:
     """Leaves around their hubs, then all components in one grid."""
     if config["multi.layout.reintegrateOneDegrees"]:
-        vertices, edges = reintegrate(vertices, edges, hubs, config["reintegration.reintegratingClass"], config.reintegration())
+        vertices, edges = reintegrate(vertices, edges, hubs, config.reintegrating, config.reintegration())
     vertices = cut(vertices.select("id", "component", "x", "y"), "drawn")
     sizes = vertices.groupBy("component").agg(F.count("*").alias("n"))
     packing = pack(bounding_boxes(vertices).join(sizes, "component"), config["reintegration.componentPadding"], config["layout.minRatioThreshold"])
@@ -92,7 +92,7 @@ def layout_single(graph: Graph, config: Config | None = None, steps: Steps | Non
     start = cut(start.select("id", "component", *_part(start), "x", "y", "one_edges"), "start")
     drawn = layout_layer(start, graph.edges, config.layout(**{"k": 3, **options}), steps=steps)
     out = finish(drawn.vertices, graph.edges, _hubs(graph.vertices), config, pack)
-    out.metrics = [{"layer": 0, "iterations": drawn.iterations, "hops": drawn.ball_rows_hops}]
+    out.metrics = [{"layer": 0, "iterations": drawn.iterations, "hops": drawn.ball_rows_hops, "messages": drawn.pairs * drawn.iterations}]
     return out
 
 
@@ -115,7 +115,10 @@ def layout_multilevel(graph: Graph, config: Config | None = None, steps: Steps |
         if config["placer.destroyLevels"] and layer.number < len(layers) - 1:
             above = layers[layer.number + 1]
             drop(above.vertices, above.edges, above.bodies, above.proxies, above.paths, start)
-        metrics.append({"layer": layer.number, "n_vertices": layer.n_vertices, "n_edges": layer.n_edges, "iterations": drawn.iterations, "hops": drawn.ball_rows_hops})
+        metrics.append({
+            "layer": layer.number, "n_layers": len(layers), "n_vertices": layer.n_vertices, "n_edges": layer.n_edges, "max_edge_weight": layer.max_weight, "iterations": drawn.iterations, "hops": drawn.ball_rows_hops,
+            "temperature_factor": chosen.temp_factor, "cooling": chosen.cooling, "accuracy": chosen.accuracy, "messages": drawn.pairs * drawn.iterations,
+        })
     out = finish(places, graph.edges, _hubs(graph.vertices), config, pack)
     out.metrics = metrics
     return out

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from constella.functions import geometry as G
-from constella.functions import schedules
+from constella.functions import forces, schedules
 from constella.functions.portable import uniform_sql
 from constella.iterate import cut
 from constella.operators import aggregates, angular, coarsen, layout, pack, partition, reintegrate
@@ -207,6 +207,23 @@ def partition_migration(spark, sf_dir):
     return partition.migrate(chosen, d, load, cap, SEED, 900)
 
 
+@query(
+    f"""WITH e AS {SP}, {VERTICES}, {LABELS}, {SCORES}, {BEST}, w AS (SELECT new_part AS label, sum(degree) AS demand FROM best JOIN deg USING (id) WHERE new_part <> part GROUP BY new_part),
+  room AS (SELECT label, greatest(0.0, (cap.cap - coalesce(ld.load, 0)) / CAST(w.demand AS DOUBLE)) AS chance FROM w CROSS JOIN cap LEFT JOIN ld ON ld.part = w.label),
+  m AS (SELECT CAST(sum(h_now) AS DOUBLE) AS score, CAST(count(*) FILTER (WHERE new_part <> part) AS DOUBLE) AS wishes,
+      CAST(count(*) FILTER (WHERE new_part <> part AND {uniform_sql('id', 900)} < chance) AS DOUBLE) AS migrations FROM best LEFT JOIN room ON room.label = best.new_part),
+  q AS (SELECT avg(CASE WHEN a.part = b.part THEN 1.0 ELSE 0.0 END) AS local_ratio, (SELECT max(load) FROM ld) * {K} / CAST(count(*) AS DOUBLE) AS top FROM e JOIN lab a ON a.id = e.src JOIN lab b ON b.id = e.dst),
+  c(name, value) AS (SELECT 'iteration', 0.0 UNION ALL SELECT 'score', score FROM m UNION ALL SELECT 'wishes', wishes FROM m UNION ALL SELECT 'migrations', migrations FROM m UNION ALL SELECT 'local_ratio', local_ratio FROM q
+    UNION ALL SELECT 'max_normalised_load', top FROM q UNION ALL SELECT 'max_min_unbalance', max(load) / CAST(min(load) AS DOUBLE) FROM ld)
+  SELECT CAST(0 AS INTEGER) AS step, name, {r4('value')} AS value FROM c"""
+)
+def partition_counters(spark, sf_dir):
+    """The counters of a job that ends after its first round."""
+    e = load_graph(spark, sf_dir, "supplier_part")
+    done = partition.partition_graph(vertices_of(e), e, partition.PartitionOptions(partitions=K, max_iterations=5))
+    return rounded(jobs.metrics_table(spark, jobs.Graph(e, e, done.metrics)))
+
+
 @query()
 def partition_run(spark, sf_dir):
     e = load_graph(spark, sf_dir, "supplier_part")
@@ -285,13 +302,17 @@ def _op_state(spark, sf_dir):
 @query(f"{OP_PLACED}, {PAIRS} SELECT id, {r4(f'sum(dx * sqrt(dx * dx + dy * dy) / {IDEAL})')} AS fx, {r4(f'sum(dy * sqrt(dx * dx + dy * dy) / {IDEAL})')} AS fy FROM g GROUP BY id")
 def fr_attraction(spark, sf_dir):
     v, e, ball = _op_state(spark, sf_dir)
-    return rounded(layout.forces(v, e, ball.limit(0), layout.LayoutOptions()))
+    return rounded(layout.forces(v, e, ball, layout.LayoutOptions(enhancer=0.0)))
 
 
 @query(f"{OP_PLACED}, {PAIRS} SELECT id, {r4(f'sum(-{FAR} * dx / (dx * dx + dy * dy))')} AS fx, {r4(f'sum(-{FAR} * dy / (dx * dx + dy * dy))')} AS fy FROM g GROUP BY id")
 def fr_repulsion(spark, sf_dir):
     v, e, ball = _op_state(spark, sf_dir)
-    return rounded(layout.forces(v, e.limit(0), ball, layout.LayoutOptions()))
+    class Repulsion(forces.FruchtermanReingold):
+        def attraction(self, dx, dy, *_):
+            return dx * 0.0, dy * 0.0
+
+    return rounded(layout.forces(v, e, ball, layout.LayoutOptions(force=Repulsion())))
 
 
 @query(
@@ -315,30 +336,41 @@ def fr_step(spark, sf_dir):
     return rounded(moved.select("id", "x", "y", "converged"))
 
 
-@query("SELECT CAST(i AS INTEGER) AS step, round(100.0 * pow(0.93, i), 6) AS linear, round(100.0 * exp(-0.05 * i), 6) AS exponential FROM range(20) t(i)")
+@query(
+    f"""{PLACED}, {FRAME} SELECT component, CAST(i AS INTEGER) AS step, {r4('frame_w / 0.4 * pow(0.93, i)')} AS linear, {r4('frame_w / 0.4 * exp(-0.05 * i)')} AS exponential
+  FROM fr CROSS JOIN range(20) t(i) WHERE n > 1"""
+)
 def cooling_schedule(spark, sf_dir):
-    a, b, rows = 100.0, 100.0, []
+    """Temperatures of each component's first moves under both schedules."""
+    v, _ = _placed_conversation(spark, sf_dir)
+    state = layout.frames(aggregates.boxes_and_sizes(v), IDEAL, 0.4).where("n > 1")
+    t, u, factors = 1.0, 1.0, []
     for i in range(20):
-        rows.append((i, round(a, 6), round(b, 6)))
-        a, b = schedules.LinearCooling(0.93).cool(a), schedules.NegativeExponentialCooling(0.05).cool(b)
-    return spark.createDataFrame(rows, "step int, linear double, exponential double")
+        factors.append((i, t, u))
+        t, u = schedules.LinearCooling(0.93).cool(t), schedules.NegativeExponentialCooling(0.05).cool(u)
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("step"), F.lit(a).alias("a"), F.lit(b).alias("b")) for i, a, b in factors]))
+    return rounded(state.select("component", "temp_x", steps.alias("s")).select("component", "s.step", (F.col("temp_x") * F.col("s.a")).alias("linear"), (F.col("temp_x") * F.col("s.b")).alias("exponential")))
 
 
-SIZES = (249, 250, 499, 500, 999, 1000, 1499, 1500, 4999, 5000, 9999, 10000, 100000, 100001, 1000000, 1000001)
+ADAPTED = ("nation_region", "customer_nation", "customer_order", "user_event", "supplier_part", "order_part", "conversation")
 
 
 @query(
-    f"""SELECT CAST(e AS BIGINT) AS n_edges, CAST(CASE WHEN e < 1000 THEN 6 WHEN e < 5000 THEN 5 WHEN e < 10000 THEN 4 WHEN e > 1000000 THEN 1 WHEN e > 100000 THEN 2 ELSE 3 END AS INTEGER) AS k_size,
-  CAST(CASE WHEN e / 1000.0 > 1.5 THEN 3 ELSE 6 END AS INTEGER) AS k_density,
-  CASE WHEN e < 250 THEN 0.1 WHEN e < 500 THEN 0.2 WHEN e < 10000 THEN 0.4 ELSE 0.8 END AS temp_factor,
-  CASE WHEN e < 500 THEN 0.98 WHEN e < 1500 THEN 0.96 WHEN e < 10000 THEN 0.94 WHEN e < 1000000 THEN 0.92 ELSE 0.9 END AS cooling,
-  CASE WHEN e < 1000 THEN 0.0001 WHEN e < 10000 THEN 0.001 WHEN e < 1000000 THEN 0.01 ELSE 0.1 END AS accuracy
-  FROM (SELECT unnest([{', '.join(map(str, SIZES))}]) AS e)"""
+    f"""WITH g AS ({' UNION ALL '.join(f"SELECT '{name}' AS graph, count(DISTINCT src) AS n_vertices, CAST(count(*) // 2 AS BIGINT) AS e FROM {edges_sql(name)}" for name in ADAPTED)})
+  SELECT graph, n_vertices, e AS n_edges, CAST(CASE WHEN e < 1000 THEN 6 WHEN e < 5000 THEN 5 WHEN e < 10000 THEN 4 WHEN e > 1000000 THEN 1 WHEN e > 100000 THEN 2 ELSE 3 END AS INTEGER) AS k_size,
+  CAST(CASE WHEN e / CAST(n_vertices AS DOUBLE) > 1.5 THEN 3 ELSE 6 END AS INTEGER) AS k_density, CAST(2 AS INTEGER) AS k_finest,
+  CAST(CASE WHEN e < 250 THEN 0.1 WHEN e < 500 THEN 0.2 WHEN e < 10000 THEN 0.4 ELSE 0.8 END AS DOUBLE) AS temp_factor,
+  CAST(CASE WHEN e < 500 THEN 0.98 WHEN e < 1500 THEN 0.96 WHEN e < 10000 THEN 0.94 WHEN e < 1000000 THEN 0.92 ELSE 0.9 END AS DOUBLE) AS cooling,
+  CAST(CASE WHEN e < 1000 THEN 0.0001 WHEN e < 10000 THEN 0.001 WHEN e < 1000000 THEN 0.01 ELSE 0.1 END AS DOUBLE) AS accuracy FROM g"""
 )
 def adaptation_params(spark, sf_dir):
-    size, density = schedules.SizeDriven(), schedules.DensityDriven()
-    rows = [(e, size.hops(1, 2, 1000, e), density.hops(1, 2, 1000, e), size.temperature(1, 2, 1000, e), size.cooling(1, 2, 1000, e), size.accuracy(1, 2, 1000, e)) for e in SIZES]
-    return spark.createDataFrame(rows, "n_edges bigint, k_size int, k_density int, temp_factor double, cooling double, accuracy double")
+    """The parameters that both strategies give each graph of the tables, by its numbers of vertices and edges."""
+    size, density, rows = schedules.SizeDriven(), schedules.DensityDriven(), []
+    for name in ADAPTED:
+        v, e = load_graph(spark, sf_dir, name).agg(F.count_distinct("src"), F.count("*")).first()
+        facts = (1, 2, v, e // 2)
+        rows.append((name, v, e // 2, size.hops(*facts), density.hops(*facts), schedules.hops_at(size, 0, 2, v, e // 2), size.temperature(*facts), size.cooling(*facts), size.accuracy(*facts)))
+    return spark.createDataFrame(rows, "graph string, n_vertices bigint, n_edges bigint, k_size int, k_density int, k_finest int, temp_factor double, cooling double, accuracy double")
 
 
 # --- coarsening --------------------------------------------------------------------------------
@@ -569,6 +601,33 @@ def angular_suggestions(spark, sf_dir):
     return rounded(angular.angular_suggestions(v, e, IDEAL).select("src", "dst", "dx", "dy"))
 
 
+ANTICLOCKWISE = (
+    ANGULAR[: ANGULAR.index("r2 AS")]
+    + f"""w AS (SELECT *, sum(CASE WHEN nth = 0 THEN angle WHEN nth % 2 = 0 THEN 2 * angle - {TWO_PI} / n ELSE {TWO_PI} / n - 2 * angle END) OVER (PARTITION BY src ORDER BY angle, dst ROWS UNBOUNDED PRECEDING)
+    * (CASE WHEN nth % 2 = 0 THEN 1 ELSE -1 END) AS turned FROM r1 WHERE n > 2),
+  z AS (SELECT src, turned AS last FROM w WHERE nth = n - 1),
+  sug AS (SELECT w.src, dst, x1, y1, x2, y2, CASE WHEN nth = 0 THEN 2 * first - last - {TWO_PI} / n ELSE turned END AS target FROM w JOIN z USING (src))"""
+)
+
+
+@query(f"{OP_PLACED}, {ANTICLOCKWISE} SELECT src, dst, {r4(f'x1 + {IDEAL} * cos(target) - x2')} AS dx, {r4(f'y1 + {IDEAL} * sin(target) - y2')} AS dy FROM sug")
+def angular_anticlockwise(spark, sf_dir):
+    v, e, _ = _op_state(spark, sf_dir)
+    return rounded(angular.angular_suggestions(v, e, IDEAL, clockwise=False).select("src", "dst", "dx", "dy"))
+
+
+@query(
+    f"""{PLACED}, s AS (SELECT a.component, a.id AS a, b.id AS b, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d, a.x * b.y - a.y * b.x AS c FROM p a JOIN p b ON a.component = b.component AND a.id <> b.id
+    WHERE NOT EXISTS (SELECT 1 FROM p o WHERE o.component = a.component AND o.id <> a.id AND o.id <> b.id AND (b.x - a.x) * (o.y - a.y) - (b.y - a.y) * (o.x - a.x) <= 0))
+  SELECT component, CAST(count(s.a) AS INTEGER) AS corners, {r4('coalesce(sum(d), 0.0)')} AS perimeter, {r4('abs(coalesce(sum(c), 0.0)) / 2')} AS area
+  FROM (SELECT DISTINCT component FROM p) k LEFT JOIN s USING (component) GROUP BY component"""
+)
+def component_hulls(spark, sf_dir):
+    """A merge that no column expression states: convex hulls, merged from those of parts."""
+    v, _ = _placed_conversation(spark, sf_dir)
+    return rounded(aggregates.merged(v, aggregates.Hull(), "x", "y"))
+
+
 @query(f"{OP_PLACED}, {ANGULAR} SELECT id, {r4('any_value(x) + coalesce(avg(dx), 0.0)')} AS x, {r4('any_value(y) + coalesce(avg(dy), 0.0)')} AS y FROM p LEFT JOIN sug ON sug.dst = p.id GROUP BY id")
 def average_update(spark, sf_dir):
     v, e, _ = _op_state(spark, sf_dir)
@@ -627,6 +686,25 @@ def body_text(spark, sf_dir):
     return text.body_lines(_systems(spark, sf_dir)[2], v, e, 0)
 
 
+@query(
+    f"""WITH e AS {OP}, {VERTICES}, r AS (SELECT CASE WHEN id % 13 = 4 THEN 'not an array' WHEN id % 13 = 5 THEN 'fewer than 7 fields' WHEN id % 13 = 6 THEN 'field 3 is not a number'
+    WHEN id % 13 = 7 THEN 'field 6 is not an array' END AS reason, id FROM v WHERE id % 13 <> 8)
+  SELECT reason, count(*) AS lines, min(id) AS first_id, max(id) AS last_id FROM r GROUP BY reason"""
+)
+def rejected_lines(spark, sf_dir):
+    """Lines of the whole graph, some broken by a rule: good ones and each reason with its lines."""
+    v, e = _line_vertices(spark, sf_dir)
+    lines = text.partition_lines(v, e, randomise=False).withColumn("id", F.expr("CAST(regexp_extract(value, '[0-9]+', 0) AS BIGINT)"))
+    kind = F.col("id") % 13
+    broken = F.when(kind == 4, F.expr("left(value, length(value) - 1)")).when(kind == 5, F.concat(F.lit("["), "id", F.lit(",7]"))).when(kind == 6, F.regexp_replace("value", r"^\[(\d+),(\d+),(\d+),[^,]+,", '[$1,$2,$3,"x",'))
+    broken = broken.when(kind == 7, F.concat(F.lit("["), "id", F.lit(",7,1,2.0,3.0,[],5]"))).when(kind == 8, F.lit("  ")).otherwise(F.col("value"))
+    good, bad = text.split_lines(lines.select(broken.alias("value")), "layout")
+    back, _ = text.read_layout_input(good)
+    counted = back.agg(F.lit(None).cast("string").alias("reason"), F.count("*").alias("lines"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    ids = bad.withColumn("id", F.expr("CAST(regexp_extract(value, '[0-9]+', 0) AS BIGINT)"))
+    return counted.unionByName(ids.groupBy("reason").agg(F.count("*").alias("lines"), F.min("id").alias("first_id"), F.max("id").alias("last_id")))
+
+
 @query(f"SELECT DISTINCT src AS id, src % 5 || '_' || src AS plain, src % 5 || '_' || src || '_2' AS layered FROM {OP}")
 def vertex_names(spark, sf_dir):
     part = F.col("id") % 5
@@ -635,10 +713,12 @@ def vertex_names(spark, sf_dir):
     return named.select(G.parse_vertex_text(F.col("layered"))["id"].alias("id"), "plain", "layered")
 
 
-@query(f"WITH e AS {OP} SELECT src % 10 AS component, list_sort(list_distinct(list(dst))) AS ids FROM e GROUP BY src % 10")
+@query(f"WITH RECURSIVE e AS {CONV}, {VERTICES}, {COMPONENTS} SELECT component, list_sort(list_distinct(list(dst))) AS ids FROM e JOIN comp ON comp.id = e.src GROUP BY component")
 def component_ids(spark, sf_dir):
-    lists = _op(spark, sf_dir).groupBy("src").agg(F.collect_list("dst").alias("ids")).select((F.col("src") % 10).alias("component"), "ids")
-    return aggregates.id_union(lists)
+    """Union of the neighbour lists of each component's vertices."""
+    v, e = _placed_conversation(spark, sf_dir)
+    lists = e.groupBy(F.col("src").alias("id")).agg(F.collect_list("dst").alias("ids")).join(v.select("id", "component"), "id")
+    return aggregates.id_union(lists.select("component", "ids"))
 
 
 @query(f"WITH e AS {OP}, {VERTICES} SELECT id AS component, CAST(CASE WHEN id % 3 = 0 THEN 2 ELSE 1 END AS DOUBLE) AS temp FROM v")

@@ -6,33 +6,55 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from constella.functions.portable import uniform
+from constella.iterate import cut
 from constella.operators.graph import symmetrise
 
 FAILFAST, DROP = "FAILFAST", "DROPMALFORMED"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path)
+def read_lines(spark: SparkSession, path: str, named: bool = False) -> DataFrame:
+    """value, and with ``named`` the file of each line."""
+    lines = spark.read.text(path)
+    return lines.select("value", F.col("_metadata.file_path").alias("file")) if named else lines
 
 
-def _fields(lines: DataFrame, count: int, numeric: tuple[int, ...], lists: tuple[int, ...], mode: str) -> DataFrame:
-    """``a``: the line's fields as text. A line that isn't an array of enough well-formed fields is an error, or dropped."""
-    a = F.from_json("value", "array<string>")
-    parsed = lines.where(F.length(F.trim("value")) > 0).select("value", a.alias("a"))
-    good = F.coalesce(F.size("a") >= count, F.lit(False))
+def _checked(lines: DataFrame, count: int, numeric: tuple[int, ...], lists: tuple[int, ...]) -> DataFrame:
+    """value, ``a`` (the line's fields as text) and reason: what is wrong with the line, null for a good one. Blank lines are left out."""
+    parsed = lines.where(F.length(F.trim("value")) > 0).withColumn("a", F.from_json("value", "array<string>"))
+    reason = F.when(F.col("a").isNull(), F.lit("not an array")).when(F.size("a") < count, F.lit(f"fewer than {count} fields"))
     for i in numeric:
-        good = good & F.expr(f"try_cast(a[{i}] AS DOUBLE)").isNotNull()
+        reason = reason.when(F.expr(f"try_cast(a[{i}] AS DOUBLE)").isNull(), F.lit(f"field {i} is not a number"))
     for i in lists:
-        good = good & F.from_json(F.expr(f"a[{i}]"), "array<string>").isNotNull()
+        reason = reason.when(F.from_json(F.expr(f"a[{i}]"), "array<string>").isNull(), F.lit(f"field {i} is not an array"))
+    return parsed.withColumn("reason", reason)
+
+
+def _fields(lines: DataFrame, count: int, numeric: tuple[int, ...], lists: tuple[int, ...], mode: str) -> DataFrame:
+    """``a``: the line's fields as text. A line that isn't an array of enough well-formed fields is an error, or dropped."""
+    checked = _checked(lines, count, numeric, lists)
     if mode == DROP:
-        return parsed.where(F.col("a").isNotNull()).where(good).select("a")
+        return checked.where("reason is null").select("a")
     bad = F.raise_error(F.concat(F.lit("malformed line: "), F.col("value"))).cast("array<string>")
-    return parsed.select(F.when(good, F.col("a")).otherwise(bad).alias("a"))
+    return checked.select(F.when(F.col("reason").isNull(), F.col("a")).otherwise(bad).alias("a"))
+
+
+#: Least number of fields, and which of them are numbers and arrays, of the line formats.
+FORMATS = {"partition": (4, (0, 1, 2), (3,)), "layout": (7, (0, 1, 2, 3, 4), (5, 6))}
+
+
+def split_lines(lines: DataFrame, form: str) -> tuple[DataFrame, DataFrame]:
+    """Good lines (value), and rejected ones as (file, value, reason), from one read: what was checked is written once, both parts read it.
+
+    ``file`` is null where the lines don't say theirs.
+    """
+    named = lines.select("value", F.col("file") if "file" in lines.columns else F.lit(None).cast("string").alias("file"))
+    checked = cut(_checked(named, *FORMATS[form]).select("file", "value", "reason"), "lines")
+    return checked.where("reason is null").select("value"), checked.where("reason is not null").select("file", "value", "reason")
 
 
 def read_partition_input(lines: DataFrame, mode: str = FAILFAST, constants: bool = False) -> tuple[DataFrame, DataFrame]:
     """``[id, x, y, [nbr, ...]]``: vertices and symmetric edges of weight 1. ``constants`` adds part 0 and component 0."""
-    a = _fields(lines, 4, (0, 1, 2), (3,), mode)
+    a = _fields(lines, *FORMATS["partition"], mode)
     vertices = a.select(F.expr("CAST(a[0] AS BIGINT)").alias("id"), F.expr("CAST(a[1] AS DOUBLE)").alias("x"), F.expr("CAST(a[2] AS DOUBLE)").alias("y"))
     if constants:
         vertices = vertices.withColumns({"part": F.lit(0), "component": F.lit(0).cast("bigint")})
@@ -42,7 +64,7 @@ def read_partition_input(lines: DataFrame, mode: str = FAILFAST, constants: bool
 
 def read_layout_input(lines: DataFrame, mode: str = FAILFAST, layered: bool = False) -> tuple[DataFrame, DataFrame]:
     """``[id, component, partition, x, y, [leaves], [[nbr, nbrPart], ...]]``; ``layered`` adds layer 0."""
-    a = _fields(lines, 7, (0, 1, 2, 3, 4), (5, 6), mode)
+    a = _fields(lines, *FORMATS["layout"], mode)
     vertices = a.select(
         F.expr("CAST(a[0] AS BIGINT)").alias("id"), F.expr("CAST(a[1] AS BIGINT)").alias("component"), F.expr("CAST(a[2] AS INT)").alias("part"),
         F.expr("CAST(a[3] AS DOUBLE)").alias("x"), F.expr("CAST(a[4] AS DOUBLE)").alias("y"), F.from_json(F.expr("a[5]"), "array<bigint>").alias("one_edges"),

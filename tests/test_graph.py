@@ -3,12 +3,13 @@
 import math
 
 import pytest
+import user_parts
 from pyspark.sql import functions as F
 
 from constella.functions import forces, schedules
 from constella.functions import geometry as G
 from constella.iterate import cut_observed
-from constella.operators import aggregates, coarsen, layout, pack, partition, reintegrate
+from constella.operators import aggregates, angular, coarsen, layout, pack, partition, reintegrate
 from constella.operators.ball import k_hop_ball
 from constella.operators.components import connected_components
 from constella.operators.graph import symmetrise, vertices_of
@@ -287,3 +288,74 @@ def test_totals_taken_while_writing(spark):
     rows = spark.range(1000).select("id", (F.col("id") % 7).alias("r")).repartition(5, "r")
     written, seen = cut_observed(rows, "observed", n=F.count("*"), total=F.sum("r"))
     assert seen == {"n": written.count(), "total": written.agg(F.sum("r")).first()[0]}
+
+
+def test_parts_by_name(spark, tmp_path):
+    """A user's reader, writer, force, seeder and start, named on the command line; unknown names give the defaults."""
+    (tmp_path / "in").write_text("1 2\n2 3\n3 1\n")
+    user_parts.CALLED.clear()
+    names = {"input.reader": "user_parts.read_pairs", "output.writer": "user_parts.write_places", "layout.limit": "2"}
+    more = {"layout.forceModel": "user_parts.Stiff", "layout.forceModel.extraOptions": "3", "layout.seeder": "user_parts.seed"}
+    runner.main(["single", str(tmp_path / "in"), str(tmp_path / "out"), *[f"{k}={v}" for k, v in {**names, **more}.items()]])
+    assert user_parts.CALLED == ["reader", ("force", "3"), "seeder", "seeder", "writer"]
+    assert sorted(r.value.split()[0] for r in spark.read.text(str(tmp_path / "out")).collect()) == ["1", "2", "3"]
+    out = runner.run(spark, "user_parts.start", str(tmp_path / "in"), str(tmp_path / "own"), names)
+    assert out.metrics == [{"started": 1}] and sorted(r.value for r in spark.read.text(str(tmp_path / "own")).collect()) == ["1 1.0 42.0", "2 2.0 42.0", "3 3.0 42.0"]
+    odd = config.Config({"layout.forceModel": "no.such.Force", "multi.layout.adaptationStrategy": "user_parts.Nothing", "reintegration.reintegratingClass": "radial", "layout.seeder": "no.such.seed"})
+    assert odd.force == "FR" and type(odd.adaptation) is schedules.SizeDriven and odd.reintegrating == "radial" and odd.steps.seed is layout.move
+    assert type(config.Config({"multi.layout.adaptationStrategy": "constella.functions.schedules.DensityDriven"}).adaptation) is schedules.DensityDriven
+    with pytest.raises(ValueError, match="unknown job"):
+        runner.run(spark, "no.such.job", str(tmp_path / "in"), str(tmp_path / "no"))
+
+
+def test_merges_that_users_write(spark, monkeypatch):
+    rows = spark.range(200).select((F.col("id") % 7).alias("component"), (F.col("id") * 37 % 101).cast("double").alias("x"), (F.col("id") * 53 % 97).cast("double").alias("y")).repartition(5)
+    monkeypatch.setattr(aggregates, "HELD_STATES", 3)
+    got = {r.component: (r.first, r.second) for r in aggregates.merged(rows, user_parts.Longest(), "x").collect()}
+    plain = {}
+    for r in rows.collect():
+        plain.setdefault(r.component, []).append(r.x)
+    assert got == {c: tuple(sorted(xs, reverse=True)[:2]) for c, xs in plain.items()}
+    square = spark.createDataFrame([(1, 0.0, 0.0), (1, 2.0, 0.0), (1, 2.0, 2.0), (1, 0.0, 2.0), (1, 1.0, 1.0), (1, 1.0, 0.0), (2, 5.0, 5.0), (2, 5.0, 5.0), (3, 0.0, 0.0), (3, 3.0, 4.0), (None, 1.0, 1.0)], "component int, x double, y double")
+    hulls = {r.component: (r.corners, r.perimeter, r.area) for r in aggregates.merged(square.repartition(3), aggregates.Hull(), "x", "y").collect()}
+    assert hulls == {1: (4, 8.0, 4.0), 2: (1, 0.0, 0.0), 3: (2, 10.0, 0.0), None: (1, 0.0, 0.0)}
+    assert aggregates.merged(square.limit(0), aggregates.Hull(), "x", "y").count() == 0
+
+
+@pytest.mark.parametrize("clockwise", [True, False])
+def test_angles_around_a_split_hub(spark, clockwise):
+    """The walk as a plain loop that changes each angle before it takes the next, for a hub in ranges and a small vertex."""
+    n = 40
+    places = {0: (0.0, 0.0), **{i: (math.cos(i * i) * (i + 3), math.sin(i * i) * (i + 3)) for i in range(1, n)}}
+    v = spark.createDataFrame([(i, *p) for i, p in places.items()], "id bigint, x double, y double")
+    e = edges(spark, *[(0, i) for i in range(1, n)], (1, 2), (1, 3))
+    got = {(r.src, r.dst): (r.dx, r.dy) for r in angular.angular_suggestions(v, e, 10.0, clockwise=clockwise, range_rows=5).collect()}
+    near = {0: list(range(1, n)), 1: [0, 2, 3]}
+    assert set(got) == {(s, d) for s, ds in near.items() for d in ds}
+    for s, ds in near.items():
+        at = lambda d: math.atan2(places[d][1] - places[s][1], places[d][0] - places[s][0]) % (2 * math.pi)  # noqa: B023, E731
+        order = sorted(ds, key=lambda d: (at(d), d))
+        slope, fair, here = {d: at(d) for d in ds}, 2 * math.pi / len(ds), order[0]
+        for d in [*order[1:], order[0]]:
+            turn = fair - (slope[d] - slope[here])
+            slope[d] += turn if clockwise else -turn
+            here = d
+            want = (places[s][0] + 10 * math.cos(slope[d]) - places[d][0], places[s][1] + 10 * math.sin(slope[d]) - places[d][1])
+            assert got[s, d] == pytest.approx(want, abs=1e-7)
+
+
+def test_rejected_lines_name_their_file(spark, tmp_path):
+    (tmp_path / "a").write_text("[1,0,0,[2]]\n\n[2,0,0\n[3,\"x\",0,[1]]\n")
+    (tmp_path / "b").write_text("[4,0,0]\n[5,0,0,7]\n[2,1,1,[1]]")
+    good, bad = text.split_lines(text.read_lines(spark, str(tmp_path), named=True), "partition")
+    vertices, links = text.read_partition_input(good)
+    assert {r.id for r in vertices.collect()} == {1, 2} and links.count() == 2
+    got = {(r.file.rsplit("/", 1)[1], r.value, r.reason) for r in bad.collect()}
+    assert got == {("a", "[2,0,0", "not an array"), ("a", "[3,\"x\",0,[1]]", "field 1 is not a number"), ("b", "[4,0,0]", "fewer than 4 fields"), ("b", "[5,0,0,7]", "field 3 is not an array")}
+
+
+def test_graph_from_tables(spark, tmp_path):
+    spark.createDataFrame([(1,), (2,), (7,)], "id bigint").write.parquet(str(tmp_path / "v"))
+    spark.createDataFrame([(1, 2, 5), (2, 2, 1)], "src bigint, dst bigint, weight int").write.parquet(str(tmp_path / "e"))
+    v, e = text.read_tables(spark, str(tmp_path / "v"), str(tmp_path / "e"))
+    assert v.count() == 3 and sorted(map(tuple, e.collect())) == [(1, 2, 5), (2, 1, 5)]
