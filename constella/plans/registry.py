@@ -1,6 +1,6 @@
 """Named queries over the driver's tables and the SQL they must agree with.
 
-Every query reads its whole tables. Queries without SQL iterate until a state is reached; tests hold them against plain Python.
+Every query reads its whole tables. Queries without SQL iterate until a state is reached; ``tests/test_plain.py`` holds their operators against plain Python.
 """
 
 from __future__ import annotations
