@@ -61,7 +61,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Stages train models and iterate: SQL can't express them. tests/llm hold each stage's operator against a plain version, and run() against the stages.
+#: Stages train models and iterate: SQL can't express them. tests/llm hold each stage's operator against a plain version.
 ORACLE_SQL = None
 
 
