@@ -12,8 +12,8 @@ from constella.iterate import cut
 BLOCK_LINKS = 2048
 
 
-def k_hop_ball(edges: DataFrame, k: int, cut_steps: bool = True, block_links: int = BLOCK_LINKS) -> DataFrame:
-    """``dst, src, hop`` with hop from 1 to k, for any degrees; a vertex isn't in its own ball.
+def k_hop_ball(edges: DataFrame, k: int, cut_steps: bool = True, block_links: int = BLOCK_LINKS, sources: DataFrame | None = None) -> DataFrame:
+    """``dst, src, hop`` with hop from 1 to k, for any degrees; a vertex isn't in its own ball. ``sources`` (id) asks for the balls of these only.
 
     Each step extends the frontier of the last hop only, keyed by the vertex that it is at and a block of that vertex's links,
     so that the pairs through a hub are made by as many tasks as it has blocks.
@@ -24,6 +24,8 @@ def k_hop_ball(edges: DataFrame, k: int, cut_steps: bool = True, block_links: in
     outward = outward.select("at", "new", F.pmod(F.xxhash64("new"), F.col("n")).cast("int").alias("block"))
     hubs = blocks.where("n > 1")
     ball = links.select("dst", "src", F.lit(1).alias("hop"))
+    if sources is not None:
+        ball = ball.join(sources.select(F.col("id").alias("dst")), "dst", "left_semi")
     frontier, written = ball, []
     for hop in range(2, k + 1):
         step = frontier.select("dst", F.col("src").alias("at")).join(hubs, "at", "left")

@@ -14,7 +14,7 @@ from constella.functions.forces import force_model
 from constella.functions.schedules import LinearCooling
 from constella.iterate import cut, cut_buckets, cut_observed, drop, settings
 from constella.operators import ball as balls
-from constella.operators import epochs
+from constella.operators import epochs, hubs
 from constella.operators.aggregates import boxes_and_sizes
 from constella.operators.graph import degrees
 
@@ -125,10 +125,13 @@ class Placed:
     A slot is a part of a partition (``part`` of the vertices; without it, a hash), as many as there are buckets or more. Pairs lie in the slot of the vertex that they move, so
     the ball, which never changes, never travels: places are joined to both of its ends, and forces summed, inside slots. What a move shuffles
     is the list of routes: a row for each vertex and slot where it is wanted, few where neighbours share a partition.
+
+    With ``stars`` (see ``hubs``) the ball lists only the pairs that no hub brings together; those that a hub does are made by blocks of
+    its star, whose rows lie with their vertices. ``partners`` counts them, each in both directions, after the first move.
     """
 
-    def __init__(self, vertices: DataFrame, state: DataFrame, ball: DataFrame, links: DataFrame, degree: DataFrame, options: LayoutOptions, max_weight: int):
-        self.options, self.max_weight = options, max_weight
+    def __init__(self, vertices: DataFrame, state: DataFrame, ball: DataFrame, links: DataFrame, degree: DataFrame, options: LayoutOptions, max_weight: int, stars: DataFrame | None = None):
+        self.options, self.max_weight, self.partners = options, max_weight, 0
         self.buckets = n = int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         if "part" in vertices.columns:
             parts = vertices.agg(F.max("part")).first()[0] or 0
@@ -145,6 +148,7 @@ class Placed:
         wanted = self.pairs.select("slot", F.col("src").alias("id")).unionByName(home.select("slot", "id")).distinct()
         routes = wanted.select("id", F.col("slot").alias("to")).join(home, "id").select("slot", "id", "to")
         self.routes = self._dealt(routes, "routes")
+        self.stars = None if stars is None else self._dealt(stars.join(home, "id"), "stars")
 
     def _dealt(self, df: DataFrame, name: str) -> DataFrame:
         return cut_buckets(df.repartition(self.buckets, "slot"), name, "slot", self.buckets)
@@ -157,19 +161,32 @@ class Placed:
         theirs = sent.select("slot", F.col("id").alias("src"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("deg").alias("d2"))
         both = self.pairs.join(theirs.hint("shuffle_hash"), ["slot", "src"]).join(mine.hint("shuffle_hash"), ["slot", "dst"])
         pushed = _summed(both, self.options, self.max_weight, F.col("slot"), F.col("dst").alias("id"))
-        return _moved(self.vertices.join(pushed, ["slot", "id"], "left"), cooled, self.options.accuracy, self.columns)
+        after = self.vertices.join(pushed, ["slot", "id"], "left")
+        columns = self.columns
+        if self.stars is not None:
+            model = force_model(self.options.force, self.options.force_options)
+            members = self.stars.join(self.vertices.select("slot", "id", "x", "y", "deg").hint("shuffle_hash"), ["slot", "id"])
+            apart = hubs.star_forces(members, model, _strength(self.options, self.max_weight), self.options.k).repartition(self.buckets, "slot")
+            apart = apart.groupBy("slot", "id").agg(F.sum("fx").alias("sx"), F.sum("fy").alias("sy"), F.sum("partners").alias("partners"))
+            after = after.join(apart, ["slot", "id"], "left").withColumns({"fx": F.coalesce("fx", F.lit(0.0)) + F.coalesce("sx", F.lit(0.0)), "fy": F.coalesce("fy", F.lit(0.0)) + F.coalesce("sy", F.lit(0.0))})
+            columns = [*columns, "partners"]
+        return _moved(after, cooled, self.options.accuracy, columns)
 
     def move(self, cooled: float) -> int:
         """Moves all vertices once; the number of converged ones."""
         seen = Observation()
         with settings(self.vertices.sparkSession, **BY_SLOT):
-            after = cut_buckets(self.step(cooled).observe(seen, F.sum("converged").alias("n")).drop("converged"), "places", "slot", self.buckets)
+            stepped = self.step(cooled)
+            partners = F.lit(0) if self.stars is None else F.col("partners")
+            stepped = stepped.observe(seen, F.sum("converged").alias("n"), F.sum(partners).alias("partners"))
+            after = cut_buckets(stepped.select(*self.columns), "places", "slot", self.buckets)
         drop(self.vertices)
         self.vertices = after
+        self.partners = seen.get["partners"] or 0
         return seen.get["n"] or 0
 
     def drop(self) -> None:
-        drop(self.vertices, self.pairs, self.routes)
+        drop(self.vertices, self.pairs, self.routes, self.stars)
 
 
 @dataclass
@@ -197,38 +214,47 @@ class LayoutResult:
     pairs: int = 0
 
 
-def layout_layer(vertices: DataFrame, edges: DataFrame, options: LayoutOptions, max_weight: int = 1, rescale: bool = True, steps: Steps | None = None, task_rows: int = epochs.TASK_ROWS) -> LayoutResult:
+def layout_layer(vertices: DataFrame, edges: DataFrame, options: LayoutOptions, max_weight: int = 1, rescale: bool = True, steps: Steps | None = None, task_rows: int = epochs.TASK_ROWS, hub_links: int = hubs.HUB_LINKS) -> LayoutResult:
     """Lay out one layer: frame, scale (on the first layer drawn), then moves until converged or ``limit``.
 
     Components of up to ``task_rows`` pairs and vertices are moved in epochs, many moves a job, without a shuffle between two moves. Larger
-    ones, and all if the force model has no arithmetic for arrays, are placed by partition and moved by joins inside it. If ``steps`` replaces how forces or moves are
+    ones, and all if the force model has no arithmetic for arrays, are placed by partition and moved by joins inside it. Components with a vertex of
+    more than ``hub_links`` links are among the larger ones, and their balls are factored (``hubs``). If ``steps`` replaces how forces or moves are
     made, its functions are called for all vertices. All kinds take part in every test of convergence.
     """
     steps = steps or Steps(reach=balls.k_hop_ball)
     model = force_model(options.force, options.force_options)
     state = cut(frames(steps.explore(vertices), options.ideal, options.temp_factor, max_weight), "frames")
     current = cut(steps.scale(vertices, state) if rescale else vertices, "places")
-    reached = steps.reach(edges, options.k)
+    degree = cut(degrees(edges), "degree")
+    own = steps.propagate is forces and steps.seed is move
+    on_arrays = own and getattr(model, "on_arrays", False)
+    great, factored = degree.where(F.col("degree") > hub_links).select("id"), None
+    if on_arrays and steps.reach is balls.k_hop_ball and options.k > 1 and not great.isEmpty():
+        factored = hubs.factored_ball(edges, great, options.k)
+    reached = factored.pairs if factored else steps.reach(edges, options.k)
     home = current.select(F.col("id").alias("dst"), "component")
     ball = cut(reached.select("dst", "src").join(home, "dst").repartition("dst", "src"), "ball")
     drop(*getattr(reached, "_constella_parts", ()))
     links = cut(edges.select("src", "dst", "weight").join(home, "dst"), "links")
-    degree = cut(degrees(edges), "degree")
     total, messages, written = current.count(), ball.count() + links.count(), [state, current, ball, links, degree]
-    own = steps.propagate is forces and steps.seed is move
     bins = placed = hooked = sizes = None
-    if own and getattr(model, "on_arrays", False):
+    if on_arrays:
         counted = ball.select("component").unionByName(links.select("component")).unionByName(current.select("component"))
-        sizes = cut(counted.groupBy("component").agg(F.count("*").alias("n")), "sizes")
+        sizes = counted.groupBy("component").agg(F.count("*").alias("n"))
+        if factored:
+            with_hub = current.join(great, "id", "left_semi").select("component", F.lit(True).alias("hub")).distinct()
+            sizes = sizes.join(with_hub, "component", "left")
+        sizes = cut(sizes.select("component", "n", ((F.col("n") > task_rows) | F.coalesce("hub" if factored else F.lit(False), F.lit(False))).alias("over")), "sizes")
         written.append(sizes)
-        rows, over = sizes.agg(F.sum(F.when(F.col("n") <= task_rows, F.col("n"))), F.count_if(F.col("n") > task_rows)).first()
-        large = sizes.where(F.col("n") > task_rows).select("component")
+        rows, over = sizes.agg(F.sum(F.when(~F.col("over"), F.col("n"))), F.count_if("over")).first()
+        large = sizes.where("over").select("component")
         of = (lambda df, kind: df.join(large, "component", kind)) if over else lambda df, kind: df
         if rows:
             table = cut(epochs.packed(of(current, "left_anti"), state, of(ball, "left_anti"), of(links, "left_anti"), degree, rows), "epoch")
             bins = epochs.Epochs(table, model, options.ideal, _strength(options, max_weight), options.accuracy, epochs.epoch_length(rows))
         if over:
-            placed = Placed(of(current, "left_semi"), state, of(ball, "left_semi"), of(links, "left_semi"), degree, options, max_weight)
+            placed = Placed(of(current, "left_semi"), state, of(ball, "left_semi"), of(links, "left_semi"), degree, options, max_weight, factored and factored.stars)
     elif own:
         placed = Placed(current, state, ball, links, degree, options, max_weight)
     else:
@@ -271,6 +297,9 @@ def layout_layer(vertices: DataFrame, edges: DataFrame, options: LayoutOptions,
         rest = [c for c in current.columns if c not in ("x", "y")]
         hooked = cut(reduce(DataFrame.unionByName, found).join(current.select(*rest), "id").select(*current.columns), "drawn") if found else current
     if placed:
+        messages += placed.partners
         placed.drop()
+    if factored:
+        factored.drop()
     drop(bins.table if bins else None, *[x for x in written if x is not hooked])
     return LayoutResult(hooked, done, options.k, messages)

@@ -14,7 +14,7 @@ from constella.functions import geometry as G
 from constella.functions import forces, schedules
 from constella.functions.portable import uniform_sql
 from constella.iterate import cut
-from constella.operators import aggregates, angular, coarsen, layout, pack, partition, reintegrate
+from constella.operators import aggregates, angular, coarsen, hubs, layout, pack, partition, reintegrate
 from constella.operators.ball import k_hop_ball
 from constella.operators.components import connected_components
 from constella.operators.graph import degrees, edges_sql, load_graph, missing_reverse, random_places, symmetrise, vertices_of
@@ -336,6 +336,37 @@ def fr_step(spark, sf_dir):
     return rounded(moved.select("id", "x", "y", "converged"))
 
 
+CN = edges_sql("customer_nation")
+
+
+@query(
+    f"""WITH e AS {CN}, {VERTICES}, p AS (SELECT id, {X} AS x, {Y} AS y FROM v),
+  b AS (SELECT dst, src FROM e UNION SELECT a.dst, c.src FROM e a JOIN e c ON c.dst = a.src WHERE c.src <> a.dst),
+  near AS (SELECT a.id, b.x - a.x AS dx, b.y - a.y AS dy FROM e JOIN p a ON a.id = e.dst JOIN p b ON b.id = e.src),
+  far AS (SELECT a.id, q.x - a.x AS dx, q.y - a.y AS dy FROM b JOIN p a ON a.id = b.dst JOIN p q ON q.id = b.src),
+  pushed AS (SELECT id, dx * sqrt(dx * dx + dy * dy) / {IDEAL} AS fx, dy * sqrt(dx * dx + dy * dy) / {IDEAL} AS fy FROM near
+    UNION ALL SELECT id, -{FAR} * dx / (dx * dx + dy * dy), -{FAR} * dy / (dx * dx + dy * dy) FROM far),
+  fo AS (SELECT id, sum(fx) AS fx, sum(fy) AS fy FROM pushed GROUP BY id),
+  m AS (SELECT p.id, p.x, p.y, fx, fy, sqrt(fx * fx + fy * fy) AS f FROM p JOIN fo USING (id)),
+  reached AS (SELECT dst AS id, count(*) AS reached FROM b GROUP BY dst)
+  SELECT id, {r4('x + fx / f * least(f, 300.0)')} AS x, {r4('y + fy / f * least(f, 200.0)')} AS y, reached FROM m JOIN reached USING (id)"""
+)
+def hub_step(spark, sf_dir):
+    """One move with balls of two hops around nations, whose customers are never listed in pairs, and how many each vertex meets."""
+    e = load_graph(spark, sf_dir, "customer_nation")
+    v = random_places(vertices_of(e)).withColumn("component", F.lit(0).cast("bigint"))
+    degree = degrees(e)
+    state = spark.range(1).select(F.lit(0).cast("bigint").alias("component"), F.lit(300.0).alias("temp_x"), F.lit(200.0).alias("temp_y"))
+    ball = hubs.factored_ball(e, degree.where("degree > 16"), 2)
+    placed = layout.Placed(v, state, ball.pairs, e, degree, layout.LayoutOptions(k=2, accuracy=5.0), 1, ball.stars)
+    listed = ball.pairs.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("listed"))
+    moved = placed.step(1.0).join(listed, "id", "left")
+    out = cut(rounded(moved.select("id", "x", "y", (F.coalesce("partners", F.lit(0)) + F.coalesce("listed", F.lit(0))).alias("reached"))), "moved")
+    ball.drop()
+    placed.drop()
+    return out
+
+
 @query(
     f"""{PLACED}, {FRAME} SELECT component, CAST(i AS INTEGER) AS step, {r4('frame_w / 0.4 * pow(0.93, i)')} AS linear, {r4('frame_w / 0.4 * exp(-0.05 * i)')} AS exponential
   FROM fr CROSS JOIN range(20) t(i) WHERE n > 1"""

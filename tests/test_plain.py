@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from constella.functions import geometry as G
 from constella.functions import schedules
 from constella.iterate import settings
-from constella.operators import layout, partition
+from constella.operators import hubs, layout, partition
 from constella.operators.coarsen import coarsen
 from constella.operators.components import connected_components
 from constella.operators.graph import symmetrise, vertices_of
@@ -153,3 +153,60 @@ def test_a_move_sends_routes_only(spark, labelled):
     sent = placed.routes.count() / len(component)
     assert sent == 1.0 if labelled else sent > 1.3
     placed.drop()
+
+
+@pytest.mark.parametrize(("hub_links", "k", "force"), [(0, 2, "LinLog"), (5, 3, "FR")])
+def test_layout_around_hubs(spark, hub_links, k, force):
+    """Factored balls, of every vertex and of some, move a layer as plain loops do and count the same messages."""
+    pairs = graph(17, 14, 4) + [(300, 301)]
+    v, e, component, edges = tables(spark, pairs)
+    rows = [(i, c, 600 * plain.draw(i, 1), 500 * plain.draw(i, 2)) for i, c in component.items()]
+    start = spark.createDataFrame(rows, "id bigint, component bigint, x double, y double")
+    options = layout.LayoutOptions(k=k, temp_factor=0.4, cooling=0.9, accuracy=1.0, limit=3, force=force)
+    listed = layout.layout_layer(start, e, options)
+    if force == "FR":
+        close(places(listed.vertices), plain.layout({r[0]: r[2:] for r in rows}, component, edges, IDEAL, k, 0.4, 0.9, 1.0, 3)[0])
+    got = layout.layout_layer(start, e, options, hub_links=hub_links)
+    close(places(got.vertices), places(listed.vertices))
+    assert got.pairs == listed.pairs and got.iterations == listed.iterations == 3
+
+
+@pytest.mark.parametrize("k", [1, 2, 3])
+def test_factored_balls_list_every_pair_once(spark, k):
+    """Listed pairs and what blocks of stars bring together are the ball, each pair once, for any hubs and blocks of two rows."""
+    v, e, component, edges = tables(spark, graph(19, 14, 5, 1))
+    near = plain.neighbours(edges)
+    hubs_ = [i for i in near if len(near[i]) > 4]
+    assert len(hubs_) > 1
+    for chosen in (hubs_, []) if k == 2 else (hubs_,):
+        ball = hubs.factored_ball(e, spark.createDataFrame([(i,) for i in chosen], "id bigint"), k, block=2)
+        members = ball.stars.join(v.select("id", F.lit(0).alias("slot"), F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(1).alias("deg")), "id")
+        listed = [tuple(r) for r in ball.pairs.collect()]
+        met = hubs.star_forces(members, Apart(), 1.0, k).groupBy("id").agg(F.sum("partners").alias("n"), F.sum("fx").alias("sum")).collect()
+        found = {r.id: (r.n, r.sum) for r in met}
+        want = {(r.dst, r.src) for r in layout.balls.k_hop_ball(e, k).collect()}
+        assert len(set(listed)) == len(listed) and set(listed) <= want and (not chosen or k == 1 or set(listed) < want)
+        for i in near:
+            others = [b for a, b in want if a == i]
+            mine = [b for a, b in listed if a == i]
+            n, total = found.get(i, (0, 0.0))
+            assert n + len(mine) == len(others) and total + n * i + sum(mine) == sum(others)
+        ball.drop()
+
+
+class Apart:
+    """A repulsion whose sum tells whom a vertex meets."""
+
+    def repulsion(self, dx, dy, deg, other_deg):
+        return -dx, dy
+
+
+def test_disk_of_a_hub_is_linear(spark):
+    """A hub of 20,000 links: as many rows as links, where the ball has their square."""
+    n = 20_000
+    e = spark.range(1, n + 1).select(F.lit(0).cast("bigint").alias("src"), F.col("id").alias("dst"), F.lit(1).alias("weight"))
+    e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    ball = hubs.factored_ball(e, spark.createDataFrame([(0,)], "id bigint"), 2)
+    assert ball.stars.count() == n + 1 and ball.pairs.count() == 0
+    assert ball.stars.agg(F.max("last")).first()[0] >= n // hubs.STAR_BLOCK and ball.stars.groupBy("block").count().agg(F.max("count")).first()[0] < 1.3 * hubs.STAR_BLOCK
+    ball.drop()
