@@ -70,7 +70,7 @@ def cut_buckets(df: DataFrame, name: str, column: str, n: int) -> DataFrame:
         spark.sql(f"DROP TABLE IF EXISTS {table}")
         raise
     out = spark.table(table)
-    out._constella_path, out._constella_table = path, table
+    out._constella_path, out._constella_table, out._constella_buckets = path, table, (column, n)
     return out
 
 

@@ -13,6 +13,7 @@ from constella.functions import geometry as G
 from constella.functions.forces import force_model
 from constella.functions.schedules import LinearCooling
 from constella.iterate import cut, cut_buckets, cut_observed, drop, settings
+from constella.manifest import Manifest, plain_values
 from constella.operators import ball as balls
 from constella.operators import epochs, hubs
 from constella.operators.aggregates import boxes_and_sizes
@@ -132,6 +133,8 @@ class Placed:
 
     def __init__(self, vertices: DataFrame, state: DataFrame, ball: DataFrame, links: DataFrame, degree: DataFrame, options: LayoutOptions, max_weight: int, stars: DataFrame | None = None):
         self.options, self.max_weight, self.partners = options, max_weight, 0
+        #: Places that a manifest names: kept until the next one does.
+        self.named: DataFrame | None = None
         self.buckets = n = int(vertices.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         if "part" in vertices.columns:
             parts = vertices.agg(F.max("part")).first()[0] or 0
@@ -150,6 +153,18 @@ class Placed:
         self.routes = self._dealt(routes, "routes")
         self.stars = None if stars is None else self._dealt(stars.join(home, "id"), "stars")
 
+    @classmethod
+    def resumed(cls, tables: dict[str, DataFrame], options: LayoutOptions, max_weight: int, partners: int) -> Placed:
+        """The same from tables that a manifest named."""
+        out = object.__new__(cls)
+        out.options, out.max_weight, out.partners = options, max_weight, partners
+        out.vertices, out.pairs, out.routes, out.stars = (tables.get(f"placed_{c}") for c in ("vertices", "pairs", "routes", "stars"))
+        out.columns, out.buckets, out.named = out.vertices.columns, out.vertices._constella_buckets[1], out.vertices
+        return out
+
+    def tables(self) -> dict[str, DataFrame | None]:
+        return {"placed_vertices": self.vertices, "placed_pairs": self.pairs, "placed_routes": self.routes, "placed_stars": self.stars}
+
     def _dealt(self, df: DataFrame, name: str) -> DataFrame:
         return cut_buckets(df.repartition(self.buckets, "slot"), name, "slot", self.buckets)
 
@@ -180,7 +195,8 @@ class Placed:
             partners = F.lit(0) if self.stars is None else F.col("partners")
             stepped = stepped.observe(seen, F.sum("converged").alias("n"), F.sum(partners).alias("partners"))
             after = cut_buckets(stepped.select(*self.columns), "places", "slot", self.buckets)
-        drop(self.vertices)
+        if self.vertices is not self.named:
+            drop(self.vertices)
         self.vertices = after
         self.partners = seen.get["partners"] or 0
         return seen.get["n"] or 0
@@ -214,51 +230,83 @@ class LayoutResult:
     pairs: int = 0
 
 
-def layout_layer(vertices: DataFrame, edges: DataFrame, options: LayoutOptions, max_weight: int = 1, rescale: bool = True, steps: Steps | None = None, task_rows: int = epochs.TASK_ROWS, hub_links: int = hubs.HUB_LINKS) -> LayoutResult:
+def layout_layer(vertices: DataFrame, edges: DataFrame, options: LayoutOptions, max_weight: int = 1, rescale: bool = True, steps: Steps | None = None, task_rows: int = epochs.TASK_ROWS, hub_links: int = hubs.HUB_LINKS, resume: str | None = None) -> LayoutResult:
     """Lay out one layer: frame, scale (on the first layer drawn), then moves until converged or ``limit``.
 
     Components of up to ``task_rows`` pairs and vertices are moved in epochs, many moves a job, without a shuffle between two moves. Larger
     ones, and all if the force model has no arithmetic for arrays, are placed by partition and moved by joins inside it. Components with a vertex of
     more than ``hub_links`` links are among the larger ones, and their balls are factored (``hubs``). If ``steps`` replaces how forces or moves are
-    made, its functions are called for all vertices. All kinds take part in every test of convergence.
+    made, its functions are called for all vertices. All kinds take part in every test of convergence. ``resume`` names a manifest, kept after each epoch
+    (after each move, where no component is moved in epochs): a layout of that name that a lost driver left is gone on with from there.
     """
     steps = steps or Steps(reach=balls.k_hop_ball)
     model = force_model(options.force, options.force_options)
-    state = cut(frames(steps.explore(vertices), options.ideal, options.temp_factor, max_weight), "frames")
-    current = cut(steps.scale(vertices, state) if rescale else vertices, "places")
-    degree = cut(degrees(edges), "degree")
     own = steps.propagate is forces and steps.seed is move
     on_arrays = own and getattr(model, "on_arrays", False)
-    great, factored = degree.where(F.col("degree") > hub_links).select("id"), None
-    if on_arrays and steps.reach is balls.k_hop_ball and options.k > 1 and not great.isEmpty():
-        factored = hubs.factored_ball(edges, great, options.k)
-    reached = factored.pairs if factored else steps.reach(edges, options.k)
-    home = current.select(F.col("id").alias("dst"), "component")
-    ball = cut(reached.select("dst", "src").join(home, "dst").repartition("dst", "src"), "ball")
-    drop(*getattr(reached, "_constella_parts", ()))
-    links = cut(edges.select("src", "dst", "weight").join(home, "dst"), "links")
-    total, messages, written = current.count(), ball.count() + links.count(), [state, current, ball, links, degree]
-    bins = placed = hooked = sizes = None
-    if on_arrays:
-        counted = ball.select("component").unionByName(links.select("component")).unionByName(current.select("component"))
-        sizes = counted.groupBy("component").agg(F.count("*").alias("n"))
-        if factored:
-            with_hub = current.join(great, "id", "left_semi").select("component", F.lit(True).alias("hub")).distinct()
-            sizes = sizes.join(with_hub, "component", "left")
-        sizes = cut(sizes.select("component", "n", ((F.col("n") > task_rows) | F.coalesce("hub" if factored else F.lit(False), F.lit(False))).alias("over")), "sizes")
-        written.append(sizes)
-        rows, over = sizes.agg(F.sum(F.when(~F.col("over"), F.col("n"))), F.count_if("over")).first()
-        large = sizes.where("over").select("component")
-        of = (lambda df, kind: df.join(large, "component", kind)) if over else lambda df, kind: df
-        if rows:
-            table = cut(epochs.packed(of(current, "left_anti"), state, of(ball, "left_anti"), of(links, "left_anti"), degree, rows), "epoch")
-            bins = epochs.Epochs(table, model, options.ideal, _strength(options, max_weight), options.accuracy, epochs.epoch_length(rows))
-        if over:
-            placed = Placed(of(current, "left_semi"), state, of(ball, "left_semi"), of(links, "left_semi"), degree, options, max_weight, factored and factored.stars)
-    elif own:
-        placed = Placed(current, state, ball, links, degree, options, max_weight)
+    kept = Manifest(vertices.sparkSession, resume, "layout", {**plain_values(options), "max_weight": max_weight, "own": own})
+    before = kept.load()
+    bins = placed = hooked = None
+    cooling, temperature, done, finished = LinearCooling(options.cooling), 1.0, 0, False
+
+    def in_bins(table: DataFrame, rows: int) -> epochs.Epochs:
+        return epochs.Epochs(table, model, options.ideal, _strength(options, max_weight), options.accuracy, epochs.epoch_length(rows))
+
+    if before:
+        values, tables = before
+        state, current, ball, links, degree = (tables[n] for n in ("state", "current", "ball", "links", "degree"))
+        total, messages, rows, temperature, done, finished = (values[n] for n in ("total", "messages", "rows", "temperature", "done", "finished"))
+        bins = in_bins(tables["bins"], rows) if "bins" in tables else None
+        placed = Placed.resumed(tables, options, max_weight, values["partners"]) if "placed_vertices" in tables else None
+        hooked = tables.get("hooked")
     else:
-        hooked = current
+        state = cut(frames(steps.explore(vertices), options.ideal, options.temp_factor, max_weight), "frames")
+        current = cut(steps.scale(vertices, state) if rescale else vertices, "places")
+        degree = cut(degrees(edges), "degree")
+        great, factored = degree.where(F.col("degree") > hub_links).select("id"), None
+        if on_arrays and steps.reach is balls.k_hop_ball and options.k > 1 and not great.isEmpty():
+            factored = hubs.factored_ball(edges, great, options.k)
+        reached = factored.pairs if factored else steps.reach(edges, options.k)
+        home = current.select(F.col("id").alias("dst"), "component")
+        ball = cut(reached.select("dst", "src").join(home, "dst").repartition("dst", "src"), "ball")
+        drop(*getattr(reached, "_constella_parts", ()))
+        links = cut(edges.select("src", "dst", "weight").join(home, "dst"), "links")
+        total, messages, rows = current.count(), ball.count() + links.count(), None
+        if on_arrays:
+            counted = ball.select("component").unionByName(links.select("component")).unionByName(current.select("component"))
+            sizes = counted.groupBy("component").agg(F.count("*").alias("n"))
+            if factored:
+                with_hub = current.join(great, "id", "left_semi").select("component", F.lit(True).alias("hub")).distinct()
+                sizes = sizes.join(with_hub, "component", "left")
+            sizes = cut(sizes.select("component", "n", ((F.col("n") > task_rows) | F.coalesce("hub" if factored else F.lit(False), F.lit(False))).alias("over")), "sizes")
+            rows, over = sizes.agg(F.sum(F.when(~F.col("over"), F.col("n"))), F.count_if("over")).first()
+            large = sizes.where("over").select("component")
+            of = (lambda df, kind: df.join(large, "component", kind)) if over else lambda df, kind: df
+            if rows:
+                bins = in_bins(cut(epochs.packed(of(current, "left_anti"), state, of(ball, "left_anti"), of(links, "left_anti"), degree, rows), "epoch"), rows)
+            if over:
+                placed = Placed(of(current, "left_semi"), state, of(ball, "left_semi"), of(links, "left_semi"), degree, options, max_weight, factored and factored.stars)
+            drop(sizes)
+        elif own:
+            placed = Placed(current, state, ball, links, degree, options, max_weight)
+        else:
+            hooked = current
+        if factored:
+            factored.drop()
+    named = hooked
+
+    def keep() -> None:
+        """Name what the last move left, then delete what was named before."""
+        nonlocal named
+        values = {"total": total, "messages": messages, "rows": rows, "temperature": temperature, "done": done, "finished": finished, "partners": placed.partners if placed else 0}
+        setup = {"state": state, "current": current, "ball": ball, "links": links, "degree": degree}
+        kept.save(values, {**setup, "bins": bins and bins.table, "hooked": hooked, **(placed.tables() if placed else {})})
+        if placed:
+            if placed.named is not None and placed.named is not placed.vertices:
+                drop(placed.named)
+            placed.named = placed.vertices
+        if named is not hooked and named is not current:
+            drop(named)
+        named = hooked
 
     def one_move(t: float) -> int:
         """Converged vertices of all that aren't in bins."""
@@ -267,14 +315,13 @@ def layout_layer(vertices: DataFrame, edges: DataFrame, options: LayoutOptions,
         if hooked is not None:
             pushed = steps.propagate(hooked, links, ball, options, max_weight, degree)
             stepped, seen = cut_observed(steps.seed(hooked, pushed, state, t, options.accuracy), "places", n=F.sum("converged"))
-            if hooked is not current:
+            if hooked is not current and not (resume and hooked is named):
                 drop(hooked)
             hooked = stepped.select(*current.columns)
             hooked._constella_path = stepped._constella_path
             n += seen["n"] or 0
         return n
 
-    cooling, temperature, done, finished = LinearCooling(options.cooling), 1.0, 0, False
     while not finished and done < options.limit:
         temperatures = []
         for _ in range(min(bins.length if bins else 1, options.limit - done)):
@@ -290,16 +337,19 @@ def layout_layer(vertices: DataFrame, edges: DataFrame, options: LayoutOptions,
                     drop(after)
                     after, _ = bins.run(temperatures[: i + 1])
                 break
+        earlier = None
         if bins:
-            bins.take(after)
+            earlier, bins.table = bins.table, after
+        if resume:
+            keep()
+        drop(earlier)
     if hooked is None:
         found = [x for x in (bins and bins.places(), placed and placed.vertices.select("id", "x", "y")) if x is not None]
         rest = [c for c in current.columns if c not in ("x", "y")]
         hooked = cut(reduce(DataFrame.unionByName, found).join(current.select(*rest), "id").select(*current.columns), "drawn") if found else current
+    kept.end()
     if placed:
         messages += placed.partners
         placed.drop()
-    if factored:
-        factored.drop()
-    drop(bins.table if bins else None, *[x for x in written if x is not hooked])
+    drop(bins.table if bins else None, *[x for x in (state, current, ball, links, degree) if x is not hooked])
     return LayoutResult(hooked, done, options.k, messages)

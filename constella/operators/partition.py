@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from constella.functions.portable import uniform
 from constella.iterate import cut, cut_buckets, cut_observed, drop
+from constella.manifest import Manifest, plain_values
 from constella.operators.graph import degrees
 
 
@@ -183,27 +184,35 @@ def moved_counts(edges: DataFrame, moves: DataFrame) -> DataFrame:
     return sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("label", "by"))).alias("change"))
 
 
-def partition_graph(vertices: DataFrame, edges: DataFrame, options: PartitionOptions | None = None, watch: Callable | None = None) -> Partitioned:
+def partition_graph(vertices: DataFrame, edges: DataFrame, options: PartitionOptions | None = None, watch: Callable | None = None, resume: str | None = None) -> Partitioned:
     """Label propagation until the total score settles, or ``max_iterations`` steps are done; the wishes of the last step aren't granted.
 
-    An empty graph, or one without edges, keeps its first labels. ``watch`` gets the number of a round and the labels after it.
+    An empty graph, or one without edges, keeps its first labels. ``watch`` gets the number of a round and the labels after it. ``resume`` names a
+    manifest: a loop of that name that a lost driver left is gone on with after its last round, on the edges that it began with.
     """
     options = options or PartitionOptions()
     spark = vertices.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    edges = cut(edges.select("src", "dst", "weight"), "edges")
-    labels = initial_labels(vertices, options)
-    if options.repartition:
-        labels = changed_k(labels, options)
-    state = cut_buckets(heard_labels(labels, edges, degrees(edges)).repartition(buckets, "id"), "labels", "id", buckets)
-    total = edges.count()
+    kept = Manifest(spark, resume, "partition", plain_values(options))
+    before = kept.load()
+    settled, out = Convergence(options.window, options.threshold), Partitioned(vertices, 0)
+    if before:
+        values, tables = before
+        edges, state = tables["edges"], tables["state"]
+        load, total, out.metrics, settled.states = values["load"], values["total"], values["metrics"], values["scores"]
+        out.iterations = number = values["round"]
+    else:
+        edges = cut(edges.select("src", "dst", "weight"), "edges")
+        labels = initial_labels(vertices, options)
+        if options.repartition:
+            labels = changed_k(labels, options)
+        state = cut_buckets(heard_labels(labels, edges, degrees(edges)).repartition(buckets, "id"), "labels", "id", buckets)
+        total, number = edges.count(), 0
+        load = [0] * options.total
+        for part, n in state.groupBy("part").agg(F.sum("degree")).collect():
+            load[part] = n
     capacity = round(total * (1 + options.capacity) / options.total)
-    load = [0] * options.total
-    for part, n in state.groupBy("part").agg(F.sum("degree")).collect():
-        load[part] = n
-    settled = Convergence(options.window, options.threshold)
-    out = Partitioned(labels, 0)
-    number = 0
+    buckets = state._constella_buckets[1]
     while 2 * number + 3 < options.max_iterations:
         chosen = choose(state, load, capacity, options, 600 + number)
         wish = F.col("new_part") != F.col("part")
@@ -235,13 +244,18 @@ def partition_graph(vertices: DataFrame, edges: DataFrame, options: PartitionOpt
             heard = F.when(F.col("change").isNull(), F.col("heard")).otherwise(F.map_filter(both, lambda _, n: n != 0))
             following = granted.join(changes, "id", "left").select("id", F.col("after").alias("part"), "degree", "total", heard.alias("heard"))
             following = cut_buckets(following, "labels", "id", buckets)
+        else:
+            following = state
+        out.iterations = number = number + 1
+        kept.save({"load": load, "total": total, "metrics": out.metrics, "scores": settled.states, "round": number}, {"edges": edges, "state": following})
+        if following is not state:
             drop(state)
-            state = following
+        state = following
         drop(moves)
-        out.iterations = number = number + 1
         if watch:
             watch(number, state.select("id", "part"))
     out.labels = cut(state.select("id", "part"), "labels")
+    kept.end()
     drop(edges, state)
     return out
 

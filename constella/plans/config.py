@@ -63,9 +63,10 @@ DEFAULTS = {
     "layout.propagator": None,
     "layout.seeder": None,
     "layout.packer": None,
+    "job.resume": None,
 }
 #: Keys without a default whose values are text.
-_TEXT = ("input.reader", "output.writer", "layout.explorer", "layout.scaler", "layout.reach", "layout.propagator", "layout.seeder", "layout.packer")
+_TEXT = ("input.reader", "output.writer", "layout.explorer", "layout.scaler", "layout.reach", "layout.propagator", "layout.seeder", "layout.packer", "job.resume")
 
 
 def _typed(value, default):

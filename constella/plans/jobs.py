@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from constella.functions.schedules import hops_at
 from constella.iterate import cut, drop
+from constella.manifest import Manifest, plain_values, written
 from constella.operators.aggregates import bounding_boxes
-from constella.operators.coarsen import coarsen
+from constella.operators.coarsen import Layer, coarsen
 from constella.operators.components import connected_components
 from constella.operators.graph import random_places, symmetrise
 from constella.operators.layout import Steps, layout_layer
@@ -52,11 +53,18 @@ def prepare(vertices: DataFrame, edges: DataFrame, config: Config) -> Graph:
 
 
 def preprocess(vertices: DataFrame, edges: DataFrame, config: Config | None = None) -> Graph:
-    """Components, pruned leaves and partitions: the input of both layout jobs."""
+    """Components, pruned leaves and partitions: the input of both layout jobs. With ``job.resume`` a run that was lost is gone on with."""
     config = config or Config()
-    prepared = prepare(vertices, edges, config)
-    vertices, edges = prepared.vertices, prepared.edges
-    done = partition_graph(vertices, edges, config.partition())
+    kept = Manifest(vertices.sparkSession, config["job.resume"], "preprocess", {"partition": plain_values(config.partition())})
+    before = kept.load()
+    if before:
+        vertices, edges = before[1]["vertices"], before[1]["edges"]
+    else:
+        prepared = prepare(vertices, edges, config)
+        vertices, edges = prepared.vertices, prepared.edges
+        kept.save({}, {"vertices": vertices, "edges": edges})
+    done = partition_graph(vertices, edges, config.partition(), resume=kept.part("partition"))
+    kept.end()
     return Graph(vertices.drop("part").join(done.labels, "id"), edges, done.metrics)
 
 
@@ -90,35 +98,72 @@ def layout_single(graph: Graph, config: Config | None = None, steps: Steps | Non
     config = config or Config()
     start = _places(graph.vertices, config)
     start = cut(start.select("id", "component", *_part(start), "x", "y", "one_edges"), "start")
-    drawn = layout_layer(start, graph.edges, config.layout(**{"k": 3, **options}), steps=steps)
+    drawn = layout_layer(start, graph.edges, config.layout(**{"k": 3, **options}), steps=steps, resume=config["job.resume"])
     out = finish(drawn.vertices, graph.edges, _hubs(graph.vertices), config, pack)
     out.metrics = [{"layer": 0, "iterations": drawn.iterations, "hops": drawn.ball_rows_hops, "messages": drawn.pairs * drawn.iterations}]
     return out
 
 
+#: Tables of a layer that a manifest names.
+_LAYER_TABLES = ("vertices", "edges", "bodies", "proxies", "paths")
+
+
+def _layer_tables(layers: list[Layer]) -> dict[str, DataFrame]:
+    for layer in layers:
+        for t in _LAYER_TABLES:
+            if getattr(layer, t) is not None:
+                setattr(layer, t, written(getattr(layer, t), f"layer-{t}"))
+    return {f"{t}{layer.number}": getattr(layer, t) for layer in layers for t in _LAYER_TABLES}
+
+
 def layout_multilevel(graph: Graph, config: Config | None = None, steps: Steps | None = None, pack: Callable = pack_components, **options) -> Graph:
-    """Coarsen, draw the coarsest layer, then place and draw each finer one; leaves and packing last."""
+    """Coarsen, draw the coarsest layer, then place and draw each finer one; leaves and packing last.
+
+    With ``job.resume`` the layers, and the places after each, are named in a manifest, and so are the moves inside a layer: a run that was lost is
+    gone on with after its last epoch.
+    """
     config = config or Config()
     adapt, ideal, seed = config.adaptation, config.ideal, config["seed"]
-    layers = coarsen(graph.vertices, graph.edges, config["merger.convergenceThreshold"], config["merger.SunChance"], seed)
-    metrics = []
-    places = coarsest_places(layers[-1], config["partitioning.input.bBox.X"], config["partitioning.input.bBox.Y"], seed)
-    for layer in reversed(layers):
+    kept = Manifest(graph.vertices.sparkSession, config["job.resume"], "multilevel", {**plain_values(config.layout(**options)), "adaptation": type(adapt).__qualname__, "seed": seed})
+    before = kept.load()
+    if before:
+        values, tables = before
+        layers = [Layer(**facts, **{t: tables.get(f"{t}{facts['number']}") for t in _LAYER_TABLES}) for facts in values["layers"]]
+        places, metrics = tables["places"], values["metrics"]
+    else:
+        layers, metrics = coarsen(graph.vertices, graph.edges, config["merger.convergenceThreshold"], config["merger.SunChance"], seed), []
+        places = coarsest_places(layers[-1], config["partitioning.input.bBox.X"], config["partitioning.input.bBox.Y"], seed)
+
+    def keep() -> None:
+        nonlocal places
+        places = written(places, "places")
+        facts = [{"number": x.number, "n_vertices": x.n_vertices, "n_edges": x.n_edges, "max_weight": x.max_weight} for x in layers]
+        kept.save({"layers": facts, "metrics": metrics}, {**_layer_tables(layers), "places": places})
+
+    if kept.name and not before:
+        keep()
+    for layer in reversed(layers[: len(layers) - len(metrics)]):
         if layer.number < len(layers) - 1:
             above = layers[layer.number + 1]
             places = place_bodies(layer, places, above.edges, ideal, seed)
         facts = (layer.number, len(layers), layer.n_vertices, layer.n_edges)
         chosen = config.layout(**{"k": hops_at(adapt, *facts), "temp_factor": adapt.temperature(*facts), "cooling": adapt.cooling(*facts), "accuracy": adapt.accuracy(*facts), **options})
         start = cut(places.select("id", "component", *_part(places), "x", "y"), "start")
-        drawn = layout_layer(start, layer.edges, chosen, layer.max_weight, rescale=layer.number == len(layers) - 1, steps=steps)
+        drawn = layout_layer(start, layer.edges, chosen, layer.max_weight, rescale=layer.number == len(layers) - 1, steps=steps, resume=kept.part(f"layer{layer.number}"))
         places = drawn.vertices
-        if config["placer.destroyLevels"] and layer.number < len(layers) - 1:
+        if config["placer.destroyLevels"] and not kept.name and layer.number < len(layers) - 1:
             above = layers[layer.number + 1]
             drop(above.vertices, above.edges, above.bodies, above.proxies, above.paths, start)
         metrics.append({
             "layer": layer.number, "n_layers": len(layers), "n_vertices": layer.n_vertices, "n_edges": layer.n_edges, "max_edge_weight": layer.max_weight, "iterations": drawn.iterations, "hops": drawn.ball_rows_hops,
             "temperature_factor": chosen.temp_factor, "cooling": chosen.cooling, "accuracy": chosen.accuracy, "messages": drawn.pairs * drawn.iterations,
         })
+        if kept.name:
+            keep()
     out = finish(places, graph.edges, _hubs(graph.vertices), config, pack)
     out.metrics = metrics
+    if kept.name:
+        kept.end()
+        if config["placer.destroyLevels"]:
+            drop(*_layer_tables(layers[1:]).values())
     return out
