@@ -14,7 +14,7 @@ ROOT = Path(__file__).resolve().parent
 sys.path.insert(0, str(ROOT))
 
 #: Headline queries of the graph engine: preprocessing, balls, forces, coarsening, leaves, packing.
-HEADLINE = ("components_summary", "graph_degree", "prune_surviving_edges", "khop_ball_2", "fr_step", "linlog_forces", "sun_sweep", "coarse_edges", "fair_share_reintegration", "partition_score", "pack_apply")
+HEADLINE = ("components_summary", "graph_degree", "prune_surviving_edges", "khop_ball_2", "fr_step", "linlog_forces", "hub_step", "sun_sweep", "coarse_edges", "fair_share_reintegration", "partition_score", "pack_apply")
 
 
 def main() -> None:
