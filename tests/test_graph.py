@@ -55,16 +55,16 @@ def test_a_hub_keeps_the_hops_of_its_layer(spark, monkeypatch):
     # The sum of squared degrees, 14,200² and more, is above 200 million.
     asked = []
 
-    def stop(edges, k, *_, **__):
-        asked.append(k)
+    def stop(edges, around, k, *_, **__):
+        asked.append((around.count(), k))
         raise StopIteration
 
-    monkeypatch.setattr("constella.operators.ball.k_hop_ball", stop)
+    monkeypatch.setattr("constella.operators.hubs.factored_ball", stop)
     e = symmetrise(spark.range(1, 14_201).select(F.lit(0).cast("bigint").alias("src"), F.col("id").alias("dst")))
     v = vertices_of(e).select("id", F.lit(0).cast("bigint").alias("component"), (F.col("id") % 97).cast("double").alias("x"), (F.col("id") % 89).cast("double").alias("y"))
     with pytest.raises(StopIteration):
         layout.layout_layer(v, e, layout.LayoutOptions(k=3))
-    assert asked == [3]
+    assert asked == [(1, 3)]
 
 
 def test_ball_through_split_hubs(spark):
