@@ -13,7 +13,8 @@ its source's words and the excess is shared by weight among the others, until no
 
 Odd input: null, empty and white texts have size 0 and are never taken; a null source is a source of its own, "" is another; rows that repeat an id (or
 all columns) each have their own words; rows with null ids come first in their source; an empty table gives an empty result; extra columns are ignored.
-The driver holds one row for each source; that table is broadcast while it has ``BROADCAST_SOURCES`` rows at most, and joined by a shuffle beyond.
+The driver holds one row for each source; tables of documents, blocks and slots are only joined by a shuffle. The table of sources is broadcast while it has
+``BROADCAST_SOURCES`` rows at most, and joined by a shuffle beyond.
 """
 
 from __future__ import annotations
@@ -95,13 +96,18 @@ def _before(counts: DataFrame, order: str, key: str, value: str, group: int, nam
     sums = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.partitionBy(key).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inner = Window.partitionBy(key, "_group").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     wide = wide.withColumn("_inner", F.coalesce(F.sum(value).over(inner), F.lit(0)))
-    return wide.join(sums.drop("_sum"), [key, "_group"]).withColumn(name, F.col("_base") + F.col("_inner")).drop("_group", "_base", "_inner")
+    return wide.join(_merged(sums.drop("_sum")), [key, "_group"]).withColumn(name, F.col("_base") + F.col("_inner")).drop("_group", "_base", "_inner")
 
 
 def _few(sources: DataFrame, n: int) -> DataFrame:
     return F.broadcast(sources) if n <= BROADCAST_SOURCES else sources
 
 
+def _merged(table: DataFrame) -> DataFrame:
+    """``table`` for a join that never broadcasts it: files of few bytes a row look small, and their rows would all go through the driver."""
+    return table.hint("merge")
+
+
 def _located(sizes: DataFrame) -> DataFrame:
     """Documents with the number of words before them in their source: ranges of (source, id), sums of each range, then sums within it."""
     rid = sizes.withColumn("_row", F.monotonically_increasing_id())
@@ -111,7 +117,7 @@ def _located(sizes: DataFrame) -> DataFrame:
     sums = _before(sums, "_range", "number", "_words", 1024, "_start")
     within = Window.partitionBy("number", "_range").orderBy("doc_id", "size", "_row").rowsBetween(Window.unboundedPreceding, -1)
     inside = dealt.withColumn("_inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
-    located = inside.join(sums.select("number", "_range", "_start"), ["number", "_range"]).withColumn("first", F.col("_start") + F.col("_inside"))
+    located = inside.join(_merged(sums.select("number", "_range", "_start")), ["number", "_range"]).withColumn("first", F.col("_start") + F.col("_inside"))
     out = common.cut(located.select("doc_id", "source", "number", "size", "source_size", "target", "first"), "mix-documents")
     common.drop(dealt)
     return out
@@ -146,7 +152,7 @@ def _slots(spark: SparkSession, rows: list[dict], sources: DataFrame, block: int
     spare = each.where("rank >= slots").select("shard", "slot", (F.col("over") + F.col("rank") - F.col("slots")).alias("_gift"))
     need = told.where("lack > 0").select("number", "have", "under", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("lack") - 1)).alias("j"))
     need = need.select("number", (F.col("have") + F.col("j")).alias("rank"), (F.col("under") + F.col("j")).alias("_gift"))
-    every = mine.unionByName(spare.join(need, "_gift").select("shard", "slot", "number", "rank"))
+    every = mine.unionByName(spare.join(_merged(need), "_gift").select("shard", "slot", "number", "rank"))
     every = every.join(_few(sources, n), "number")
     lap, place = F.floor(F.col("rank") / F.col("blocks")), F.col("rank") % F.col("blocks")
     # The last, shorter block of a source ends each pass; whole blocks are permuted.
@@ -188,7 +194,7 @@ def mix_sources(
     pieces = held.select("*", F.explode(F.sequence(F.floor(F.col("first") / b), F.floor((F.col("_end") - 1) / b))).alias("block"))
     start = F.greatest("first", F.col("block") * b)
     pieces = pieces.select("number", "block", "first", (start - F.col("first")).alias("first_word"), (start - F.col("block") * b).alias("_from"), (F.least("_end", (F.col("block") + 1) * b) - F.col("block") * b).alias("_to"))
-    spans = slots.join(pieces, ["number", "block"]).where("_from < words")
+    spans = slots.join(_merged(pieces), ["number", "block"]).where("_from < words")
     return Mix(located, spans.select("shard", "slot", "number", "first", "first_word", (F.least("_to", "words") - F.col("_from")).alias("n_words")))
 
 
@@ -196,8 +202,8 @@ def mixed_words(mix: Mix, docs: DataFrame, id_col: str = "doc_id", text_col: str
     """shard, slot, doc_id and the words (joined by one space) of every span, for documents with unique ids."""
     words = F.filter(F.split(F.col("text").cast("string"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
     texts = common.pick(docs, doc_id=id_col, text=text_col).select("doc_id", words.alias("_words"))
-    at = mix.spans.join(mix.documents.where("size > 0").select("number", "first", "doc_id"), ["number", "first"])
-    return at.join(texts, "doc_id").select("shard", "slot", "doc_id", "first_word", F.array_join(F.slice("_words", F.col("first_word").cast("int") + 1, F.col("n_words").cast("int")), " ").alias("words"))
+    at = mix.spans.join(_merged(mix.documents.where("size > 0").select("number", "first", "doc_id")), ["number", "first"])
+    return at.join(_merged(texts), "doc_id").select("shard", "slot", "doc_id", "first_word", F.array_join(F.slice("_words", F.col("first_word").cast("int") + 1, F.col("n_words").cast("int")), " ").alias("words"))
 
 
 def op12_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -206,5 +212,5 @@ def op12_mixed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Documents with words start at different words of their source; those without share a start with the next and take nothing.
     taken = taken.withColumn("_some", F.lit(True))
     docs = mix.documents.withColumn("_some", F.col("size") > 0)
-    out = docs.join(taken, ["number", "first", "_some"], "left")
+    out = docs.join(_merged(taken), ["number", "first", "_some"], "left")
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("_taken", F.lit(0)).cast("bigint").alias("taken"))

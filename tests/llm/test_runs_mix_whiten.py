@@ -201,6 +201,14 @@ def test_mixed_words(spark):
         assert words == [f"d{r.doc_id}w{r.first_word + j}" for j in range(len(words))]
 
 
+def test_mix_broadcasts_no_table_of_documents(spark):
+    docs = spark.createDataFrame([(i, "a b c d e f", "xy"[i % 2]) for i in range(20)], "doc_id bigint, text string, source string")
+    mix = mixing.mix_sources(docs, block_words=4, shard_slots=5)
+    for table in (mix.spans, mixing.mixed_words(mix, docs)):
+        joins = [line for line in table._jdf.queryExecution().executedPlan().toString().splitlines() if "BroadcastHashJoin" in line]
+        assert joins and not [line for line in joins if any(c in line for c in ("block#", "_gift#", "first#", "doc_id#"))]
+
+
 def test_mix_odd(spark, odd):
     mix = mixing.mix_sources(odd)
     rows = mix.documents.collect()
