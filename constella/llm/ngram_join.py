@@ -235,11 +235,29 @@ def _prefix_size(n: int, m: int, shared: int, percent: int) -> tuple[int, bool]:
     return min(a, _widest(n, percent) + 1), False
 
 
+def several_labels(rows: DataFrame, *group: str) -> DataFrame:
+    """Rows of the groups that hold several labels, with the number ``c`` of the group's rows."""
+    whole = Window.partitionBy(*group)
+    rows = rows.withColumns({"c": F.count("*").over(whole), "lo": F.min("label").over(whole), "hi": F.max("label").over(whole)})
+    return rows.where("lo < hi").drop("lo", "hi")
+
+
+def prefix_groups(prefixes: DataFrame, percent: int) -> DataFrame:
+    """Groups of one prefix shingle and one class of lengths with several sets: (g, key, n, a, pos, label, c).
+
+    Prefixes are by far the most rows of the join. They are dealt once, by their shingle, and all that follows is done where they are.
+    """
+    lengths = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
+    shared = several_labels(prefixes.withColumn("label", F.col("key")), "token").drop("c").distinct()
+    rows = several_labels(shared.withColumn("part", F.explode(F.array(lengths, lengths + 1))), "token", "part")
+    return rows.select(F.xxhash64("token", "part").alias("g"), "key", "n", F.col("n").alias("a"), "pos", "label", "c")
+
+
 class _Join:
     """One run of the join: its tables, links and labels so far.
 
-    ``entries`` at each level: ``g`` (the group: a shingle with its length class, or with its hub), key, n, a (size of what is
-    listed: the set, or its differences from the hub) and pos (place in the order of what is listed).
+    Rows at each level: ``g`` (the group: a shingle with its length class, or with its hub), key, n, a (size of what is
+    listed: the set, or its differences from the hub), pos (place in the order of what is listed), label and c (rows of the group).
     """
 
     def __init__(self, classes: DataFrame, make_sets: Callable[[DataFrame], DataFrame], percent: int, standing: np.ndarray, stats: dict | None):
@@ -260,18 +278,15 @@ class _Join:
             self.stats[name] = self.stats.get(name, 0) + df.count()
 
     def grouped(self, entries: DataFrame) -> DataFrame:
-        """Entries of the groups that hold several labels, with their label and the group's size ``c``."""
-        if self.labels is None:
-            rows = entries.withColumn("label", F.col("key"))
-        else:
-            rows = entries.join(self.labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
-            # The positional filter for the group as a whole: no partner can list more than ``most`` shingles.
-            ends = (F.col("n") + F.floor(F.col("n") * 100 / self.percent)) * (100 - self.percent) / (100 + self.percent)
-            rows = rows.withColumn("most", F.col("a") + F.floor(ends) - 2 * F.col("pos"))
-            bounds = rows.groupBy("g").agg(F.min("a").alias("least_a"), F.max("most").alias("most_a"))
-            rows = rows.join(bounds, "g").where("most >= least_a and a <= most_a").drop("most", "least_a", "most_a")
-        sizes = rows.groupBy("g").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("g", "c")
-        return self.cut(rows.join(sizes, "g"), "groups")
+        """Entries of the groups that hold several labels, with their label and the group's size ``c``; one exchange, by the group."""
+        whole = Window.partitionBy("g")
+        rows = entries.join(self.labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
+        # The positional filter for the group as a whole: no partner can list more than ``most`` shingles.
+        ends = (F.col("n") + F.floor(F.col("n") * 100 / self.percent)) * (100 - self.percent) / (100 + self.percent)
+        rows = rows.withColumn("most", F.col("a") + F.floor(ends) - 2 * F.col("pos"))
+        rows = rows.withColumns({"least_a": F.min("a").over(whole), "most_a": F.max("most").over(whole)})
+        rows = rows.where("most >= least_a and a <= most_a").drop("most", "least_a", "most_a")
+        return self.cut(several_labels(rows, "g"), "groups")
 
     def pairs(self, rows: DataFrame, most: int) -> DataFrame:
         """Distinct pairs of the groups of ``most`` sets at most after the length and positional filters that weren't tested before."""
@@ -410,10 +425,9 @@ class _Join:
         near = rows.withColumn("pos", place.cast("int")).where("pos < size")
         return near.select(group, "key", "n", "a", "pos").unionByName(far.select(group, "key", "n", "a", "pos")).unionByName(together)
 
-    def run(self, entries: DataFrame) -> None:
+    def run(self, rows: DataFrame) -> None:
         most, first = SMALL, True
         while True:
-            rows = self.grouped(entries)
             pairs = self.pairs(rows, most)
             likely = self.likely(pairs)
             members = self.members(rows, most, first)
@@ -427,7 +441,7 @@ class _Join:
             apart = self.compare_with_hubs(members.select("key", "hub").distinct())
             self.relabel()
             common.drop(rows)
-            entries = self.differing(members, apart)
+            rows = self.grouped(self.differing(members, apart))
             most, first = SMALL_APART, False
             common.release(rows.sparkSession)
 
@@ -444,12 +458,7 @@ def ngram_join(df: DataFrame, id_col: str, text_col: str, width: int = 5, percen
     facts = written.where("n is not null").select("doc_id", "n", "key")
     filled = facts.where("n > 0")
     classes = common.cut(written.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("class_id"), F.first("n").alias("n"), F.first("hist").alias("hist")), "classes")
-    prefixes = common.cut(prefix_entries(source, width, percent, sketches), "prefixes")
-    several = prefixes.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi").select("token")
-    lengths = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / percent)) + 1e-9).cast("int")
-    shared = prefixes.join(several, "token", "left_semi").distinct().withColumn("part", F.explode(F.array(lengths, lengths + 1)))
-    entries = common.cut(shared.select(F.xxhash64("token", "part").alias("g"), "key", "n", F.col("n").alias("a"), "pos"), "entries")
-    common.drop(prefixes)
+    groups = common.cut(prefix_groups(prefix_entries(source, width, percent, sketches), percent), "groups")
     common.release(spark)
     name, path = f"t_{uuid.uuid4().hex}", common.new_path(spark, "buckets")
 
@@ -468,8 +477,7 @@ def ngram_join(df: DataFrame, id_col: str, text_col: str, width: int = 5, percen
         return spark.table(name)
 
     join = _Join(classes, make_sets, percent, sketches[0], stats)
-    join.run(entries)
-    common.drop(entries)
+    join.run(groups)
     links = common.cut(join.links, "all-links")
     if links.isEmpty():
         groups = classes.select("key", "class_id", F.col("class_id").alias("component_id"))

@@ -79,3 +79,11 @@ def test_sets_without_the_broadcast_filter(spark, monkeypatch):
     want = components_of([*texts, texts[0] + " more"], 3, 90)
     got = ngram_join.ngram_join(df, "doc_id", "text", 3, 90).collect()
     assert {r.doc_id: r.component_id for r in got} == {**dict(enumerate(want[:-1])), None: want[-1]}
+
+
+def test_prefixes_are_dealt_once(spark):
+    rows = [(1, 10, 9, 0), (1, 11, 9, 1), (1, 11, 9, 1), (2, 10, 9, 1), (3, 12, 100, 0), (3, 10, 9, 2)]
+    found = ngram_join.prefix_groups(spark.createDataFrame(rows, "token bigint, key bigint, n int, pos int"), 80)
+    # Equal rows count once; shingles of one set, and sets of other length classes, make no group.
+    assert sorted((r.key, r.n, r.a, r.pos, r.label, r.c) for r in found.collect()) == 2 * [(10, 9, 9, 0, 10, 2)] + 2 * [(11, 9, 9, 1, 11, 2)]
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
