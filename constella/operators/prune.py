@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from constella.iterate import cut
 from constella.operators.graph import degrees
 
 
@@ -31,7 +32,8 @@ def leaves_of(edges: DataFrame) -> DataFrame:
 
 
 def prune_leaves(vertices: DataFrame, edges: DataFrame) -> Pruned:
-    leaves = leaves_of(edges)
+    # Used by vertices, edges and hubs: written once, and known to be few where they are.
+    leaves = cut(leaves_of(edges), "leaves")
     gone = leaves.select(F.col("leaf").alias("id"))
     kept = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
     return Pruned(vertices.join(gone, "id", "left_anti"), kept.select(*edges.columns), leaves)

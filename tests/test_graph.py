@@ -12,7 +12,7 @@ from constella.iterate import cut_observed
 from constella.operators import aggregates, angular, coarsen, layout, pack, partition, reintegrate
 from constella.operators.ball import k_hop_ball
 from constella.operators.components import connected_components
-from constella.operators.graph import symmetrise, vertices_of
+from constella.operators.graph import load_graph, sources_of, symmetrise, vertices_of, written
 from constella.operators.prune import prune_leaves
 from constella.plans import config, jobs, registry, runner
 from constella.sources import text
@@ -367,3 +367,16 @@ def test_graph_from_tables(spark, tmp_path):
     spark.createDataFrame([(1, 2, 5), (2, 2, 1)], "src bigint, dst bigint, weight int").write.parquet(str(tmp_path / "e"))
     v, e = text.read_tables(spark, str(tmp_path / "v"), str(tmp_path / "e"))
     assert v.count() == 3 and sorted(map(tuple, e.collect())) == [(1, 2, 5), (2, 1, 5)]
+
+
+def test_graph_of_a_table_is_dealt_once(spark, tmp_path):
+    rows = [(1, 2, 3), (1, 2, 4), (1, 3, 3), (None, 2, 1)]
+    spark.createDataFrame(rows, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint").write.parquet(str(tmp_path / "lineitem.parquet"))
+    e = load_graph(spark, str(tmp_path), "order_part")
+    assert sorted(map(tuple, e.collect())) == [(2, 5, 1), (2, 7, 1), (5, 2, 1), (7, 2, 1)]
+    assert e._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    again = written(e)
+    assert sorted(map(tuple, again.select(e.columns).collect())) == sorted(map(tuple, e.collect()))
+    # Neither vertices nor what is grouped by the source moves again.
+    assert "Exchange" not in sources_of(again)._jdf.queryExecution().executedPlan().toString()
+    assert {r.id for r in sources_of(again).collect()} == {r.id for r in vertices_of(e).collect()}
