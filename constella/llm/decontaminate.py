@@ -40,10 +40,12 @@ CHUNK_WORDS, ITEM_WORDS = 1 << 15, 1 << 16
 #: Inverse document frequency (natural logarithm) from which a term gets weight, what common terms keep of it, distinct words
 #: of a passage that the decomposition needs.
 LEAST_IDF, COMMON_WEIGHT, LEAST_DISTINCT = 2.5, 0.02, 20
-#: Cosine from which a passage is a candidate; so much more is asked of it in the space of unweighted words, which is fitted on so many documents.
-LEAST_COSINE, FLAT_MORE, FLAT_SAMPLE = 0.5, 0.15, 20_000
-#: Cells of the tables of a group of items, pieces that are confirmed in one go, cosines that are held at once.
-CELLS, BLOCK_SLICE, COSINES = 1 << 20, 1 << 10, 1 << 22
+#: Cosine from which a passage is a candidate; so much more is asked of it in the space of unweighted words.
+LEAST_COSINE, FLAT_MORE = 0.5, 0.15
+#: Occurrences of a term in a chunk beyond which they are added up by a matrix.
+OFTEN = 8
+#: Cells of the tables of a group of items, pieces that are confirmed in one go, cosines and words of pieces that are held at once.
+CELLS, BLOCK_SLICE, COSINES, HELD = 1 << 20, 1 << 10, 1 << 22, 1 << 20
 #: Words at the end of an item that count as its answer; words below which an item has to stand as a whole; short items of one pass.
 ANSWER, SHORT, SHORT_ITEMS = 5, 8, 1 << 20
 
@@ -118,7 +120,11 @@ class Blocks:
 
     def project(self, table: np.ndarray) -> np.ndarray:
         """Sum of the table's rows over each block."""
-        return table[self.terms].reshape(len(self.doc), STEP, -1).sum(axis=1)
+        terms = self.terms.reshape(-1, STEP)
+        out = table[terms[:, 0]]
+        for i in range(1, STEP):
+            out += table[terms[:, i]]
+        return out
 
     def passages(self, blocks: np.ndarray, n: int) -> np.ndarray:
         """From each block on the sum of ``n`` blocks, as far as the document goes."""
@@ -157,18 +163,40 @@ def _chunks(batches: Iterator[pa.RecordBatch], overlap: int = 0) -> Iterator[tup
         yield ids, docs, False
 
 
-def _sum_runs(rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Sums of the runs of rows that begin at ``starts``; runs are mostly short, so it goes row by row of all runs in step."""
-    lengths = np.diff(starts, append=len(rows))
-    out = rows[starts]
-    for i in range(1, min(int(lengths.max(initial=0)), 33)):
+def _head_sums(rows: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """Sums of the runs of rows that begin at ``heads``, each of four at most."""
+    lengths = np.diff(heads, append=len(rows))
+    out = rows[heads]
+    for i in range(1, int(lengths.max(initial=0))):
         longer = np.flatnonzero(lengths > i)
-        out[longer] += rows[starts[longer] + i]
-    for k in np.flatnonzero(lengths > 33).tolist():
-        out[k] += rows[starts[k] + 33 : starts[k] + lengths[k]].sum(axis=0)
+        out[longer] += rows[heads[longer] + i]
     return out
 
 
+def _add_by_term(out: np.ndarray, terms: np.ndarray, passage: np.ndarray, sums: np.ndarray) -> None:
+    """Adds to each term's row of ``out`` the sums of the passages where it occurs. Frequent terms are few: a matrix of their occurrences; the others
+    are mostly single, so it goes occurrence by occurrence of all of them in step, those with more occurrences first."""
+    order = np.argsort(terms.astype(np.uint16), kind="stable")
+    ordered, passage = terms[order], passage[order]
+    starts = np.flatnonzero(np.diff(ordered, prepend=-1))
+    lengths = np.diff(starts, append=len(order))
+    often = lengths > OFTEN
+    if often.any():
+        inside = np.repeat(often, lengths)
+        cell = np.repeat(np.cumsum(often)[often] - 1, lengths[often]) * len(sums) + passage[inside]
+        counts = np.bincount(cell, minlength=int(often.sum()) * len(sums)).astype(np.float32).reshape(-1, len(sums))
+        out[ordered[starts[often]]] += counts @ sums
+    seldom = np.flatnonzero(~often)
+    if len(seldom):
+        seldom = seldom[np.argsort(-lengths[seldom], kind="stable")]
+        first, longer = starts[seldom], lengths[seldom]
+        held = sums[passage[first]]
+        for i in range(1, int(longer[0])):
+            n = int(np.searchsorted(-longer, -i))
+            held[:n] += sums[passage[first[:n] + i]]
+        out[ordered[first]] += held
+
+
 def latent_space(terms: DataFrame, weight: np.ndarray, seed: int = 11, even: bool = False) -> np.ndarray:
     """Table (one row for each hashed term, and a zero row) that projects weighted passages on leading singular directions; ``even``: on those after
     the first, which is their mean, each scaled to the same variance."""
@@ -190,14 +218,12 @@ def latent_space(terms: DataFrame, weight: np.ndarray, seed: int = 11, even: boo
             each = blocks.terms.reshape(-1, STEP)
             length = np.add.reduceat(square[each].sum(axis=1), heads)
             distinct = np.add.reduceat((each < TERMS).sum(axis=1), heads)
-            sums = _sum_runs(blocks.project(table), heads)
-            sums *= ((distinct >= LEAST_DISTINCT) / np.maximum(length, 1e-12)).astype(np.float32)[:, None]
-            at = np.flatnonzero(counted[blocks.terms])
-            order = at[np.argsort(blocks.terms[at].astype(np.uint16), kind="stable")]
-            if len(order):
-                sorted_terms = blocks.terms[order]
-                starts = np.flatnonzero(np.diff(sorted_terms, prepend=-1))
-                out[sorted_terms[starts]] += _sum_runs(sums[group[order // STEP]], starts)
+            kept = np.flatnonzero(distinct >= LEAST_DISTINCT)
+            at = np.flatnonzero(counted[blocks.terms] & np.repeat((distinct >= LEAST_DISTINCT)[group], STEP))
+            if len(at):
+                number = np.cumsum(distinct >= LEAST_DISTINCT) - 1
+                sums = _head_sums(blocks.project(table), heads)[kept] / np.maximum(length[kept], 1e-12).astype(np.float32)[:, None]
+                _add_by_term(out, blocks.terms[at], number[group[at // STEP]], sums)
         yield pa.RecordBatch.from_arrays([pa.array([out[:-1].tobytes()], pa.binary())], names=["part"])
 
     found = common.summed(terms.select("doc_id", "terms").mapInArrow(run, "part binary"), "part", TERMS * SKETCHED, "float32").reshape(TERMS, SKETCHED)
@@ -223,12 +249,9 @@ def latent_space(terms: DataFrame, weight: np.ndarray, seed: int = 11, even: boo
 
 
 def latent_spaces(terms: DataFrame, counts: np.ndarray) -> np.ndarray:
-    """Both projections side by side: by tf-idf from all documents, and by unweighted words. Rare words decide the first, so an item whose rare
-    words were replaced is found in the second, whose directions are fitted on about ``FLAT_SAMPLE`` documents chosen by a hash."""
-    some = terms
-    if counts[TERMS] > FLAT_SAMPLE:
-        some = terms.where(common.uniform(F.xxhash64("terms"), "flat") * float(counts[TERMS]) < FLAT_SAMPLE)
-    return np.hstack([latent_space(terms, term_weights(counts)), latent_space(some, np.ones(TERMS), even=True)])
+    """Both projections side by side, each fitted on all documents: by tf-idf, and by unweighted words. Rare words decide the first, so an item whose
+    rare words were replaced is found in the second."""
+    return np.hstack([latent_space(terms, term_weights(counts)), latent_space(terms, np.ones(TERMS), even=True)])
 
 
 # --- confirmation ------------------------------------------------------------------------------
@@ -297,22 +320,50 @@ class Items:
     def confirm(self, rows: np.ndarray, start: np.ndarray, end: np.ndarray, k: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Of pieces of the words ``rows`` (from ``start``, inside a document that ends at ``end``) those that hold their item: numbers of
         the pieces, words of the item and words of its answer that they have in order."""
-        for low in range(0, len(k), BLOCK_SLICE):
-            at, item = start[low : low + BLOCK_SLICE], k[low : low + BLOCK_SLICE]
+        # No subsequence is longer than the number of the piece's words that the item has at all.
+        least = np.minimum(self.weak, self.strong)
+        some = np.flatnonzero(self.held(rows, start, end, k) >= least[k])
+        for low in range(0, len(some), BLOCK_SLICE):
+            which = some[low : low + BLOCK_SLICE]
+            at, item = start[which], k[which]
             places = at[:, None] + np.arange(int(self.span[item].max()))
-            words = np.where(places < np.minimum(at + self.span[item], end[low : low + BLOCK_SLICE])[:, None], rows[np.minimum(places, len(rows) - 1)], self.none)
-            # No subsequence is longer than the number of the piece's words that the item has at all.
-            least = np.minimum(self.weak, self.strong)[item]
-            some = np.flatnonzero(self.has[words, item[:, None]].sum(axis=1) >= least)
-            if not len(some):
-                continue
-            words, item, least = words[some], item[some], least[some]
+            words = np.where(places < np.minimum(at + self.span[item], end[which])[:, None], rows[np.minimum(places, len(rows) - 1)], self.none)
             found = self.subsequences(words, item)
-            likely = np.flatnonzero(found >= least)
+            likely = np.flatnonzero(found >= least[item])
             if len(likely):
                 told = self.subsequences(words[likely], item[likely], answer=True)
                 good = self.confirmed(found[likely], told, item[likely])
-                yield low + some[likely[good]], found[likely[good]], told[good]
+                yield which[likely[good]], found[likely[good]], told[good]
+
+    def held(self, rows: np.ndarray, start: np.ndarray, end: np.ndarray, k: np.ndarray) -> np.ndarray:
+        """How many words of each piece its item has. Pieces of an item that overlap share one running count of their words."""
+        stop = np.maximum(np.minimum(start + self.span[k], end), start)
+        order = np.lexsort((start, k))
+        item, low, high = k[order], start[order], stop[order]
+        out = np.zeros(len(k), np.int64)
+        if not len(k):
+            return out
+        # Ends rise with the starts inside an item, so a stretch ends where a piece begins beyond the one before.
+        fresh = np.ones(len(k), bool)
+        fresh[1:] = (item[1:] != item[:-1]) | (low[1:] > high[:-1])
+        heads = np.flatnonzero(fresh)
+        size = high[np.append(heads[1:], len(k)) - 1] - low[heads]
+        first = np.cumsum(size) - size
+        stretch = np.cumsum(fresh) - 1
+        for a, b in _slices(size):
+            words = np.repeat(low[heads[a:b]] - first[a:b], size[a:b]) + np.arange(first[a], first[a] + int(size[a:b].sum()))
+            count = np.append(0, np.cumsum(self.has[rows[words], np.repeat(item[heads[a:b]], size[a:b])]))
+            mine = slice(heads[a], heads[b] if b < len(heads) else len(k))
+            at = low[mine] - low[heads[stretch[mine]]] + first[stretch[mine]] - first[a]
+            out[order[mine]] = count[at + high[mine] - low[mine]] - count[at]
+        return out
+
+
+def _slices(size: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours whose sizes add up to ``HELD`` or so."""
+    cuts = np.flatnonzero(np.diff(np.cumsum(size) // HELD, prepend=0)) + 1
+    edges = np.unique(np.concatenate([[0], cuts, [len(size)]])).tolist()
+    yield from zip(edges[:-1], edges[1:], strict=True)
 
 
 def _places(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -667,6 +667,48 @@ def test_common_subsequences_in_step(longest):
         assert answer[i] == plain_subsequence(item[-5:], words[i].tolist())
 
 
+def test_both_latent_spaces_are_fitted_on_all_documents(spark):
+    rng = np.random.default_rng(13)
+    rows = [(n, " ".join(f"word{i}" for i in rng.integers(0, 400, 90))) for n in range(60)]
+    made = decontaminate.hashed_terms(spark.createDataFrame(rows, "doc_id bigint, text string")).where("df is null").cache()
+    counts = np.zeros(decontaminate.TERMS + 1, np.int64)
+    for r in made.collect():
+        counts[np.unique(np.frombuffer(r.terms, np.uint16) >> 1)] += 1
+    # As many documents as a sample of fixed size would leave almost all of out.
+    counts[decontaminate.TERMS] = 10**9
+    flat = decontaminate.latent_spaces(made, counts)[:, decontaminate.RANK :]
+    assert np.allclose(flat, decontaminate.latent_space(made, np.ones(decontaminate.TERMS), even=True), atol=1e-4)
+
+
+def test_sums_by_term_and_words_held_by_items_against_loops():
+    rng = np.random.default_rng(14)
+    terms, passage = np.sort(rng.zipf(1.3, 900) % 200).astype(np.int64), rng.integers(0, 40, 900)
+    rng.shuffle(terms)
+    sums = rng.standard_normal((40, 3)).astype(np.float32)
+    got, want = np.zeros((200, 3), np.float32), np.zeros((200, 3))
+    decontaminate._add_by_term(got, terms, passage, sums)
+    np.add.at(want, terms, sums[passage])
+    assert np.bincount(terms).max() > decontaminate.OFTEN and np.allclose(got, want, atol=1e-3)
+    texts = [rng.integers(0, 30, n).astype(np.uint16) for n in (9, 20, 31, 40)]
+    (items,) = decontaminate.item_groups(texts, 0.7, 0.5)
+    rows = items.row[rng.integers(0, 40, 400)]
+    # Documents of 100 words; some pieces begin behind the end of theirs, some come twice.
+    start, k = rng.integers(0, 400, 300), rng.integers(0, 4, 300)
+    end = start // 100 * 100 + 90
+    pieces = [rows[a : max(a, min(a + int(items.span[i]), e))] for a, e, i in zip(start, end, k, strict=True)]
+    want = [int(items.has[p, i].sum()) for p, i in zip(pieces, k, strict=True)]
+    assert items.held(rows, start, end, k).tolist() == want
+
+
+@pytest.mark.parametrize("held", [1, 50, 1 << 20])
+def test_pieces_are_counted_in_slices(monkeypatch, held):
+    monkeypatch.setattr(decontaminate, "HELD", held)
+    sizes = np.array([0, 3, 120, 0, 7, 1])
+    slices = list(decontaminate._slices(sizes))
+    assert slices[0][0] == 0 and slices[-1][1] == 6 and all(a[1] == b[0] for a, b in zip(slices, slices[1:]))
+    test_sums_by_term_and_words_held_by_items_against_loops()
+
+
 def test_leaks_exact_and_paraphrased(spark, documents, odd, texts):
     rng = np.random.default_rng(8)
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
