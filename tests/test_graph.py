@@ -1,6 +1,7 @@
 """Operators on micro-graphs with expected values worked out by hand."""
 
 import math
+import re
 
 import pytest
 import user_parts
@@ -8,11 +9,11 @@ from pyspark.sql import functions as F
 
 from constella.functions import forces, schedules
 from constella.functions import geometry as G
-from constella.iterate import cut_observed
+from constella.iterate import cut, cut_observed
 from constella.operators import aggregates, angular, coarsen, layout, pack, partition, reintegrate
 from constella.operators.ball import k_hop_ball
 from constella.operators.components import connected_components
-from constella.operators.graph import load_graph, sources_of, symmetrise, vertices_of, written
+from constella.operators.graph import load_graph, random_places, sources_of, symmetrise, vertices_of, written
 from constella.operators.prune import prune_leaves
 from constella.plans import config, jobs, registry, runner
 from constella.sources import text
@@ -380,3 +381,21 @@ def test_graph_of_a_table_is_dealt_once(spark, tmp_path):
     # Neither vertices nor what is grouped by the source moves again.
     assert "Exchange" not in sources_of(again)._jdf.queryExecution().executedPlan().toString()
     assert {r.id for r in sources_of(again).collect()} == {r.id for r in vertices_of(e).collect()}
+
+
+def _dealt(df):
+    """Exchanges of a plan, each once."""
+    return len(set(re.findall(r"Exchange hashpartitioning[^\n]*plan_id=(\d+)", df._jdf.queryExecution().executedPlan().toString())))
+
+
+@pytest.mark.parametrize("clockwise", [True, False])
+def test_rays_around_ordinary_vertices_are_dealt_twice(spark, clockwise):
+    """To the place of their end and back; vertices go along. Ranges of the angle are for hubs only."""
+    e = written(edges(spark, *[(a, b) for a in range(6) for b in range(a)]))
+    v = random_places(cut(sources_of(e), "vertices"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert _dealt(angular.angular_suggestions(v, e, 10.0, clockwise=clockwise)) <= 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
