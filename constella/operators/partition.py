@@ -86,11 +86,12 @@ def scores(labels: DataFrame, edges: DataFrame, load: DataFrame, capacity: float
     spark = labels.sparkSession
     table = F.broadcast(spark.createDataFrame(full, "label int, load bigint"))
     least = min(full, key=lambda t: (t[1], t[0]))[0]
-    heard = edges.join(labels.select(F.col("id").alias("dst"), F.col("part").alias("label")), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("weight").alias("freq"))
+    # Edges have both directions with the same weight: each vertex sends its label along its edges, which are in place by their source, and all offers are dealt once.
+    heard = edges.join(labels.select(F.col("id").alias("src"), "part"), "src").select(F.col("dst").alias("id"), F.col("part").alias("label"), F.col("weight").cast("bigint").alias("freq"))
     total = edges.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("total"))
     own = labels.select("id", F.col("part").alias("label"), F.lit(0).cast("bigint").alias("freq"))
     spare = labels.select("id", F.lit(least).alias("label"), F.lit(0).cast("bigint").alias("freq"))
-    offers = heard.unionByName(own).unionByName(spare).groupBy("id", "label").agg(F.sum("freq").alias("freq"))
+    offers = heard.unionByName(own).unionByName(spare).repartition("id").groupBy("id", "label").agg(F.sum("freq").alias("freq"))
     h = F.lit(options.penalty) + F.col("freq") / F.col("total") - F.lit(options.penalty) * _ceil3(F.col("load") / F.lit(float(capacity)))
     return offers.join(total, "id").join(table, "label").join(labels, "id").select("id", "part", "label", h.alias("h"), "freq", "total")
 

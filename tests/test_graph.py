@@ -415,3 +415,26 @@ def test_edges_between_systems_are_dealt_once(spark):
         assert {r.id for r in asked.collect()} == {2, 12, 25}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_labels_are_dealt_once(spark):
+    """Offers to a vertex come along edges that stay in place."""
+    e = written(edges(spark, *[(i, i + 1) for i in range(1, 30)]))
+    o = partition.PartitionOptions(partitions=3)
+    labels = cut(partition.initial_labels(sources_of(e), o), "labels")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scored = partition.scores(labels, e, spark.createDataFrame([(0, 20), (1, 20), (2, 18)], "part int, load bigint"), 22.0, o)
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+        # The offers by vertex, and the labels beside the edges' sources and beside the offers.
+        assert plan.count("Exchange hashpartitioning") <= 3
+        part = {r.id: r.part for r in labels.collect()}
+        got = {(r.id, r.label): (r.freq, r.total) for r in scored.collect()}
+        for i in range(1, 31):
+            near = [j for j in (i - 1, i + 1) if 1 <= j <= 30]
+            for label in {part[i], 2, *(part[j] for j in near)}:
+                assert got.pop((i, label)) == (sum(part[j] == label for j in near), len(near))
+        assert not got
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
