@@ -1,6 +1,7 @@
 """Operators on micro-graphs with expected values worked out by hand."""
 
 import math
+import random
 import re
 
 import pytest
@@ -11,7 +12,7 @@ from constella.functions import forces, schedules
 from constella.functions import geometry as G
 from constella.iterate import cut, cut_observed
 from constella.operators import aggregates, angular, coarsen, layout, pack, partition, reintegrate
-from constella.operators.ball import k_hop_ball
+from constella.operators.ball import k_hop_ball, two_hop_sizes
 from constella.operators.components import connected_components
 from constella.operators.graph import load_graph, random_places, sources_of, symmetrise, vertices_of, written
 from constella.operators.prune import prune_leaves
@@ -86,6 +87,48 @@ def test_ball_through_split_hubs(spark):
     assert len(got) == len(set(got)) and set(got) == want
 
 
+def _random_pairs(n, count, seed):
+    r = random.Random(seed)
+    return [(r.randrange(n), r.randrange(n)) for _ in range(count)]
+
+
+@pytest.mark.parametrize(
+    "pairs",
+    [
+        [],
+        [(1, 2), (2, 3), (3, 1), (3, 4)],  # A triangle with a tail.
+        [(1, 2), (2, 3), (3, 4), (4, 1), (1, 3)],  # A square with a chord.
+        [(0, i) for i in range(2, 9)] + [(1, i) for i in range(2, 9)],  # Two hubs over the same links.
+        _random_pairs(30, 60, 1),
+        _random_pairs(40, 300, 2),
+        [(a, b) for a in range(12) for b in range(20, 40)],  # More cycles than walks: listed.
+    ],
+)
+def test_two_hop_sizes_count_each_vertex_once(spark, pairs):
+    e = edges(spark, *pairs)
+    near: dict = {}
+    for a, b in pairs:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {v: len((near[v] | set().union(*[near[u] for u in near[v]])) - {v}) for v in near}
+    assert {r.id: r.reached for r in two_hop_sizes(e).collect()} == want
+
+
+def test_two_hop_sizes_list_no_pairs(spark, tmp_path, monkeypatch):
+    # Before, the query listed the ball: every pair of two links.
+    spark.range(600).selectExpr("id div 4 as l_orderkey", "(id * 7919) % 41 as l_partkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    e = load_graph(spark, str(tmp_path), "order_part")
+    want = sorted((r.dst, r["count"]) for r in k_hop_ball(e, 2).groupBy("dst").count().collect())
+
+    def stop(*_, **__):
+        raise AssertionError("pairs are listed")
+
+    monkeypatch.setattr(registry, "k_hop_ball", stop)
+    monkeypatch.setattr("constella.operators.ball.k_hop_ball", stop)
+    assert sorted((r.id, r.reached) for r in registry.queries()["khop_ball_2"](spark, str(tmp_path)).collect()) == want
+
+
 def test_frame_force_and_move(spark):
     v = spark.createDataFrame([(1, 0, 0.0, 0.0), (2, 0, 3.0, 4.0)], "id bigint, component bigint, x double, y double")
     e = edges(spark, (1, 2))
