@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from constella.functions import geometry as G
-from constella.iterate import cut
+from constella.iterate import cut_buckets
+from constella.operators.graph import bucket_count
 
 
 @dataclass
@@ -28,10 +29,14 @@ class ReintegrationOptions:
 
 
 def hub_rays(vertices: DataFrame, edges: DataFrame, hubs: DataFrame) -> DataFrame:
-    """(id, nbr, angle, dist, px, py): directions from each hub to the neighbours that stayed."""
+    """(id, nbr, angle, dist, px, py): directions from each hub to the neighbours that stayed.
+
+    Places of neighbours travel along the (symmetric) edges, which are dealt by the hub once. Edges from vertices that aren't in ``vertices`` count for nothing.
+    """
     mine = vertices.join(hubs.select("id"), "id", "left_semi").select("id", "x", "y")
-    theirs = vertices.select(F.col("id").alias("nbr"), F.col("x").alias("nx"), F.col("y").alias("ny"))
-    rays = mine.join(edges.select(F.col("src").alias("id"), F.col("dst").alias("nbr")), "id").join(theirs, "nbr")
+    theirs = vertices.select(F.col("id").alias("src"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    sent = edges.select("src", "dst").join(theirs, "src").select(F.col("dst").alias("id"), F.col("src").alias("nbr"), "nx", "ny")
+    rays = sent.repartition(bucket_count(edges), "id").join(mine, "id")
     dx, dy = F.col("nx") - F.col("x"), F.col("ny") - F.col("y")
     back = F.lit(1.0) / (G.norm(dx, dy) * G.norm(dx, dy))
     return rays.select("id", "nbr", G.polar(dx, dy).alias("angle"), G.norm(dx, dy).alias("dist"), (-dx * back).alias("px"), (-dy * back).alias("py"))
@@ -98,9 +103,10 @@ def sectors(rays: DataFrame, hubs: DataFrame, strategy: str | Callable, options:
 def place_leaves(vertices: DataFrame, edges: DataFrame, hubs: DataFrame, strategy: str = "fair_share", options: ReintegrationOptions | None = None) -> DataFrame:
     """(id, hub, x, y) of every leaf. ``hubs`` has (id, one_edges); ``vertices`` the places and component of the hubs."""
     options = options or ReintegrationOptions()
-    # Both are used several times: written once, they needn't be joined anew for gaps, radius and leaves.
-    hubs = cut(hubs, "hubs")
-    rays = cut(hub_rays(vertices, edges, hubs), "rays")
+    # Both are used several times: written once in buckets of the hub, they needn't be joined anew, nor dealt, for gaps, radius and leaves.
+    n = bucket_count(edges)
+    hubs = cut_buckets(hubs.repartition(n, "id"), "hubs", "id", n)
+    rays = cut_buckets(hub_rays(vertices, edges, hubs), "rays", "id", n)
     cut_up = sectors(rays, hubs, strategy, options).select("id", F.explode("sectors").alias("s"), F.lit(0).alias("z"))
     before = F.coalesce(F.sum("s.quantity").over(Window.partitionBy("id").orderBy("s.start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = cut_up.withColumn("before", before).where("s.quantity > 0")

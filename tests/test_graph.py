@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from constella.functions import forces, schedules
 from constella.functions import geometry as G
-from constella.iterate import cut, cut_observed
+from constella.iterate import cut, cut_buckets, cut_observed
 from constella.operators import aggregates, angular, coarsen, layout, pack, partition, reintegrate
 from constella.operators.ball import k_hop_ball, two_hop_sizes
 from constella.operators.components import connected_components
-from constella.operators.graph import load_graph, random_places, sources_of, symmetrise, vertices_of, written
+from constella.operators.graph import bucket_count, load_graph, random_places, sources_of, symmetrise, vertices_of, written
 from constella.operators.prune import prune_leaves
 from constella.plans import config, jobs, registry, runner
 from constella.sources import text
@@ -492,3 +492,18 @@ def test_larger_tables_are_dealt_into_more_buckets(spark, tmp_path, monkeypatch)
     again = written(e)
     assert again._constella_buckets == ("src", 10) and sorted(map(tuple, again.collect())) == sorted(map(tuple, e.collect()))
     assert "Exchange" not in sources_of(again)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("strategy", reintegrate.STRATEGIES)
+def test_rays_of_hubs_are_dealt_once(spark, strategy):
+    """Rays and hubs lie in buckets of the hub: only leaves and their spots are dealt afterwards, by hub and number, and back to the hub."""
+    e = written(edges(spark, *[(a, b) for a in range(6) for b in range(a)]))
+    v = random_places(sources_of(e)).withColumn("component", F.lit(0).cast("bigint"))
+    v = cut_buckets(v, "places", "id", bucket_count(e))
+    hubs = spark.createDataFrame([(0, [11, 12, 13]), (4, [14])], "id bigint, one_edges array<bigint>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert _dealt(reintegrate.place_leaves(v, e, hubs, strategy)) <= 3
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
