@@ -27,6 +27,8 @@ from constella.operators.ball import k_hop_ball
 HUB_LINKS = 2000
 #: Members of a star in a block: a task holds some matrices of this size squared.
 STAR_BLOCK = 1024
+#: Members of a block that meet another one at once: their matrices stay in the processor's cache.
+STRIP = 32
 
 
 @dataclass
@@ -104,18 +106,28 @@ def _pushes(model, strength: float, k: int) -> Callable[[pa.Table], pa.Table]:
         block = table["block"].to_numpy()
         a = _Side(table.slice(0, int((block == first).sum())))
         b = a if first == last else _Side(table.slice(a.n))
-        owned = np.ones((a.n, b.n), bool)
-        if a is b:
-            np.fill_diagonal(owned, False)
-        for hub in np.intersect1d(a.distinct, b.distinct, assume_unique=True).tolist():
+        # Most blocks belong to their hub alone: then all of their pairs count, and no table of them is made.
+        shared = np.intersect1d(a.distinct, b.distinct, assume_unique=True).tolist()
+        owned = np.ones((a.n, b.n), bool) if shared else None
+        for hub in shared:
             owned &= a.from_hub(hub, k + 1)[:, None] + b.from_hub(hub, k + 1)[None, :] > k
-        sides = [(a, b, owned)] if a is b else [(a, b, owned), (b, a, owned.T)]
+        sides = [(a, b, owned)] if a is b else [(a, b, owned), (b, a, None if owned is None else owned.T)]
         out = []
         for me, other, mask in sides:
-            dx, dy = other.x[None, :] - me.x[:, None], other.y[None, :] - me.y[:, None]
-            rx, ry = model.repulsion(dx, dy, me.degree[:, None], other.degree[None, :])
-            fx, fy = (-strength * np.where(mask, r, 0.0).sum(axis=1) for r in (rx, ry))
-            out.append(pa.table({"slot": me.table["slot"], "id": me.table["id"], "fx": fx, "fy": fy, "partners": mask.sum(axis=1).astype(np.int64)}))
+            fx, fy, partners = np.empty(me.n), np.empty(me.n), np.full(me.n, other.n, np.int64)
+            for low in range(0, me.n, STRIP):
+                rows = slice(low, low + STRIP)
+                dx, dy = other.x[None, :] - me.x[rows, None], other.y[None, :] - me.y[rows, None]
+                found = model.repulsion(dx, dy, me.degree[rows, None], other.degree[None, :])
+                counted = mask[rows] if mask is not None else np.ones(dx.shape, bool) if a is b else None
+                if a is b:
+                    # None of a star meets itself.
+                    np.fill_diagonal(counted[:, low:], False)
+                if counted is not None:
+                    found = [np.where(counted, r, 0.0) for r in found]
+                    partners[rows] = counted.sum(axis=1)
+                fx[rows], fy[rows] = (-strength * np.broadcast_to(r, dx.shape).sum(axis=1) for r in found)
+            out.append(pa.table({"slot": me.table["slot"], "id": me.table["id"], "fx": fx, "fy": fy, "partners": partners}))
         return pa.concat_tables(out)
 
     return push

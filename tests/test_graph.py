@@ -4,6 +4,7 @@ import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 import user_parts
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from constella.functions import forces, schedules
 from constella.functions import geometry as G
 from constella.iterate import cut, cut_buckets, cut_observed
-from constella.operators import aggregates, angular, coarsen, layout, pack, partition, reintegrate
+from constella.operators import aggregates, angular, coarsen, hubs, layout, pack, partition, reintegrate
 from constella.operators.ball import k_hop_ball, two_hop_sizes
 from constella.operators.components import connected_components
 from constella.operators.graph import bucket_count, load_graph, random_places, sources_of, symmetrise, vertices_of, written
@@ -507,3 +508,26 @@ def test_rays_of_hubs_are_dealt_once(spark, strategy):
         assert _dealt(reintegrate.place_leaves(v, e, hubs, strategy)) <= 3
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+@pytest.mark.parametrize("n, same", [(70, True), (70, False)])
+def test_blocks_of_a_star_meet_in_strips(n, same):
+    """Matrices of a block's pairs are made for a few members at once; sums are those of all pairs."""
+    tallest = []
+
+    class Seen(forces.FruchtermanReingold):
+        def repulsion(self, dx, dy, *degrees):
+            tallest.append(dx.shape[0])
+            return super().repulsion(dx, dy, *degrees)
+
+    r = random.Random(5)
+    x, y = [r.random() * 100 for _ in range(n)], [r.random() * 100 for _ in range(n)]
+    block = [0] * n if same else [i % 2 for i in range(n)]
+    lists = pa.array([[]] * n, pa.list_(pa.int64()))
+    table = pa.table({"i": [0] * n, "j": [0 if same else 1] * n, "block": block, "slot": pa.array([0] * n, pa.int32()), "id": list(range(n)), "x": x, "y": y, "deg": [1.0] * n, "near_hubs": lists, "near_hops": lists})
+    got = {row["id"]: row for row in hubs._pushes(Seen(), 2.0, 2)(table).to_pylist()}
+    for i in range(n):
+        met = [j for j in range(n) if j != i and (same or block[j] != block[i])]
+        want = sum(-2.0 * (x[j] - x[i]) / ((x[j] - x[i]) ** 2 + (y[j] - y[i]) ** 2) for j in met)
+        assert got[i]["partners"] == len(met) and got[i]["fx"] == pytest.approx(want)
+    assert max(tallest) <= 32
