@@ -4,8 +4,8 @@ Rare-first prefix filtering finds candidates: two sets that are similar enough s
 ``n - ceil(t n) + 1`` of any common order. Shingles come in the order of how far their bucket of a count sketch of
 the corpus stands out, then of their words' frequencies (a second sketch), then of their hash. Sets meet in groups of one prefix
 shingle and one class of lengths. In a small group every pair passes the length and positional filters, each
-distinct pair then the suffix filter (the overlap that histograms of both sets allow), and pairs that are left are verified once on
-their full sets.
+distinct pair then the suffix filter (the overlap that histograms of both sets allow) and a finer one, for which one set travels as a histogram
+of a sixteenth of its size to the other one. Pairs that are left, mostly links, are verified once on their full sets.
 
 A larger group lists no pairs. The set that most of its large groups share becomes its hub, every member is compared with the hub in full, and members that
 link take its label. Any other pair of the group is a question about differences: with A and B the shingles in which two sets differ
@@ -69,6 +69,22 @@ def _histogram(s: np.ndarray) -> bytes:
     return np.bincount((s >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), minlength=BINS).astype(np.uint8).tobytes()
 
 
+def _shape(s: np.ndarray, size: int) -> np.ndarray:
+    """A set's histogram in as many bins as ``size`` shingles need to lie in bins of their own mostly; it is kept modulo 16."""
+    bits = max(4, (size - 1).bit_length())
+    return np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint8) & np.uint8(15)
+
+
+def _packed(shape: np.ndarray) -> bytes:
+    return (shape[::2] | shape[1::2] << np.uint8(4)).tobytes()
+
+
+def _apart(packed: np.ndarray, shape: np.ndarray) -> int:
+    """A lower bound of the number of shingles in which two sets differ, from the packed shape of one and that of the other in the same bins."""
+    low, high = (packed & np.uint8(15)) - shape[::2], (packed >> np.uint8(4)) - shape[1::2]
+    return sum(int(np.minimum(x & np.uint8(15), -x & np.uint8(15)).sum(dtype=np.int64)) for x in (low, high))
+
+
 def _word_bucket(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(64 - WORD_BITS)).astype(np.int64)
 
@@ -334,9 +350,24 @@ class _Join:
         return self.cut(joined.mapInArrow(suffix, "a bigint, b bigint"), "likely")
 
     def verify(self, likely: DataFrame, pairs: DataFrame) -> None:
-        """Full comparison of the likely ones of some pairs; links are kept."""
+        """Full comparison of the likely ones of some pairs, after one by shapes; links are kept."""
         percent = self.percent
 
+        def shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in common.sliced(batches):
+                sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("tokens")]
+                columns = [pa.array([len(s) for s in sets], pa.int32()), pa.array([_packed(_shape(s, len(s))) for s in sets], pa.binary())]
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *columns], names=["a", "b", "n", "shape"])
+
+        def allowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in common.sliced(batches):
+                good = []
+                for n, x, y in zip(batch.column("n").to_pylist(), batch.column("shape"), batch.column("other"), strict=True):
+                    t = np.frombuffer(y.as_buffer(), np.uint64)
+                    needed = -(-percent * (n + len(t)) // (100 + percent))
+                    good.append(_apart(np.frombuffer(x.as_buffer(), np.uint8), _shape(t, n)) <= n + len(t) - 2 * needed)
+                yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in common.sliced(batches):
                 good = []
@@ -347,9 +378,15 @@ class _Join:
                 yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
         mine, theirs = self.sets.select(F.col("key").alias("a"), "tokens"), self.sets.select(F.col("key").alias("b"), F.col("tokens").alias("other"))
-        matched = likely.join(mine, "a").join(theirs, "b").select("a", "b", "tokens", "other")
+        # Only a shape of ``a`` travels to ``b``; whole sets of the pairs that it leaves do.
+        shaped = likely.join(mine, "a").select("a", "b", "tokens").mapInArrow(shapes, "a bigint, b bigint, n int, shape binary")
+        close = self.cut(shaped.join(theirs, "b").select("a", "b", "n", "shape", "other").mapInArrow(allowed, "a bigint, b bigint"), "close")
+        self.count("close", close)
+        matched = close.join(mine, "a").join(theirs, "b").select("a", "b", "tokens", "other")
         self.keep(self.cut(matched.mapInArrow(compare, "a bigint, b bigint"), "links"), pairs)
         self.count("pairs", pairs)
+        common.drop(likely, close)
+        common.release(self.sets.sparkSession)
 
     def keep(self, links: DataFrame, tested: DataFrame) -> None:
         links, tested = links.select("a", "b"), tested.select("a", "b")

@@ -87,3 +87,31 @@ def test_prefixes_are_dealt_once(spark):
     # Equal rows count once; shingles of one set, and sets of other length classes, make no group.
     assert sorted((r.key, r.n, r.a, r.pos, r.label, r.c) for r in found.collect()) == 2 * [(10, 9, 9, 0, 10, 2)] + 2 * [(11, 9, 9, 1, 11, 2)]
     assert found._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_shapes_bound_differences():
+    rng = np.random.default_rng(24)
+    for n, m, shared in [(1, 1, 0), (1, 1, 1), (20, 30, 15), (3000, 2800, 2700), (500, 9000, 400), (40_000, 41_000, 0)]:
+        pool = rng.integers(0, 1 << 64, n + m - shared, np.uint64)
+        s, t = np.sort(pool[:n]), np.sort(pool[n - shared :])
+        apart = ngram_join._apart(np.frombuffer(ngram_join._packed(ngram_join._shape(s, n)), np.uint8), ngram_join._shape(t, n))
+        exact = n + m - 2 * shared
+        assert apart <= exact
+        assert apart >= exact / 3 or max(n, m) > 2 * min(n, m) or n == 1
+
+
+def test_whole_sets_of_links_only_travel(spark):
+    rng = np.random.default_rng(25)
+    common, sets = rng.integers(0, 1 << 64, 2000, np.uint64), {}
+    for k in range(8):
+        sets[k] = np.sort(np.concatenate([common, rng.integers(0, 1 << 64, 1000, np.uint64)]))
+    sets[8] = sets[0][5:]
+    ends = [(a, b) for a in sets for b in sets if a < b]
+    stats: dict = {}
+    join = ngram_join._Join(None, None, 80, None, stats)
+    join.sets = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in sets.items()], "key bigint, tokens binary")
+    pairs = spark.createDataFrame(ends, "a bigint, b bigint")
+    join.verify(pairs, pairs)
+    assert [tuple(r) for r in join.links.collect()] == [(0, 8)]
+    # Histograms of 128 bins can't tell these pairs apart; all 36 whole sets were sent before.
+    assert stats == {"pairs": 36, "close": 1}
