@@ -44,8 +44,9 @@ LEAST_IDF, COMMON_WEIGHT, LEAST_DISTINCT = 2.5, 0.02, 20
 LEAST_COSINE, FLAT_MORE = 0.5, 0.15
 #: Occurrences of a term in a chunk beyond which they are added up by a matrix.
 OFTEN = 8
-#: Cells of the tables of a group of items, pieces that are confirmed in one go, cosines and words of pieces that are held at once.
-CELLS, BLOCK_SLICE, COSINES, HELD = 1 << 20, 1 << 10, 1 << 22, 1 << 20
+#: Cells of the tables of a group of items, pieces that are confirmed in one go, cosines (so few that they stay in the cache) and words of pieces
+#: that are held at once, blocks whose sums stay in the cache.
+CELLS, BLOCK_SLICE, COSINES, HELD, SLICE_ROWS = 1 << 20, 1 << 10, 1 << 19, 1 << 20, 1 << 9
 #: Words at the end of an item that count as its answer; words below which an item has to stand as a whole; short items of one pass.
 ANSWER, SHORT, SHORT_ITEMS = 5, 8, 1 << 20
 
@@ -73,7 +74,8 @@ def hashed_terms(source: DataFrame) -> DataFrame:
             for _, w in _words(batch.column("text")):
                 t = _small(w)
                 rows.append(t.tobytes())
-                counts[np.unique(t >> 1)] += 1
+                ordered = np.sort(t >> 1, kind="stable")
+                counts[ordered[np.flatnonzero(np.diff(ordered, prepend=TERMS))]] += 1
                 n += 1
             out = pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary()), pa.nulls(len(rows), pa.binary())], names=["doc_id", "terms", "df"])
             schema = out.schema
@@ -121,9 +123,14 @@ class Blocks:
     def project(self, table: np.ndarray) -> np.ndarray:
         """Sum of the table's rows over each block."""
         terms = self.terms.reshape(-1, STEP)
-        out = table[terms[:, 0]]
-        for i in range(1, STEP):
-            out += table[terms[:, i]]
+        out = np.empty((len(terms), table.shape[1]), table.dtype)
+        held = np.empty((SLICE_ROWS, table.shape[1]), table.dtype)
+        # A slice of the sums stays in the cache while the rows of its eight words are added.
+        for low in range(0, len(terms), SLICE_ROWS):
+            some, sums = terms[low : low + SLICE_ROWS], out[low : low + SLICE_ROWS]
+            np.take(table, some[:, 0], axis=0, out=sums, mode="clip")
+            for i in range(1, STEP):
+                sums += np.take(table, some[:, i], axis=0, out=held[: len(some)], mode="clip")
         return out
 
     def passages(self, blocks: np.ndarray, n: int) -> np.ndarray:
@@ -366,9 +373,23 @@ def _slices(size: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip(edges[:-1], edges[1:], strict=True)
 
 
+def _columns(vectors: np.ndarray) -> np.ndarray:
+    """Vectors as columns, filled up with zeros to a multiple of eight of them."""
+    return np.ascontiguousarray(np.pad(vectors, ((0, -len(vectors) % 8), (0, 0))).T)
+
+
 def _places(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the true cells."""
-    return np.divmod(np.flatnonzero(table.ravel()), table.shape[1])
+    """Rows and columns of the true cells, few of a table whose width is a multiple of eight: eight cells are looked at together."""
+    cells = table.ravel()
+    some = np.flatnonzero(cells.view(np.uint64))
+    inside = np.flatnonzero(cells.reshape(-1, 8)[some].ravel())
+    return np.divmod(some[inside >> 3] * 8 + (inside & 7), table.shape[1])
+
+
+def _distinct(numbers: np.ndarray) -> np.ndarray:
+    """The same numbers, each once, in order."""
+    ordered = np.sort(numbers)
+    return ordered[np.flatnonzero(np.diff(ordered, prepend=ordered[:1] - 1))]
 
 
 def _least(share: float, n: np.ndarray) -> np.ndarray:
@@ -428,12 +449,14 @@ class Search:
         for n, sums in passages.items():
             chosen = np.flatnonzero(self.n_blocks == n)
             at = np.arange(len(blocks.doc)) if n == 2 else np.flatnonzero(blocks.nth % 2 == 0)
-            height = max(1, COSINES // len(chosen))
+            weighted, even = _columns(self.vectors[chosen]), _columns(self.flat[chosen])
+            height = max(1, COSINES // weighted.shape[1])
             for low in range(0, len(at), height):
                 some = at[low : low + height]
-                close = _unit(sums[some, :RANK]) @ self.vectors[chosen].T >= self.least_cosine
-                close |= _unit(sums[some, RANK:]) @ self.flat[chosen].T >= self.least_cosine + FLAT_MORE
+                close = _unit(sums[some, :RANK]) @ weighted >= self.least_cosine
+                close |= _unit(sums[some, RANK:]) @ even >= self.least_cosine + FLAT_MORE
                 p, q = _places(close)
+                p, q = p[q < len(chosen)], q[q < len(chosen)]
                 out.append(np.stack([some[p], self.owner[chosen[q]], self.first[chosen[q]]], axis=1))
         return np.concatenate(out)
 
@@ -449,7 +472,7 @@ class Search:
         high = np.maximum(high, low)
         size = high - low
         at = np.repeat(low, size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        both = np.unique(at * len(self.items) + np.repeat(near[:, 1], size))
+        both = _distinct(at * len(self.items) + np.repeat(near[:, 1], size))
         return both // len(self.items), both % len(self.items)
 
     def __call__(self, docs: list[np.ndarray]) -> dict[tuple[int, int], tuple[float, float, float]]:
@@ -468,7 +491,7 @@ class Search:
             rows = items.row[words]
             mine = group == g
             # All pieces of the chunk are confirmed together, each once.
-            start, k = np.divmod(np.unique(at[mine] * len(items.n) + self.inside[item[mine]]), len(items.n))
+            start, k = np.divmod(_distinct(at[mine] * len(items.n) + self.inside[item[mine]]), len(items.n))
             start, end, k = items.finely(start * STEP, ends[blocks.doc[start]], k)
             for which, found, told in items.confirm(rows, start, end, k):
                 for place, kk, f, t in zip(start[which].tolist(), k[which].tolist(), found.tolist(), told.tolist(), strict=True):

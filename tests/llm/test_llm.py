@@ -9,6 +9,7 @@ import math
 import re
 import struct
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -709,6 +710,26 @@ def test_pieces_are_counted_in_slices(monkeypatch, held):
     test_sums_by_term_and_words_held_by_items_against_loops()
 
 
+def test_projections_and_cells_in_slices():
+    rng = np.random.default_rng(31)
+    blocks = decontaminate.Blocks([rng.integers(0, 1 << 16, n).astype(np.uint16) for n in (5, 40_000, 7)])
+    table = rng.standard_normal((decontaminate.TERMS + 1, 24), dtype=np.float32)
+    tracemalloc.start()
+    got = blocks.project(table)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    want = table[blocks.terms.reshape(-1, decontaminate.STEP)]
+    assert np.allclose(got, want.sum(axis=1), atol=1e-4)
+    # Besides the sums there is a slice only, not another array of that size.
+    assert most < 1.5 * got.nbytes, (most, got.nbytes)
+    cells = rng.random((50, 24)) < 0.03
+    assert [x.tolist() for x in decontaminate._places(cells)] == [x.tolist() for x in np.nonzero(cells)]
+    assert decontaminate._columns(np.ones((9, 3), np.float32)).shape == (3, 16)
+    numbers = rng.integers(0, 50, 200)
+    assert decontaminate._distinct(numbers).tolist() == np.unique(numbers).tolist()
+    assert not len(decontaminate._distinct(numbers[:0]))
+
+
 def test_leaks_exact_and_paraphrased(spark, documents, odd, texts):
     rng = np.random.default_rng(8)
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
