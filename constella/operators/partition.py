@@ -1,9 +1,9 @@
 """Balanced k-way partitioning by label propagation with a load penalty and probabilistic migration.
 
-The loop keeps, with each vertex, how often each label occurs around it (a map of k entries at most), in files bucketed by vertex. A round
-then scores and chooses without any join; only the edges of vertices that moved are looked up, and what they change is added
-to the counts of their neighbours: rows that travel follow the moves, not the graph. ``scores``, ``best_labels`` and ``migrate`` are one round from
-the edges alone.
+The loop keeps, with each vertex, how often each label occurs around it (a map of k entries at most) and the label that it would choose next, in
+files bucketed by vertex; edges lie in as many buckets of their source. A round reads the choices, without any join or new choice; moves go to the
+edges, which stay where they are, and what they change is added to the counts of their neighbours, which choose again as they are written: rows that
+travel follow the moves, not the graph. ``scores``, ``best_labels`` and ``migrate`` are one round from the edges alone.
 """
 
 from __future__ import annotations
@@ -15,9 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from constella.functions.portable import uniform
-from constella.iterate import cut, cut_buckets, cut_observed, drop
+from constella.iterate import cut, cut_buckets, cut_observed, drop, settings
 from constella.manifest import Manifest, plain_values
-from constella.operators.graph import degrees
+from constella.operators.graph import bucket_count, degrees
 
 
 @dataclass
@@ -146,30 +146,41 @@ class Convergence:
         return settled
 
 
-#: Moves that are broadcast at most, 20 bytes each; more are joined with the edges by a shuffle.
+#: Moves that are broadcast at most, 20 bytes each; more are dealt to the buckets of the edges.
 BROADCAST_MOVES = 500_000
+#: Labels that are counted in a column each; more are counted in a row each.
+WIDE_LABELS = 64
 
 
-def heard_labels(labels: DataFrame, edges: DataFrame, degree: DataFrame) -> DataFrame:
-    """id, part, degree, total (weight of its edges) and heard: the weight of its neighbours by label. The state of the loop."""
-    by = edges.join(labels.select(F.col("id").alias("dst"), F.col("part").alias("label")), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("weight").alias("freq"))
-    heard = by.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("label", "freq"))).alias("heard"), F.sum("freq").alias("total"))
-    state = labels.join(degree, "id", "left").join(heard, "id", "left")
-    empty = F.create_map().cast("map<int,bigint>")
-    return state.select("id", "part", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("heard", empty).alias("heard"))
+def heard_labels(labels: DataFrame, edges: DataFrame, degree: DataFrame, k: int | None = None) -> DataFrame:
+    """id, part, degree, total (weight of its edges) and heard: the weight of its neighbours by label."""
+    counts = moved_counts(edges, labels.select("id", F.lit(-1).alias("old"), F.col("part").alias("new")).hint("shuffle_hash"), k)
+    state = labels.join(degree, "id", "left").join(counts.hint("shuffle_hash"), "id", "left")
+    heard = F.coalesce("change", F.create_map().cast("map<int,bigint>"))
+    total = F.aggregate(F.map_values(heard), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return state.select("id", "part", F.coalesce("degree", F.lit(0)).alias("degree"), total.alias("total"), heard.alias("heard"))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def choose(state: DataFrame, load: list[int], capacity: float, options: PartitionOptions, salt: int) -> DataFrame:
     """``state`` with new_part, h_now and freq_now: what ``scores`` and ``best_labels`` give, from the kept counts. Vertices without edges keep their label."""
-    loads_ = F.array(*[F.lit(x).cast("bigint") for x in load])
     least = min(range(len(load)), key=lambda p: (load[p], p))
+    # Constant, so computed once: what the loads take off.
+    off = F.array(*[F.lit(options.penalty) * _ceil3(F.lit(x).cast("bigint") / F.lit(float(capacity))) for x in load])
     freq = lambda label: F.coalesce(F.try_element_at("heard", label), F.lit(0).cast("bigint"))
-    h = lambda label: F.lit(options.penalty) + freq(label) / F.col("total") - F.lit(options.penalty) * _ceil3(F.element_at(loads_, label + 1) / F.lit(float(capacity)))
+    h = lambda label: F.lit(options.penalty) + freq(label) / F.col("total") - F.element_at(off, label + 1)
     draw = lambda label: uniform(F.concat_ws("-", F.col("id").cast("string"), label.cast("string")), salt, options.seed)
     offers = F.array_union(F.map_keys("heard"), F.array("part", F.lit(least)))
-    rank = F.transform(offers, lambda label: F.struct(F.round(h(label), 9).alias("h"), (label == F.col("part")).cast("int").alias("own"), draw(label).alias("u"), label.alias("label")))
+    rank = lambda label: F.struct(F.round(h(label), 9).alias("h"), (label == F.col("part")).cast("int").alias("own"), draw(label).alias("u"), label.alias("label"))
+    # Only labels that rounding may make equal to the best are rounded and drawn for; mostly there is one.
+    near = lambda all_: _let(F.array_max(F.transform(all_, h)), lambda top: F.filter(all_, lambda label: h(label) >= top - 2e-9))
+    best = _let(offers, lambda all_: _let(near(all_), lambda some: F.when(F.size(some) == 1, F.element_at(some, 1)).otherwise(F.array_max(F.transform(some, rank))["label"])))
     some = F.col("total") > 0
-    return state.withColumns({"new_part": F.when(some, F.array_max(rank)["label"]).otherwise(F.col("part")), "h_now": F.when(some, h(F.col("part"))), "freq_now": F.when(some, freq(F.col("part")))})
+    return state.withColumns({"new_part": F.when(some, best).otherwise(F.col("part")), "h_now": F.when(some, h(F.col("part"))), "freq_now": F.when(some, freq(F.col("part")))})
 
 
 def _granted(chosen: DataFrame, chance: list[float], seed: int, salt: int) -> DataFrame:
@@ -177,11 +188,17 @@ def _granted(chosen: DataFrame, chance: list[float], seed: int, salt: int) -> Da
     return chosen.withColumn("after", F.when(go, F.col("new_part")).otherwise(F.col("part")))
 
 
-def moved_counts(edges: DataFrame, moves: DataFrame) -> DataFrame:
-    """id, change: by label, what the moves (id, old, new) change in the counts of their neighbours."""
-    at = edges.join(moves.select(F.col("id").alias("src"), "old", "new"), "src")
-    each = at.select(F.col("dst").alias("id"), F.explode(F.array(F.struct(F.col("old").alias("label"), (-F.col("weight")).alias("by")), F.struct(F.col("new").alias("label"), F.col("weight").alias("by")))).alias("c"))
-    sums = each.groupBy("id", "c.label").agg(F.sum("c.by").alias("by"))
+def moved_counts(edges: DataFrame, moves: DataFrame, k: int | None = None) -> DataFrame:
+    """id, change: by label, what the moves (id, old, new) of some of ``k`` labels change in the counts of their neighbours. ``old`` is -1 for a first label."""
+    at = edges.join(moves.withColumnRenamed("id", "src"), "src").select(F.col("dst").alias("id"), "old", "new", F.col("weight").cast("bigint").alias("by"))
+    if k is not None and k <= WIDE_LABELS:
+        # Added up before they travel, and dealt once.
+        by = lambda p: F.when(F.col("new") == p, F.col("by")).when(F.col("old") == p, -F.col("by")).otherwise(F.lit(0))
+        sums = at.groupBy("id").agg(*[F.sum(by(p)).alias(f"by{p}") for p in range(k)])
+        change = F.map_from_arrays(F.array(*[F.lit(p) for p in range(k)]), F.array(*[F.col(f"by{p}") for p in range(k)]))
+        return sums.select("id", F.map_filter(change, lambda _, n: n != 0).alias("change"))
+    both = F.array(F.struct(F.col("old").alias("label"), (-F.col("by")).alias("by")), F.struct(F.col("new").alias("label"), F.col("by").alias("by")))
+    sums = at.select("id", F.explode(both).alias("c")).where("c.label >= 0").groupBy("id", "c.label").agg(F.sum("c.by").alias("by"))
     return sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("label", "by"))).alias("change"))
 
 
@@ -190,10 +207,16 @@ def partition_graph(vertices: DataFrame, edges: DataFrame, options: PartitionOpt
 
     An empty graph, or one without edges, keeps its first labels. ``watch`` gets the number of a round and the labels after it. ``resume`` names a
     manifest: a loop of that name that a lost driver left is gone on with after its last round, on the edges that it began with.
+    Edges that ``written`` made are used where they lie, and left there.
     """
     options = options or PartitionOptions()
-    spark = vertices.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # As many partitions as buckets: what is dealt by a vertex meets its state and its edges without being dealt again.
+    with settings(vertices.sparkSession, spark__sql__shuffle__partitions=str(bucket_count(edges))):
+        return _partition(vertices, edges, options, watch, resume)
+
+
+def _partition(vertices: DataFrame, given: DataFrame, options: PartitionOptions, watch: Callable | None, resume: str | None) -> Partitioned:
+    spark, buckets = vertices.sparkSession, bucket_count(given)
     kept = Manifest(spark, resume, "partition", plain_values(options))
     before = kept.load()
     settled, out = Convergence(options.window, options.threshold), Partitioned(vertices, 0)
@@ -203,22 +226,27 @@ def partition_graph(vertices: DataFrame, edges: DataFrame, options: PartitionOpt
         load, total, out.metrics, settled.states = values["load"], values["total"], values["metrics"], values["scores"]
         out.iterations = number = values["round"]
     else:
-        edges = cut(edges.select("src", "dst", "weight"), "edges")
+        dealt = getattr(given, "_constella_buckets", ("", 0))[0] == "src"
+        edges = given if dealt else cut_buckets(given.select("src", "dst", "weight").repartition(buckets, "src"), "edges", "src", buckets)
         labels = initial_labels(vertices, options)
         if options.repartition:
             labels = changed_k(labels, options)
-        state = cut_buckets(heard_labels(labels, edges, degrees(edges)).repartition(buckets, "id"), "labels", "id", buckets)
+        first = labels.join(degrees(edges), "id", "left").select("id", "part", F.coalesce("degree", F.lit(0)).alias("degree"))
+        first = cut_buckets(first.repartition(buckets, "id"), "labels", "id", buckets)
         total, number = edges.count(), 0
         load = [0] * options.total
-        for part, n in state.groupBy("part").agg(F.sum("degree")).collect():
+        for part, n in first.groupBy("part").agg(F.sum("degree")).collect():
             load[part] = n
     capacity = round(total * (1 + options.capacity) / options.total)
+    if not before:
+        state = heard_labels(first.select("id", "part"), edges, first.select("id", "degree"), options.total)
+        state = cut_buckets(choose(state, load, capacity, options, 600), "labels", "id", buckets)
+        drop(first)
     buckets = state._constella_buckets[1]
     while 2 * number + 3 < options.max_iterations:
-        chosen = choose(state, load, capacity, options, 600 + number)
         wish = F.col("new_part") != F.col("part")
         # A row for each label in use: k at most, as in all that is collected here.
-        sums = chosen.groupBy("new_part").agg(F.sum("h_now").alias("score"), F.sum("freq_now").alias("local"), F.sum("total").alias("total"), F.count_if(wish).alias("wishes"), F.sum(F.when(wish, F.col("degree"))).alias("demand")).collect()
+        sums = state.groupBy("new_part").agg(F.sum("h_now").alias("score"), F.sum("freq_now").alias("local"), F.sum("total").alias("total"), F.count_if(wish).alias("wishes"), F.sum(F.when(wish, F.col("degree"))).alias("demand")).collect()
         score = sum(r["score"] for r in sums if r["score"] is not None) if any(r["score"] is not None for r in sums) else None
         used = [x for x in load if x]
         out.metrics.append({
@@ -231,7 +259,7 @@ def partition_graph(vertices: DataFrame, edges: DataFrame, options: PartitionOpt
         for r in sums:
             if r["demand"]:
                 chance[r["new_part"]] = max(0.0, (float(capacity) - load[r["new_part"]]) / r["demand"])
-        granted = _granted(chosen, chance, options.seed, 900 + number)
+        granted = _granted(state, chance, options.seed, 900 + number)
         moves = granted.where("after <> part").select("id", F.col("part").alias("old"), F.col("after").alias("new"), "degree")
         moves, seen = cut_observed(moves, "moves", n=F.count(F.lit(1)))
         out.metrics[-1]["migrations"] = seen["n"]
@@ -239,25 +267,25 @@ def partition_graph(vertices: DataFrame, edges: DataFrame, options: PartitionOpt
             for old, new, n in moves.groupBy("old", "new").agg(F.sum("degree")).collect():
                 load[old] -= n
                 load[new] += n
-            few = seen["n"] <= BROADCAST_MOVES
-            changes = moved_counts(edges, F.broadcast(moves) if few else moves)
+            moved = moves.select("id", "old", "new")
+            changes = moved_counts(edges, F.broadcast(moved) if seen["n"] <= BROADCAST_MOVES else moved.hint("shuffle_hash"), options.total)
             both = F.map_zip_with(F.col("heard"), F.col("change"), lambda _, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
             heard = F.when(F.col("change").isNull(), F.col("heard")).otherwise(F.map_filter(both, lambda _, n: n != 0))
-            following = granted.join(changes, "id", "left").select("id", F.col("after").alias("part"), "degree", "total", heard.alias("heard"))
-            following = cut_buckets(following, "labels", "id", buckets)
+            following = granted.join(changes.hint("shuffle_hash"), "id", "left").select("id", F.col("after").alias("part"), "degree", "total", heard.alias("heard"))
         else:
-            following = state
+            following = state.select("id", "part", "degree", "total", "heard")
+        following = cut_buckets(choose(following, load, capacity, options, 600 + number + 1), "labels", "id", buckets)
         out.iterations = number = number + 1
         kept.save({"load": load, "total": total, "metrics": out.metrics, "scores": settled.states, "round": number}, {"edges": edges, "state": following})
-        if following is not state:
-            drop(state)
+        drop(state, moves)
         state = following
-        drop(moves)
         if watch:
             watch(number, state.select("id", "part"))
     out.labels = cut(state.select("id", "part"), "labels")
     kept.end()
-    drop(edges, state)
+    drop(state)
+    if edges is not given:
+        drop(edges)
     return out
 
 

@@ -73,6 +73,41 @@ def test_state_chooses_as_the_edges_do(spark):
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
 
 
+@pytest.mark.parametrize("wide", [64, 0])
+def test_edges_stay_when_many_move(spark, monkeypatch, wide):
+    """More moves than are broadcast are dealt to the edges, which stay; a round chooses once."""
+    v, e, component, edges = tables(spark, graph(5, 40, 40, 1))
+    plans, chosen, counted, choose = [], [], partition.moved_counts, partition.choose
+
+    def seen(*args):
+        out = counted(*args)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(partition, "BROADCAST_MOVES", 0)
+    monkeypatch.setattr(partition, "WIDE_LABELS", wide, raising=False)
+    monkeypatch.setattr(partition, "moved_counts", seen)
+    monkeypatch.setattr(partition, "choose", lambda *args: chosen.append(args[-1]) or choose(*args))
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        out = partition.partition_graph(v.select("id"), e, partition.PartitionOptions(partitions=5, max_iterations=9, threshold=0.0))
+        assert dict(map(tuple, out.labels.collect())) == plain.partition_rounds([*component], edges, 5, out.iterations)[-1]
+    assert out.iterations == 3 and chosen == [600, 601, 602, 603]
+    # The moves and the counts travel; counts of many labels twice.
+    assert len(plans) == 4 and all(p.count("Exchange hashpartitioning") <= (2 if wide else 3) for p in plans)
+
+
+def test_equal_labels_are_drawn_for(spark):
+    v, e, _, _ = tables(spark, graph(9, 30, 30, 1))
+    options = partition.PartitionOptions(partitions=4)
+    labels, degree = partition.initial_labels(v, options), e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree"))
+    load = spark.createDataFrame([(p, 40) for p in range(4)], "part int, load bigint")
+    scored = partition.scores(labels, e, load, 40, options).cache()
+    assert scored.groupBy("id").agg(F.max("h").alias("top")).join(scored, "id").where("h = top").groupBy("id").count().where("count > 1").count() > 5
+    want = partition.best_labels(scored, 42, 600).select("id", "new_part").collect()
+    got = partition.choose(partition.heard_labels(labels, e, degree, 4), [40] * 4, 40, options, 600).select("id", "new_part").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 def test_coarsening_and_placement(spark):
     v, e, component, edges = tables(spark, graph(3, 45, 12))
     layers, want = coarsen(v, e), plain.coarsen(component, edges)
